@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from txnlens.functions.columns import nan_to_null, pct, pearson, sample_kurt, sample_skew
 from txnlens.plans.ordered import exact_quantiles, quantiles_wide  # noqa: F401
+from txnlens.plans.small import with_params
 from txnlens.spec import TxnSpec
 
 
@@ -113,7 +114,7 @@ def describe_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    qs = quantiles_wide(long, "value", [0.25, 0.5, 0.75], ["q25", "q50", "q75"], by=["column"])
+    qs = quantiles_wide(long, "value", [0.25, 0.5, 0.75], ["q25", "q50", "q75"], by=["column"], max_groups=len(cols))
     out = base.join(qs, "column", "left")
     return out.select(
         "column",
@@ -134,15 +135,18 @@ def describe_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def column_profile(df: DataFrame, col: str) -> DataFrame:
     """n, mean, median (exact), std, min, max, sample skewness of one column."""
     x = df.select(nan_to_null(F.col(col).cast("double")).alias("v"))
-    med = quantiles_wide(x, "v", [0.5], ["median"]).select("median").scalar()
-    return x.agg(
+    med = quantiles_wide(x, "v", [0.5], ["median"])
+    base = x.agg(
         F.count("v").alias("n"),
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
         F.skewness("v").alias("_g1"),
-    ).select("n", "mean", med.alias("median"), "std", "min", "max", sample_skew(F.col("_g1"), F.col("n")).alias("skew"))
+    )
+    return with_params(base, med, "_m").select(
+        "n", "mean", F.col("_m.median").alias("median"), "std", "min", "max", sample_skew(F.col("_g1"), F.col("n")).alias("skew")
+    )
 
 
 def time_span(df: DataFrame, time: str = "Time") -> DataFrame:
@@ -226,7 +230,7 @@ def correlation_topk(df: DataFrame, cols: Sequence[str], label: str = "Class", k
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """Quartiles, 1.5-IQR fences and counts strictly outside them, per column."""
     long = to_long(df, cols)
-    qs = quantiles_wide(long, "value", [0.25, 0.75], ["q1", "q3"], by=["column"]).select(
+    qs = quantiles_wide(long, "value", [0.25, 0.75], ["q1", "q3"], by=["column"], max_groups=len(cols)).select(
         "column",
         "q1",
         "q3",

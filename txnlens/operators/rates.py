@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from txnlens.plans.small import with_params
 from txnlens.spec import TxnSpec
 
 
@@ -72,7 +73,7 @@ def hour_spine(spark: SparkSession, df: DataFrame, spec: TxnSpec = TxnSpec(), ho
     r = rate_by(df, [hour], spec)
     spine = spark.range(24).select(F.col("id").cast("int").alias(hour))
     j = spine.join(F.broadcast(r), hour, "left").fillna(0)
-    med = r.agg(F.median("rate_pct").alias("m")).select("m").scalar()  # <= 24 rows
+    j = with_params(j, r.agg(F.median("rate_pct").alias("m")), "_med")  # median over <= 24 rows
     allw = Window.partitionBy()  # over the 24-row spine only
     return j.select(
         hour,
@@ -81,7 +82,7 @@ def hour_spine(spark: SparkSession, df: DataFrame, spec: TxnSpec = TxnSpec(), ho
         "negatives",
         "rate_pct",
         (F.col("rate_pct") > F.avg("rate_pct").over(allw)).alias("above_mean"),
-        (F.col("rate_pct") > med).alias("above_median"),
+        (F.col("rate_pct") > F.col("_med.m")).alias("above_median"),
     )
 
 
@@ -205,7 +206,7 @@ def scorecard(df: DataFrame, spec: TxnSpec = TxnSpec(), hour: str = "Hour", peak
     p, n = lbl == 1, lbl == 0
     day = F.col(hour).between(8, 19)
     pk = peak(rate_by(peak_from if peak_from is not None else df, [hour], spec), hour)
-    pk_s = pk.select(F.struct(F.col(hour).cast("double").alias("h"), F.col("rate_pct").alias("r"))).scalar()
+    pk1 = pk.select(F.col(hour).cast("double").alias("h"), F.col("rate_pct").alias("r"))  # one row (limit 1)
     g = df.agg(
         F.count(F.lit(1)).cast("double").alias("total_transactions"),
         F.count_if(p).cast("double").alias("positives"),
@@ -219,7 +220,7 @@ def scorecard(df: DataFrame, spec: TxnSpec = TxnSpec(), hour: str = "Hour", peak
         F.count_if(p & day).cast("double").alias("day_positives"),
         F.count_if(p & ~day).cast("double").alias("night_positives"),
     )
-    g = g.withColumn("_pk", pk_s).select(
+    g = with_params(g, pk1, "_pk").select(
         *[c for c in SCORECARD_METRICS if c not in ("peak_hour", "peak_hour_rate_pct")],
         F.col("_pk.h").alias("peak_hour"),
         F.col("_pk.r").alias("peak_hour_rate_pct"),

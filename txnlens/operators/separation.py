@@ -61,20 +61,19 @@ def feature_ks(df: DataFrame, cols: Sequence[str], spec: TxnSpec = TxnSpec()) ->
     counts = long.groupBy("column", "col_idx", "value").agg(
         F.count_if(F.col("_lbl") == 0).alias("n0"), F.count_if(F.col("_lbl") == 1).alias("n1")
     )
-    tot = counts.groupBy("column").agg(F.sum("n0").alias("N0"), F.sum("n1").alias("N1"))
-    cum = prefix_sums(counts, "value", ["n0", "n1"], part_cols=["column"])
-    # one row per feature: bounded by the schema width
-    cum = join_small(cum, tot, "column", "inner")
-    d = F.abs(F.col("n0_cum") / F.col("N0") - F.col("n1_cum") / F.col("N1"))
-    ks = cum.groupBy("column", "col_idx", "N0", "N1").agg(F.max(d).alias("ks"))
-    en = F.col("N0") * F.col("N1") / (F.col("N0") + F.col("N1"))
+    tot = counts.groupBy("column").agg(F.sum("n0").alias("tot0"), F.sum("n1").alias("tot1"))
+    cum = prefix_sums(counts, "value", ["n0", "n1"], part_cols=["column"], max_groups=len(cols))
+    cum = join_small(cum, tot, "column", "inner", bound=len(cols))  # one row per feature
+    d = F.abs(F.col("n0_cum") / F.col("tot0") - F.col("n1_cum") / F.col("tot1"))
+    ks = cum.groupBy("column", "col_idx", "tot0", "tot1").agg(F.max(d).alias("ks"))
+    en = F.col("tot0") * F.col("tot1") / (F.col("tot0") + F.col("tot1"))
     return ks.select(
         "column",
         "col_idx",
         "ks",
         kolmogorov_sf(F.sqrt(en) * F.col("ks")).alias("p_value"),
-        F.col("N0").alias("n_neg"),
-        F.col("N1").alias("n_pos"),
+        F.col("tot0").alias("n_neg"),
+        F.col("tot1").alias("n_pos"),
     ).where((F.col("n_neg") > 0) & (F.col("n_pos") > 0))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from txnlens.functions.columns import clip
 from txnlens.plans.ordered import prefix_rank, previous_value, quantiles_wide
+from txnlens.plans.small import with_params
 from txnlens.spec import TxnSpec
 
 
@@ -44,7 +45,7 @@ def gap_quantiles(df: DataFrame, spec: TxnSpec = TxnSpec(), clip_upper: float |
     g = positive_gaps(df, spec, clip_upper)
     q = quantiles_wide(g, "gap_min", [0.1, 0.5], ["p10_min", "median_min"])
     n = g.agg(F.count(F.lit(1)).alias("n_gaps"))
-    return n.select("n_gaps", *[q.select(c).scalar().alias(c) for c in ("p10_min", "median_min")])
+    return with_params(n, q, "_q").select("n_gaps", F.col("_q.p10_min").alias("p10_min"), F.col("_q.median_min").alias("median_min"))
 
 
 def cumulative_arrival(df: DataFrame, spec: TxnSpec = TxnSpec(), zero_based: bool = False) -> DataFrame:

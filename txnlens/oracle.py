@@ -212,7 +212,7 @@ FROM lng GROUP BY "column", col_idx""",
        count(*) FILTER (WHERE value < lower) AS n_low, count(*) FILTER (WHERE value > upper) AS n_high,
        count(*) FILTER (WHERE value < lower OR value > upper) AS n_outliers,
        count(*) FILTER (WHERE value < lower OR value > upper) * 100.0 / n AS outlier_pct
-FROM f JOIN lng USING ("column") GROUP BY ALL""",
+FROM f JOIN lng USING ("column") GROUP BY f."column", f.col_idx, q1, q3, iqr, lower, upper, n""",
         r6("q1", "q3", "iqr", "lower", "upper", "outlier_pct"),
     )
 

@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlens.plans.small import DEFAULT_MAX_ROWS, join_small
+from txnlens.plans.small import DEFAULT_MAX_ROWS, join_small, with_params
 
 DEFAULT_BUCKETS = 256
 DEFAULT_ACCURACY = 100_000
@@ -51,13 +51,14 @@ def value_bucket(v: Column, splits: Column, n_splits: int) -> Column:
     if n_splits <= 0:
         return F.lit(0)
     depth = max(1, math.ceil(math.log2(n_splits + 1)))
+    strides = F.array(*[F.lit(1 << j) for j in reversed(range(depth))])
 
-    def step(acc: Column, k: Column) -> Column:
-        cand = acc + F.shiftleft(F.lit(1), k)
+    def step(acc: Column, stride: Column) -> Column:
+        cand = acc + stride
         ok = (cand <= F.lit(n_splits)) & (F.element_at(splits, cand) <= v)
         return F.when(ok, cand).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(depth - 1), F.lit(0), F.lit(-1)), F.lit(0), step)
+    return F.aggregate(strides, F.lit(0), step)
 
 
 def _split_probs(n_buckets: int) -> list[float]:
@@ -73,14 +74,15 @@ def with_value_buckets(
 ) -> DataFrame:
     """Add ``out``: an ordered, value-range bucket id of ``order_col`` (global splits).
 
-    The splits are one ``percentile_approx`` over the whole column, attached as
-    a scalar subquery (no join, no driver round trip).
+    The splits are one ``percentile_approx`` over the whole column (a one-row
+    aggregate of n_buckets-1 doubles), broadcast to the tasks; no driver round trip.
     """
     probs = _split_probs(n_buckets)
     splits = df.agg(
         F.percentile_approx(F.col(order_col).cast("double"), F.array(*[F.lit(p) for p in probs]), accuracy).alias("s")
-    ).scalar()
-    return df.withColumn(out, value_bucket(F.col(order_col).cast("double"), splits, len(probs)))
+    )
+    x = with_params(df, splits, "_spl")
+    return x.withColumn(out, value_bucket(F.col(order_col).cast("double"), F.col("_spl.s"), len(probs))).drop("_spl")
 
 
 def prefix_rank(
@@ -108,7 +110,7 @@ def prefix_rank(
         (F.sum("_bc").over(wp.rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
         F.sum("_bc").over(Window.partitionBy(*parts) if parts else Window.partitionBy()).alias("_tot"),
     ).fillna(0, subset=["_off"])
-    x = join_small(x, offs, [*parts, b], "inner", max_rows=DEFAULT_MAX_ROWS)
+    x = join_small(x, offs, [*parts, b], "inner")  # groups x buckets rows
     w = Window.partitionBy(*parts, b).orderBy(order_col)
     x = x.withColumn(rank_col, F.col("_off") + F.row_number().over(w))
     if total_col:
@@ -125,6 +127,7 @@ def prefix_sums(
     part_cols: Sequence[str] = (),
     suffix: str = "_cum",
     n_buckets: int = DEFAULT_BUCKETS,
+    max_groups: int | None = None,
 ) -> DataFrame:
     """Running sums of ``sum_cols`` ordered by ``order_col`` (rows-unbounded-preceding).
 
@@ -140,7 +143,7 @@ def prefix_sums(
         sp = x.groupBy(*parts).agg(
             F.percentile_approx(F.col(order_col).cast("double"), F.array(*[F.lit(p) for p in probs]), 10_000).alias("_s")
         )
-        x = join_small(x, sp, parts, "inner")
+        x = join_small(x, sp, parts, "inner", bound=max_groups)
         x = x.withColumn(b, value_bucket(F.col(order_col).cast("double"), F.col("_s"), len(probs))).drop("_s")
     else:
         x = with_value_buckets(x, order_col, b, n_buckets)
@@ -151,7 +154,7 @@ def prefix_sums(
     offs = tot.select(
         *parts, b, *[F.coalesce(F.sum(f"_bt_{c}").over(wp), F.lit(0)).alias(f"_off_{c}") for c in sum_cols]
     )
-    x = join_small(x, offs, [*parts, b], "inner")
+    x = join_small(x, offs, [*parts, b], "inner", bound=None if max_groups is None else max_groups * n_buckets)
     w = Window.partitionBy(*parts, b).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     for c in sum_cols:
         x = x.withColumn(f"{c}{suffix}", F.col(f"_off_{c}") + F.sum(c).over(w)).drop(f"_off_{c}")
@@ -176,7 +179,7 @@ def previous_value(
     last = x.groupBy(*parts, b).agg(F.max(order_col).alias("_bmax"))
     wp = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(b)
     carry = last.select(*parts, b, F.lag("_bmax").over(wp).alias("_carry"))
-    x = join_small(x, carry, [*parts, b], "inner")
+    x = join_small(x, carry, [*parts, b], "inner")  # groups x buckets rows
     w = Window.partitionBy(*parts, b).orderBy(order_col)
     x = x.withColumn(out, F.coalesce(F.lag(order_col).over(w), F.col("_carry")))
     return x.drop("_carry", b)
@@ -188,6 +191,7 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     accuracy: int = DEFAULT_ACCURACY,
+    max_groups: int | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, per group.
 
@@ -227,7 +231,9 @@ def exact_quantiles(
         F.ceil(pos).cast("long").alias("_rhi"),
         (pos - F.floor(pos)).alias("_frac"),
     )
-    j = join_small(x, sl, keys, "inner")
+    # groups x probs rows; with no grouping the bound is len(probs)
+    bound = k if not by else (None if max_groups is None else max_groups * k)
+    j = join_small(x, sl, keys, "inner", bound=bound)
     inside = F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))
     kcol = F.when(F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo")), F.lit(None)).otherwise(F.col("_v"))
     gkeys = [*keys, "_i", "prob", "_n", "_rlo", "_rhi", "_frac"]
@@ -277,9 +283,10 @@ def quantiles_wide(
     names: Sequence[str],
     by: Sequence[str] = (),
     accuracy: int = DEFAULT_ACCURACY,
+    max_groups: int | None = None,
 ) -> DataFrame:
     """:func:`exact_quantiles` pivoted to one column per probability (``names``)."""
-    q = exact_quantiles(df, value, probs, by, accuracy)
+    q = exact_quantiles(df, value, probs, by, accuracy, max_groups)
     aggs = [F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(n) for p, n in zip(probs, names)]
     if by:
         return q.groupBy(*by).agg(*aggs)

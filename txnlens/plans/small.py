@@ -3,8 +3,9 @@
 Two kinds of "small" appear in the engine:
 
 * **Fitted parameters** - a global aggregate without grouping keys always has
-  exactly one row; it is attached as one scalar subquery (a struct column),
-  evaluated once and shipped to tasks like a literal (:func:`with_params`).
+  exactly one row; it is packed into one struct column and broadcast to every
+  task (:func:`with_params`). The join has a one-row build side, so it is
+  linear in the big side (every row meets exactly one parameter row).
 * **Dimension-like sides** (lookup tables, per-group summaries with a bounded
   key domain) - their row count is checked with a bounded ``limit`` count
   before they are broadcast; above the limit the plan is an ordinary shuffle
@@ -29,14 +30,25 @@ def join_small(
     small: DataFrame,
     on: str | list[str] | Column,
     how: str = "inner",
+    bound: int | None = None,
     max_rows: int = DEFAULT_MAX_ROWS,
+    check: bool = False,
 ) -> DataFrame:
-    """Join ``big`` with ``small``; broadcast ``small`` only if its size is checked.
+    """Join ``big`` with a side expected to be small, broadcasting it only when safe.
 
-    If the check fails the join is left to the planner (sort-merge / shuffled
-    hash join, with AQE's own runtime broadcast decision).
+    * ``bound``: a proven upper bound on ``small``'s rows (e.g. #features x
+      #buckets). If it is within ``max_rows`` the side is broadcast.
+    * ``check=True``: count ``small`` (at most ``max_rows + 1`` rows are read);
+      only for cheap sources such as a dimension table scan, since the count
+      executes the side's plan.
+    * otherwise the planner decides at run time: AQE replans the sort-merge
+      join as a broadcast join only when the materialised small side is below
+      ``spark.sql.adaptive.autoBroadcastJoinThreshold``, and keeps the shuffle
+      join beyond it.
     """
-    if fits(small, max_rows):
+    if bound is not None and bound <= max_rows:
+        return big.join(F.broadcast(small), on, how)
+    if check and fits(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
 
@@ -44,9 +56,11 @@ def join_small(
 def with_params(df: DataFrame, params: DataFrame, name: str = "_p") -> DataFrame:
     """Attach a one-row parameter frame as a struct column ``name``.
 
-    ``params`` must be an ungrouped aggregate (exactly one row by construction).
-    It becomes a single scalar subquery: computed once, no join, no shuffle of
-    ``df``. Fields are read with ``F.col(f"{name}.field")``.
+    ``params`` must be an ungrouped aggregate, which Spark guarantees to be
+    exactly one row, so the broadcast never grows with the data. (A scalar
+    subquery would avoid the join, but Spark rejects subqueries inside
+    higher-order functions and mis-resolves them in some self-joins.)
+    Fields are read with ``F.col(f"{name}.field")``.
     """
     packed = params.select(F.struct(*[F.col(f"`{c}`") for c in params.columns]).alias(name))
-    return df.withColumn(name, packed.scalar())
+    return df.crossJoin(F.broadcast(packed))

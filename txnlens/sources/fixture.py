@@ -53,7 +53,7 @@ def build_transactions(ev: DataFrame, emb: DataFrame, variant: str = "base", kee
     """
     ev = ev.withColumn("_vk", F.col("event_id") % EMBED_MOD)
     on = ev["_vk"] == emb["vec_id"]
-    j = join_small(ev, emb, on, "inner", max_rows=100_000)
+    j = join_small(ev, emb, on, "inner", max_rows=100_000, check=True)
     positive = (F.col("label") == 0) & F.col("event_type").isin("error", "click")
     if variant == "rare":
         positive = positive & (F.col("event_id") % RARE_MOD == 0)
