@@ -23,6 +23,7 @@ from txnlens.operators import resample as RS
 from txnlens.operators import scoring as S
 from txnlens.operators import separation as SP
 from txnlens.operators import timing as TM
+from txnlens.plans.stage import materialize
 from txnlens.sources.fixture import stream_events, transactions
 from txnlens.spec import TxnSpec
 
@@ -67,11 +68,13 @@ def raw(spark: SparkSession, sf: str, variant: str = "base") -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    return C.clean(raw(spark, sf), SPEC)
+    """The cleaned table, written once per session (stage boundary, see plans.stage)."""
+    return materialize(C.clean(raw(spark, sf), SPEC), f"cleaned:{sf}")
 
 
 def view(spark: SparkSession, sf: str) -> DataFrame:
-    return S.analysis_view(cleaned(spark, sf), SPEC)
+    """Cleaned table + hour/day/band columns and the rule score, written once per session."""
+    return materialize(S.analysis_view(cleaned(spark, sf), SPEC), f"view:{sf}")
 
 
 def numeric_cols(df: DataFrame) -> list[str]:

@@ -14,6 +14,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None)
         SparkSession.builder.master(f"local[{cores}]")
         .appName("txnlens")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
