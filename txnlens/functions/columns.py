@@ -113,7 +113,7 @@ class Bands:
     names: tuple[str, ...] = BAND_NAMES
 
     def ordinal(self, x: str | Column) -> Column:
-        v = col(x)
+        v = nan_to_null(col(x).cast("double"))
         expr = None
         for i in range(len(self.names)):
             hi = self.edges[i + 1]

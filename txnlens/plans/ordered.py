@@ -192,6 +192,7 @@ def exact_quantiles(
     by: Sequence[str] = (),
     accuracy: int = DEFAULT_ACCURACY,
     max_groups: int | None = None,
+    margin: float | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, per group.
 
@@ -202,9 +203,9 @@ def exact_quantiles(
     x = df.select(*[F.col(c) for c in by], vcol.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     x, keys = _with_group_key(x, by)
     k = len(probs)
-    margin = 4.0 / accuracy
-    lo_p = [max(p - margin, 0.0) for p in probs]
-    hi_p = [min(p + margin, 1.0) for p in probs]
+    margin = 4.0 / accuracy if margin is None else margin  # rank margin of the bracket
+    lo_p = [min(max(p - margin, 0.0), 1.0) for p in probs]
+    hi_p = [max(min(p + margin, 1.0), 0.0) for p in probs]
     stats = x.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", F.array(*[F.lit(p) for p in lo_p + hi_p]), accuracy).alias("_a"),
