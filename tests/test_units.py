@@ -232,3 +232,35 @@ def test_empty_frame_rates(spark):
 def test_filter_defaults_to_non_null_amount(spark):
     df = spark.createDataFrame([("Day 1", 3, 10.0), ("Day 2", 3, None), ("Day 3", 3, 1.0)], "Day_label string, Hour int, Amount double")
     assert R.TxnFilter().apply(df).count() == 1
+
+
+def test_exact_knn_and_smote(spark):
+    from txnlens.plans.neighbors import exact_knn
+
+    rng = np.random.default_rng(0)
+    n1, n0, d = 120, 500, 5
+    X = np.vstack([rng.normal(0, 1, (n0, d)), rng.normal(1, 1, (n1, d))]).round(4)
+    pdf = pd.DataFrame(X, columns=[f"f{i}" for i in range(d)])
+    pdf["Class"] = np.r_[np.zeros(n0, "int32"), np.ones(n1, "int32")]
+    pdf["txn_id"] = np.arange(len(pdf))
+    pdf["cnt"] = (X[:, 0] > 0).astype("int32")
+    df = spark.createDataFrame(pdf)
+    feats = [f"f{i}" for i in range(d)]
+    knn = exact_knn(df.where("Class = 1"), "txn_id", feats, 5, bucket_rows=8).toPandas()
+    P = pdf[pdf.Class == 1]
+    A, ids = P[feats].to_numpy(), P.txn_id.to_numpy()
+    D = np.sqrt(((A[:, None, :] - A[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(D, np.inf)
+    for i, a in enumerate(ids):
+        want = set(ids[np.argsort(D[i], kind="stable")[:5]])
+        assert set(knn[knn.txn_id == a].nn_txn_id) == want
+    out = RS.smote(df, feats + ["cnt"], TxnSpec(), k=5, bucket_rows=8)
+    counts = {(r["Class"], r["synthetic"]): r["count"] for r in out.groupBy("Class", "synthetic").count().collect()}
+    assert counts == {(0, False): n0, (1, False): n1, (1, True): n0 - n1}
+    syn = out.where("synthetic").toPandas()
+    assert syn["txn_id"].isna().all() and set(syn["cnt"].unique()) <= {0, 1}
+    # every synthetic point lies inside the bounding box of the minority class
+    lo, hi = A.min(axis=0), A.max(axis=0)
+    assert ((syn[feats].to_numpy() >= lo - 1e-9) & (syn[feats].to_numpy() <= hi + 1e-9)).all()
+    again = RS.smote(df, feats + ["cnt"], TxnSpec(), k=5, bucket_rows=8).where("synthetic").toPandas()
+    assert np.allclose(np.sort(syn[feats].to_numpy(), axis=0), np.sort(again[feats].to_numpy(), axis=0))

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.operators.clean import apply_standard, standard_params
+from txnlens.plans.ordered import prefix_rank
 from txnlens.plans.small import join_small
+from txnlens.plans.stage import write_table
 from txnlens.spec import TxnSpec
 
 
@@ -94,3 +96,76 @@ def class_weights(df: DataFrame, spec: TxnSpec = TxnSpec()) -> DataFrame:
         "n",
         (F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n"))).alias("weight"),
     )
+
+
+def smote(
+    df: DataFrame,
+    features: Sequence[str],
+    spec: TxnSpec = TxnSpec(),
+    k: int = 5,
+    seed: int = 42,
+    bucket_rows: int = 1024,
+    flag: str = "synthetic",
+) -> DataFrame:
+    """SMOTE: raise every smaller class to the majority count with interpolated rows.
+
+    Each synthetic row is ``x + u * (x_nn - x)`` where ``x`` is a row of the
+    class chosen uniformly, ``x_nn`` one of its k exact nearest neighbours
+    (:func:`txnlens.plans.neighbors.exact_knn`) chosen uniformly, and
+    ``u ~ U[0, 1)``. All three draws come from seeded hashes of the synthetic
+    row's id, so the output is reproducible and independent of partitioning.
+    Integer feature columns are cast back (truncated) after interpolation;
+    non-feature columns (e.g. the key) are NULL on synthetic rows, which carry
+    ``flag = true``.
+    """
+    from txnlens.plans.neighbors import exact_knn
+
+    lbl = spec.label
+    # per-class counts: a handful of rows, needed to size the generation
+    counts = {r[lbl]: r["n"] for r in df.groupBy(lbl).agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = df.withColumn(flag, F.lit(False))
+    if not counts:
+        return out
+    n_max = max(counts.values())
+    types = dict(df.dtypes)
+    feats = list(features)
+    for c, m in sorted(counts.items(), key=lambda kv: str(kv[0])):
+        need = n_max - m
+        if need <= 0 or m < 2:
+            continue
+        kk = min(k, m - 1)
+        # the class rows are written first, so the ranking and neighbour plans
+        # start from a Parquet leaf instead of inlining the caller's lineage
+        cls = write_table(df.where(F.col(lbl) == F.lit(c)), f"smote-input-{c}")
+        src = F.col(spec.key) if spec.key else F.to_json(F.struct(*[F.col(f"`{x}`") for x in cls.columns]))
+        ranked = prefix_rank(cls.withColumn("_h", F.xxhash64(src, F.lit(seed))), "_h", (), rank_col="_rn", total_col=None)
+        # dense 0-based id; the hash tie-break is irrelevant (equal hashes = equal rows)
+        # the class table is read ~4 times below: write it once (cuts the lineage)
+        mc = write_table(ranked.withColumn("_sid", F.col("_rn") - 1).drop("_rn", "_h"), f"smote-class-{c}")
+        knn = write_table(exact_knn(mc, "_sid", feats, kk, seed, bucket_rows), f"smote-knn-{c}")
+        gen = mc.sparkSession.range(need).select(
+            F.col("id").alias("_gid"),
+            F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(m)).alias("_base"),
+            (F.pmod(F.xxhash64(F.col("id"), F.lit(seed + 1)), F.lit(kk)) + 1).cast("int").alias("_j"),
+            (F.pmod(F.xxhash64(F.col("id"), F.lit(seed + 2)), F.lit(1 << 52)).cast("double") / float(1 << 52)).alias("_u"),
+        )
+        g = gen.join(knn, (gen["_base"] == knn["_sid"]) & (gen["_j"] == knn["nn_rank"]), "inner").select(
+            "_gid", "_base", "_u", F.col("nn__sid").alias("_nb")
+        )
+        vec = F.array(*[F.col(f"`{f}`").cast("double") for f in feats])
+        base = mc.select(F.col("_sid").alias("_base"), vec.alias("_x"))
+        nbr = mc.select(F.col("_sid").alias("_nb"), vec.alias("_y"))
+        s = g.join(base, "_base").join(nbr, "_nb")
+        # interpolate all features as one array expression, then split into columns
+        s = s.select(F.zip_with("_x", "_y", lambda a, b: a + F.col("_u") * (b - a)).alias("_s"))
+        cols = []
+        for name in df.columns:
+            if name in feats:
+                i = feats.index(name)
+                cols.append(F.element_at("_s", i + 1).cast(types[name]).alias(name))
+            elif name == lbl:
+                cols.append(F.lit(c).cast(types[name]).alias(name))
+            else:
+                cols.append(F.lit(None).cast(types[name]).alias(name))
+        out = out.unionByName(s.select(*cols, F.lit(True).alias(flag)))
+    return out

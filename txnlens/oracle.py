@@ -456,6 +456,11 @@ ORDER BY md5(CAST(txn_id AS VARCHAR) || '#42'), txn_id LIMIT 5000""",
         r6("Amount", "fraud_score"),
     )
 
+    o["smote_summary"] = q(
+        split_ctes,
+        """SELECT "Class", count(*) AS before, max(count(*)) OVER () AS after FROM splitted WHERE split = 'train' GROUP BY "Class\"""",
+    )
+
     # ------------------------------------------------------------ streaming twins
     o["stream_hourly_rate"] = q(
         [],

@@ -42,3 +42,18 @@ def forget(key: str | None = None) -> None:
         for k in list(_PATHS):
             if key is None or k[1] == key:
                 del _PATHS[k]
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh folder under the shared checkpoint folder and read it back.
+
+    Used for intermediates that are referenced many times (the plan would
+    otherwise inline their whole lineage at every reference) or that must
+    survive executor loss without recomputation.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = checkpoint_subdir(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

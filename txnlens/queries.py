@@ -77,6 +77,11 @@ def view(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(S.analysis_view(cleaned(spark, sf), SPEC), f"view:{sf}")
 
 
+def wrangled(spark: SparkSession, sf: str) -> DataFrame:
+    """The wrangled feature table (a pipeline output), written once per session."""
+    return materialize(FE.wrangle(cleaned(spark, sf), SPEC), f"wrangled:{sf}")
+
+
 def numeric_cols(df: DataFrame) -> list[str]:
     return SPEC.numeric(df)
 
@@ -191,12 +196,12 @@ def q_amount_bands(spark, sf):
 @query("engineered_features")
 def q_engineered_features(spark, sf):
     """PR-7..16: the wrangled table (50 features + label + key)."""
-    return FE.wrangle(cleaned(spark, sf), SPEC)
+    return wrangled(spark, sf)
 
 
 # ---------------------------------------------------------------- modelling prep
 def _split(spark, sf):
-    return RS.stratified_split(FE.wrangle(cleaned(spark, sf), SPEC), SPEC, 0.2, 42)
+    return RS.stratified_split(wrangled(spark, sf), SPEC, 0.2, 42)
 
 
 @query("stratified_split")
@@ -454,3 +459,29 @@ def q_stream_score(spark, sf):
     from txnlens.streaming.jobs import score_batch
 
     return score_batch(spark, sf)
+
+
+# ---------------------------------------------------------------- oversampling
+def _smote_input(spark, sf):
+    df = _split(spark, sf)
+    df = RS.scale_by_split(df, FE.scale_columns(df, SPEC))
+    # the scaled training split is a pipeline output (written once per session)
+    train = materialize(df.where(F.col("split") == "train").drop("split"), f"train_scaled:{sf}")
+    feats = [c for c in train.columns if c not in (SPEC.key, SPEC.label)]
+    return train, feats
+
+
+@query("smote_balanced")
+def q_smote_balanced(spark, sf):
+    """RS-3: SMOTE-balanced training split (rows-only check: synthetic rows are seeded draws)."""
+    train, feats = _smote_input(spark, sf)
+    return RS.smote(train, feats, SPEC, k=5, seed=42)
+
+
+@query("smote_summary")
+def q_smote_summary(spark, sf):
+    """RS-3 / RS-5: per label, training rows before and after oversampling."""
+    train, feats = _smote_input(spark, sf)
+    before = train.groupBy(SPEC.label).agg(F.count(F.lit(1)).alias("before"))
+    after = RS.smote(train, feats, SPEC, k=5, seed=42).groupBy(SPEC.label).agg(F.count(F.lit(1)).alias("after"))
+    return before.join(after, SPEC.label)  # one row per label on both sides
