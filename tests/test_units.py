@@ -264,3 +264,25 @@ def test_exact_knn_and_smote(spark):
     assert ((syn[feats].to_numpy() >= lo - 1e-9) & (syn[feats].to_numpy() <= hi + 1e-9)).all()
     again = RS.smote(df, feats + ["cnt"], TxnSpec(), k=5, bucket_rows=8).where("synthetic").toPandas()
     assert np.allclose(np.sort(syn[feats].to_numpy(), axis=0), np.sort(again[feats].to_numpy(), axis=0))
+
+
+def test_previous_k_equals_lag_with_a_hot_entity(spark):
+    random.seed(9)
+    data = [(0, float(random.randint(0, 5000))) for _ in range(3000)]  # hot entity
+    data += [(e, float(random.randint(0, 5000))) for e in range(1, 40) for _ in range(random.randint(0, 6))]
+    df = spark.createDataFrame(data, "e int, t double")
+    got = O.previous_k(df, "t", ["e"], 2, n_buckets=16)
+    want = df.withColumn("_prev_k", F.lag("t", 2).over(Window.partitionBy("e").orderBy("t")))
+    assert sorted(rows(got, "e", "t", "_prev_k"), key=str) == sorted(rows(want, "e", "t", "_prev_k"), key=str)
+
+
+def test_velocity_flags_rule(spark):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    ev = [(1, t0), (1, t0 + dt.timedelta(minutes=1)), (1, t0 + dt.timedelta(minutes=2)),  # 3rd within 5 min
+          (1, t0 + dt.timedelta(minutes=30)), (2, t0), (2, t0 + dt.timedelta(minutes=4)),
+          (2, t0 + dt.timedelta(minutes=9))]
+    df = spark.createDataFrame(ev, "user_id long, ts timestamp")
+    got = TM.velocity_flags(df, "user_id", "ts", 2, 300).collect()
+    assert [(r["user_id"], r["ts"]) for r in got] == [(1, t0 + dt.timedelta(minutes=2))]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.functions.columns import clip
-from txnlens.plans.ordered import prefix_rank, previous_value, quantiles_wide
+from txnlens.plans.ordered import prefix_rank, previous_k, previous_value, quantiles_wide
 from txnlens.plans.small import with_params
 from txnlens.spec import TxnSpec
 
@@ -80,12 +80,10 @@ def velocity_flags(
     """Batch twin of the streaming velocity rule: events that are at least the
     (max_events+1)-th within ``within_seconds`` for the same entity.
 
-    ``lag(ts, max_events)`` inside the entity's own time order; the window is
-    partitioned by entity (a hot entity is one long, already-sorted run).
+    Exact ``lag(ts, max_events)`` in each entity's time order, computed
+    two-level (:func:`txnlens.plans.ordered.previous_k`) so that an entity with
+    a large share of all events is spread over many tasks.
     """
-    w = Window.partitionBy(entity).orderBy(ts)
-    t = F.col(ts).cast("timestamp").cast("double")
-    prev = F.lag(t, max_events).over(w)
-    return df.withColumn("_prev_k", prev).where(
-        F.col("_prev_k").isNotNull() & (t - F.col("_prev_k") < within_seconds)
-    ).drop("_prev_k")
+    x = df.withColumn("_t", F.col(ts).cast("timestamp").cast("double"))
+    x = previous_k(x, "_t", [entity], max_events, out="_prev_k")
+    return x.where(F.col("_prev_k").isNotNull() & (F.col("_t") - F.col("_prev_k") < within_seconds)).drop("_t", "_prev_k")

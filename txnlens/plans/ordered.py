@@ -292,3 +292,41 @@ def quantiles_wide(
     if by:
         return q.groupBy(*by).agg(*aggs)
     return q.agg(*aggs)
+
+
+def previous_k(
+    df: DataFrame,
+    order_col: str,
+    part_cols: Sequence[str],
+    k: int,
+    out: str = "_prev_k",
+    n_buckets: int = DEFAULT_BUCKETS,
+) -> DataFrame:
+    """``lag(order_col, k)`` over ``part_cols`` ordered by ``order_col``, two-level.
+
+    A hot partition (one entity with a third of all rows) is split over the
+    global value-range buckets, so no window group exceeds one bucket. Inside
+    a ``(part, bucket)`` group the in-bucket ``lag`` is exact for every row
+    after the first k. The first k rows of each group are fixed on a small
+    side table holding only the first k and last k rows of every group (at
+    most 2k x n_buckets rows per partition key): their k predecessors are
+    either earlier head rows of the same bucket or tail rows of earlier
+    buckets (a bucket with fewer than k rows is entirely head and tail).
+    """
+    b = "_bkt"
+    parts = list(part_cols)
+    x = with_value_buckets(df.where(F.col(order_col).isNotNull()), order_col, b, n_buckets)
+    wg = Window.partitionBy(*parts, b).orderBy(order_col)
+    x = (
+        x.withColumn("_ra", F.row_number().over(wg))
+        .withColumn("_nb", F.count(F.lit(1)).over(Window.partitionBy(*parts, b)))
+        .withColumn("_in", F.lag(order_col, k).over(wg))
+    )
+    edge = x.where((F.col("_ra") <= k) | (F.col("_ra") > F.col("_nb") - k)).select(*parts, b, "_ra", order_col)
+    we = Window.partitionBy(*parts).orderBy(b, "_ra")  # <= 2k rows per bucket of the entity
+    heads = edge.withColumn("_edge_prev", F.lag(order_col, k).over(we)).where(F.col("_ra") <= k).select(
+        *parts, b, "_ra", "_edge_prev"
+    )
+    x = x.join(heads, [*parts, b, "_ra"], "left")
+    x = x.withColumn(out, F.when(F.col("_ra") <= k, F.col("_edge_prev")).otherwise(F.col("_in")))
+    return x.drop(b, "_ra", "_nb", "_in", "_edge_prev")

@@ -450,7 +450,7 @@ def q_stream_hourly_rate(spark, sf):
 def q_stream_velocity(spark, sf):
     """ST-3 batch twin: events that are the 3rd+ within 5 minutes for the same user."""
     ev = stream_events(spark, sf)
-    return TM.velocity_flags(ev, "user_id", "ts", 2, 300).select("user_id", "ts")
+    return TM.velocity_flags(ev, "user_id", "ts", 2, 300).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("stream_score")
