@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from txnlens.plans.small import DEFAULT_MAX_ROWS, join_small, with_params
 
 DEFAULT_BUCKETS = 256
-DEFAULT_ACCURACY = 100_000
+DEFAULT_ACCURACY = 10_000
 _G = "_grp0"
 
 
