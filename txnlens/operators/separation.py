@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from txnlens.functions.columns import clip, nan_to_null, pearson
 from txnlens.plans.ordered import prefix_sums, quantiles_wide
 from txnlens.plans.small import join_small
+from txnlens.plans.stage import write_table
 from txnlens.spec import TxnSpec
 
 KDE_POINTS = 300
@@ -61,6 +62,10 @@ def feature_ks(df: DataFrame, cols: Sequence[str], spec: TxnSpec = TxnSpec()) ->
     counts = long.groupBy("column", "col_idx", "value").agg(
         F.count_if(F.col("_lbl") == 0).alias("n0"), F.count_if(F.col("_lbl") == 1).alias("n1")
     )
+    # the (feature, value) count table feeds four branches (splits, bucket totals,
+    # totals, ranked scan); column pruning makes their plans differ, so Spark
+    # would recompute the shuffle for each - write it once instead
+    counts = write_table(counts, "ks-counts")
     tot = counts.groupBy("column").agg(F.sum("n0").alias("tot0"), F.sum("n1").alias("tot1"))
     cum = prefix_sums(counts, "value", ["n0", "n1"], part_cols=["column"], max_groups=len(cols))
     cum = join_small(cum, tot, "column", "inner", bound=len(cols))  # one row per feature

@@ -64,7 +64,9 @@ def registry() -> dict[str, Query]:
 
 # ---------------------------------------------------------------- inputs
 def raw(spark: SparkSession, sf: str, variant: str = "base") -> DataFrame:
-    return transactions(spark, sf, variant)
+    """The raw transaction table (the reference's input file), derived from the
+    driver's events + embeddings and written once per session."""
+    return materialize(transactions(spark, sf, variant), f"raw:{variant}:{sf}")
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
