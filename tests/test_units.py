@@ -286,3 +286,19 @@ def test_velocity_flags_rule(spark):
     df = spark.createDataFrame(ev, "user_id long, ts timestamp")
     got = TM.velocity_flags(df, "user_id", "ts", 2, 300).collect()
     assert [(r["user_id"], r["ts"]) for r in got] == [(1, t0 + dt.timedelta(minutes=2))]
+
+
+def test_csv_round_trip_with_schema_and_nan(spark, tmp_path):
+    from txnlens.sources import io as IO
+
+    schema = IO.transaction_schema(n_features=2)
+    p = tmp_path / "raw.csv"
+    p.write_text("Time,V1,V2,Amount,Class\n0,1.5,NaN,10.0,0\n86400,,2.0,0,1\n")
+    df = IO.read_transactions(spark, str(p), "csv", schema)
+    assert df.dtypes == [("Time", "double"), ("V1", "double"), ("V2", "double"), ("Amount", "double"), ("Class", "int")]
+    got = df.collect()
+    assert got[0]["V2"] is None and got[1]["V1"] is None
+    out = tmp_path / "out"
+    IO.write_table(df, str(out), "parquet", partition_by=["Class"])
+    back = spark.read.parquet(str(out))
+    assert back.count() == 2 and sorted(back.columns) == sorted(df.columns)

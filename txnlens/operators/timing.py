@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from txnlens.functions.columns import clip
 from txnlens.plans.ordered import prefix_rank, previous_k, previous_value, quantiles_wide
 from txnlens.plans.small import with_params
+from txnlens.plans.stage import write_table
 from txnlens.spec import TxnSpec
 
 
@@ -41,8 +42,12 @@ def positive_gaps(
 
 
 def gap_quantiles(df: DataFrame, spec: TxnSpec = TxnSpec(), clip_upper: float | None = None) -> DataFrame:
-    """10th percentile, median and count of the positive-event gaps (exact)."""
-    g = positive_gaps(df, spec, clip_upper)
+    """10th percentile, median and count of the positive-event gaps (exact).
+
+    The gap table (positives only) is read by several quantile branches; it is
+    written once to the shared checkpoint folder instead of being re-derived.
+    """
+    g = write_table(positive_gaps(df, spec, clip_upper).select("gap_min"), "gaps")
     q = quantiles_wide(g, "gap_min", [0.1, 0.5], ["p10_min", "median_min"])
     n = g.agg(F.count(F.lit(1)).alias("n_gaps"))
     return with_params(n, q, "_q").select("n_gaps", F.col("_q.p10_min").alias("p10_min"), F.col("_q.median_min").alias("median_min"))

@@ -401,15 +401,32 @@ FROM means""",
     o["score_histogram"] = q([CLEAN, VIEW], _hist_sql("view", "fraud_score", 50), r6("bin_lo", "bin_hi", "density"))
     o["density_by_label"] = q([CLEAN], _kde_sql("cleaned", "least(Amount, 500.0)", "0.0", "500.0"), r6("x", "density", d=9))
     o["density_log_amount"] = q([CLEAN], _kde_sql("cleaned", "Amount_log", None, None), r6("x", "density", d=9))
+    o["density_feature"] = q(
+        [CLEAN], _kde_sql("cleaned", "least(greatest(V17, -10.0), 10.0)", "-10.0", "10.0"), r6("x", "density", d=9)
+    )
+    o["box_stats_feature"] = q(
+        [CLEAN,
+         'bx AS (SELECT "Class" AS lbl, least(greatest(V14, -10.0), 10.0) AS v FROM cleaned WHERE V14 IS NOT NULL)',
+         "bq AS (SELECT lbl, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM bx GROUP BY lbl)"],
+        BOX_BODY,
+        r6("q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi", "mean", "notch_lo", "notch_hi"),
+    )
+    o["gap_histogram"] = q(
+        [CLEAN, gaps, 'gx AS (SELECT 1 AS "Class", least(gap_min, 200.0) AS g FROM gaps WHERE gap_min IS NOT NULL)'],
+        _hist_sql("gx", "g", 60),
+        r6("bin_lo", "bin_hi", "density"),
+    )
+    o["volume_by_hour_parity"] = q(
+        vc,
+        """SELECT n."Hour", n.negatives, coalesce(p.positives, 0) AS positives
+FROM (SELECT "Hour", count(*) AS negatives FROM view WHERE "Class" = 0 GROUP BY "Hour") n
+LEFT JOIN (SELECT "Hour", count(*) AS positives FROM view WHERE "Class" = 1 GROUP BY "Hour") p USING ("Hour")""",
+    )
     o["box_stats"] = q(
         [CLEAN,
          'bx AS (SELECT "Class" AS lbl, least(Amount, 500.0) AS v FROM cleaned WHERE Amount IS NOT NULL)',
          "bq AS (SELECT lbl, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM bx GROUP BY lbl)"],
-        """SELECT bq.lbl AS "Class", count(*) AS n, q1, median, q3, q3 - q1 AS iqr,
-       min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)) AS whisker_lo, max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)) AS whisker_hi,
-       avg(v) AS mean, median - 1.57 * (q3 - q1) / sqrt(count(*)) AS notch_lo, median + 1.57 * (q3 - q1) / sqrt(count(*)) AS notch_hi,
-       count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS n_outliers
-FROM bx JOIN bq USING (lbl) GROUP BY bq.lbl, q1, median, q3""",
+        BOX_BODY,
         r6("q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi", "mean", "notch_lo", "notch_hi"),
     )
 
@@ -492,6 +509,11 @@ FROM base b JOIN events e ON e.event_id = b.txn_id GROUP BY 1, 2""",
 
 
 # ---------------------------------------------------------------- shared pieces
+BOX_BODY = """SELECT bq.lbl AS "Class", count(*) AS n, q1, median, q3, q3 - q1 AS iqr,
+       min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)) AS whisker_lo, max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)) AS whisker_hi,
+       avg(v) AS mean, median - 1.57 * (q3 - q1) / sqrt(count(*)) AS notch_lo, median + 1.57 * (q3 - q1) / sqrt(count(*)) AS notch_hi,
+       count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS n_outliers
+FROM bx JOIN bq USING (lbl) GROUP BY bq.lbl, q1, median, q3"""
 WRANGLED_DOUBLES = ["Time_scaled", "Amount_log", *V, "V_mean", "V_std", "V_min", "V_max", "V_range", "V14_x_V17", "V14_x_V12"]
 SCALE_COLS = [*V, "V_mean", "V_std", "V_min", "V_max", "V_range", "V_pos_ct", "V_neg_ct", "V14_x_V17", "V14_x_V12", "Amount_log", "Time_scaled"]
 

@@ -23,7 +23,7 @@ from txnlens.operators import resample as RS
 from txnlens.operators import scoring as S
 from txnlens.operators import separation as SP
 from txnlens.operators import timing as TM
-from txnlens.plans.stage import materialize
+from txnlens.plans.stage import materialize, write_table
 from txnlens.sources.fixture import stream_events, transactions
 from txnlens.spec import TxnSpec
 
@@ -250,6 +250,12 @@ def q_volume_by_hour(spark, sf):
     return R.volume_by_hour(view(spark, sf), SPEC)
 
 
+@query("volume_by_hour_parity")
+def q_volume_by_hour_parity(spark, sf):
+    """JN-1: hourly negatives left-joined with hourly positives (reference parity form)."""
+    return R.volume_by_hour(view(spark, sf), SPEC, parity=True)
+
+
 @query("hour_spine")
 def q_hour_spine(spark, sf):
     """JN-2 + PR-20 + WN-4."""
@@ -395,6 +401,25 @@ def q_density_log_amount(spark, sf):
     return SP.density_by_label(cleaned(spark, sf), "Amount_log", SPEC)
 
 
+@query("density_feature", digits=9)
+def q_density_feature(spark, sf):
+    """AG-28: KDE of a feature clipped to +-10 on the grid [-10, 10]."""
+    return SP.density_by_label(cleaned(spark, sf), "V17", SPEC, grid_lo=-10.0, grid_hi=10.0, clip_lo=-10.0, clip_hi=10.0)
+
+
+@query("box_stats_feature")
+def q_box_stats_feature(spark, sf):
+    """AG-29: box statistics of a feature clipped to +-10."""
+    return SP.box_stats(cleaned(spark, sf), "V14", SPEC, clip_lo=-10.0, clip_hi=10.0)
+
+
+@query("gap_histogram")
+def q_gap_histogram(spark, sf):
+    """AG-27 on WN-1: 60-bin histogram of positive gaps capped at 200 minutes."""
+    g = write_table(TM.positive_gaps(cleaned(spark, sf), SPEC, clip_upper=200.0), "gaps").withColumn(SPEC.label, F.lit(1))
+    return SP.histogram_by_label(g, "gap_min", 60, SPEC)
+
+
 @query("box_stats")
 def q_box_stats(spark, sf):
     """AG-29: box statistics of the amount clipped at 500."""
