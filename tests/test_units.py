@@ -302,3 +302,23 @@ def test_csv_round_trip_with_schema_and_nan(spark, tmp_path):
     IO.write_table(df, str(out), "parquet", partition_by=["Class"])
     back = spark.read.parquet(str(out))
     assert back.count() == 2 and sorted(back.columns) == sorted(df.columns)
+
+
+def test_hot_value_holding_a_third_of_rows(spark):
+    """A single value with a third of all rows: quantiles, ranks and running sums stay exact."""
+    random.seed(21)
+    vals = [0.0] * 3000 + [round(random.uniform(-50, 50), 2) for _ in range(6000)]
+    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(vals)], "Class int, v double")
+    q = O.exact_quantiles(df, "v", [0.1, 0.25, 0.5, 0.75, 0.9], by=["Class"], accuracy=200)
+    got = {(r["Class"], r["prob"]): r["quantile"] for r in q.collect()}
+    pdf = pd.DataFrame({"Class": [i % 2 for i in range(len(vals))], "v": vals})
+    for c, sub in pdf.groupby("Class"):
+        for p in (0.1, 0.25, 0.5, 0.75, 0.9):
+            assert got[(c, p)] == pytest.approx(float(np.percentile(sub["v"], p * 100)), abs=1e-12)
+    r = O.prefix_rank(df, "v", ["Class"], n_buckets=32)
+    assert r.groupBy("Class").agg(F.max("_rn").alias("m"), F.countDistinct("_rn").alias("d")).where("m != d").count() == 0
+    ks = SP.feature_ks(df.withColumnRenamed("v", "V1"), ["V1"]).first()
+    neg, pos = pdf[pdf.Class == 0]["v"].to_numpy(), pdf[pdf.Class == 1]["v"].to_numpy()
+    allv = np.unique(pdf["v"])
+    d = np.abs(np.searchsorted(np.sort(neg), allv, "right") / len(neg) - np.searchsorted(np.sort(pos), allv, "right") / len(pos)).max()
+    assert ks["ks"] == pytest.approx(d, rel=1e-12)
