@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from txnlens.functions.columns import clip, nans_to_nulls
 from txnlens.plans.ordered import quantiles_wide
 from txnlens.plans.small import with_params
+from txnlens.plans.stage import write_table
 from txnlens.spec import TxnSpec
 
 
@@ -94,7 +95,9 @@ def apply_standard(df: DataFrame, params: DataFrame, cols: Sequence[str], suffix
     return x.select(*out)
 
 
-def clean(df: DataFrame, spec: TxnSpec = TxnSpec(), k: float = 1.5, nan_to_null: bool = True) -> DataFrame:
+def clean(
+    df: DataFrame, spec: TxnSpec = TxnSpec(), k: float = 1.5, nan_to_null: bool = True, materialize_dedup: bool = True
+) -> DataFrame:
     """Raw table -> cleaned table.
 
     Adds ``is_zero_amount``, ``Amount_capped`` (clipped to [max(lower, 0), upper]),
@@ -103,7 +106,11 @@ def clean(df: DataFrame, spec: TxnSpec = TxnSpec(), k: float = 1.5, nan_to_null:
     """
     a, t = spec.amount, spec.time
     x = nans_to_nulls(df) if nan_to_null else df
-    x = dedupe(x)
+    # The de-duplicated table feeds the fences, the time statistics and the
+    # output. Column pruning makes those branches' plans differ, so Spark would
+    # run the all-column dedup shuffle once per branch; writing it once to the
+    # shared checkpoint folder runs it exactly once and cuts the lineage.
+    x = write_table(dedupe(x), "dedup") if materialize_dedup else dedupe(x)
     fences = iqr_fences(x, a, k)
     tstats = x.agg(F.avg(F.col(t).cast("double")).alias("t_mean"), F.stddev_pop(F.col(t).cast("double")).alias("t_sd"))
     x = with_params(x, fences.select("lower", "upper"), "_f")
