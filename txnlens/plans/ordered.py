@@ -14,7 +14,9 @@ engine uses two-level plans instead:
   them with a window over that small table, and finish with a window
   partitioned by ``(group, bucket)``.
 * :func:`exact_quantiles` brackets each target rank between two sketch
-  quantiles, then ranks only the distinct values inside the bracket. The
+  quantiles, then ranks only the distinct values inside the bracket (split
+  again into value sub-buckets so no window group grows with n). It runs its
+  passes eagerly and writes its small intermediates to the checkpoint folder. The
   sketch's rank-error bound guarantees the bracket holds the answer; groups
   where it would not are recomputed with the exact aggregate, so results are
   always exact (linear interpolation, as pandas / DuckDB ``quantile_cont``).
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.plans.small import DEFAULT_MAX_ROWS, join_small, with_params
+from txnlens.plans.stage import write_table
 
 DEFAULT_BUCKETS = 256
 DEFAULT_ACCURACY = 10_000
@@ -193,6 +196,7 @@ def exact_quantiles(
     accuracy: int = DEFAULT_ACCURACY,
     max_groups: int | None = None,
     margin: float | None = None,
+    sub_buckets: int = 1024,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, per group.
 
@@ -208,6 +212,8 @@ def exact_quantiles(
     hi_p = [max(min(p + margin, 1.0), 0.0) for p in probs]
     stats = x.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
+        F.min("_v").alias("_vmin"),
+        F.max("_v").alias("_vmax"),
         F.percentile_approx("_v", F.array(*[F.lit(p) for p in lo_p + hi_p]), accuracy).alias("_a"),
     )
     # one row per (group, prob): the bracket [lo, hi] and the ranks to find
@@ -219,7 +225,7 @@ def exact_quantiles(
             F.array(*[F.lit(hi_p[i] < 1.0) for i in range(k)]).alias("has_hi"),
         )
     ).alias("_q")
-    sl = stats.select(*keys, "_n", "_a", prow)
+    sl = stats.select(*keys, "_n", "_a", "_vmin", "_vmax", prow)
     pos = F.col("_q.p") * (F.col("_n") - 1).cast("double")
     sl = sl.select(
         *keys,
@@ -228,35 +234,75 @@ def exact_quantiles(
         "_n",
         F.when(F.col("_q.has_lo"), F.element_at("_a", F.col("_q.i") + 1)).alias("_lo"),
         F.when(F.col("_q.has_hi"), F.element_at("_a", F.col("_q.i") + 1 + k)).alias("_hi"),
+        "_vmin",
+        "_vmax",
         F.floor(pos).cast("long").alias("_rlo"),
         F.ceil(pos).cast("long").alias("_rhi"),
         (pos - F.floor(pos)).alias("_frac"),
     )
     # groups x probs rows; with no grouping the bound is len(probs)
     bound = k if not by else (None if max_groups is None else max_groups * k)
+    # The small intermediates below are each read by several branches; column
+    # pruning makes those branches' plans differ, so Spark would re-derive them
+    # (re-scanning x) per branch. They are written once to the shared
+    # checkpoint folder instead: the sketch table (groups x probs rows), the
+    # bracket table (about 8n/accuracy rows) and the per-target results.
+    sl = write_table(sl, "q-sketch")
     j = join_small(x, sl, keys, "inner", bound=bound)
     inside = F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))
-    kcol = F.when(F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo")), F.lit(None)).otherwise(F.col("_v"))
+    is_below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
     gkeys = [*keys, "_i", "prob", "_n", "_rlo", "_rhi", "_frac"]
-    g = j.where(inside).groupBy(*gkeys, kcol.alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys, "_i").orderBy(F.col("_k").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, 0
+    qk = [*keys, "_i"]
+    # The bracket still grows with n (about 8n/accuracy values), so it is split
+    # into value sub-buckets over [lo, hi] (the group's min/max for an open
+    # side). Rows below the bracket form sub-bucket -1. Sub-bucket counts are
+    # prefix-summed over at most sub_buckets+1 rows per (group, prob), and only
+    # the sub-bucket(s) holding the two target ranks are ranked by a window.
+    b_lo = F.coalesce(F.col("_lo"), F.col("_vmin"))
+    b_hi = F.coalesce(F.col("_hi"), F.col("_vmax"))
+    span = b_hi - b_lo
+    sb = (
+        F.when(is_below, F.lit(-1))
+        .when(span > 0, F.least(F.greatest(F.floor((F.col("_v") - b_lo) / span * sub_buckets), F.lit(0)), F.lit(sub_buckets - 1)))
+        .otherwise(F.lit(0))
+        .cast("int")
     )
-    g = g.withColumn("_cum", F.sum("_c").over(w))
-    r = g.groupBy(*gkeys).agg(
-        F.min(F.when(F.col("_k").isNotNull() & (F.col("_cum") > F.col("_rlo")), F.col("_k"))).alias("_vlo"),
-        F.min(F.when(F.col("_k").isNotNull() & (F.col("_cum") > F.col("_rhi")), F.col("_k"))).alias("_vhi"),
-        F.coalesce(F.max(F.when(F.col("_k").isNull(), F.col("_cum"))), F.lit(0)).alias("_below"),
-        F.max("_cum").alias("_upto"),
+    kcol = F.when(is_below, F.lit(None)).otherwise(F.col("_v"))
+    # distinct values inside each bracket (+ one NULL-key row counting all rows below it)
+    g = j.where(inside).groupBy(*gkeys, sb.alias("_sb"), kcol.alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
+    g = write_table(g, "q-bracket")
+    sbt = g.groupBy(*gkeys, "_sb").agg(F.sum("_c").alias("_sc"))
+    wq = Window.partitionBy(*qk)  # <= sub_buckets + 1 rows per (group, prob)
+    sbt = sbt.select(
+        "*",
+        F.coalesce(F.sum("_sc").over(wq.orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.coalesce(F.max(F.when(F.col("_sb") == -1, F.col("_sc"))).over(wq), F.lit(0)).alias("_below"),
+        F.sum("_sc").over(wq).alias("_upto"),
+    ).withColumn("_end", F.col("_off") + F.col("_sc"))
+    hit = lambda rk: (F.col("_sb") >= 0) & (F.col("_off") <= F.col(rk)) & (F.col(rk) < F.col("_end"))
+    need = sbt.where(hit("_rlo") | hit("_rhi")).select(*gkeys, "_sb", "_off", "_below", "_upto")
+    bound_need = None if bound is None else 2 * bound
+    fin = join_small(g.where(F.col("_sb") >= 0).drop("_n", "prob", "_rlo", "_rhi", "_frac"), need, [*qk, "_sb"], "inner", bound=bound_need)
+    w = Window.partitionBy(*qk, "_sb").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    fin = fin.withColumn("_cum", F.col("_off") + F.sum("_c").over(w))
+    r = fin.groupBy(*gkeys, "_below", "_upto").agg(
+        F.min(F.when(F.col("_cum") > F.col("_rlo"), F.col("_k"))).alias("_vlo"),
+        F.min(F.when(F.col("_cum") > F.col("_rhi"), F.col("_k"))).alias("_vhi"),
     )
-    valid = (F.col("_below") <= F.col("_rlo")) & (F.col("_upto") > F.col("_rhi"))
-    r = r.withColumn("_ok", valid)
+    valid = (F.col("_below") <= F.col("_rlo")) & (F.col("_upto") > F.col("_rhi")) & F.col("_vlo").isNotNull() & F.col("_vhi").isNotNull()
+    r = write_table(r.withColumn("_ok", valid), "q-result")
+    # (group, prob) pairs whose target ranks fall outside the bracket have no row in r
+    missing = sl.select(*qk).join(r.select(*qk), qk, "left_anti")
     interp = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")
-    good = r.where("_ok").select(*keys, "prob", interp.alias("quantile"), "_n")
-
-    # Safety net: a group whose bracket missed the target is recomputed exactly
-    # with Spark's own aggregate. Normally this set is empty and AQE prunes it.
-    bad_keys = r.where(~F.col("_ok")).select(*keys).distinct()
+    # Safety net: a group where any bracket missed its target is recomputed
+    # exactly (all probabilities) with Spark's own aggregate and dropped from the
+    # fast path. Normally this set is empty and AQE prunes the branch.
+    bad_keys = r.where(~F.col("_ok")).select(*keys).unionByName(missing.select(*keys)).distinct()
+    good = (
+        r.where("_ok")
+        .join(bad_keys, keys, "left_anti")
+        .select(*keys, "prob", interp.alias("quantile"), "_n")
+    )
     redo = (
         x.join(bad_keys, keys, "left_semi")
         .groupBy(*keys)
