@@ -203,7 +203,8 @@ def q_engineered_features(spark, sf):
 
 # ---------------------------------------------------------------- modelling prep
 def _split(spark, sf):
-    return RS.stratified_split(wrangled(spark, sf), SPEC, 0.2, 42)
+    """The wrangled table with its train/test assignment (a pipeline output, written once)."""
+    return materialize(RS.stratified_split(wrangled(spark, sf), SPEC, 0.2, 42), f"split:{sf}")
 
 
 @query("stratified_split")
@@ -485,7 +486,7 @@ def q_stream_score(spark, sf):
     """ST-1 batch twin: score transactions with normalisers frozen from the cleaned table."""
     from txnlens.streaming.jobs import score_batch
 
-    return score_batch(spark, sf)
+    return score_batch(spark, sf, cleaned(spark, sf))
 
 
 # ---------------------------------------------------------------- oversampling

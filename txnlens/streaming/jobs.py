@@ -34,15 +34,17 @@ EVENT_COLS = "event_id long, ts timestamp_ntz, user_id long, event_type string,
 
 
 # ------------------------------------------------------------------ fitted state
-def frozen_params(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+def frozen_params(spark: SparkSession, sf_dir: str, cleaned: DataFrame | None = None) -> dict[str, float]:
     """Capping fences and score normalisers fitted on the cleaned batch table.
 
-    One aggregate row, collected once: the only driver round trip, bounded.
+    One aggregate row each, collected once: the only driver round trip, bounded.
+    ``cleaned`` may be passed when the cleaned table is already materialised.
     """
     from txnlens.sources.fixture import transactions
 
-    cl = C.clean(transactions(spark, sf_dir), SPEC)
-    f = C.iqr_fences(C.dedupe(transactions(spark, sf_dir)), SPEC.amount).select("lower", "upper")
+    cl = cleaned if cleaned is not None else C.clean(transactions(spark, sf_dir), SPEC)
+    # the capped amount was clipped at the fences fitted on the de-duplicated table
+    f = C.iqr_fences(cl, SPEC.amount).select("lower", "upper")
     p = S.score_params(cl).first().asDict()
     p.update(f.first().asDict())
     return p
@@ -70,10 +72,10 @@ def score_transform(df: DataFrame, p: dict[str, float], threshold: float = 0.60)
     )
 
 
-def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def score_batch(spark: SparkSession, sf_dir: str, cleaned: DataFrame | None = None) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
     txn = build_transactions(ev, embeddings_dim(spark, sf_dir))
-    return score_transform(txn, frozen_params(spark, sf_dir))
+    return score_transform(txn, frozen_params(spark, sf_dir, cleaned))
 
 
 def score_stream(spark: SparkSession, sf_dir: str, events_path: str, p: dict[str, float] | None = None) -> DataFrame:
