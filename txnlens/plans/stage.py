@@ -14,24 +14,35 @@ from __future__ import annotations
 import hashlib
 import threading
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 from txnlens.session import checkpoint_subdir
 
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()  # stages may build on other stages
 _PATHS: dict[tuple[str, str], str] = {}
 
 
-def materialize(df: DataFrame, key: str) -> DataFrame:
-    """Write ``df`` once per (application, key) and return the Parquet-backed frame."""
-    spark = df.sparkSession
+def materialize(df: DataFrame | Callable[[], DataFrame], key: str, spark: SparkSession | None = None) -> DataFrame:
+    """Write a stage once per (application, key) and return the Parquet-backed frame.
+
+    ``df`` may be a builder (``lambda: ...``) so that the stage's plan - which
+    can itself run jobs, e.g. cleaning - is only built on the first use.
+    """
+    if callable(df):
+        if spark is None:
+            raise ValueError("pass spark when the stage is given as a builder")
+    else:
+        spark = df.sparkSession
     app = spark.sparkContext.applicationId
     with _LOCK:
         path = _PATHS.get((app, key))
         if path is None:
+            frame = df() if callable(df) else df
             digest = hashlib.sha1(key.encode()).hexdigest()[:16]
             path = checkpoint_subdir(spark, f"stages/{digest}")
-            df.write.mode("overwrite").parquet(path)
+            frame.write.mode("overwrite").parquet(path)
             _PATHS[(app, key)] = path
     return spark.read.parquet(path)
 

@@ -66,22 +66,22 @@ def registry() -> dict[str, Query]:
 def raw(spark: SparkSession, sf: str, variant: str = "base") -> DataFrame:
     """The raw transaction table (the reference's input file), derived from the
     driver's events + embeddings and written once per session."""
-    return materialize(transactions(spark, sf, variant), f"raw:{variant}:{sf}")
+    return materialize(lambda: transactions(spark, sf, variant), f"raw:{variant}:{sf}", spark)
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     """The cleaned table, written once per session (stage boundary, see plans.stage)."""
-    return materialize(C.clean(raw(spark, sf), SPEC), f"cleaned:{sf}")
+    return materialize(lambda: C.clean(raw(spark, sf), SPEC), f"cleaned:{sf}", spark)
 
 
 def view(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned table + hour/day/band columns and the rule score, written once per session."""
-    return materialize(S.analysis_view(cleaned(spark, sf), SPEC), f"view:{sf}")
+    return materialize(lambda: S.analysis_view(cleaned(spark, sf), SPEC), f"view:{sf}", spark)
 
 
 def wrangled(spark: SparkSession, sf: str) -> DataFrame:
     """The wrangled feature table (a pipeline output), written once per session."""
-    return materialize(FE.wrangle(cleaned(spark, sf), SPEC), f"wrangled:{sf}")
+    return materialize(lambda: FE.wrangle(cleaned(spark, sf), SPEC), f"wrangled:{sf}", spark)
 
 
 def numeric_cols(df: DataFrame) -> list[str]:
@@ -204,7 +204,7 @@ def q_engineered_features(spark, sf):
 # ---------------------------------------------------------------- modelling prep
 def _split(spark, sf):
     """The wrangled table with its train/test assignment (a pipeline output, written once)."""
-    return materialize(RS.stratified_split(wrangled(spark, sf), SPEC, 0.2, 42), f"split:{sf}")
+    return materialize(lambda: RS.stratified_split(wrangled(spark, sf), SPEC, 0.2, 42), f"split:{sf}", spark)
 
 
 @query("stratified_split")
@@ -491,10 +491,13 @@ def q_stream_score(spark, sf):
 
 # ---------------------------------------------------------------- oversampling
 def _smote_input(spark, sf):
-    df = _split(spark, sf)
-    df = RS.scale_by_split(df, FE.scale_columns(df, SPEC))
+    def build():
+        df = _split(spark, sf)
+        df = RS.scale_by_split(df, FE.scale_columns(df, SPEC))
+        return df.where(F.col("split") == "train").drop("split")
+
     # the scaled training split is a pipeline output (written once per session)
-    train = materialize(df.where(F.col("split") == "train").drop("split"), f"train_scaled:{sf}")
+    train = materialize(build, f"train_scaled:{sf}", spark)
     feats = [c for c in train.columns if c not in (SPEC.key, SPEC.label)]
     return train, feats
 
