@@ -322,3 +322,35 @@ def test_hot_value_holding_a_third_of_rows(spark):
     allv = np.unique(pdf["v"])
     d = np.abs(np.searchsorted(np.sort(neg), allv, "right") / len(neg) - np.searchsorted(np.sort(pos), allv, "right") / len(pos)).max()
     assert ks["ks"] == pytest.approx(d, rel=1e-12)
+
+
+def test_one_label_input_and_missing_pivot_label(spark):
+    df = spark.createDataFrame([(0, 5.0, 3, "Day 1"), (0, 0.0, 4, "Day 2"), (0, 7.0, 9, "Day 1")], "Class int, Amount double, Hour int, Day_label string")
+    dist = P.label_distribution(df).collect()
+    assert [(r["Class"], r["count"], r["percent"]) for r in dist] == [(0, 3, 100.0)]
+    assert P.imbalance_ratio(df).first()["ratio"] is None
+    ct = {r["Day_label"]: (r["negatives"], r["positives"], r["rate_pct"]) for r in R.day_crosstab(df).collect()}
+    assert ct == {"Day 1": (2, 0, 0.0), "Day 2": (1, 0, 0.0)}
+    ex = R.exposure_summary(df).first()
+    assert ex["pos_total"] == 0.0 and ex["pos_mean"] is None and ex["pos_count"] == 0
+    sc = {r["metric"]: r["value"] for r in R.scorecard(df).collect()}
+    assert sc["positives"] == 0.0 and sc["imbalance_ratio"] is None and sc["total_exposure"] == 0.0
+
+
+def test_threshold_metrics_without_positives_or_scores(spark):
+    df = spark.createDataFrame([(0, 1.0, None), (0, 2.0, 0.9)], "Class int, Amount double, fraud_score double")
+    m = S.threshold_metrics(df, 0.6).first()
+    assert (m["flagged"], m["true_pos"], m["recall_pct"], m["precision_pct"]) == (1, 0, 0.0, 0.0)
+    assert m["exposure_caught"] == 0.0 and m["exposure_missed"] == 0.0
+
+
+def test_single_row_and_empty_frames(spark):
+    one = spark.createDataFrame([(1, 3.5)], "Class int, v double")
+    q = O.exact_quantiles(one, "v", [0.0, 0.5, 1.0]).collect()
+    assert sorted(r["quantile"] for r in q) == [3.5, 3.5, 3.5]
+    empty = spark.createDataFrame([], "Class int, v double")
+    assert O.exact_quantiles(empty, "v", [0.5]).count() == 0
+    assert SP.histogram_by_label(empty, "v", 10).count() == 0
+    assert SP.density_by_label(one, "v").count() == 0
+    m = P.moments(one, ["v"]).first()
+    assert m["skewness"] is None and m["kurtosis"] is None

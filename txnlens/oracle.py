@@ -280,6 +280,20 @@ FROM splitted WHERE split = 'train' GROUP BY "Class\"""",
        positives * 100.0 / total > avg(positives * 100.0 / total) OVER () AS above_mean FROM b""",
         r6("rate_pct", "exposure"),
     )
+    rate_band_body = """SELECT Amount_band_ord, Amount_band, positives, total, positives * 100.0 / total AS rate_pct, exposure,
+       positives * 100.0 / total > avg(positives * 100.0 / total) OVER () AS above_mean FROM b"""
+    band_cte = """b AS (SELECT Amount_band_ord, Amount_band, count(*) FILTER (WHERE "Class" = 1) AS positives, count(*) AS total,
+                 coalesce(sum(CASE WHEN "Class" = 1 THEN Amount END), 0.0) AS exposure
+                 FROM view WHERE Amount_band_ord IS NOT NULL GROUP BY Amount_band_ord, Amount_band)"""
+    o["rate_by_band_rare"] = q(vc + [band_cte], rate_band_body, r6("rate_pct", "exposure"), variant="rare")
+    o["exposure_by_band_rare"] = q(
+        vc,
+        """SELECT Amount_band_ord, Amount_band, sum(Amount) AS exposure, count(*) AS cases, avg(Amount) AS avg_amount
+FROM view WHERE "Class" = 1 AND Amount_band_ord IS NOT NULL GROUP BY Amount_band_ord, Amount_band""",
+        r6("exposure", "avg_amount"),
+        variant="rare",
+    )
+    o["scorecard_rare"] = q(vc + _scorecard_ctes("view", "view"), SCORECARD_BODY, r6("value"), variant="rare")
     o["exposure_by_band"] = q(
         vc,
         """SELECT Amount_band_ord, Amount_band, sum(Amount) AS exposure, count(*) AS cases, avg(Amount) AS avg_amount

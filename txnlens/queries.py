@@ -79,6 +79,13 @@ def view(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(lambda: S.analysis_view(cleaned(spark, sf), SPEC), f"view:{sf}", spark)
 
 
+def view_rare(spark: SparkSession, sf: str) -> DataFrame:
+    """Analysis view of the rare-positive variant (positives further thinned)."""
+    return materialize(
+        lambda: S.analysis_view(C.clean(raw(spark, sf, "rare"), SPEC), SPEC), f"view:rare:{sf}", spark
+    )
+
+
 def wrangled(spark: SparkSession, sf: str) -> DataFrame:
     """The wrangled feature table (a pipeline output), written once per session."""
     return materialize(lambda: FE.wrangle(cleaned(spark, sf), SPEC), f"wrangled:{sf}", spark)
@@ -269,6 +276,24 @@ def q_rate_by_band(spark, sf):
     return R.rate_by_band(view(spark, sf), SPEC)
 
 
+@query("rate_by_band_rare")
+def q_rate_by_band_rare(spark, sf):
+    """AG-15/16 on the rare variant: bands without positives keep rate 0 and exposure 0."""
+    return R.rate_by_band(view_rare(spark, sf), SPEC)
+
+
+@query("exposure_by_band_rare")
+def q_exposure_by_band_rare(spark, sf):
+    """AG-16 on the rare variant: bands without positives are absent (observed groups only)."""
+    return R.exposure_by_band(view_rare(spark, sf), SPEC)
+
+
+@query("scorecard_rare")
+def q_scorecard_rare(spark, sf):
+    """AG-21 on the rare variant."""
+    return R.scorecard(view_rare(spark, sf), SPEC)
+
+
 @query("exposure_by_band")
 def q_exposure_by_band(spark, sf):
     """AG-16."""
