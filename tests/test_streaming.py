@@ -104,3 +104,45 @@ def test_velocity_stream_on_crafted_bursts(spark):
     got = _run(J.velocity_stream(spark, flat), "velocity_burst", "append")
     want = [(1, t0 + dt.timedelta(minutes=2)), (1, t0 + dt.timedelta(minutes=3)), (3, t0 + dt.timedelta(minutes=5))]
     assert _rows(got, ["user_id", "ts"]) == sorted(want)
+
+
+def test_hourly_rate_stream_drops_rows_behind_the_watermark(spark):
+    """Arrivals 08:00-09:50, 10:00-11:50, 12:00, then a row at 08:05.
+
+    A row is late when its window end is at or before the watermark used for
+    late rows (the previous micro-batch's, 10:50 when the last file arrives).
+    The 08:00 window was emitted with 6 rows and the late row is dropped, not
+    emitted as a second 08:00 window.
+    """
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1, 8, 0)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    rows = [(i, t0 + dt.timedelta(minutes=10 * i), 1, "view", 1.0, "{}") for i in range(24)]
+    arrivals = (
+        rows[:12],
+        rows[12:],
+        [(999, t0 + dt.timedelta(hours=4), 1, "view", 1.0, "{}")],
+        [(1000, t0 + dt.timedelta(minutes=5), 1, "view", 1.0, "{}")],
+    )
+    d = tempfile.mkdtemp(prefix="txnlens-late-")
+    flat = tempfile.mkdtemp(prefix="txnlens-late-flat-")
+    for i, part in enumerate(arrivals):
+        sub = os.path.join(d, str(i))
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(sub)
+        for f in os.listdir(sub):
+            if f.endswith(".parquet"):
+                target = os.path.join(flat, f"{i}.parquet")
+                os.link(os.path.join(sub, f), target)
+                os.utime(target, (1_700_000_000 + 100 * i, 1_700_000_000 + 100 * i))  # arrival order
+    reader = spark.readStream.schema(J.EVENT_COLS).option("maxFilesPerTrigger", 1).parquet(flat)
+    agg = J.hourly_rate_transform(reader, J.embeddings_dim(spark, SF_SMALL), streaming=True)
+    q = J.start_memory(agg, "late_rows", "append")
+    q.awaitTermination(300)
+    dropped = sum(p["stateOperators"][0].get("numRowsDroppedByWatermark", 0) for p in q.recentProgress if p["stateOperators"])
+    out = spark.sql("SELECT * FROM late_rows").collect()
+    got = {r["window_start"]: r["total"] for r in out}
+    assert dropped == 1
+    assert got[dt.datetime(2024, 1, 1, 8, 0)] == 6
+    assert sum(1 for r in out if r["window_start"] == dt.datetime(2024, 1, 1, 8, 0)) == 1
+    assert dt.datetime(2024, 1, 1, 11, 0) not in got  # still open at the end of the input
