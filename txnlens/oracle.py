@@ -101,7 +101,9 @@ def q(ctes: list[str], body: str, round_cols: dict[str, int] | None = None, vari
     """Assemble ``WITH fixture, ctes... body`` and round the listed double columns."""
     sql = "WITH " + ",\n".join([fixture(variant), *ctes]) + "\n" + body
     if round_cols:
-        rep = ", ".join(f'round("{c}", {d}) AS "{c}"' for c, d in round_cols.items())
+        rep = ", ".join(
+            f'CASE WHEN round("{c}", {d}) = 0 THEN 0.0::DOUBLE ELSE round("{c}", {d}) END AS "{c}"' for c, d in round_cols.items()
+        )
         sql = f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) _r"
     return sql
 

@@ -33,10 +33,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 
 
+def _rounded(c: str, digits: int):
+    r = F.round(F.col(f"`{c}`"), digits)
+    # a tiny negative value may round to -0.0 in one engine and 0.0 in another
+    return F.when(r == 0, F.lit(0.0)).otherwise(r)
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(
         *[
-            F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
+            _rounded(f.name, digits).alias(f.name)
             if isinstance(f.dataType, (DoubleType, FloatType))
             else F.col(f"`{f.name}`")
             for f in df.schema.fields
