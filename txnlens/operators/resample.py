@@ -98,6 +98,9 @@ def class_weights(df: DataFrame, spec: TxnSpec = TxnSpec()) -> DataFrame:
     )
 
 
+MAX_BUCKETS = 100_000
+
+
 def smote(
     df: DataFrame,
     features: Sequence[str],
@@ -142,7 +145,10 @@ def smote(
         # dense 0-based id; the hash tie-break is irrelevant (equal hashes = equal rows)
         # the class table is read ~4 times below: write it once (cuts the lineage)
         mc = write_table(ranked.withColumn("_sid", F.col("_rn") - 1).drop("_rn", "_h"), f"smote-class-{c}")
-        knn = write_table(exact_knn(mc, "_sid", feats, kk, seed, bucket_rows), f"smote-knn-{c}")
+        # rank buckets grow with the class so the broadcast array of bucket
+        # minima stays at most MAX_BUCKETS entries whatever the class size
+        rows_per_bucket = max(bucket_rows, -(-m // MAX_BUCKETS))
+        knn = write_table(exact_knn(mc, "_sid", feats, kk, seed, rows_per_bucket), f"smote-knn-{c}")
         gen = mc.sparkSession.range(need).select(
             F.col("id").alias("_gid"),
             F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(m)).alias("_base"),

@@ -58,7 +58,8 @@ def exact_knn(
     """``(id, nn_rank, nn_id, dist)`` for the k nearest other rows of each row.
 
     ``id_col`` must be unique. Features are cast to double; NULL features are
-    treated as 0.
+    treated as 0. The broadcast array of bucket minima has m / bucket_rows
+    entries; callers size ``bucket_rows`` from the row count to bound it.
     """
     u = F.array(*[F.lit(w) for w in _direction(len(cols), seed)])
     vec = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in cols])
