@@ -34,9 +34,11 @@ _REGISTRY: dict[str, Query] = {}
 
 
 def _rounded(c: str, digits: int):
-    r = F.round(F.col(f"`{c}`"), digits)
-    # a tiny negative value may round to -0.0 in one engine and 0.0 in another
-    return F.when(r == 0, F.lit(0.0)).otherwise(r)
+    # A tiny negative value may round to -0.0 in one engine and 0.0 in another;
+    # adding +0.0 turns -0.0 into 0.0 (IEEE) and references the column once, so
+    # the projection still collapses into the operator's own (a top-n keeps its
+    # TakeOrderedAndProject plan instead of becoming a global sort).
+    return F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
