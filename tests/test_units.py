@@ -67,6 +67,7 @@ def test_pearson_constant_column_is_null_not_error(spark):
 
 @pytest.mark.parametrize("margin", [None, -0.3])
 def test_exact_quantiles_equal_numpy(spark, margin):
+    """Bracket path forced (exact_group_limit=0); margin -0.3 forces the fallback."""
     random.seed(7)
     data = []
     for g, n in (("a", 1), ("b", 2), ("c", 501), ("d", 2000)):
@@ -74,7 +75,7 @@ def test_exact_quantiles_equal_numpy(spark, margin):
             data.append((g, float(random.choice([1, 2, 2, 3, 7, 7, 7, 100])) if g == "c" else random.gauss(0, 1)))
     df = spark.createDataFrame(data + [("d", None)], "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
-    q = O.exact_quantiles(df, "v", probs, by=["g"], margin=margin)
+    q = O.exact_quantiles(df, "v", probs, by=["g"], margin=margin, exact_group_limit=0)
     got = {(r["g"], r["prob"]): r["quantile"] for r in q.collect()}
     pdf = pd.DataFrame(data, columns=["g", "v"])
     for g, sub in pdf.groupby("g"):
@@ -309,7 +310,7 @@ def test_hot_value_holding_a_third_of_rows(spark):
     random.seed(21)
     vals = [0.0] * 3000 + [round(random.uniform(-50, 50), 2) for _ in range(6000)]
     df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(vals)], "Class int, v double")
-    q = O.exact_quantiles(df, "v", [0.1, 0.25, 0.5, 0.75, 0.9], by=["Class"], accuracy=200)
+    q = O.exact_quantiles(df, "v", [0.1, 0.25, 0.5, 0.75, 0.9], by=["Class"], accuracy=200, exact_group_limit=0)
     got = {(r["Class"], r["prob"]): r["quantile"] for r in q.collect()}
     pdf = pd.DataFrame({"Class": [i % 2 for i in range(len(vals))], "v": vals})
     for c, sub in pdf.groupby("Class"):
@@ -354,3 +355,13 @@ def test_single_row_and_empty_frames(spark):
     assert SP.density_by_label(one, "v").count() == 0
     m = P.moments(one, ["v"]).first()
     assert m["skewness"] is None and m["kurtosis"] is None
+
+
+def test_exact_quantiles_small_group_path_equals_bracket_path(spark):
+    random.seed(17)
+    data = [(i % 3, round(random.gauss(0, 5), 3)) for i in range(3000)]
+    df = spark.createDataFrame(data, "g int, v double")
+    probs = [0.05, 0.25, 0.5, 0.9]
+    a = {(r["g"], r["prob"]): r["quantile"] for r in O.exact_quantiles(df, "v", probs, ["g"]).collect()}
+    b = {(r["g"], r["prob"]): r["quantile"] for r in O.exact_quantiles(df, "v", probs, ["g"], exact_group_limit=0).collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)

@@ -197,6 +197,7 @@ def exact_quantiles(
     max_groups: int | None = None,
     margin: float | None = None,
     sub_buckets: int = 1024,
+    exact_group_limit: int = 1_000_000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, per group.
 
@@ -210,6 +211,31 @@ def exact_quantiles(
     margin = 4.0 / accuracy if margin is None else margin  # rank margin of the bracket
     lo_p = [min(max(p - margin, 0.0), 1.0) for p in probs]
     hi_p = [max(min(p + margin, 1.0), 0.0) for p in probs]
+
+    def exact_agg(src: DataFrame) -> DataFrame:
+        return (
+            src.groupBy(*keys)
+            .agg(
+                F.count(F.lit(1)).alias("_n"),
+                F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_qs"),
+            )
+            .select(
+                *keys,
+                "_n",
+                F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("_qs").alias("q"))).alias("_z"),
+            )
+            .select(*keys, F.col("_z.p").alias("prob"), F.col("_z.q").alias("quantile"), "_n")
+        )
+
+    # Size check (one scalar: the largest group's row count): when every group
+    # has at most exact_group_limit values, Spark's exact aggregate holds a
+    # bounded value map per group and is the cheaper plan; larger groups take
+    # the sketch-bracket path below, whose tasks stay bounded at any size.
+    largest = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
+    if largest is None or largest <= exact_group_limit:
+        out = exact_agg(x).withColumnRenamed("_n", "n")
+        return out.drop(_G) if not by else out
+
     stats = x.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("_v").alias("_vmin"),
@@ -248,6 +274,7 @@ def exact_quantiles(
     # checkpoint folder instead: the sketch table (groups x probs rows), the
     # bracket table (about 8n/accuracy rows) and the per-target results.
     sl = write_table(sl, "q-sketch")
+
     j = join_small(x, sl, keys, "inner", bound=bound)
     inside = F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))
     is_below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
@@ -303,20 +330,7 @@ def exact_quantiles(
         .join(bad_keys, keys, "left_anti")
         .select(*keys, "prob", interp.alias("quantile"), "_n")
     )
-    redo = (
-        x.join(bad_keys, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_qs"),
-        )
-        .select(
-            *keys,
-            "_n",
-            F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("_qs").alias("q"))).alias("_z"),
-        )
-        .select(*keys, F.col("_z.p").alias("prob"), F.col("_z.q").alias("quantile"), "_n")
-    )
+    redo = exact_agg(x.join(bad_keys, keys, "left_semi"))
     out = good.unionByName(redo).withColumnRenamed("_n", "n")
     if not by:
         out = out.drop(_G)
@@ -331,9 +345,10 @@ def quantiles_wide(
     by: Sequence[str] = (),
     accuracy: int = DEFAULT_ACCURACY,
     max_groups: int | None = None,
+    exact_group_limit: int = 1_000_000,
 ) -> DataFrame:
     """:func:`exact_quantiles` pivoted to one column per probability (``names``)."""
-    q = exact_quantiles(df, value, probs, by, accuracy, max_groups)
+    q = exact_quantiles(df, value, probs, by, accuracy, max_groups, exact_group_limit=exact_group_limit)
     aggs = [F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(n) for p, n in zip(probs, names)]
     if by:
         return q.groupBy(*by).agg(*aggs)
