@@ -30,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlens.plans.small import DEFAULT_MAX_ROWS, join_small, with_params
+from txnlens.plans.small import join_small, with_params
 from txnlens.plans.stage import write_table
 
 DEFAULT_BUCKETS = 256
