@@ -19,6 +19,12 @@ SCORE_TERMS = (
     ("V10", 0.10, True),
 )
 SCORE_EPS = 1e-9
+# Fixed values that must equal the reference: default threshold, its grid step
+# and the listing sizes offered by the monitor.
+DEFAULT_THRESHOLD = 0.60
+THRESHOLD_STEPS = 100
+TOP_N_CHOICES = (25, 50, 100, 250, 500)
+SAMPLE_ROWS = 5000
 
 
 def _term_input(c: str, use_abs: bool) -> Column:

@@ -21,6 +21,7 @@ from txnlens.plans.small import join_small
 from txnlens.plans.stage import write_table
 from txnlens.spec import TxnSpec
 
+# Fixed values that must equal the reference: density grid size and bandwidth factor.
 KDE_POINTS = 300
 KDE_BW = 0.3
 # beyond 40 bandwidths exp(-x^2/2) underflows to exactly 0.0 in float64, so
