@@ -71,7 +71,7 @@ def analysis_view(df: DataFrame, spec: TxnSpec = TxnSpec(), bands: Bands = DISPL
     return add_score(x) if with_score else x
 
 
-def threshold_metrics(df: DataFrame, threshold: float = 0.60, score: str = "fraud_score", spec: TxnSpec = TxnSpec()) -> DataFrame:
+def threshold_metrics(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, score: str = "fraud_score", spec: TxnSpec = TxnSpec()) -> DataFrame:
     """Flagged, true/false positives, recall %, precision %, exposure caught / missed."""
     lbl, amt = F.col(spec.label), F.col(spec.amount).cast("double")
     flag = F.coalesce(F.col(score) >= F.lit(float(threshold)), F.lit(False))
@@ -97,7 +97,7 @@ def threshold_metrics(df: DataFrame, threshold: float = 0.60, score: str = "frau
     )
 
 
-def threshold_sweep(spark: SparkSession, df: DataFrame, steps: int = 100, score: str = "fraud_score", spec: TxnSpec = TxnSpec()) -> DataFrame:
+def threshold_sweep(spark: SparkSession, df: DataFrame, steps: int = THRESHOLD_STEPS, score: str = "fraud_score", spec: TxnSpec = TxnSpec()) -> DataFrame:
     """:func:`threshold_metrics` for every threshold k/steps, k = 0..steps, in one pass.
 
     Each row is put in the bucket of the highest grid threshold it reaches
@@ -153,8 +153,8 @@ def threshold_sweep(spark: SparkSession, df: DataFrame, steps: int = 100, score:
 
 def top_flagged(
     df: DataFrame,
-    threshold: float = 0.60,
-    n: int = 50,
+    threshold: float = DEFAULT_THRESHOLD,
+    n: int = TOP_N_CHOICES[1],
     mode: str = "flagged",
     score: str = "fraud_score",
     spec: TxnSpec = TxnSpec(),
@@ -181,7 +181,7 @@ def top_flagged(
     )
 
 
-def sample_rows(df: DataFrame, k: int = 5000, seed: int = 42, key: str = "txn_id") -> DataFrame:
+def sample_rows(df: DataFrame, k: int = SAMPLE_ROWS, seed: int = 42, key: str = "txn_id") -> DataFrame:
     """Exactly min(k, n) rows chosen by a seeded hash of the key (reproducible).
 
     Ordering by the hash and taking k is a distributed top-k; unlike
