@@ -141,6 +141,16 @@ def day_crosstab(df: DataFrame, spec: TxnSpec = TxnSpec(), day: str = "Day_label
     )
 
 
+def range_exposure(df: DataFrame, lo: float, hi: float, spec: TxnSpec = TxnSpec()) -> DataFrame:
+    """Positives with lo <= amount <= hi (inclusive, unlike the right-closed bands): count and exposure."""
+    amt = F.col(spec.amount).cast("double")
+    sel = (_lbl(spec) == 1) & amt.between(float(lo), float(hi))
+    return df.agg(
+        F.count_if(sel).alias("positives"),
+        F.coalesce(F.sum(F.when(sel, amt)), F.lit(0.0)).alias("exposure"),
+    ).select(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), "positives", "exposure")
+
+
 def exposure_summary(df: DataFrame, spec: TxnSpec = TxnSpec()) -> DataFrame:
     """Total, mean and max amount of positives and of negatives (empty sums are 0)."""
     lbl, amt = _lbl(spec), F.col(spec.amount).cast("double")

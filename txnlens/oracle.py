@@ -302,6 +302,17 @@ FROM view WHERE "Class" = 1 AND Amount_band_ord IS NOT NULL GROUP BY Amount_band
 FROM view WHERE "Class" = 1 AND Amount_band_ord IS NOT NULL GROUP BY Amount_band_ord, Amount_band""",
         r6("exposure", "avg_amount"),
     )
+    o["peak_band"] = q(
+        vc + [band_cte],
+        "SELECT Amount_band_ord, positives * 100.0 / total AS rate_pct FROM b ORDER BY rate_pct DESC, Amount_band_ord LIMIT 1",
+        r6("rate_pct"),
+    )
+    o["range_exposure"] = q(
+        vc,
+        """SELECT 100.0::DOUBLE AS lo, 500.0::DOUBLE AS hi, count(*) FILTER (WHERE "Class" = 1 AND Amount BETWEEN 100.0 AND 500.0) AS positives,
+       coalesce(sum(Amount) FILTER (WHERE "Class" = 1 AND Amount BETWEEN 100.0 AND 500.0), 0.0) AS exposure FROM view""",
+        r6("lo", "hi", "exposure"),
+    )
     o["band_composition"] = q(
         vc,
         """SELECT Amount_band_ord, "Class", count(*) AS count, sum(Amount) AS amount_total,

@@ -308,6 +308,18 @@ def q_exposure_by_band(spark, sf):
     return R.exposure_by_band(view(spark, sf), SPEC)
 
 
+@query("peak_band")
+def q_peak_band(spark, sf):
+    """AG-14 on AG-15: the band with the highest positive rate (lowest band on ties)."""
+    return R.peak(R.rate_by_band(view(spark, sf), SPEC), "Amount_band_ord")
+
+
+@query("range_exposure")
+def q_range_exposure(spark, sf):
+    """FL-4: positives and exposure with 100 <= amount <= 500 (inclusive range)."""
+    return R.range_exposure(view(spark, sf), 100.0, 500.0, SPEC)
+
+
 @query("band_composition")
 def q_band_composition(spark, sf):
     """AG-17 with rollup totals."""
