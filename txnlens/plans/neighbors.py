@@ -9,12 +9,15 @@
 3. Stage 1: each row's k predecessors and k successors in projection order are
    real rows, so the k-th smallest distance among those 2k is an upper bound
    ``r`` on the row's true k-th neighbour distance.
-4. Stage 2 (exact): every true neighbour lies within ``+-r`` in projection. Each
-   row is joined only with the rank buckets that overlap ``[p - r, p + r]``
-   (bucket lookup by binary search over the bucket minima), candidates are
-   filtered by the projection bound and by ``dist <= r``, and the top k is
-   taken per (row, bucket) and then per row - every window group is bounded
-   by ``bucket_rows`` or by k x (#buckets in the band).
+4. Stage 2 (exact): every true neighbour lies within ``+-r`` in projection, so
+   each row bucket only meets the rank buckets overlapping its rows' bands
+   (bucket lookup by binary search over the bucket minima). Each (row bucket,
+   neighbour bucket) block is one ``applyInPandas`` group of at most
+   2 x ``bucket_rows`` rows: numpy computes the block's exact distances and
+   keeps each row's k nearest, so no pair rows are materialised in Spark (in
+   high dimension the bands cover most buckets and the work is all pairs of
+   the class; it stays in bounded, vectorised blocks). A final window per row
+   ranks at most k x (#blocks) candidates.
 
 There is no cap on candidates: rows whose band is wide simply meet more
 buckets, and the result is the exact k-NN (ties broken by distance, then id).
@@ -100,28 +103,69 @@ def exact_knn(
         F.transform(F.array_sort(F.collect_list(F.struct("_bk", "_mn"))), lambda s: s["_mn"]).alias("mins"),
         F.count(F.lit(1)).cast("int").alias("nb"),
     )
-    a2 = with_params(a_side.join(bound, "a_id"), mins, "_bm")
+    a2 = with_params(a_side.select("a_id", "a_p", "a_bk").join(bound, "a_id"), mins, "_bm")
     nb = F.col("_bm.nb")
     lo_v = F.col("a_p") - F.col("_rad")
     hi_v = F.col("a_p") + F.col("_rad")
     n_spl = 1 << 22  # search depth covers up to 4M buckets; shorter arrays stop early
     lo_b = F.greatest(_bucket_of(lo_v, F.col("_bm.mins"), nb, n_spl) - 1, F.lit(0))
     hi_b = F.greatest(_bucket_of(hi_v, F.col("_bm.mins"), nb, n_spl) - 1, F.lit(0))
-    band = a2.select("a_id", "a_p", "_rad", "a_v", F.explode(F.sequence(lo_b.cast("long"), hi_b.cast("long"))).alias("_tb"))
-    pairs = band.join(b_side, band["_tb"] == b_side["b_bk"], "inner").where(
-        (F.col("a_id") != F.col("b_id")) & (F.abs(F.col("a_p") - F.col("b_p")) <= F.col("_rad"))
+    # stage 2 (exact): the buckets each row bucket must meet - the union of its
+    # rows' bands - as (row bucket, neighbour bucket) block pairs
+    ranges = a2.groupBy("a_bk").agg(F.min(lo_b).cast("long").alias("_lo"), F.max(hi_b).cast("long").alias("_hi"))
+    blocks = ranges.select("a_bk", F.explode(F.sequence("_lo", "_hi")).alias("b_bk"))
+    rows_a = x.select(F.col("_bk").alias("a_bk"), F.col("_id"), F.col("_v")).join(blocks, "a_bk").select(
+        "a_bk", "b_bk", F.lit(True).alias("_is_a"), "_id", "_v"
     )
-    pairs = pairs.select("a_id", "_tb", "b_id", "_rad", _dist("a_v", "b_v").alias("_d")).where(F.col("_d") <= F.col("_rad"))
-    # top-k per (row, bucket), then per row
-    w1 = Window.partitionBy("a_id", "_tb").orderBy("_d", "b_id")
-    part = pairs.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k)
-    w2 = Window.partitionBy("a_id").orderBy("_d", "b_id")
-    top = part.withColumn("nn_rank", F.row_number().over(w2)).where(F.col("nn_rank") <= k)
+    rows_b = x.select(F.col("_bk").alias("b_bk"), F.col("_id"), F.col("_v")).join(blocks, "b_bk").select(
+        "a_bk", "b_bk", F.lit(False).alias("_is_a"), "_id", "_v"
+    )
+    # every group holds one row bucket and one neighbour bucket: <= 2 x bucket_rows rows
+    cands = rows_a.unionByName(rows_b).groupBy("a_bk", "b_bk").applyInPandas(_block_topk(k), _BLOCK_SCHEMA)
+    w = Window.partitionBy("a_id").orderBy("_d", "b_id")  # <= k x (#blocks of the row) candidates
+    top = cands.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
     return top.select(
         F.col("a_id").alias(id_col), "nn_rank", F.col("b_id").alias(f"nn_{id_col}"), F.col("_d").alias("dist")
     )
 
 
+_BLOCK_SCHEMA = "a_id long, b_id long, _d double"
+
+
+def _block_topk(k: int):
+    """Exact k nearest rows of one bucket among another bucket's rows (numpy).
+
+    Distances are computed in row chunks by broadcasting (no pair rows are
+    materialised in Spark); ties are ordered by distance, then neighbour id.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf[pdf["_is_a"]]
+        b = pdf[~pdf["_is_a"]]
+        if a.empty or b.empty:
+            return pd.DataFrame({"a_id": [], "b_id": [], "_d": []}).astype({"a_id": "int64", "b_id": "int64"})
+        av = np.stack(a["_v"].to_numpy()).astype("float64")
+        bv = np.stack(b["_v"].to_numpy()).astype("float64")
+        aid = a["_id"].to_numpy().astype("int64")
+        bid = b["_id"].to_numpy().astype("int64")
+        out_a, out_b, out_d = [], [], []
+        kk = min(k, len(bid))
+        for s in range(0, len(aid), 128):
+            d = np.sqrt(((av[s : s + 128, None, :] - bv[None, :, :]) ** 2).sum(-1))
+            d[aid[s : s + 128, None] == bid[None, :]] = np.inf  # never its own neighbour
+            for r in range(d.shape[0]):
+                order = np.lexsort((bid, d[r]))[:kk]
+                keep = order[np.isfinite(d[r][order])]
+                out_a.append(np.full(len(keep), aid[s + r]))
+                out_b.append(bid[keep])
+                out_d.append(d[r][keep])
+        return pd.DataFrame({"a_id": np.concatenate(out_a), "b_id": np.concatenate(out_b), "_d": np.concatenate(out_d)})
+
+    return fn
+
+
 def _bucket_of(v: Column, mins: Column, n: Column, max_splits: int) -> Column:
     """Number of bucket minima <= v (binary search; ``n`` = actual array length)."""
     depth = max(1, math.ceil(math.log2(max_splits + 1)))
