@@ -34,7 +34,22 @@ from txnlens.plans.small import join_small, with_params
 from txnlens.plans.stage import write_table
 
 DEFAULT_BUCKETS = 256
+MAX_BUCKETS = 100_000
+TARGET_BUCKET_ROWS = 2_000_000
 DEFAULT_ACCURACY = 10_000
+
+
+def auto_buckets(df: DataFrame, n_buckets: int | None) -> int:
+    """Bucket count for a two-level scan: as given, or sized from the row count.
+
+    ``None`` counts the rows once and aims at about TARGET_BUCKET_ROWS rows per
+    bucket (at least DEFAULT_BUCKETS, at most MAX_BUCKETS split points), so
+    per-bucket windows stay bounded as the input grows.
+    """
+    if n_buckets is not None:
+        return n_buckets
+    n = df.count()
+    return int(min(MAX_BUCKETS, max(DEFAULT_BUCKETS, -(-n // TARGET_BUCKET_ROWS))))
 _G = "_grp0"
 
 
@@ -94,7 +109,7 @@ def prefix_rank(
     part_cols: Sequence[str] = (),
     rank_col: str = "_rn",
     total_col: str | None = "_n",
-    n_buckets: int = DEFAULT_BUCKETS,
+    n_buckets: int | None = None,
 ) -> DataFrame:
     """``row_number()`` over ``part_cols`` ordered by ``order_col``, two-level.
 
@@ -102,7 +117,8 @@ def prefix_rank(
     Rows with a NULL ``order_col`` are dropped.
     """
     b = "_bkt"
-    x = with_value_buckets(df.where(F.col(order_col).isNotNull()), order_col, b, n_buckets)
+    src = df.where(F.col(order_col).isNotNull())
+    x = with_value_buckets(src, order_col, b, auto_buckets(src, n_buckets))
     parts = list(part_cols)
     counts = x.groupBy(*parts, b).agg(F.count(F.lit(1)).alias("_bc"))
     wp = Window.partitionBy(*parts).orderBy(b) if parts else Window.orderBy(b)
@@ -129,7 +145,7 @@ def prefix_sums(
     sum_cols: Sequence[str],
     part_cols: Sequence[str] = (),
     suffix: str = "_cum",
-    n_buckets: int = DEFAULT_BUCKETS,
+    n_buckets: int | None = None,
     max_groups: int | None = None,
 ) -> DataFrame:
     """Running sums of ``sum_cols`` ordered by ``order_col`` (rows-unbounded-preceding).
@@ -140,6 +156,7 @@ def prefix_sums(
     b = "_bkt"
     parts = list(part_cols)
     x = df.where(F.col(order_col).isNotNull())
+    n_buckets = auto_buckets(x, n_buckets)
     if parts:
         # per-group splits: one sketch per group, joined back (groups are bounded)
         probs = _split_probs(n_buckets)
@@ -169,7 +186,7 @@ def previous_value(
     order_col: str,
     part_cols: Sequence[str] = (),
     out: str = "_prev",
-    n_buckets: int = DEFAULT_BUCKETS,
+    n_buckets: int | None = None,
 ) -> DataFrame:
     """``lag(order_col)`` over ``part_cols`` ordered by ``order_col``, two-level.
 
@@ -178,7 +195,8 @@ def previous_value(
     """
     b = "_bkt"
     parts = list(part_cols)
-    x = with_value_buckets(df.where(F.col(order_col).isNotNull()), order_col, b, n_buckets)
+    src = df.where(F.col(order_col).isNotNull())
+    x = with_value_buckets(src, order_col, b, auto_buckets(src, n_buckets))
     last = x.groupBy(*parts, b).agg(F.max(order_col).alias("_bmax"))
     wp = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(b)
     carry = last.select(*parts, b, F.lag("_bmax").over(wp).alias("_carry"))
@@ -361,7 +379,7 @@ def previous_k(
     part_cols: Sequence[str],
     k: int,
     out: str = "_prev_k",
-    n_buckets: int = DEFAULT_BUCKETS,
+    n_buckets: int | None = None,
 ) -> DataFrame:
     """``lag(order_col, k)`` over ``part_cols`` ordered by ``order_col``, two-level.
 
@@ -376,7 +394,8 @@ def previous_k(
     """
     b = "_bkt"
     parts = list(part_cols)
-    x = with_value_buckets(df.where(F.col(order_col).isNotNull()), order_col, b, n_buckets)
+    src = df.where(F.col(order_col).isNotNull())
+    x = with_value_buckets(src, order_col, b, auto_buckets(src, n_buckets))
     wg = Window.partitionBy(*parts, b).orderBy(order_col)
     x = (
         x.withColumn("_ra", F.row_number().over(wg))
