@@ -103,6 +103,12 @@ def with_value_buckets(
     return x.withColumn(out, value_bucket(F.col(order_col).cast("double"), F.col("_spl.s"), len(probs))).drop("_spl")
 
 
+def _salted(df: DataFrame, salts: int) -> DataFrame:
+    """Add a row hash ``_h`` (all columns) and a salt ``_s`` in [0, salts)."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return df.withColumn("_h", h).withColumn("_s", F.pmod(F.col("_h"), F.lit(salts)))
+
+
 def prefix_rank(
     df: DataFrame,
     order_col: str,
@@ -110,33 +116,39 @@ def prefix_rank(
     rank_col: str = "_rn",
     total_col: str | None = "_n",
     n_buckets: int | None = None,
+    salts: int = 1024,
 ) -> DataFrame:
     """``row_number()`` over ``part_cols`` ordered by ``order_col``, two-level.
 
-    Ties get consecutive numbers in arbitrary order (like ``row_number``).
-    Rows with a NULL ``order_col`` are dropped.
+    Ties get consecutive numbers in arbitrary (hash) order, like ``row_number``.
+    Rows with a NULL ``order_col`` are dropped. Rows are first collapsed to
+    ``(group, value, salt)`` counts, so a value shared by a third of all rows
+    becomes at most ``salts`` records; the running offsets are computed over
+    that table with value-range buckets, and rows are numbered only inside
+    their ``(group, value, salt)`` group.
     """
-    b = "_bkt"
-    src = df.where(F.col(order_col).isNotNull())
-    x = with_value_buckets(src, order_col, b, auto_buckets(src, n_buckets))
     parts = list(part_cols)
-    counts = x.groupBy(*parts, b).agg(F.count(F.lit(1)).alias("_bc"))
-    wp = Window.partitionBy(*parts).orderBy(b) if parts else Window.orderBy(b)
-    # ``counts`` has at most |groups| x n_buckets rows: the window over it is small.
-    offs = counts.select(
+    x = _salted(df.where(F.col(order_col).isNotNull()), salts)
+    cv = x.groupBy(*parts, order_col, "_s").agg(F.count(F.lit(1)).alias("_c"))
+    b = "_bkt"
+    cvb = with_value_buckets(cv, order_col, b, auto_buckets(cv, n_buckets))
+    bt = cvb.groupBy(*parts, b).agg(F.sum("_c").alias("_bc"))
+    wp = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(b)
+    # ``bt`` has at most |groups| x n_buckets rows: the windows over it are small
+    offs = bt.select(
         *parts,
         b,
-        (F.sum("_bc").over(wp.rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
+        F.coalesce(F.sum("_bc").over(wp.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_boff"),
         F.sum("_bc").over(Window.partitionBy(*parts) if parts else Window.partitionBy()).alias("_tot"),
-    ).fillna(0, subset=["_off"])
-    x = join_small(x, offs, [*parts, b], "inner")  # groups x buckets rows
-    w = Window.partitionBy(*parts, b).orderBy(order_col)
-    x = x.withColumn(rank_col, F.col("_off") + F.row_number().over(w))
-    if total_col:
-        x = x.withColumnRenamed("_tot", total_col)
-    else:
-        x = x.drop("_tot")
-    return x.drop("_off", b)
+    )
+    cvb = join_small(cvb, offs, [*parts, b], "inner")
+    wv = Window.partitionBy(*parts, b).orderBy(order_col, "_s").rowsBetween(Window.unboundedPreceding, -1)
+    cvb = cvb.withColumn("_off", F.col("_boff") + F.coalesce(F.sum("_c").over(wv), F.lit(0)))
+    y = x.join(cvb.select(*parts, order_col, "_s", "_off", "_tot"), [*parts, order_col, "_s"], "inner")
+    wr = Window.partitionBy(*parts, order_col, "_s").orderBy("_h")  # rows of one (value, salt)
+    y = y.withColumn(rank_col, F.col("_off") + F.row_number().over(wr))
+    y = y.withColumnRenamed("_tot", total_col) if total_col else y.drop("_tot")
+    return y.drop("_off", "_h", "_s")
 
 
 def prefix_sums(
@@ -187,23 +199,37 @@ def previous_value(
     part_cols: Sequence[str] = (),
     out: str = "_prev",
     n_buckets: int | None = None,
+    salts: int = 1024,
 ) -> DataFrame:
     """``lag(order_col)`` over ``part_cols`` ordered by ``order_col``, two-level.
 
-    The first row of a bucket takes the maximum of the previous *non-empty*
-    bucket (empty buckets do not appear in the per-bucket table at all).
+    No window runs over rows. Rows are collapsed to ``(group, value, salt)``
+    records (count, lowest row hash); the previous record's value in
+    ``(value, salt)`` order comes from per-bucket windows over that table plus
+    the last value of the previous non-empty bucket. Back on the rows, the row
+    with the lowest hash of its record takes that previous value and every
+    other row takes its own value (its predecessor is a tie). Fully identical
+    rows share a hash and are numbered among themselves (a window over copies
+    of one row).
     """
-    b = "_bkt"
     parts = list(part_cols)
-    src = df.where(F.col(order_col).isNotNull())
-    x = with_value_buckets(src, order_col, b, auto_buckets(src, n_buckets))
-    last = x.groupBy(*parts, b).agg(F.max(order_col).alias("_bmax"))
+    x = _salted(df.where(F.col(order_col).isNotNull()), salts)
+    cv = x.groupBy(*parts, order_col, "_s").agg(F.min("_h").alias("_hmin"))
+    b = "_bkt"
+    cvb = with_value_buckets(cv, order_col, b, auto_buckets(cv, n_buckets))
+    last = cvb.groupBy(*parts, b).agg(F.max(order_col).alias("_bmax"))
     wp = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(b)
-    carry = last.select(*parts, b, F.lag("_bmax").over(wp).alias("_carry"))
-    x = join_small(x, carry, [*parts, b], "inner")  # groups x buckets rows
-    w = Window.partitionBy(*parts, b).orderBy(order_col)
-    x = x.withColumn(out, F.coalesce(F.lag(order_col).over(w), F.col("_carry")))
-    return x.drop("_carry", b)
+    carry = last.select(*parts, b, F.lag("_bmax").over(wp).alias("_carry"))  # small table
+    cvb = join_small(cvb, carry, [*parts, b], "inner")
+    wv = Window.partitionBy(*parts, b).orderBy(order_col, "_s")
+    cvb = cvb.withColumn("_pp", F.coalesce(F.lag(order_col).over(wv), F.col("_carry")))
+    y = x.join(cvb.select(*parts, order_col, "_s", "_hmin", "_pp"), [*parts, order_col, "_s"], "inner")
+    # fully identical rows share a hash: number them so exactly one is first
+    # (a window over identical copies only; distinct rows are singletons)
+    wd = Window.partitionBy(*parts, order_col, "_s", "_h").orderBy("_h")
+    first = (F.col("_h") == F.col("_hmin")) & (F.row_number().over(wd) == 1)
+    y = y.withColumn(out, F.when(first, F.col("_pp")).otherwise(F.col(order_col)))
+    return y.drop("_h", "_s", "_hmin", "_pp")
 
 
 def exact_quantiles(
