@@ -270,6 +270,7 @@ def test_exact_knn_and_smote(spark):
 def test_previous_k_equals_lag_with_a_hot_entity(spark):
     random.seed(9)
     data = [(0, float(random.randint(0, 5000))) for _ in range(3000)]  # hot entity
+    data += [(0, 77.0)] * 2000  # and a hot tie inside it
     data += [(e, float(random.randint(0, 5000))) for e in range(1, 40) for _ in range(random.randint(0, 6))]
     df = spark.createDataFrame(data, "e int, t double")
     got = O.previous_k(df, "t", ["e"], 2, n_buckets=16)

@@ -406,33 +406,57 @@ def previous_k(
     k: int,
     out: str = "_prev_k",
     n_buckets: int | None = None,
+    salts: int = 1024,
 ) -> DataFrame:
     """``lag(order_col, k)`` over ``part_cols`` ordered by ``order_col``, two-level.
 
-    A hot partition (one entity with a third of all rows) is split over the
-    global value-range buckets, so no window group exceeds one bucket. Inside
-    a ``(part, bucket)`` group the in-bucket ``lag`` is exact for every row
-    after the first k. The first k rows of each group are fixed on a small
-    side table holding only the first k and last k rows of every group (at
-    most 2k x n_buckets rows per partition key): their k predecessors are
-    either earlier head rows of the same bucket or tail rows of earlier
-    buckets (a bucket with fewer than k rows is entirely head and tail).
+    Rows are collapsed to ``(group, value, salt)`` records (a hot entity or a
+    hot tie becomes at most ``salts`` records per value). Over the record table,
+    ordered by ``(value, salt)`` inside value-range buckets, each record learns
+    its k predecessors' ``(value, count)``: in-bucket ``lag`` for all but the
+    first k records of a bucket, which are fixed on a small side table of each
+    bucket's first and last k records. From those, "the value j rows before the
+    record starts" (j = 1..k) follows from the counts. A row numbered i inside
+    its record has ``lag_k`` = its own value when i > k, else the value
+    (k - i + 1) rows before the record. Rows are numbered only inside one
+    ``(group, value, salt)`` record.
     """
-    b = "_bkt"
     parts = list(part_cols)
-    src = df.where(F.col(order_col).isNotNull())
-    x = with_value_buckets(src, order_col, b, auto_buckets(src, n_buckets))
-    wg = Window.partitionBy(*parts, b).orderBy(order_col)
-    x = (
-        x.withColumn("_ra", F.row_number().over(wg))
-        .withColumn("_nb", F.count(F.lit(1)).over(Window.partitionBy(*parts, b)))
-        .withColumn("_in", F.lag(order_col, k).over(wg))
+    b = "_bkt"
+    x = _salted(df.where(F.col(order_col).isNotNull()), salts)
+    rec = x.groupBy(*parts, order_col, "_s").agg(F.count(F.lit(1)).alias("_c"))
+    rec = with_value_buckets(rec, order_col, b, auto_buckets(rec, n_buckets))
+    vc = F.struct(F.col(order_col).alias("v"), F.col("_c").alias("c"))
+    wg = Window.partitionBy(*parts, b).orderBy(order_col, "_s")
+    rec = rec.withColumn("_ra", F.row_number().over(wg)).withColumn(
+        "_nb", F.count(F.lit(1)).over(Window.partitionBy(*parts, b))
     )
-    edge = x.where((F.col("_ra") <= k) | (F.col("_ra") > F.col("_nb") - k)).select(*parts, b, "_ra", order_col)
-    we = Window.partitionBy(*parts).orderBy(b, "_ra")  # <= 2k rows per bucket of the entity
-    heads = edge.withColumn("_edge_prev", F.lag(order_col, k).over(we)).where(F.col("_ra") <= k).select(
-        *parts, b, "_ra", "_edge_prev"
+    for d in range(1, k + 1):
+        rec = rec.withColumn(f"_l{d}", F.lag(vc, d).over(wg))
+    # first and last k records of every bucket: at most 2k rows per bucket
+    edge = rec.where((F.col("_ra") <= k) | (F.col("_ra") > F.col("_nb") - k)).select(*parts, b, "_ra", vc.alias("_vc"))
+    we = Window.partitionBy(*parts).orderBy(b, "_ra")
+    heads = edge
+    for d in range(1, k + 1):
+        heads = heads.withColumn(f"_e{d}", F.lag("_vc", d).over(we))
+    heads = heads.where(F.col("_ra") <= k).drop("_vc")
+    rec = rec.join(heads, [*parts, b, "_ra"], "left")
+    lags = [F.when(F.col("_ra") <= k, F.col(f"_e{d}")).otherwise(F.col(f"_l{d}")) for d in range(1, k + 1)]
+    # value j rows before the record starts: walk back over the k previous records
+    before = []
+    for j in range(1, k + 1):
+        expr = None
+        cum = F.lit(0)
+        for d in range(k):
+            cum = cum + F.coalesce(lags[d]["c"], F.lit(0))
+            cond = lags[d].isNotNull() & (cum >= j)
+            expr = F.when(cond, lags[d]["v"]) if expr is None else expr.when(cond, lags[d]["v"])
+        before.append(expr)
+    rec = rec.select(*parts, order_col, "_s", F.array(*before).alias("_before"))
+    y = x.join(rec, [*parts, order_col, "_s"], "inner")
+    wi = Window.partitionBy(*parts, order_col, "_s").orderBy("_h")  # rows of one record
+    i = F.row_number().over(wi)
+    y = y.withColumn(
+        out, F.when(i > k, F.col(order_col)).otherwise(F.element_at(F.col("_before"), F.lit(k + 1) - i))
     )
-    x = x.join(heads, [*parts, b, "_ra"], "left")
-    x = x.withColumn(out, F.when(F.col("_ra") <= k, F.col("_edge_prev")).otherwise(F.col("_in")))
-    return x.drop(b, "_ra", "_nb", "_in", "_edge_prev")
+    return y.drop("_h", "_s", "_before")
