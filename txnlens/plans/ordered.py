@@ -131,7 +131,8 @@ def prefix_rank(
     x = _salted(df.where(F.col(order_col).isNotNull()), salts)
     cv = x.groupBy(*parts, order_col, "_s").agg(F.count(F.lit(1)).alias("_c"))
     b = "_bkt"
-    cvb = with_value_buckets(cv, order_col, b, auto_buckets(cv, n_buckets))
+    # records <= rows: sizing the buckets from the input avoids running the aggregation twice
+    cvb = with_value_buckets(cv, order_col, b, auto_buckets(x, n_buckets))
     bt = cvb.groupBy(*parts, b).agg(F.sum("_c").alias("_bc"))
     wp = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(b)
     # ``bt`` has at most |groups| x n_buckets rows: the windows over it are small
@@ -216,7 +217,7 @@ def previous_value(
     x = _salted(df.where(F.col(order_col).isNotNull()), salts)
     cv = x.groupBy(*parts, order_col, "_s").agg(F.min("_h").alias("_hmin"))
     b = "_bkt"
-    cvb = with_value_buckets(cv, order_col, b, auto_buckets(cv, n_buckets))
+    cvb = with_value_buckets(cv, order_col, b, auto_buckets(x, n_buckets))  # records <= rows
     last = cvb.groupBy(*parts, b).agg(F.max(order_col).alias("_bmax"))
     wp = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(b)
     carry = last.select(*parts, b, F.lag("_bmax").over(wp).alias("_carry"))  # small table
@@ -425,7 +426,7 @@ def previous_k(
     b = "_bkt"
     x = _salted(df.where(F.col(order_col).isNotNull()), salts)
     rec = x.groupBy(*parts, order_col, "_s").agg(F.count(F.lit(1)).alias("_c"))
-    rec = with_value_buckets(rec, order_col, b, auto_buckets(rec, n_buckets))
+    rec = with_value_buckets(rec, order_col, b, auto_buckets(x, n_buckets))  # records <= rows
     vc = F.struct(F.col(order_col).alias("v"), F.col("_c").alias("c"))
     wg = Window.partitionBy(*parts, b).orderBy(order_col, "_s")
     rec = rec.withColumn("_ra", F.row_number().over(wg)).withColumn(
