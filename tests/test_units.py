@@ -372,3 +372,21 @@ def test_exact_quantiles_small_group_path_equals_bracket_path(spark):
     a = {(r["g"], r["prob"]): r["quantile"] for r in O.exact_quantiles(df, "v", probs, ["g"]).collect()}
     b = {(r["g"], r["prob"]): r["quantile"] for r in O.exact_quantiles(df, "v", probs, ["g"], exact_group_limit=0).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+
+
+def test_dtype_counts_and_shape(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 1, "a")], "x double, y double, c int, s string")
+    got = {r["dtype"]: r["n_columns"] for r in P.dtype_counts(spark, df).collect()}
+    assert got == {"double": 2, "int": 1, "string": 1}
+    sh = P.shape(df).first()
+    assert (sh["rows"], sh["columns"]) == (1, 4)
+
+
+def test_save_splits_writes_three_tables(spark, tmp_path):
+    from txnlens.sources import io as IO
+
+    df = spark.createDataFrame([(i, i % 2) for i in range(20)], "txn_id long, Class int")
+    split = RS.stratified_split(df, TxnSpec(), 0.2, 42, bucket_digits=1)
+    paths = IO.save_splits(split.drop("split"), split.where("split = 'train'"), split.where("split = 'test'"), str(tmp_path))
+    counts = {k: spark.read.parquet(v).count() for k, v in paths.items()}
+    assert counts == {"wrangled": 20, "train": 16, "test": 4}
