@@ -28,3 +28,8 @@ def ascii_lower(c: Column) -> Column:
 def scan_partitions(df: DataFrame, rows_per_task: int, least: int = 1) -> int:
     """Task count for a row-bounded exchange (one count over the input's narrowest column)."""
     return max(least, -(-df.count() // rows_per_task))
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of few rows: texts can be very long, and a batch is held whole in a task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -5,10 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm import decontam
+from txnlens.llm import ann, chat, decontam, minhash, packing, substring, urls
 from txnlens.llm.common import table
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """13-word windows that also start in an earlier document, removed from all documents."""
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: (rule, verdict)
+URL_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rules, then the list of spam addresses, over every page's URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return urls.judge(pages, rules, urls.spam_list(pages)).drop("url")
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product of every row whose id is divisible by 20."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+CHAT_PROBE = "</s>[INST] ok [/INST]"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe conversation -1, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(
+        [(-1, 0, "user", CHAT_PROBE), (-1, 1, "assistant", CHAT_PROBE)],
+        "conv_id long, turn long, role string, text string",
+    )
+    return chat.digest(chat.format_examples(rows.unionByName(probe)))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """13-word benchmark windows found in every document."""
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -17,5 +74,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict:
     return {
+        "op1_substring": op1_substring,
+        "op2_url_filter": op2_url_filter,
+        "op3_nearest": op3_nearest,
+        "op4_chat_format": op4_chat_format,
+        "op6_packing": op6_packing,
+        "op8_minhash": op8_minhash,
         "op9_decontamination": op9_decontamination,
     }
