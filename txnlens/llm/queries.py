@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm import ann, chat, decontam, minhash, packing, substring, urls
+from txnlens.llm import ann, chat, decontam, html, minhash, packing, secrets, substring, toxicity, urls
 from txnlens.llm.common import table
 
 
@@ -50,6 +50,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_examples(rows.unionByName(probe)))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by its host's wrapper."""
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -61,6 +67,23 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def span_text(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern spans and the field's added spans of all documents."""
+    documents = table(spark, sf_dir, "documents")
+    found = secrets.scan(documents, secrets.fit(documents))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(span_text(F.filter("spans", lambda s: s["kind"] != "crf")), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -72,13 +95,28 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text_key")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; labels of held-out ids are not used."""
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
+    return toxicity.score(documents, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= toxicity.PREDICT_AT, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def llm_queries() -> dict:
     return {
         "op1_substring": op1_substring,
         "op2_url_filter": op2_url_filter,
         "op3_nearest": op3_nearest,
         "op4_chat_format": op4_chat_format,
+        "op5_main_text": op5_main_text,
         "op6_packing": op6_packing,
+        "op7_secrets": op7_secrets,
         "op8_minhash": op8_minhash,
         "op9_decontamination": op9_decontamination,
+        "op10_toxicity": op10_toxicity,
     }
