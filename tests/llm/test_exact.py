@@ -81,6 +81,35 @@ def test_near_duplicates(spark, small):
     assert kept.where("doc_id IS NULL").count() == 1 and kept.columns == frame(spark, []).columns
 
 
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """A family whose members differ by more and more words: pivots fail, tiles find the chain."""
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 3)
+    monkeypatch.setattr(minhash, "TILE_SHINGLES", 2500)
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(150)]
+    docs = []
+    for k in range(90):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(150)] = f"x{rng.randint(0, 10**6)}"
+        if k > 60:  # copies of copies
+            words = docs[rng.randrange(len(docs))][1].split()
+            words[rng.randrange(150)] = f"y{k}"
+        docs.append((k, " ".join(words)))
+    got = rows_of(minhash.near_duplicates(frame(spark, docs)), "doc_id", "n_shingles", "component_id", "kept")
+    want = sorted(brute.near_duplicates(docs), key=repr)
+    assert got == want and len({r[2] for r in want}) > 5
+
+
+def test_intersections_in_column_chunks(monkeypatch):
+    monkeypatch.setattr(minhash, "TILE_COLUMNS", 7)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40), dtype=np.uint64)) for _ in range(12)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = minhash.intersections(sets)
+    assert all(got[i][j] == want[i][j] for i in range(12) for j in range(12) if i != j)
+
+
 def test_circulant_signature_estimates_similarity():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)

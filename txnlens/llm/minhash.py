@@ -9,12 +9,20 @@ circularly. Coordinates are banded; documents that agree in a band share a bucke
 Texts with equal word sequences are one class and enter once. With 32 bands of
 6 rows a pair at similarity 0.85 misses all buckets with probability 3e-7.
 
-Buckets are resolved without writing out all their pairs: members are compared
-with pivots (the members that share most buckets first; 1, 3, 9, ... pivots a
-round); after each round linked members are joined into components and a bucket
-whose members all have one component is done. A pair is skipped only when it is
-already in one component, so the components are those of all verified links.
-Every tested pair is verified on the full shingle sets.
+Buckets become components in two steps, and no step writes out the pairs of a
+large bucket:
+
+1. Members of buckets of up to ``SMALL_BUCKET`` are compared pair by pair (each
+   pair once, however many buckets it shares); members of larger buckets are
+   compared with one pivot, the member that shares most buckets. Pairs are
+   verified on the full shingle sets; linked documents become components.
+2. Larger buckets that still hold several components are joined into families
+   (sets of documents connected by such buckets). A family is dealt into blocks
+   of about ``TILE_SHINGLES`` shingles; each pair of blocks is one tile, which
+   intersects all its full sets at once (a matrix product over the shingles
+   that occur twice) and returns only the links that join components. So the
+   result is linear in the documents, while every pair of different
+   components is verified.
 
 Defined results
     null, empty and white-space texts: empty set, linked with nothing. Texts
@@ -31,19 +39,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.llm.common import small_batches, stored
 from txnlens.llm.graph import components
 from txnlens.llm.words import WordHasher, mix, split_words, window_hashes
+from txnlens.plans.small import join_small
 
 SHINGLE = 5
 BANDS = 32
 ROWS = 6
 SIMILARITY_PERCENT = 85
+SMALL_BUCKET = 16
+TILE_SHINGLES = 400_000
+TILE_COLUMNS = 4096
 #: shingles hashed at a time: keeps the (shingles x coordinates) block in cache
 BLOCK = 1024
+MAX_BROADCAST_IDS = 2_000_000
 
 _SKETCH = pa.schema(
     [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_hi", pa.int64()), ("class_lo", pa.int64()),
@@ -109,11 +122,19 @@ def sketches(documents: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, r
     return documents.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(sketch, SKETCH_SCHEMA)
 
 
+def pick(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of the given ids: filtered in the scan while the id list is small (8 bytes a row, counted)."""
+    docs = documents.select(F.col("doc_id").cast("long"), "text")
+    ids = stored(ids, "ids")
+    return join_small(docs, ids, docs["doc_id"] == ids["id"], "left_semi", max_rows=MAX_BROADCAST_IDS, check=True)
+
+
 def verify(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the similarity."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
-    right = pairs.join(texts, pairs["b"] == texts["id"]).select("a", "b", F.col("text").alias("text_b"))
-    both = right.join(texts, right["a"] == texts["id"]).select("a", "b", F.col("text").alias("text_a"), "text_b")
+    """The pairs ``(a, b)`` whose full sets reach the similarity; only the texts of a and b move."""
+    text_a = pick(documents, pairs.select(F.col("a").alias("id")).distinct())
+    text_b = pick(documents, pairs.select(F.col("b").alias("id")).distinct())
+    right = pairs.join(text_b, pairs["b"] == text_b["doc_id"]).select("a", "b", F.col("text").alias("text_b"))
+    both = right.join(text_a, right["a"] == text_a["doc_id"]).select("a", "b", F.col("text").alias("text_a"), "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -145,24 +166,103 @@ def _shared_buckets(sketch: DataFrame) -> DataFrame:
     return stored(shared.join(stored(weights, "weights"), "id"), "members")
 
 
-def _candidates(active: DataFrame, first: int, pivots: int) -> DataFrame:
-    """Pairs of each bucket's pivots (places ``first + 1`` to ``first + pivots``) with members of other components.
+def _first_pairs(shared: DataFrame) -> DataFrame:
+    """All pairs of small buckets, and each larger bucket's members with its pivot; every pair once."""
+    small = shared.where(F.col("size") <= SMALL_BUCKET).select("key", "id")
+    other = small.select(F.col("key").alias("same"), F.col("id").alias("other"))
+    pairs = small.join(other, (F.col("key") == F.col("same")) & (F.col("id") < F.col("other")))
+    pairs = pairs.select(F.col("id").alias("a"), F.col("other").alias("b"))
+    large = shared.where(F.col("size") > SMALL_BUCKET)
+    best = F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("best")
+    pivots = large.groupBy("key").agg(best).select(F.col("key").alias("same"), (-F.col("best.minus")).alias("pivot"))
+    stars = large.join(stored(pivots, "pivots"), F.col("key") == F.col("same")).where(F.col("id") != F.col("pivot"))
+    # the pivot is the left side: its set is made once for all its members
+    stars = stars.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    every = pairs.unionByName(stars).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    return every.agg(F.max("a").alias("a")).select(
+        "a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")
+    )
+
 
-    Only the first few members of a bucket are ranked (each task keeps no more
-    than it needs before the exchange); the members are never gathered.
-    """
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "id"))
-    chosen = active.withColumn("place", place).where(F.col("place") <= first + pivots)
-    chosen = stored(
-        chosen.where(F.col("place") > first).select(
-            F.col("key").alias("bucket"), F.col("id").alias("pivot"), F.col("component").alias("of")
-        ),
-        "pivots",
+def _families(shared: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(id, component, family, blocks)`` of the members of larger buckets that still hold several components."""
+    large = shared.where(F.col("size") > SMALL_BUCKET).select("key", "id")
+    now = large.join(found, F.col("id") == F.col("node"), "left")
+    now = stored(now.select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
+    spread = now.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("first_id")
+    )
+    spread = stored(spread.where("lo <> hi").select(F.col("key").alias("open"), "first_id"), "open")
+    unresolved = stored(now.join(spread, F.col("key") == F.col("open")).select("id", "component", "first_id"), "unresolved")
+    stars = unresolved.where("id <> first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b")).distinct()
+    family = stored(components(stars), "families").select("node", F.col("component").alias("family"))
+    members = unresolved.select("id", "component").distinct().join(family, F.col("id") == F.col("node"))
+    members = stored(members.join(sizes, F.col("id") == F.col("doc_id")).select("id", "component", "family", "n_shingles"), "members")
+    blocks = members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / TILE_SHINGLES).cast("int").alias("blocks"))
+    blocks = stored(blocks.withColumnRenamed("family", "of"), "blocks")
+    return members.join(blocks, F.col("family") == F.col("of")).select("id", "component", "family", "blocks")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of sorted distinct arrays."""
+    sizes = [len(x) for x in sets]
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1  # a shingle of one document is in no intersection
+    number = np.cumsum(count > 1) - 1
+    row, column = row[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, TILE_COLUMNS):
+        part = slice(*np.searchsorted(column, [a, a + TILE_COLUMNS]))
+        block = np.zeros((len(sets), TILE_COLUMNS), dtype=np.float32)
+        block[row[part], column[part] - a] = 1
+        common += block @ block.T
+    return common
+
+
+def joining_links(ids: list[int], labels: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between documents of different components; of those that join the same components, one."""
+    common = intersections(sets)
+    size = np.array([len(x) for x in sets], dtype=np.float32)
+    label = np.array(labels)
+    linked = (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (label[:, None] != label[None, :])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    links = []
+    for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+        a, b = root(labels[i]), root(labels[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            links.append((ids[i], ids[j]))
+    return links
+
+
+def _tile_links(families: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between components, from all pairs of blocks of every family."""
+    named = families.join(texts, F.col("id") == F.col("doc_id")).select("id", "component", "family", "blocks", "text")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    named = named.withColumn("own", own)
+    named = named.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    named = named.select(
+        "id", "component", "family", "text", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")
     )
-    met = active.join(chosen, (F.col("key") == F.col("bucket")) & (F.col("component") != F.col("of")))
-    return met.select(F.least("id", "pivot").alias("x"), F.greatest("id", "pivot").alias("y"), "id", "pivot").groupBy(
-        "x", "y"
-    ).agg(F.max("pivot").alias("a"))
+
+    def tile(table: pa.Table) -> pa.Table:
+        hasher = WordHasher()
+        sets = [shingle_set(split_words(t, lower=True), hasher, shingle) for t in table.column("text").to_pylist()]
+        found = joining_links(table.column("id").to_pylist(), table.column("component").to_pylist(), sets, percent)
+        return pa.table(
+            {"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())}
+        )
+
+    return named.groupBy("family", "i", "j").applyInArrow(tile, "a long, b long")
 
 
 def near_duplicates(
@@ -179,31 +279,18 @@ def near_duplicates(
         sketch.where("n_shingles > 0").groupBy("class_hi", "class_lo").agg(F.min("doc_id").alias("first_id")), "classes"
     )
     first = sketch.join(classes.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi")
-    active = _shared_buckets(first).withColumn("component", F.col("id"))
-    links: DataFrame | None = None
-    failed: DataFrame | None = None
-    found: DataFrame | None = None
-    done, pivots = 0, 1
-    while not active.isEmpty():
-        pairs = _candidates(active, done, pivots)
-        if failed is not None:
-            pairs = pairs.join(failed, ["x", "y"], "left_anti")
-        pairs = stored(
-            pairs.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")), "pairs"
-        )
-        new = stored(verify(pairs, documents, shingle, percent), "links")
-        links = new if links is None else stored(links.unionByName(new), "links")
-        ordered = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")]
-        lost = pairs.join(new, ["a", "b"], "left_anti").select(*ordered)
-        failed = stored(lost if failed is None else failed.unionByName(lost), "failed")
-        found = stored(components(links), "components")
-        done, pivots = done + pivots, pivots * 3
-        active = _unresolved(active, found, done)
+    shared = _shared_buckets(first)
+    texts = stored(pick(documents, shared.select("id").distinct()), "texts")
+    pairs = stored(_first_pairs(shared), "pairs")
+    links = stored(verify(pairs, texts, shingle, percent), "links")
+    found = stored(components(links), "components")
+    families = stored(_families(shared, found, first.select("doc_id", "n_shingles")), "families")
+    more = stored(_tile_links(families, texts, shingle, percent), "links")
+    # a component stands for its documents: only its links to others are new edges
+    found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
     result = sketch.join(classes, ["class_hi", "class_lo"], "left")
-    component = F.coalesce("first_id", "doc_id")
-    if found is not None:
-        result = result.join(found, component == F.col("node"), "left")
-        component = F.coalesce("component", "first_id", "doc_id")
+    result = result.join(found, F.coalesce("first_id", "doc_id") == F.col("node"), "left")
+    component = F.coalesce("component", "first_id", "doc_id")
     result = result.where("n_shingles > 0").select("doc_id", "n_shingles", component.alias("component_id")).unionByName(
         sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     )
@@ -213,20 +300,6 @@ def near_duplicates(
     return result.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _unresolved(active: DataFrame, found: DataFrame, done: int) -> DataFrame:
-    """Members of the buckets that still hold several components and have members that were no pivots."""
-    now = active.drop("component").join(found, F.col("id") == F.col("node"), "left")
-    now = stored(now.select("key", "id", "size", "weight", F.coalesce("component", "id").alias("component")), "labelled")
-    open_keys = (
-        now.where(F.col("size") > done + 1)
-        .groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("lo <> hi")
-        .select(F.col("key").alias("open"))
-    )
-    return stored(now.join(stored(open_keys, "open"), F.col("key") == F.col("open")).drop("open"), "members")
-
-
 def drop_near_duplicates(documents: DataFrame, **how) -> DataFrame:
     """The documents (all columns), one of each group; rows with a null id stay."""
     keep = stored(near_duplicates(documents, **how).where("kept").select(F.col("doc_id").alias("keep_id")), "kept")
