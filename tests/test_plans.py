@@ -31,13 +31,16 @@ def test_scan_reads_only_needed_columns(spark):
     assert schemas and all(s.count(":") <= 2 for s in schemas)
 
 
-def test_embedding_filter_is_pushed_to_the_scan(spark):
-    from txnlens.sources.fixture import transactions
-
-    df = transactions(spark, SF_SMALL)
-    p = df._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in p
-    assert re.search(r"PushedFilters: \[[^\]]*LessThan\(vec_id,500\)", p)
+@pytest.mark.parametrize("name", ["box_stats", "histogram_by_label", "density_by_label"])
+def test_rows_are_not_dealt_by_the_label_alone(spark, name):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        p = executed_plan(spark, name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    joins = re.findall(r"SortMergeJoin \[[^\]]*\]", p)
+    assert not any(re.fullmatch(r"SortMergeJoin \[_lbl#\d+\]", j) for j in joins), joins
 
 
 @pytest.mark.parametrize(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import tempfile
 
@@ -73,37 +74,58 @@ def test_hourly_rate_stream_append_emits_only_closed_windows(spark, events_dir):
     assert len(rows) < len(want)  # the windows still open at the watermark are held back
 
 
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+T0 = dt.datetime(2024, 1, 1, 12)
+
+
+def _arrivals(spark, batches) -> str:
+    """One file per batch of ``(user, minutes after T0)``, in arrival order."""
+    flat = tempfile.mkdtemp(prefix="txnlens-arrivals-")
+    for i, batch in enumerate(batches):
+        rows = [(k, T0 + dt.timedelta(minutes=m), u, "click", 1.0, "{}") for k, (u, m) in enumerate(batch)]
+        sub = os.path.join(tempfile.mkdtemp(prefix="txnlens-batch-"), "b")
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(sub)
+        name = next(f for f in os.listdir(sub) if f.endswith(".parquet"))
+        target = os.path.join(flat, f"{i:03d}.parquet")
+        os.link(os.path.join(sub, name), target)
+        os.utime(target, (1_700_000_000 + 100 * i, 1_700_000_000 + 100 * i))
+    return flat
+
+
+def _velocity(spark, flat, name, **rule):
+    got = _run(J.velocity_stream(spark, flat, files_per_batch=1, **rule), name, "append")
+    ev = spark.read.schema(EVENTS).parquet(flat).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    n, within = rule.get("max_events", 2), rule.get("within_seconds", 300)
+    want = TM.velocity_flags(ev, "user_id", "ts", n, within)
+    return _rows(got, ["user_id", "ts"]), _rows(want, ["user_id", "ts"])
+
+
+#: an event of nobody, so late that everything before it is due
+LAST = [(-1, 100_000.0)]
+
+
 def test_velocity_stream_equals_batch_rule(spark, events_dir):
-    got = _run(J.velocity_stream(spark, events_dir), "velocity_s", "append")
-    ev = spark.read.parquet(events_dir).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    want = TM.velocity_flags(ev, "user_id", "ts", 2, 300)
-    assert _rows(got, ["user_id", "ts"]) == _rows(want, ["user_id", "ts"])
-
-
-def test_velocity_stream_on_crafted_bursts(spark):
-    import datetime as dt
-
-    t0 = dt.datetime(2024, 1, 1)
-    rows = []
-    eid = 0
-    for user, minutes in ((1, [0, 1, 2, 3, 30, 31]), (2, [0, 4, 9, 12]), (3, [5, 5, 5])):
-        for m in minutes:
-            rows.append((eid, t0 + dt.timedelta(minutes=m), user, "click", 1.0, "{}"))
-            eid += 1
-    rows.sort(key=lambda r: r[1])
-    d = tempfile.mkdtemp(prefix="txnlens-burst-")
-    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    half = len(rows) // 2
-    spark.createDataFrame(rows[:half], schema).coalesce(1).write.parquet(os.path.join(d, "a"))
-    spark.createDataFrame(rows[half:], schema).coalesce(1).write.parquet(os.path.join(d, "b"))
-    flat = tempfile.mkdtemp(prefix="txnlens-burst-flat-")
-    for i, sub in enumerate(("a", "b")):
-        for f in os.listdir(os.path.join(d, sub)):
-            if f.endswith(".parquet"):
-                os.link(os.path.join(d, sub, f), os.path.join(flat, f"{i}.parquet"))
-    got = _run(J.velocity_stream(spark, flat), "velocity_burst", "append")
-    want = [(1, t0 + dt.timedelta(minutes=2)), (1, t0 + dt.timedelta(minutes=3)), (3, t0 + dt.timedelta(minutes=5))]
-    assert _rows(got, ["user_id", "ts"]) == sorted(want)
+    ev = spark.read.schema(EVENTS).parquet(events_dir).orderBy("ts").collect()
+    minutes = [(r.user_id, (r.ts - T0).total_seconds() / 60) for r in ev]
+    n = len(minutes)
+    got, want = _velocity(spark, _arrivals(spark, [minutes[: n // 3], minutes[n // 3 : n // 2], minutes[n // 2 :], LAST]), "velocity_s")
+    assert got == want
+
+
+def test_velocity_stream_over_batches_gaps_and_disorder(spark):
+    """Idle history outlives micro-batches, and events that arrive late but in time are judged in order."""
+    batches = [[(1, 0.0), (1, 0.0), (3, 0.0), (3, 0.0)], [(2, 1.0), (3, -5.0)], [(1, 2.0)], [(4, 20.0)], [(4, 18.0), (4, 19.0)], LAST]
+    got, want = _velocity(spark, _arrivals(spark, batches), "velocity_gaps")
+    assert got == want and (1, T0 + dt.timedelta(minutes=2)) in got and (4, T0 + dt.timedelta(minutes=20)) in got
+    assert (3, T0 - dt.timedelta(minutes=5)) not in got
+
+
+def test_velocity_stream_with_another_rule(spark):
+    batches = [[(7, 0.0), (7, 0.5)], [(7, 1.0), (8, 1.0), (7, 9.0)], [(7, 1.5), (8, 2.0)], LAST]
+    got, want = _velocity(spark, _arrivals(spark, batches), "velocity_three", max_events=3, within_seconds=120)
+    assert got == want == [(7, T0 + dt.timedelta(minutes=1.5))]
+    df = spark.readStream.schema(EVENTS).parquet(_arrivals(spark, [[(1, 0.0)]])).withColumnRenamed("event_type", "card")
+    assert J.velocity_transform(df, "card").schema["card"].dataType.simpleString() == "string"
 
 
 def test_hourly_rate_stream_drops_rows_behind_the_watermark(spark):
@@ -114,8 +136,6 @@ def test_hourly_rate_stream_drops_rows_behind_the_watermark(spark):
     The 08:00 window was emitted with 6 rows and the late row is dropped, not
     emitted as a second 08:00 window.
     """
-    import datetime as dt
-
     t0 = dt.datetime(2024, 1, 1, 8, 0)
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     rows = [(i, t0 + dt.timedelta(minutes=10 * i), 1, "view", 1.0, "{}") for i in range(24)]

@@ -67,7 +67,7 @@ def test_pearson_constant_column_is_null_not_error(spark):
 
 @pytest.mark.parametrize("margin", [None, -0.3])
 def test_exact_quantiles_equal_numpy(spark, margin):
-    """Bracket path forced (exact_group_limit=0); margin -0.3 forces the fallback."""
+    """Margin -0.3 makes every bracket miss, so the wider ones are taken."""
     random.seed(7)
     data = []
     for g, n in (("a", 1), ("b", 2), ("c", 501), ("d", 2000)):
@@ -75,7 +75,7 @@ def test_exact_quantiles_equal_numpy(spark, margin):
             data.append((g, float(random.choice([1, 2, 2, 3, 7, 7, 7, 100])) if g == "c" else random.gauss(0, 1)))
     df = spark.createDataFrame(data + [("d", None)], "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
-    q = O.exact_quantiles(df, "v", probs, by=["g"], margin=margin, exact_group_limit=0)
+    q = O.exact_quantiles(df, "v", probs, by=["g"], margin=margin)
     got = {(r["g"], r["prob"]): r["quantile"] for r in q.collect()}
     pdf = pd.DataFrame(data, columns=["g", "v"])
     for g, sub in pdf.groupby("g"):
@@ -312,7 +312,7 @@ def test_hot_value_holding_a_third_of_rows(spark):
     # + 0.0 turns -0.0 into 0.0 (Spark groups and joins them as one value)
     vals = [0.0] * 3000 + [round(random.uniform(-50, 50), 2) + 0.0 for _ in range(6000)]
     df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(vals)], "Class int, v double")
-    q = O.exact_quantiles(df, "v", [0.1, 0.25, 0.5, 0.75, 0.9], by=["Class"], accuracy=200, exact_group_limit=0)
+    q = O.exact_quantiles(df, "v", [0.1, 0.25, 0.5, 0.75, 0.9], by=["Class"], accuracy=200)
     got = {(r["Class"], r["prob"]): r["quantile"] for r in q.collect()}
     pdf = pd.DataFrame({"Class": [i % 2 for i in range(len(vals))], "v": vals})
     for c, sub in pdf.groupby("Class"):
@@ -364,14 +364,75 @@ def test_single_row_and_empty_frames(spark):
     assert m["skewness"] is None and m["kurtosis"] is None
 
 
-def test_exact_quantiles_small_group_path_equals_bracket_path(spark):
+def test_range_buckets_hold_no_more_than_twice_the_target(spark):
     random.seed(17)
-    data = [(i % 3, round(random.gauss(0, 5), 3)) for i in range(3000)]
-    df = spark.createDataFrame(data, "g int, v double")
-    probs = [0.05, 0.25, 0.5, 0.9]
-    a = {(r["g"], r["prob"]): r["quantile"] for r in O.exact_quantiles(df, "v", probs, ["g"]).collect()}
-    b = {(r["g"], r["prob"]): r["quantile"] for r in O.exact_quantiles(df, "v", probs, ["g"], exact_group_limit=0).collect()}
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+    data = [(i % 3, 7.0 if i % 3 == 0 else random.gauss(0, 5), i) for i in range(30_000)]  # a third of the rows share a value
+    df = spark.createDataFrame(data, "g int, v double, salt int")
+    out = O.with_range_buckets(df, ["v", "salt"], "b", 30)
+    sizes = [r["count"] for r in out.groupBy("b").count().collect()]
+    assert sum(sizes) == 30_000 and max(sizes) <= 2 * 1000
+    ends = out.groupBy("b").agg(F.min(F.struct("v", "salt")).alias("lo"), F.max(F.struct("v", "salt")).alias("hi")).orderBy("b")
+    ends = [(tuple(r["lo"]), tuple(r["hi"])) for r in ends.collect()]
+    assert all(x[1] < y[0] for x, y in zip(ends, ends[1:]))
+    assert O.auto_buckets(10**11) == 10**5 and O.auto_salts(10**12) == 10**6
+
+
+def test_user_columns_named_like_internal_ones_survive(spark):
+    df = spark.createDataFrame([(float(i % 5), i, "x") for i in range(40)], "t double, _h long, _s string")
+    out = O.prefix_rank(df, "t", n_buckets=4)
+    assert {"_h", "_s"} <= set(out.columns) and sorted(r["_h"] for r in out.collect()) == list(range(40))
+
+
+def test_scorecard_on_an_empty_filter(spark):
+    df = spark.createDataFrame([(0, 5.0, 3), (1, 2.0, 4)], "Class int, Amount double, Hour int")
+    for peak_from in (None, df):
+        sc = {r["metric"]: r["value"] for r in R.scorecard(df.where("Hour > 20"), peak_from=peak_from).collect()}
+        assert set(sc) == set(R.SCORECARD_METRICS)
+        assert sc["total_transactions"] == sc["positive_rate_pct"] == sc["avg_positive_amount"] == sc["max_positive_amount"] == 0.0
+        assert sc["peak_hour"] == (4.0 if peak_from is not None else 0.0)
+
+
+def test_ks_p_value_with_counts_beyond_bigint_products(spark, monkeypatch):
+    big = spark.createDataFrame([("V1", 0, 1.0, 10**11, 0), ("V1", 0, 2.0, 0, 10**9)], "column string, col_idx int, value double, n0 long, n1 long")
+    monkeypatch.setattr(SP, "write_table", lambda df, name: big if name == "ks-counts" else df)
+    row = SP.feature_ks(spark.createDataFrame([(0, 1.0), (1, 2.0)], "Class int, V1 double"), ["V1"]).first()
+    assert row["ks"] == 1.0 and row["p_value"] == 0.0 and row["n_neg"] == 10**11
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from txnlens.session import ensure_checkpoint_dir
+
+    def session(master):
+        context = SimpleNamespace(getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None, master=master)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: None))
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(session(master))
+    assert ensure_checkpoint_dir(session("local[4]")) and ensure_checkpoint_dir(session("local"))
+
+
+def test_every_embedding_occurs_in_the_fixture(spark):
+    from txnlens.sources.fixture import embeddings_dim, modulus, transactions
+
+    sf = "/root/testdata/sf0.1"
+    emb = embeddings_dim(spark, sf)
+    n = modulus(emb)
+    used = transactions(spark, sf).select((F.col("txn_id") % n).alias("k")).distinct().count()
+    assert used == emb.count() == n == 2000
+
+
+def test_stage_is_rebuilt_for_rewritten_input(spark, tmp_path):
+    from txnlens.plans.stage import input_version
+
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    one = input_version(spark.read.parquet(path))
+    assert one == input_version(spark.read.parquet(path))
+    spark.range(4).write.mode("overwrite").parquet(path)
+    assert one != input_version(spark.read.parquet(path))
 
 
 def test_dtype_counts_and_shape(spark):

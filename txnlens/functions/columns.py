@@ -76,11 +76,6 @@ def clip(c: str | Column, lower: float | Column | None = None, upper: float | Co
     return F.when(x.isNotNull(), y)
 
 
-def safe_div(num: Column, den: Column) -> Column:
-    """Division that returns NULL for a zero or NULL denominator (ANSI-safe)."""
-    return F.try_divide(num, den)
-
-
 def pct(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double") * F.lit(100.0), den.cast("double"))
 
@@ -140,11 +135,6 @@ DEFAULT_BANDS = Bands()
 DISPLAY_BANDS = Bands(names=BAND_DISPLAY)
 
 
-def hour_label(hour: str | Column) -> Column:
-    """'02:00' style label."""
-    return F.format_string("%02d:00", col(hour))
-
-
 def sample_skew(g1: Column, n: Column) -> Column:
     """Population skewness g1 -> sample-adjusted G1 (pandas ``skew``).
 

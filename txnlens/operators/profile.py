@@ -24,12 +24,12 @@ def _q(c: str):
     return F.col(f"`{c}`")
 
 
-def to_long(df: DataFrame, cols: Sequence[str], var: str = "column", val: str = "value") -> DataFrame:
-    """Unpivot ``cols`` (cast to double, NaN -> NULL) to ``(var, col_idx, val)``."""
-    idx = {c: i for i, c in enumerate(cols)}
-    wide = df.select(*[nan_to_null(_q(c).cast("double")).alias(c) for c in cols])
-    long = wide.unpivot([], list(cols), var, val)
-    order = F.element_at(F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(idx[c]))]), F.col(var))
+def to_long(df: DataFrame, cols: Sequence[str], label: str | None = None) -> DataFrame:
+    """Unpivot ``cols`` (cast to double, NaN -> NULL) to ``(column, value, col_idx)``; ``label`` is kept as ``_lbl``."""
+    carry = [] if label is None else [_q(label).alias("_lbl")]
+    wide = df.select(*carry, *[nan_to_null(_q(c).cast("double")).alias(c) for c in cols])
+    long = wide.unpivot(["_lbl"] if carry else [], list(cols), "column", "value")
+    order = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(cols) for x in (c, i)]), F.col("column"))
     return long.withColumn("col_idx", order)
 
 
@@ -171,6 +171,18 @@ def amount_by_label(df: DataFrame, amount: str = "Amount", label: str = "Class")
     return base.join(med, label, "left").select(label, "mean", "median", "max", "std")
 
 
+def skew_before_after(df: DataFrame, before: str = "Amount", after: str = "Amount_log") -> DataFrame:
+    """Sample skewness of the raw column and of its capped and logged form, in one aggregate."""
+    both = [nan_to_null(_q(c).cast("double")) for c in (before, after)]
+    x = df.select(both[0].alias("a"), both[1].alias("b")).agg(
+        F.skewness("a").alias("ga"), F.count("a").alias("na"), F.skewness("b").alias("gb"), F.count("b").alias("nb")
+    )
+    return x.select(
+        sample_skew(F.col("ga"), F.col("na")).alias("skew_before"),
+        sample_skew(F.col("gb"), F.col("nb")).alias("skew_after"),
+    )
+
+
 def zero_amount_report(df: DataFrame, amount: str = "Amount", label: str = "Class") -> DataFrame:
     """Zero-amount rows: count, percent of all rows, positives among them."""
     z = F.col(amount) == 0
@@ -207,23 +219,14 @@ def moments_topk(df: DataFrame, cols: Sequence[str], k: int = 10, decimals: int
 
 
 def label_correlations(df: DataFrame, cols: Sequence[str], label: str = "Class") -> DataFrame:
-    """Pearson correlation of each column with the label (pairwise complete)."""
-    long = _to_long_with(df.withColumn("_lbl", F.col(label).cast("double")), cols, ["_lbl"])
-    return long.groupBy("column", "col_idx").agg(pearson("value", "_lbl").alias("corr"))
-
-
-def _to_long_with(df: DataFrame, cols: Sequence[str], carry: Sequence[str]) -> DataFrame:
-    idx = {c: i for i, c in enumerate(cols)}
-    wide = df.select(*[F.col(c) for c in carry], *[nan_to_null(_q(c).cast("double")).alias(c) for c in cols])
-    long = wide.unpivot(list(carry), list(cols), "column", "value")
-    order = F.element_at(F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(idx[c]))]), F.col("column"))
-    return long.withColumn("col_idx", order)
+    """Pearson correlation of each column with the label (pairwise complete) and its sign flag."""
+    corr = to_long(df, cols, label).groupBy("column", "col_idx").agg(pearson("value", "_lbl").alias("corr"))
+    return corr.withColumn("negative", F.col("corr") < 0)
 
 
 def correlation_topk(df: DataFrame, cols: Sequence[str], label: str = "Class", k: int = 10) -> DataFrame:
     """Top-k correlations with the label by absolute value (signed values kept)."""
-    long = _to_long_with(df.withColumn("_lbl", F.col(label).cast("double")), cols, ["_lbl"])
-    c = long.groupBy("column", "col_idx").agg(pearson("value", "_lbl").alias("corr"))
+    c = label_correlations(df, cols, label).drop("negative")
     return c.orderBy(F.abs("corr").desc_nulls_last(), "col_idx").limit(k)
 
 
@@ -276,6 +279,7 @@ __all__ = [
     "moments",
     "moments_topk",
     "shape",
+    "skew_before_after",
     "time_span",
     "to_long",
     "zero_amount_report",

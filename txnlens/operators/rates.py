@@ -215,12 +215,14 @@ def scorecard(df: DataFrame, spec: TxnSpec = TxnSpec(), hour: str = "Hour", peak
     lbl, amt = _lbl(spec), F.col(spec.amount).cast("double")
     p, n = lbl == 1, lbl == 0
     day = F.col(hour).between(8, 19)
-    pk = peak(rate_by(peak_from if peak_from is not None else df, [hour], spec), hour)
-    pk1 = pk.select(F.col(hour).cast("double").alias("h"), F.col("rate_pct").alias("r"))  # one row (limit 1)
+    # an ungrouped aggregate is one row also when there are no hours; ties take the first hour
+    by_hour = rate_by(peak_from if peak_from is not None else df, [hour], spec)
+    best = F.max(F.struct(F.col("rate_pct").alias("r"), (-F.col(hour)).alias("h")))
+    pk1 = by_hour.agg(best.alias("b")).select((-F.col("b.h")).cast("double").alias("h"), F.col("b.r").alias("r"))
     g = df.agg(
         F.count(F.lit(1)).cast("double").alias("total_transactions"),
         F.count_if(p).cast("double").alias("positives"),
-        (F.count_if(p) / F.count(F.lit(1)) * 100).alias("positive_rate_pct"),
+        (F.try_divide(F.count_if(p), F.count(F.lit(1))) * 100).alias("positive_rate_pct"),
         F.try_divide(F.count_if(n).cast("double"), F.count_if(p).cast("double")).alias("imbalance_ratio"),
         F.coalesce(F.sum(F.when(p, amt)), F.lit(0.0)).alias("total_exposure"),
         F.avg(F.when(p, amt)).alias("avg_positive_amount"),
@@ -230,10 +232,13 @@ def scorecard(df: DataFrame, spec: TxnSpec = TxnSpec(), hour: str = "Hour", peak
         F.count_if(p & day).cast("double").alias("day_positives"),
         F.count_if(p & ~day).cast("double").alias("night_positives"),
     )
+    # no rows, or no positives: zeros, as in the interactive report; a ratio or mean over no rows stays NULL
+    undefined = ("imbalance_ratio", "avg_negative_amount")
+    zero = lambda c: F.col(c) if c in undefined else F.coalesce(F.col(c), F.lit(0.0))
     g = with_params(g, pk1, "_pk").select(
-        *[c for c in SCORECARD_METRICS if c not in ("peak_hour", "peak_hour_rate_pct")],
-        F.col("_pk.h").alias("peak_hour"),
-        F.col("_pk.r").alias("peak_hour_rate_pct"),
+        *[zero(c).alias(c) for c in SCORECARD_METRICS if c not in ("peak_hour", "peak_hour_rate_pct")],
+        zero("_pk.h").alias("peak_hour"),
+        zero("_pk.r").alias("peak_hour_rate_pct"),
     )
     order = F.create_map(*[x for i, m in enumerate(SCORECARD_METRICS) for x in (F.lit(m), F.lit(i))])
     return g.unpivot([], list(SCORECARD_METRICS), "metric", "value").select(

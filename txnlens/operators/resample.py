@@ -19,6 +19,9 @@ from txnlens.plans.stage import write_table
 from txnlens.spec import TxnSpec
 
 
+CUT_BUCKET_ROWS = 100_000
+
+
 def row_hash(df: DataFrame, seed: int = 42, key: str | None = None) -> Column:
     """Seeded md5 hex of the key (or of the whole row when there is no key)."""
     if key:
@@ -33,19 +36,23 @@ def stratified_split(
     spec: TxnSpec = TxnSpec(),
     test_frac: float = 0.2,
     seed: int = 42,
-    bucket_digits: int = 4,
+    bucket_digits: int | None = None,
 ) -> DataFrame:
     """Add ``split`` = 'test' | 'train'; per label exactly ceil(test_frac * n) test rows.
 
     Rows are ordered by a seeded hash within their label; the first rows are
-    test. The hash prefix (``bucket_digits`` hex digits) is a balanced, ordered
-    bucket: per-(label, bucket) counts are prefix-summed, buckets entirely
+    test. The hash prefix is a balanced, ordered bucket; it has so many hex
+    digits that a bucket holds about ``CUT_BUCKET_ROWS`` rows (or as many as
+    ``bucket_digits`` says). Per-(label, bucket) counts are prefix-summed, buckets entirely
     before/after the cut are decided without any shuffle of their rows, and
     only the single cut bucket of each label is ranked by a window.
     """
     lbl = spec.label
     h = row_hash(df, seed, spec.key)
-    x = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, bucket_digits), 16, 10).cast("int"))
+    if bucket_digits is None:
+        n = df.count()
+        bucket_digits = next(d for d in range(1, 14) if n <= CUT_BUCKET_ROWS * 16**d)
+    x = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, bucket_digits), 16, 10).cast("long"))
     cnt = x.groupBy(lbl, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wl = Window.partitionBy(lbl)
     frac = F.lit(Decimal(str(test_frac)))
@@ -56,8 +63,8 @@ def stratified_split(
         F.coalesce(F.sum("_c").over(wl.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.ceil(F.sum("_c").over(wl) * frac).cast("long").alias("_ntest"),
     )
-    # at most (#labels x 16^bucket_digits) rows; size-checked before broadcast
-    x = join_small(x, offs, [lbl, "_b"], "inner", max_rows=2_000_000)
+    # one row per label and bucket; the planner broadcasts it only below its size threshold
+    x = join_small(x, offs, [lbl, "_b"], "inner")
     decided = x.where((F.col("_off") + F.col("_c") <= F.col("_ntest")) | (F.col("_off") >= F.col("_ntest")))
     decided = decided.withColumn(
         "split", F.when(F.col("_off") + F.col("_c") <= F.col("_ntest"), F.lit("test")).otherwise(F.lit("train"))
@@ -101,6 +108,12 @@ def class_weights(df: DataFrame, spec: TxnSpec = TxnSpec()) -> DataFrame:
 MAX_BUCKETS = 100_000
 
 
+def draw(id_col: str, seed: int, digits: int) -> Column:
+    """A whole number from the first ``digits`` (up to 15) hex digits of a seeded md5 of the id."""
+    h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"#{seed}")))
+    return F.conv(F.substring(h, 1, digits), 16, 10).cast("long")
+
+
 def smote(
     df: DataFrame,
     features: Sequence[str],
@@ -115,7 +128,7 @@ def smote(
     Each synthetic row is ``x + u * (x_nn - x)`` where ``x`` is a row of the
     class chosen uniformly, ``x_nn`` one of its k exact nearest neighbours
     (:func:`txnlens.plans.neighbors.exact_knn`) chosen uniformly, and
-    ``u ~ U[0, 1)``. All three draws come from seeded hashes of the synthetic
+    ``u ~ U[0, 1)``. All three draws come from a seeded md5 of the synthetic
     row's id, so the output is reproducible and independent of partitioning.
     Integer feature columns are cast back (truncated) after interpolation;
     non-feature columns (e.g. the key) are NULL on synthetic rows, which carry
@@ -141,19 +154,21 @@ def smote(
         # start from a Parquet leaf instead of inlining the caller's lineage
         cls = write_table(df.where(F.col(lbl) == F.lit(c)), f"smote-input-{c}")
         src = F.col(spec.key) if spec.key else F.to_json(F.struct(*[F.col(f"`{x}`") for x in cls.columns]))
-        ranked = prefix_rank(cls.withColumn("_h", F.xxhash64(src, F.lit(seed))), "_h", (), rank_col="_rn", total_col=None)
-        # dense 0-based id; the hash tie-break is irrelevant (equal hashes = equal rows)
+        # dense 0-based id in the order of a seeded md5 of the key, whatever the order of summation of the features
+        ranked = prefix_rank(
+            cls.withColumn("_order", F.md5(F.concat(src.cast("string"), F.lit(f"#{seed}")))), "_order", (), "_rn", None
+        )
         # the class table is read ~4 times below: write it once (cuts the lineage)
-        mc = write_table(ranked.withColumn("_sid", F.col("_rn") - 1).drop("_rn", "_h"), f"smote-class-{c}")
+        mc = write_table(ranked.withColumn("_sid", F.col("_rn") - 1).drop("_rn", "_order"), f"smote-class-{c}")
         # rank buckets grow with the class so the broadcast array of bucket
         # minima stays at most MAX_BUCKETS entries whatever the class size
         rows_per_bucket = max(bucket_rows, -(-m // MAX_BUCKETS))
         knn = write_table(exact_knn(mc, "_sid", feats, kk, seed, rows_per_bucket), f"smote-knn-{c}")
         gen = mc.sparkSession.range(need).select(
             F.col("id").alias("_gid"),
-            F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(m)).alias("_base"),
-            (F.pmod(F.xxhash64(F.col("id"), F.lit(seed + 1)), F.lit(kk)) + 1).cast("int").alias("_j"),
-            (F.pmod(F.xxhash64(F.col("id"), F.lit(seed + 2)), F.lit(1 << 52)).cast("double") / float(1 << 52)).alias("_u"),
+            F.pmod(draw("id", seed, 15), F.lit(m)).alias("_base"),
+            (F.pmod(draw("id", seed + 1, 15), F.lit(kk)) + 1).cast("int").alias("_j"),
+            (draw("id", seed + 2, 13).cast("double") / float(1 << 52)).alias("_u"),
         )
         g = gen.join(knn, (gen["_base"] == knn["_sid"]) & (gen["_j"] == knn["nn_rank"]), "inner").select(
             "_gid", "_base", "_u", F.col("nn__sid").alias("_nb")

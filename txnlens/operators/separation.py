@@ -3,7 +3,7 @@
 Features are handled in long form ``(column, value)`` so one job covers all
 of them. The KS statistic needs each feature's empirical CDF in value order:
 values are first collapsed to ``(column, value) -> (n0, n1)`` and the running
-sums come from :func:`txnlens.plans.ordered.prefix_sums` (value-range buckets,
+sums come from :func:`txnlens.plans.ordered.prefix_sums` (range buckets,
 no single-partition window).
 """
 
@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.functions.columns import clip, nan_to_null, pearson
+from txnlens.operators.profile import to_long
 from txnlens.plans.ordered import prefix_sums, quantiles_wide
-from txnlens.plans.small import join_small
+from txnlens.plans.small import fits, join_small
 from txnlens.plans.stage import write_table
 from txnlens.spec import TxnSpec
 
@@ -29,15 +30,6 @@ KDE_BW = 0.3
 KDE_CUTOFF = 40.0
 
 
-def long_with_label(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-    """``(label, column, col_idx, value)`` with NaN as NULL."""
-    idx = {c: i for i, c in enumerate(cols)}
-    wide = df.select(F.col(label).alias("_lbl"), *[nan_to_null(F.col(f"`{c}`").cast("double")).alias(c) for c in cols])
-    long = wide.unpivot(["_lbl"], list(cols), "column", "value")
-    order = F.element_at(F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(idx[c]))]), F.col("column"))
-    return long.withColumn("col_idx", order)
-
-
 def kolmogorov_sf(z: Column, terms: int = 20) -> Column:
     """Q_KS(z) = P(K > z) of the Kolmogorov distribution (two-sided limit).
 
@@ -59,7 +51,7 @@ def kolmogorov_sf(z: Column, terms: int = 20) -> Column:
 
 def feature_ks(df: DataFrame, cols: Sequence[str], spec: TxnSpec = TxnSpec()) -> DataFrame:
     """Two-sample KS statistic (negatives vs positives) and asymptotic p-value per feature."""
-    long = long_with_label(df, cols, spec.label).where(F.col("value").isNotNull())
+    long = to_long(df, cols, spec.label).where(F.col("value").isNotNull())
     counts = long.groupBy("column", "col_idx", "value").agg(
         F.count_if(F.col("_lbl") == 0).alias("n0"), F.count_if(F.col("_lbl") == 1).alias("n1")
     )
@@ -68,11 +60,13 @@ def feature_ks(df: DataFrame, cols: Sequence[str], spec: TxnSpec = TxnSpec()) ->
     # would recompute the shuffle for each - write it once instead
     counts = write_table(counts, "ks-counts")
     tot = counts.groupBy("column").agg(F.sum("n0").alias("tot0"), F.sum("n1").alias("tot1"))
-    cum = prefix_sums(counts, "value", ["n0", "n1"], part_cols=["column"], max_groups=len(cols))
+    cum = prefix_sums(counts, "value", ["n0", "n1"], part_cols=["column"])
     cum = join_small(cum, tot, "column", "inner", bound=len(cols))  # one row per feature
     d = F.abs(F.col("n0_cum") / F.col("tot0") - F.col("n1_cum") / F.col("tot1"))
     ks = cum.groupBy("column", "col_idx", "tot0", "tot1").agg(F.max(d).alias("ks"))
-    en = F.col("tot0") * F.col("tot1") / (F.col("tot0") + F.col("tot1"))
+    # in double: the product of two counts does not fit a bigint at scale
+    n0, n1 = F.col("tot0").cast("double"), F.col("tot1").cast("double")
+    en = n0 * n1 / (n0 + n1)
     return ks.select(
         "column",
         "col_idx",
@@ -85,7 +79,7 @@ def feature_ks(df: DataFrame, cols: Sequence[str], spec: TxnSpec = TxnSpec()) ->
 
 def label_means(df: DataFrame, cols: Sequence[str], spec: TxnSpec = TxnSpec()) -> DataFrame:
     """Per feature: mean and sample std for negatives and positives, and correlation."""
-    long = long_with_label(df, cols, spec.label)
+    long = to_long(df, cols, spec.label)
     lbl = F.col("_lbl")
     return long.groupBy("column", "col_idx").agg(
         F.avg(F.when(lbl == 1, F.col("value"))).alias("pos_mean"),
@@ -128,6 +122,21 @@ def _value(df: DataFrame, col: str, clip_lo: float | None, clip_hi: float | None
     return clip(v, clip_lo, clip_hi) if (clip_lo is not None or clip_hi is not None) else v
 
 
+MAX_LABELS = 10_000
+
+
+def _with_label_params(df: DataFrame, params: DataFrame) -> DataFrame:
+    """Attach one fitted row per label to the rows of ``df`` without moving them by label.
+
+    The parameter table has one row per label; it is written once, its row count
+    is checked, and it is broadcast, so a label with most rows is never one task.
+    """
+    params = write_table(params, "label-params")
+    if not fits(params, MAX_LABELS):
+        raise ValueError(f"more than {MAX_LABELS} labels: not a classification label")
+    return df.join(F.broadcast(params), "_lbl")
+
+
 def histogram_by_label(
     df: DataFrame,
     col: str,
@@ -152,8 +161,7 @@ def histogram_by_label(
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"),
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi"),
     )
-    # one row per label value
-    j = join_small(x, st, "_lbl", "inner")
+    j = _with_label_params(x, st)
     idx = F.floor((F.col("v") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo")))).cast("int")
     idx = F.least(F.greatest(idx, F.lit(0)), F.lit(bins - 1))
     counts = j.groupBy("_lbl", idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -179,11 +187,12 @@ def density_by_label(
     clip_lo: float | None = None,
     clip_hi: float | None = None,
     points: int = KDE_POINTS,
-    bw: float = KDE_BW,
+    bw: float | None = KDE_BW,
 ) -> DataFrame:
     """Gaussian kernel density per label on an evenly spaced grid.
 
-    Bandwidth = ``bw`` x sample std of the (clipped) values. The grid is
+    Bandwidth = ``bw`` x sample std of the (clipped) values; ``bw=None`` is
+    Scott's rule, n^(-1/5) x std. The grid is
     [grid_lo, grid_hi], or the label's own [min, max] when not given. Values are
     collapsed to distinct ``(label, value)`` counts first; each contributes only
     to grid points within ``KDE_CUTOFF`` bandwidths (all others are exactly 0).
@@ -200,11 +209,12 @@ def density_by_label(
     )
     lo = F.lit(float(grid_lo)) if grid_lo is not None else F.col("_mn")
     hi = F.lit(float(grid_hi)) if grid_hi is not None else F.col("_mx")
+    factor = F.lit(bw) if bw is not None else F.pow(F.col("n").cast("double"), F.lit(-0.2))
     st = st.where((F.col("n") > 1) & (F.col("_sd") > 0)).select(
-        "_lbl", "n", (F.col("_sd") * bw).alias("h"), lo.alias("lo"), hi.alias("hi")
+        "_lbl", "n", (F.col("_sd") * factor).alias("h"), lo.alias("lo"), hi.alias("hi")
     ).withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(float(points - 1)))
     vals = x.groupBy("_lbl", "v").agg(F.count(F.lit(1)).alias("c"))
-    j = join_small(vals, st, "_lbl", "inner")
+    j = _with_label_params(vals, st)
     reach = F.col("h") * KDE_CUTOFF
     j_lo = F.greatest(F.ceil((F.col("v") - reach - F.col("lo")) / F.col("step")), F.lit(0)).cast("int")
     j_hi = F.least(F.floor((F.col("v") + reach - F.col("lo")) / F.col("step")), F.lit(points - 1)).cast("int")
@@ -238,7 +248,7 @@ def box_stats(
         F.col("v").isNotNull()
     )
     q = quantiles_wide(x, "v", [0.25, 0.5, 0.75], ["q1", "median", "q3"], by=["_lbl"])
-    j = join_small(x, q, "_lbl", "inner")
+    j = _with_label_params(x, q)
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - whis * iqr, F.col("q3") + whis * iqr
     g = j.groupBy("_lbl", "q1", "median", "q3").agg(

@@ -36,7 +36,7 @@ def fixture(variant: str = "base") -> str:
          {_feats(variant)},
          CASE WHEN e.event_id % 97 = 0 THEN 0.0::DOUBLE ELSE round(e.value * 4, 2) END AS Amount,
          CASE WHEN {pos} THEN 1 ELSE 0 END AS "Class"
-  FROM events e JOIN embeddings m ON e.event_id % 500 = m.vec_id
+  FROM events e JOIN embeddings m ON e.event_id % (SELECT max(vec_id) + 1 FROM embeddings) = m.vec_id
 ),
 transactions AS (
   SELECT * FROM base UNION ALL SELECT * FROM base WHERE txn_id % 263 = 0
@@ -193,6 +193,17 @@ FROM lng GROUP BY "column", col_idx""",
         'FROM transactions GROUP BY "Class"',
         r6("mean", "median", "max", "std"),
     )
+    corr_cols = ["Time", *V, "Amount", "is_zero_amount", "Amount_capped", "Amount_log", "Time_scaled", "Hour", "Day"]
+    o["label_correlations"] = q(
+        [CLEAN, VIEW, f"lng AS ({unpivot_union(corr_cols, 'view', ', CAST(\"Class\" AS DOUBLE) AS y')})",
+         'c AS (SELECT "column", col_idx, corr(value, y) AS corr FROM lng GROUP BY "column", col_idx)'],
+        "SELECT *, corr < 0 AS negative FROM c",
+        r6("corr"),
+    )
+    o["skew_before_after"] = q(
+        [CLEAN], "SELECT skewness(Amount) AS skew_before, skewness(Amount_log) AS skew_after FROM cleaned", r6("skew_before", "skew_after")
+    )
+    o["csv_round_trip"] = q([], "SELECT * FROM transactions", r6("Time", "Amount", *V))
     o["moments_topk"] = q(
         [f"lng AS ({unpivot_union(V, 'transactions')})",
          'm AS (SELECT "column", col_idx, round_even(skewness(value), 4) AS skewness, round_even(kurtosis(value), 4) AS kurtosis '
@@ -244,6 +255,13 @@ FROM fences""",
         'count(*) FILTER (WHERE "Class" = 1) * 100.0 / count(*) AS rate_pct FROM splitted GROUP BY split',
         r6("rate_pct"),
     )
+    o["saved_splits"] = q(
+        split_ctes,
+        """SELECT saved, txn_id, "Class", Amount_log FROM splitted
+JOIN (VALUES ('wrangled', NULL), ('train', 'train'), ('test', 'test')) t(saved, part) ON part IS NULL OR part = split""",
+        r6("Amount_log"),
+    )
+    o["smote_balanced"] = q(split_ctes + [SCALED, *_smote_ctes()], "SELECT * FROM balanced", r6(*WRANGLED_DOUBLES, *SCALE_COLS))
     o["scaled_train"] = q(split_ctes + [SCALED], "SELECT * FROM scaled", r6(*WRANGLED_DOUBLES, *SCALE_COLS))
     o["class_weights"] = q(
         split_ctes,
@@ -357,6 +375,9 @@ FROM view""",
         f'SELECT txn_id, "Time", Amount, "Class", "Hour", Day_label, Amount_band, fraud_score FROM view WHERE {filt}',
         r6("Time", "Amount", "fraud_score"),
     )
+    o["scorecard_empty_filter"] = q(
+        vc + ["fview AS (SELECT * FROM view WHERE Day_label = 'Day 9')"] + _scorecard_ctes("fview", "view"), SCORECARD_BODY, r6("value")
+    )
     o["filtered_scorecard"] = q(
         vc + [f"fview AS (SELECT * FROM view WHERE {filt})"] + _scorecard_ctes("fview", "view"), SCORECARD_BODY, r6("value")
     )
@@ -427,6 +448,9 @@ FROM means""",
     o["histogram_by_label"] = q([CLEAN], _hist_sql("cleaned", "Amount_log", 60), r6("bin_lo", "bin_hi", "density"))
     o["score_histogram"] = q([CLEAN, VIEW], _hist_sql("view", "fraud_score", 50), r6("bin_lo", "bin_hi", "density"))
     o["density_by_label"] = q([CLEAN], _kde_sql("cleaned", "least(Amount, 500.0)", "0.0", "500.0"), r6("x", "density", d=9))
+    o["density_scott"] = q(
+        [CLEAN], _kde_sql("cleaned", "least(Amount, 500.0)", "0.0", "500.0", "pow(count(*), -0.2)"), r6("x", "density", d=9)
+    )
     o["density_log_amount"] = q([CLEAN], _kde_sql("cleaned", "Amount_log", None, None), r6("x", "density", d=9))
     o["density_feature"] = q(
         [CLEAN], _kde_sql("cleaned", "least(greatest(V17, -10.0), 10.0)", "-10.0", "10.0"), r6("x", "density", d=9)
@@ -492,6 +516,7 @@ LEFT JOIN (SELECT "Hour", count(*) AS positives FROM view WHERE "Class" = 1 GROU
        CASE WHEN "Class" = 0 THEN 'LEGIT' WHEN "Class" = 1 THEN 'FRAUD' END AS Class_label
 FROM view {where} ORDER BY fraud_score DESC NULLS LAST, txn_id LIMIT {n}"""
     o["top_flagged"] = q(vc, top.format(where="", n=50), r6("Time", "Amount", "fraud_score"))
+    o["top_flagged_only"] = q(vc, top.format(where="WHERE fraud_score >= 0.30", n=50), r6("Time", "Amount", "fraud_score"))
     o["top_flagged_negative"] = q(vc, top.format(where='WHERE "Class" = 0', n=25), r6("Time", "Amount", "fraud_score"))
     o["sample_rows"] = q(
         vc,
@@ -599,6 +624,34 @@ scaled AS (SELECT s.* REPLACE ({rep}) FROM splitted s, sstat p)"""
 SCALED = _scaled()
 
 
+def _smote_ctes(k: int = 5, seed: int = 42) -> list[str]:
+    """SMOTE of the positives up to the negatives' count (two classes, positives the smaller)."""
+    bins = [f"Amount_bin_{b}" for b in BAND_NAMES]
+    whole = ["is_zero_amount", "Time_hour", "is_daytime", "Day_period", *bins]
+    feats = [*whole, *SCALE_COLS]
+    vec = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in feats) + "]"
+    draw = lambda seed, digits: f"CAST('0x' || substr(md5(CAST(g AS VARCHAR) || '#{seed}'), 1, {digits}) AS BIGINT)"
+    mix = {c: f"x[{i}] + u * (y[{i}] - x[{i}])" for i, c in enumerate(feats, 1)}
+    made = ", ".join(f"CAST(trunc({mix[c]}) AS INTEGER) AS {c}" if c in whole else f"{mix[c]} AS {c}" for c in feats)
+    cols = ", ".join(feats)
+    return [
+        "train AS (SELECT * EXCLUDE (split) FROM scaled WHERE split = 'train')",
+        f"""pos AS (SELECT row_number() OVER (ORDER BY md5(CAST(txn_id AS VARCHAR) || '#{seed}')) - 1 AS sid, {vec} AS v
+          FROM train WHERE "Class" = 1)""",
+        """sizes AS (SELECT count(*) FILTER (WHERE "Class" = 1) AS m, count(*) FILTER (WHERE "Class" = 0) AS n FROM train)""",
+        f"""knn AS (SELECT * FROM (SELECT a.sid, b.sid AS nb,
+            row_number() OVER (PARTITION BY a.sid ORDER BY list_distance(a.v, b.v), b.sid) AS rk
+          FROM pos a JOIN pos b ON a.sid <> b.sid) WHERE rk <= {k})""",
+        f"""gen AS (SELECT {draw(seed, 15)} % m AS base, {draw(seed + 1, 15)} % least({k}, m - 1) + 1 AS j,
+            CAST({draw(seed + 2, 13)} AS DOUBLE) / 4503599627370496.0 AS u
+          FROM sizes, LATERAL (SELECT unnest(range(greatest(n - m, 0))) AS g))""",
+        """pairs AS (SELECT a.v AS x, b.v AS y, u FROM gen JOIN knn ON knn.sid = base AND rk = j
+          JOIN pos a ON a.sid = base JOIN pos b ON b.sid = nb)""",
+        f"""balanced AS (SELECT txn_id, "Class", {cols}, false AS synthetic FROM train
+          UNION ALL SELECT NULL AS txn_id, 1 AS "Class", {made}, true AS synthetic FROM pairs)""",
+    ]
+
+
 def _ksf(z: str) -> str:
     big = " + ".join(f"{2.0 * (1 if k % 2 else -1)} * exp({-2.0 * k * k} * ({z}) * ({z}))" for k in range(1, 21))
     import math
@@ -621,13 +674,13 @@ SELECT sp.lbl AS "Class", sp.bin, lo + sp.bin * ((hi - lo) / {bins}) AS bin_lo,
 FROM sp LEFT JOIN hc ON sp.lbl = hc.lbl AND sp.bin = hc.bin""".replace("WITH hx", "SELECT * FROM (WITH hx", 1) + ")"
 
 
-def _kde_sql(src: str, expr: str, lo: str | None, hi: str | None) -> str:
+def _kde_sql(src: str, expr: str, lo: str | None, hi: str | None, bw: str = "0.3") -> str:
     lo_e = lo if lo is not None else "min(v)"
     hi_e = hi if hi is not None else "max(v)"
     import math
 
     return f"""SELECT * FROM (WITH kx AS (SELECT "Class" AS lbl, CAST({expr} AS DOUBLE) AS v FROM {src} WHERE {expr} IS NOT NULL),
-ks AS (SELECT lbl, count(*) AS n, stddev_samp(v) * 0.3 AS h, {lo_e} AS lo, {hi_e} AS hi FROM kx GROUP BY lbl
+ks AS (SELECT lbl, count(*) AS n, stddev_samp(v) * {bw} AS h, {lo_e} AS lo, {hi_e} AS hi FROM kx GROUP BY lbl
        HAVING count(*) > 1 AND stddev_samp(v) > 0),
 grid AS (SELECT lbl, n, h, range AS j,
                 CASE WHEN range = 299 THEN hi ELSE range * ((hi - lo) / 299.0) + lo END AS x FROM ks, range(300)),
@@ -643,12 +696,12 @@ def _scorecard_ctes(src: str, peak_src: str) -> list[str]:
                GROUP BY "Hour" ORDER BY r DESC, "Hour" LIMIT 1)""",
         f"""kp AS (SELECT CAST(count(*) AS DOUBLE) AS total_transactions,
        CAST(count(*) FILTER (WHERE "Class" = 1) AS DOUBLE) AS positives,
-       count(*) FILTER (WHERE "Class" = 1) * 100.0 / count(*) AS positive_rate_pct,
+       coalesce(count(*) FILTER (WHERE "Class" = 1) * 100.0 / NULLIF(count(*), 0), 0.0) AS positive_rate_pct,
        CAST(count(*) FILTER (WHERE "Class" = 0) AS DOUBLE) / NULLIF(count(*) FILTER (WHERE "Class" = 1), 0) AS imbalance_ratio,
        coalesce(sum(Amount) FILTER (WHERE "Class" = 1), 0.0) AS total_exposure,
-       avg(Amount) FILTER (WHERE "Class" = 1) AS avg_positive_amount,
+       coalesce(avg(Amount) FILTER (WHERE "Class" = 1), 0.0) AS avg_positive_amount,
        avg(Amount) FILTER (WHERE "Class" = 0) AS avg_negative_amount,
-       max(Amount) FILTER (WHERE "Class" = 1) AS max_positive_amount,
+       coalesce(max(Amount) FILTER (WHERE "Class" = 1), 0.0) AS max_positive_amount,
        CAST(count(*) FILTER (WHERE "Class" = 1 AND Amount = 0) AS DOUBLE) AS zero_amount_positives,
        CAST(count(*) FILTER (WHERE "Class" = 1 AND "Hour" BETWEEN 8 AND 19) AS DOUBLE) AS day_positives,
        CAST(count(*) FILTER (WHERE "Class" = 1 AND NOT ("Hour" BETWEEN 8 AND 19)) AS DOUBLE) AS night_positives

@@ -32,7 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlens.plans.ordered import prefix_rank, value_bucket
+from txnlens.plans.ordered import prefix_rank
 from txnlens.plans.small import with_params
 
 
@@ -155,12 +155,15 @@ def _block_topk(k: int):
         for s in range(0, len(aid), 128):
             d = np.sqrt(((av[s : s + 128, None, :] - bv[None, :, :]) ** 2).sum(-1))
             d[aid[s : s + 128, None] == bid[None, :]] = np.inf  # never its own neighbour
-            for r in range(d.shape[0]):
-                order = np.lexsort((bid, d[r]))[:kk]
-                keep = order[np.isfinite(d[r][order])]
-                out_a.append(np.full(len(keep), aid[s + r]))
-                out_b.append(bid[keep])
-                out_d.append(d[r][keep])
+            # all that reach the block's k-th distance, then the k first by (distance, id)
+            limit = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+            r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+            order = np.lexsort((bid[c], d[r, c], r))
+            r, c = r[order], c[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < kk
+            out_a.append(aid[s + r[first]])
+            out_b.append(bid[c[first]])
+            out_d.append(d[r, c][first])
         return pd.DataFrame({"a_id": np.concatenate(out_a), "b_id": np.concatenate(out_b), "_d": np.concatenate(out_d)})
 
     return fn
@@ -179,4 +182,4 @@ def _bucket_of(v: Column, mins: Column, n: Column, max_splits: int) -> Column:
     return F.aggregate(strides, F.lit(0), step)
 
 
-__all__ = ["exact_knn", "value_bucket"]
+__all__ = ["exact_knn"]

@@ -5,51 +5,49 @@ A window with ``orderBy`` but no ``partitionBy`` moves every row into one task
 whole value->count map of a group in one task. Neither survives 100 TB, so the
 engine uses two-level plans instead:
 
-* :func:`value_bucket` assigns each row an ordered bucket from value-range
-  splits taken from a ``percentile_approx`` sketch. Splits are by *value*, so
-  equal values never straddle two buckets and a hot value stays in one bucket
-  (where it is first collapsed to a single ``(value, count)`` row).
+* :func:`with_range_buckets` writes the rows range-partitioned by their order
+  and keeps the partition number as an ordered bucket. The partitioner takes its
+  bounds from a sample, so the buckets stay balanced whatever their number, and
+  a salt among the order columns lets one hot value span several buckets.
 * :func:`prefix_rank`, :func:`prefix_sums`, :func:`previous_value` compute the
-  per-bucket summaries (a table of at most groups x buckets rows), prefix-sum
-  them with a window over that small table, and finish with a window
-  partitioned by ``(group, bucket)``.
+  per-bucket summaries (at most one row per group and bucket), prefix-sum them
+  with a window over that small table, and finish with a window partitioned by
+  ``(group, bucket)`` over at most about ``TARGET_BUCKET_ROWS`` rows.
 * :func:`exact_quantiles` brackets each target rank between two sketch
   quantiles, then ranks only the distinct values inside the bracket (split
-  again into value sub-buckets so no window group grows with n). It runs its
-  passes eagerly and writes its small intermediates to the checkpoint folder. The
-  sketch's rank-error bound guarantees the bracket holds the answer; groups
-  where it would not are recomputed with the exact aggregate, so results are
-  always exact (linear interpolation, as pandas / DuckDB ``quantile_cont``).
+  again into value sub-buckets). It runs its passes eagerly and writes its small
+  intermediates to the checkpoint folder. A bracket that missed its rank is
+  tried again with a wider margin, up to the whole range, so results are always
+  exact (linear interpolation, as pandas / DuckDB ``quantile_cont``) and there
+  is one path at every size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlens.plans.small import join_small, with_params
+from txnlens.plans.small import join_small
 from txnlens.plans.stage import write_table
 
-DEFAULT_BUCKETS = 256
-MAX_BUCKETS = 100_000
-TARGET_BUCKET_ROWS = 2_000_000
+LEAST_BUCKETS = 8
+TARGET_BUCKET_ROWS = 1_000_000
+LEAST_SALTS = 1024
 DEFAULT_ACCURACY = 10_000
 
 
-def auto_buckets(df: DataFrame, n_buckets: int | None) -> int:
-    """Bucket count for a two-level scan: as given, or sized from the row count.
+def auto_buckets(n_rows: int, n_buckets: int | None = None) -> int:
+    """Bucket count of a two-level scan: as given, or about TARGET_BUCKET_ROWS rows a bucket."""
+    return n_buckets or max(LEAST_BUCKETS, -(-n_rows // TARGET_BUCKET_ROWS))
+
+
+def auto_salts(n_rows: int, salts: int | None = None) -> int:
+    """Salt count: as given, or so many that rows of one value and salt stay about TARGET_BUCKET_ROWS."""
+    return salts or max(LEAST_SALTS, -(-n_rows // TARGET_BUCKET_ROWS))
+
 
-    ``None`` counts the rows once and aims at about TARGET_BUCKET_ROWS rows per
-    bucket (at least DEFAULT_BUCKETS, at most MAX_BUCKETS split points), so
-    per-bucket windows stay bounded as the input grows.
-    """
-    if n_buckets is not None:
-        return n_buckets
-    n = df.count()
-    return int(min(MAX_BUCKETS, max(DEFAULT_BUCKETS, -(-n // TARGET_BUCKET_ROWS))))
 _G = "_grp0"
 
 
@@ -60,53 +58,28 @@ def _with_group_key(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[s
     return df.withColumn(_G, F.lit(0)), [_G]
 
 
-def value_bucket(v: Column, splits: Column, n_splits: int) -> Column:
-    """Number of ``splits`` (sorted array<double>) that are <= ``v``.
+def with_range_buckets(df: DataFrame, order_cols: Sequence[str], out: str, n_buckets: int) -> DataFrame:
+    """``df`` written range-partitioned by ``order_cols``; ``out`` is the partition's number.
 
-    A binary search written as an ``aggregate`` fold: O(log n_splits) per row,
-    all JVM-side. Equal values always land in the same bucket.
+    Stored, the number is a column like any other: a lost executor cannot change
+    it. Buckets follow the order of ``order_cols`` (nulls first).
     """
-    if n_splits <= 0:
-        return F.lit(0)
-    depth = max(1, math.ceil(math.log2(n_splits + 1)))
-    strides = F.array(*[F.lit(1 << j) for j in reversed(range(depth))])
-
-    def step(acc: Column, stride: Column) -> Column:
-        cand = acc + stride
-        ok = (cand <= F.lit(n_splits)) & (F.element_at(splits, cand) <= v)
-        return F.when(ok, cand).otherwise(acc)
-
-    return F.aggregate(strides, F.lit(0), step)
-
-
-def _split_probs(n_buckets: int) -> list[float]:
-    return [i / n_buckets for i in range(1, n_buckets)]
-
-
-def with_value_buckets(
-    df: DataFrame,
-    order_col: str,
-    out: str,
-    n_buckets: int = DEFAULT_BUCKETS,
-    accuracy: int = 10_000,
-) -> DataFrame:
-    """Add ``out``: an ordered, value-range bucket id of ``order_col`` (global splits).
-
-    The splits are one ``percentile_approx`` over the whole column (a one-row
-    aggregate of n_buckets-1 doubles), broadcast to the tasks; no driver round trip.
-    """
-    probs = _split_probs(n_buckets)
-    splits = df.agg(
-        F.percentile_approx(F.col(order_col).cast("double"), F.array(*[F.lit(p) for p in probs]), accuracy).alias("s")
-    )
-    x = with_params(df, splits, "_spl")
-    return x.withColumn(out, value_bucket(F.col(order_col).cast("double"), F.col("_spl.s"), len(probs))).drop("_spl")
+    order = [F.col(c).asc_nulls_first() for c in order_cols]
+    return write_table(df.repartitionByRange(n_buckets, *order).withColumn(out, F.spark_partition_id()), "ranges")
 
 
 def _salted(df: DataFrame, salts: int) -> DataFrame:
-    """Add a row hash ``_h`` (all columns) and a salt ``_s`` in [0, salts)."""
+    """Add a row hash ``__row_hash`` (all columns) and a salt ``__salt`` in [0, salts)."""
     h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    return df.withColumn("_h", h).withColumn("_s", F.pmod(F.col("_h"), F.lit(salts)))
+    return df.withColumn("__row_hash", h).withColumn("__salt", F.pmod(F.col("__row_hash"), F.lit(salts)))
+
+
+def _counted(df: DataFrame, order_col: str, salts: int | None) -> tuple[DataFrame, int, int]:
+    """The salted rows with an order value, their number, and the number of salts."""
+    x = df.where(F.col(order_col).isNotNull())
+    n = x.count()
+    salts = auto_salts(n, salts)
+    return _salted(x, salts), n, salts
 
 
 def prefix_rank(
@@ -116,7 +89,7 @@ def prefix_rank(
     rank_col: str = "_rn",
     total_col: str | None = "_n",
     n_buckets: int | None = None,
-    salts: int = 1024,
+    salts: int | None = None,
 ) -> DataFrame:
     """``row_number()`` over ``part_cols`` ordered by ``order_col``, two-level.
 
@@ -124,15 +97,15 @@ def prefix_rank(
     Rows with a NULL ``order_col`` are dropped. Rows are first collapsed to
     ``(group, value, salt)`` counts, so a value shared by a third of all rows
     becomes at most ``salts`` records; the running offsets are computed over
-    that table with value-range buckets, and rows are numbered only inside
-    their ``(group, value, salt)`` group.
+    that table in range buckets, and rows are numbered only inside their
+    ``(group, value, salt)`` group.
     """
     parts = list(part_cols)
-    x = _salted(df.where(F.col(order_col).isNotNull()), salts)
-    cv = x.groupBy(*parts, order_col, "_s").agg(F.count(F.lit(1)).alias("_c"))
+    x, n, salts = _counted(df, order_col, salts)
+    cv = x.groupBy(*parts, order_col, "__salt").agg(F.count(F.lit(1)).alias("_c"))
     b = "_bkt"
     # records <= rows: sizing the buckets from the input avoids running the aggregation twice
-    cvb = with_value_buckets(cv, order_col, b, auto_buckets(x, n_buckets))
+    cvb = with_range_buckets(cv, [*parts, order_col, "__salt"], b, auto_buckets(n, n_buckets))
     bt = cvb.groupBy(*parts, b).agg(F.sum("_c").alias("_bc"))
     wp = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(b)
     # ``bt`` has at most |groups| x n_buckets rows: the windows over it are small
@@ -143,13 +116,13 @@ def prefix_rank(
         F.sum("_bc").over(Window.partitionBy(*parts) if parts else Window.partitionBy()).alias("_tot"),
     )
     cvb = join_small(cvb, offs, [*parts, b], "inner")
-    wv = Window.partitionBy(*parts, b).orderBy(order_col, "_s").rowsBetween(Window.unboundedPreceding, -1)
+    wv = Window.partitionBy(*parts, b).orderBy(order_col, "__salt").rowsBetween(Window.unboundedPreceding, -1)
     cvb = cvb.withColumn("_off", F.col("_boff") + F.coalesce(F.sum("_c").over(wv), F.lit(0)))
-    y = x.join(cvb.select(*parts, order_col, "_s", "_off", "_tot"), [*parts, order_col, "_s"], "inner")
-    wr = Window.partitionBy(*parts, order_col, "_s").orderBy("_h")  # rows of one (value, salt)
+    y = x.join(cvb.select(*parts, order_col, "__salt", "_off", "_tot"), [*parts, order_col, "__salt"], "inner")
+    wr = Window.partitionBy(*parts, order_col, "__salt").orderBy("__row_hash")  # rows of one (value, salt)
     y = y.withColumn(rank_col, F.col("_off") + F.row_number().over(wr))
     y = y.withColumnRenamed("_tot", total_col) if total_col else y.drop("_tot")
-    return y.drop("_off", "_h", "_s")
+    return y.drop("_off", "__row_hash", "__salt")
 
 
 def prefix_sums(
@@ -159,7 +132,6 @@ def prefix_sums(
     part_cols: Sequence[str] = (),
     suffix: str = "_cum",
     n_buckets: int | None = None,
-    max_groups: int | None = None,
 ) -> DataFrame:
     """Running sums of ``sum_cols`` ordered by ``order_col`` (rows-unbounded-preceding).
 
@@ -169,17 +141,7 @@ def prefix_sums(
     b = "_bkt"
     parts = list(part_cols)
     x = df.where(F.col(order_col).isNotNull())
-    n_buckets = auto_buckets(x, n_buckets)
-    if parts:
-        # per-group splits: one sketch per group, joined back (groups are bounded)
-        probs = _split_probs(n_buckets)
-        sp = x.groupBy(*parts).agg(
-            F.percentile_approx(F.col(order_col).cast("double"), F.array(*[F.lit(p) for p in probs]), 10_000).alias("_s")
-        )
-        x = join_small(x, sp, parts, "inner", bound=max_groups)
-        x = x.withColumn(b, value_bucket(F.col(order_col).cast("double"), F.col("_s"), len(probs))).drop("_s")
-    else:
-        x = with_value_buckets(x, order_col, b, n_buckets)
+    x = with_range_buckets(x, [*parts, order_col], b, auto_buckets(x.count(), n_buckets))
     tot = x.groupBy(*parts, b).agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
     wp = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(b).rowsBetween(
         Window.unboundedPreceding, -1
@@ -187,7 +149,7 @@ def prefix_sums(
     offs = tot.select(
         *parts, b, *[F.coalesce(F.sum(f"_bt_{c}").over(wp), F.lit(0)).alias(f"_off_{c}") for c in sum_cols]
     )
-    x = join_small(x, offs, [*parts, b], "inner", bound=None if max_groups is None else max_groups * n_buckets)
+    x = join_small(x, offs, [*parts, b], "inner")
     w = Window.partitionBy(*parts, b).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     for c in sum_cols:
         x = x.withColumn(f"{c}{suffix}", F.col(f"_off_{c}") + F.sum(c).over(w)).drop(f"_off_{c}")
@@ -200,37 +162,37 @@ def previous_value(
     part_cols: Sequence[str] = (),
     out: str = "_prev",
     n_buckets: int | None = None,
-    salts: int = 1024,
+    salts: int | None = None,
 ) -> DataFrame:
     """``lag(order_col)`` over ``part_cols`` ordered by ``order_col``, two-level.
 
-    No window runs over rows. Rows are collapsed to ``(group, value, salt)``
-    records (count, lowest row hash); the previous record's value in
-    ``(value, salt)`` order comes from per-bucket windows over that table plus
-    the last value of the previous non-empty bucket. Back on the rows, the row
+    Rows are collapsed to ``(group, value, salt)`` records (count, lowest row
+    hash); the previous record's value in ``(value, salt)`` order comes from
+    per-bucket windows over that table plus the last value of the previous
+    non-empty bucket. Back on the rows, the row
     with the lowest hash of its record takes that previous value and every
     other row takes its own value (its predecessor is a tie). Fully identical
     rows share a hash and are numbered among themselves (a window over copies
     of one row).
     """
     parts = list(part_cols)
-    x = _salted(df.where(F.col(order_col).isNotNull()), salts)
-    cv = x.groupBy(*parts, order_col, "_s").agg(F.min("_h").alias("_hmin"))
+    x, n, salts = _counted(df, order_col, salts)
+    cv = x.groupBy(*parts, order_col, "__salt").agg(F.min("__row_hash").alias("_hmin"))
     b = "_bkt"
-    cvb = with_value_buckets(cv, order_col, b, auto_buckets(x, n_buckets))  # records <= rows
+    cvb = with_range_buckets(cv, [*parts, order_col, "__salt"], b, auto_buckets(n, n_buckets))  # records <= rows
     last = cvb.groupBy(*parts, b).agg(F.max(order_col).alias("_bmax"))
     wp = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(b)
     carry = last.select(*parts, b, F.lag("_bmax").over(wp).alias("_carry"))  # small table
     cvb = join_small(cvb, carry, [*parts, b], "inner")
-    wv = Window.partitionBy(*parts, b).orderBy(order_col, "_s")
+    wv = Window.partitionBy(*parts, b).orderBy(order_col, "__salt")
     cvb = cvb.withColumn("_pp", F.coalesce(F.lag(order_col).over(wv), F.col("_carry")))
-    y = x.join(cvb.select(*parts, order_col, "_s", "_hmin", "_pp"), [*parts, order_col, "_s"], "inner")
+    y = x.join(cvb.select(*parts, order_col, "__salt", "_hmin", "_pp"), [*parts, order_col, "__salt"], "inner")
     # fully identical rows share a hash: number them so exactly one is first
     # (a window over identical copies only; distinct rows are singletons)
-    wd = Window.partitionBy(*parts, order_col, "_s", "_h").orderBy("_h")
-    first = (F.col("_h") == F.col("_hmin")) & (F.row_number().over(wd) == 1)
+    wd = Window.partitionBy(*parts, order_col, "__salt", "__row_hash").orderBy("__row_hash")
+    first = (F.col("__row_hash") == F.col("_hmin")) & (F.row_number().over(wd) == 1)
     y = y.withColumn(out, F.when(first, F.col("_pp")).otherwise(F.col(order_col)))
-    return y.drop("_h", "_s", "_hmin", "_pp")
+    return y.drop("__row_hash", "__salt", "_hmin", "_pp")
 
 
 def exact_quantiles(
@@ -242,7 +204,6 @@ def exact_quantiles(
     max_groups: int | None = None,
     margin: float | None = None,
     sub_buckets: int = 1024,
-    exact_group_limit: int = 1_000_000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, per group.
 
@@ -252,35 +213,34 @@ def exact_quantiles(
     vcol = F.col(value) if isinstance(value, str) else value
     x = df.select(*[F.col(c) for c in by], vcol.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     x, keys = _with_group_key(x, by)
-    k = len(probs)
     margin = 4.0 / accuracy if margin is None else margin  # rank margin of the bracket
+    out = None
+    while True:
+        good, bad = _bracket_pass(x, keys, by, probs, accuracy, margin, sub_buckets, max_groups)
+        out = good if out is None else out.unionByName(good)
+        if margin >= 1.0 or bad.isEmpty():
+            break
+        # rare: a bracket missed its rank; those groups again with a wider one (at margin 1 it is the whole range)
+        x = x.join(bad, keys, "left_semi")
+        margin = min(1.0, max(margin, 1.0 / accuracy) * 16)
+    out = out.withColumnRenamed("_n", "n")
+    return out if by else out.drop(_G)
+
+
+def _bracket_pass(
+    x: DataFrame,
+    keys: list[str],
+    by: Sequence[str],
+    probs: Sequence[float],
+    accuracy: int,
+    margin: float,
+    sub_buckets: int,
+    max_groups: int | None,
+) -> tuple[DataFrame, DataFrame]:
+    """Quantiles of the groups whose brackets all held their ranks, and the keys of the other groups."""
+    k = len(probs)
     lo_p = [min(max(p - margin, 0.0), 1.0) for p in probs]
     hi_p = [max(min(p + margin, 1.0), 0.0) for p in probs]
-
-    def exact_agg(src: DataFrame) -> DataFrame:
-        return (
-            src.groupBy(*keys)
-            .agg(
-                F.count(F.lit(1)).alias("_n"),
-                F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_qs"),
-            )
-            .select(
-                *keys,
-                "_n",
-                F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("_qs").alias("q"))).alias("_z"),
-            )
-            .select(*keys, F.col("_z.p").alias("prob"), F.col("_z.q").alias("quantile"), "_n")
-        )
-
-    # Size check (one scalar: the largest group's row count): when every group
-    # has at most exact_group_limit values, Spark's exact aggregate holds a
-    # bounded value map per group and is the cheaper plan; larger groups take
-    # the sketch-bracket path below, whose tasks stay bounded at any size.
-    largest = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
-    if largest is None or largest <= exact_group_limit:
-        out = exact_agg(x).withColumnRenamed("_n", "n")
-        return out.drop(_G) if not by else out
-
     stats = x.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("_v").alias("_vmin"),
@@ -366,20 +326,10 @@ def exact_quantiles(
     # (group, prob) pairs whose target ranks fall outside the bracket have no row in r
     missing = sl.select(*qk).join(r.select(*qk), qk, "left_anti")
     interp = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")
-    # Safety net: a group where any bracket missed its target is recomputed
-    # exactly (all probabilities) with Spark's own aggregate and dropped from the
-    # fast path. Normally this set is empty and AQE prunes the branch.
-    bad_keys = r.where(~F.col("_ok")).select(*keys).unionByName(missing.select(*keys)).distinct()
-    good = (
-        r.where("_ok")
-        .join(bad_keys, keys, "left_anti")
-        .select(*keys, "prob", interp.alias("quantile"), "_n")
-    )
-    redo = exact_agg(x.join(bad_keys, keys, "left_semi"))
-    out = good.unionByName(redo).withColumnRenamed("_n", "n")
-    if not by:
-        out = out.drop(_G)
-    return out
+    bad = r.where(~F.col("_ok")).select(*keys).unionByName(missing.select(*keys)).distinct()
+    bad = write_table(bad, "q-missed")
+    good = r.where("_ok").join(bad, keys, "left_anti").select(*keys, "prob", interp.alias("quantile"), "_n")
+    return good, bad
 
 
 def quantiles_wide(
@@ -390,10 +340,9 @@ def quantiles_wide(
     by: Sequence[str] = (),
     accuracy: int = DEFAULT_ACCURACY,
     max_groups: int | None = None,
-    exact_group_limit: int = 1_000_000,
 ) -> DataFrame:
     """:func:`exact_quantiles` pivoted to one column per probability (``names``)."""
-    q = exact_quantiles(df, value, probs, by, accuracy, max_groups, exact_group_limit=exact_group_limit)
+    q = exact_quantiles(df, value, probs, by, accuracy, max_groups)
     aggs = [F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(n) for p, n in zip(probs, names)]
     if by:
         return q.groupBy(*by).agg(*aggs)
@@ -407,13 +356,13 @@ def previous_k(
     k: int,
     out: str = "_prev_k",
     n_buckets: int | None = None,
-    salts: int = 1024,
+    salts: int | None = None,
 ) -> DataFrame:
     """``lag(order_col, k)`` over ``part_cols`` ordered by ``order_col``, two-level.
 
     Rows are collapsed to ``(group, value, salt)`` records (a hot entity or a
     hot tie becomes at most ``salts`` records per value). Over the record table,
-    ordered by ``(value, salt)`` inside value-range buckets, each record learns
+    ordered by ``(value, salt)`` inside range buckets, each record learns
     its k predecessors' ``(value, count)``: in-bucket ``lag`` for all but the
     first k records of a bucket, which are fixed on a small side table of each
     bucket's first and last k records. From those, "the value j rows before the
@@ -424,11 +373,11 @@ def previous_k(
     """
     parts = list(part_cols)
     b = "_bkt"
-    x = _salted(df.where(F.col(order_col).isNotNull()), salts)
-    rec = x.groupBy(*parts, order_col, "_s").agg(F.count(F.lit(1)).alias("_c"))
-    rec = with_value_buckets(rec, order_col, b, auto_buckets(x, n_buckets))  # records <= rows
+    x, n, salts = _counted(df, order_col, salts)
+    rec = x.groupBy(*parts, order_col, "__salt").agg(F.count(F.lit(1)).alias("_c"))
+    rec = with_range_buckets(rec, [*parts, order_col, "__salt"], b, auto_buckets(n, n_buckets))  # records <= rows
     vc = F.struct(F.col(order_col).alias("v"), F.col("_c").alias("c"))
-    wg = Window.partitionBy(*parts, b).orderBy(order_col, "_s")
+    wg = Window.partitionBy(*parts, b).orderBy(order_col, "__salt")
     rec = rec.withColumn("_ra", F.row_number().over(wg)).withColumn(
         "_nb", F.count(F.lit(1)).over(Window.partitionBy(*parts, b))
     )
@@ -453,11 +402,11 @@ def previous_k(
             cond = lags[d].isNotNull() & (cum >= j)
             expr = F.when(cond, lags[d]["v"]) if expr is None else expr.when(cond, lags[d]["v"])
         before.append(expr)
-    rec = rec.select(*parts, order_col, "_s", F.array(*before).alias("_before"))
-    y = x.join(rec, [*parts, order_col, "_s"], "inner")
-    wi = Window.partitionBy(*parts, order_col, "_s").orderBy("_h")  # rows of one record
+    rec = rec.select(*parts, order_col, "__salt", F.array(*before).alias("_before"))
+    y = x.join(rec, [*parts, order_col, "__salt"], "inner")
+    wi = Window.partitionBy(*parts, order_col, "__salt").orderBy("__row_hash")  # rows of one record
     i = F.row_number().over(wi)
     y = y.withColumn(
         out, F.when(i > k, F.col(order_col)).otherwise(F.element_at(F.col("_before"), F.lit(k + 1) - i))
     )
-    return y.drop("_h", "_s", "_before")
+    return y.drop("__row_hash", "__salt", "_before")

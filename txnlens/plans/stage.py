@@ -6,22 +6,25 @@ written and every analysis step reads it back). The Spark equivalent is
 checkpoint folder (``spark.checkpoint.dir``) and read it back. That cuts the
 lineage (a lost executor never recomputes dedup and fitted fences), and the
 Parquet read gives column pruning and predicate pushdown to every downstream
-query. Stages are memoised per application and key.
+query. Stages are memoised per application and key; the key holds the version
+of the input files, so rewritten input is never answered from an old stage.
 """
 
 from __future__ import annotations
 
 import hashlib
 import threading
-
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from txnlens.session import checkpoint_subdir
 
-_LOCK = threading.RLock()  # stages may build on other stages
+_LOCK = threading.Lock()  # guards the two tables only, never held while a job runs
 _PATHS: dict[tuple[str, str], str] = {}
+_BUILDING: dict[tuple[str, str], threading.Lock] = {}
 
 
 def materialize(df: DataFrame | Callable[[], DataFrame], key: str, spark: SparkSession | None = None) -> DataFrame:
@@ -37,6 +40,8 @@ def materialize(df: DataFrame | Callable[[], DataFrame], key: str, spark: SparkS
         spark = df.sparkSession
     app = spark.sparkContext.applicationId
     with _LOCK:
+        building = _BUILDING.setdefault((app, key), threading.Lock())
+    with building:  # two callers of one stage wait for each other, other stages do not
         path = _PATHS.get((app, key))
         if path is None:
             frame = df() if callable(df) else df
@@ -47,12 +52,14 @@ def materialize(df: DataFrame | Callable[[], DataFrame], key: str, spark: SparkS
     return spark.read.parquet(path)
 
 
-def forget(key: str | None = None) -> None:
-    """Drop memoised stage paths (all, or one key) so they are rebuilt on next use."""
-    with _LOCK:
-        for k in list(_PATHS):
-            if key is None or k[1] == key:
-                del _PATHS[k]
+def input_version(*tables: DataFrame) -> str:
+    """A digest of the files behind ``tables``: path, size and modification time (metadata columns only)."""
+    parts = []
+    for t in tables:
+        files = t.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        row = files.agg(F.count("*"), F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).first()
+        parts.append(f"{row[0]}:{row[1]}")
+    return ",".join(parts)
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
@@ -62,8 +69,6 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     otherwise inline their whole lineage at every reference) or that must
     survive executor loss without recomputation.
     """
-    import uuid
-
     spark = df.sparkSession
     path = checkpoint_subdir(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)

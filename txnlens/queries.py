@@ -8,6 +8,7 @@ with the DuckDB twins in :mod:`txnlens.oracle`, which round identically.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,10 @@ from txnlens.operators import resample as RS
 from txnlens.operators import scoring as S
 from txnlens.operators import separation as SP
 from txnlens.operators import timing as TM
-from txnlens.plans.stage import materialize, write_table
-from txnlens.sources.fixture import stream_events, transactions
+from txnlens.plans.stage import input_version, materialize, write_table
+from txnlens.session import checkpoint_subdir
+from txnlens.sources import io as IO
+from txnlens.sources.fixture import stream_events, table, transactions
 from txnlens.spec import TxnSpec
 
 SPEC = TxnSpec()
@@ -74,29 +77,34 @@ def registry() -> dict[str, Query]:
 def raw(spark: SparkSession, sf: str, variant: str = "base") -> DataFrame:
     """The raw transaction table (the reference's input file), derived from the
     driver's events + embeddings and written once per session."""
-    return materialize(lambda: transactions(spark, sf, variant), f"raw:{variant}:{sf}", spark)
+    version = _version(spark, sf)
+    return materialize(lambda: transactions(spark, sf, variant), f"raw:{variant}:{sf}:{version}", spark)
+
+
+def _version(spark: SparkSession, sf: str) -> str:
+    return input_version(table(spark, sf, "events"), table(spark, sf, "embeddings"))
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     """The cleaned table, written once per session (stage boundary, see plans.stage)."""
-    return materialize(lambda: C.clean(raw(spark, sf), SPEC), f"cleaned:{sf}", spark)
+    return materialize(lambda: C.clean(raw(spark, sf), SPEC), f"cleaned:{sf}:{_version(spark, sf)}", spark)
 
 
 def view(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaned table + hour/day/band columns and the rule score, written once per session."""
-    return materialize(lambda: S.analysis_view(cleaned(spark, sf), SPEC), f"view:{sf}", spark)
+    """Cleaned table + hour/day/band columns and the rule score (projected from the cleaned stage)."""
+    return S.analysis_view(cleaned(spark, sf), SPEC)
 
 
 def view_rare(spark: SparkSession, sf: str) -> DataFrame:
     """Analysis view of the rare-positive variant (positives further thinned)."""
     return materialize(
-        lambda: S.analysis_view(C.clean(raw(spark, sf, "rare"), SPEC), SPEC), f"view:rare:{sf}", spark
+        lambda: S.analysis_view(C.clean(raw(spark, sf, "rare"), SPEC), SPEC), f"view:rare:{sf}:{_version(spark, sf)}", spark
     )
 
 
 def wrangled(spark: SparkSession, sf: str) -> DataFrame:
-    """The wrangled feature table (a pipeline output), written once per session."""
-    return materialize(lambda: FE.wrangle(cleaned(spark, sf), SPEC), f"wrangled:{sf}", spark)
+    """The wrangled feature table (projected from the cleaned stage)."""
+    return FE.wrangle(cleaned(spark, sf), SPEC)
 
 
 def numeric_cols(df: DataFrame) -> list[str]:
@@ -181,6 +189,29 @@ def q_label_correlation_topk(spark, sf):
     return P.correlation_topk(df, SPEC.numeric(df, include_label=False), SPEC.label, 10)
 
 
+@query("label_correlations")
+def q_label_correlations(spark, sf):
+    """AG-22 + PR-20: signed correlation of every analysis column with the label, with the sign flag."""
+    v = view(spark, sf)
+    cols = [*numeric_cols(cleaned(spark, sf).drop(SPEC.label)), "Hour", "Day"]
+    return P.label_correlations(v, cols, SPEC.label)
+
+
+@query("skew_before_after")
+def q_skew_before_after(spark, sf):
+    """AG-7: skewness of the amount before and after capping and log."""
+    return P.skew_before_after(cleaned(spark, sf), SPEC.amount, "Amount_log")
+
+
+@query("csv_round_trip")
+def q_csv_round_trip(spark, sf):
+    """IO-1 / IO-2: the raw table written as CSV with a header and read back with its schema."""
+    df = raw(spark, sf)
+    path = checkpoint_subdir(spark, f"tables/csv-{uuid.uuid4().hex[:12]}")
+    IO.write_table(df, path, "csv")
+    return IO.read_transactions(spark, path, "csv", schema=df.schema)
+
+
 @query("iqr_outliers")
 def q_iqr_outliers(spark, sf):
     """AG-9 / FL-5 on amount and time."""
@@ -219,7 +250,7 @@ def q_engineered_features(spark, sf):
 # ---------------------------------------------------------------- modelling prep
 def _split(spark, sf):
     """The wrangled table with its train/test assignment (a pipeline output, written once)."""
-    return materialize(lambda: RS.stratified_split(wrangled(spark, sf), SPEC, 0.2, 42), f"split:{sf}", spark)
+    return materialize(lambda: RS.stratified_split(wrangled(spark, sf), SPEC, 0.2, 42), f"split:{sf}:{_version(spark, sf)}", spark)
 
 
 @query("stratified_split")
@@ -228,6 +259,19 @@ def q_stratified_split(spark, sf):
     return _split(spark, sf).select(SPEC.key, SPEC.label, "split")
 
 
+@query("saved_splits")
+def q_saved_splits(spark, sf):
+    """RS-6: the wrangled table, the train and the test split saved and read back."""
+    df = _split(spark, sf)
+    parts = (df.drop("split"), df.where("split = 'train'").drop("split"), df.where("split = 'test'").drop("split"))
+    paths = IO.save_splits(*parts, checkpoint_subdir(spark, f"tables/splits-{uuid.uuid4().hex[:12]}"))
+    back = [
+        spark.read.parquet(path).select(F.lit(name).alias("saved"), SPEC.key, SPEC.label, "Amount_log")
+        for name, path in paths.items()
+    ]
+    return back[0].unionByName(back[1]).unionByName(back[2])
+
+
 @query("split_report")
 def q_split_report(spark, sf):
     """RS-5."""
@@ -367,6 +411,16 @@ def q_filtered_scorecard(spark, sf):
     return R.scorecard(FILTER.apply(v), SPEC, peak_from=v)
 
 
+EMPTY_FILTER = R.TxnFilter(days=("Day 9",))
+
+
+@query("scorecard_empty_filter")
+def q_scorecard_empty_filter(spark, sf):
+    """AG-21 on a filter that no row passes: all metrics, zeros."""
+    v = view(spark, sf)
+    return R.scorecard(EMPTY_FILTER.apply(v), SPEC, peak_from=v)
+
+
 # ---------------------------------------------------------------- timing
 @query("positive_gaps")
 def q_positive_gaps(spark, sf):
@@ -441,6 +495,12 @@ def q_density_by_label(spark, sf):
     return SP.density_by_label(cleaned(spark, sf), SPEC.amount, SPEC, grid_lo=0.0, grid_hi=500.0, clip_hi=500.0)
 
 
+@query("density_scott", digits=9)
+def q_density_scott(spark, sf):
+    """AG-28 with the default bandwidth rule (Scott): amount clipped at 500 on [0, 500]."""
+    return SP.density_by_label(cleaned(spark, sf), SPEC.amount, SPEC, grid_lo=0.0, grid_hi=500.0, clip_hi=500.0, bw=None)
+
+
 @query("density_log_amount", digits=9)
 def q_density_log_amount(spark, sf):
     """AG-28: KDE of the log amount on each label's own [min, max]."""
@@ -497,6 +557,12 @@ def q_top_flagged(spark, sf):
     return S.top_flagged(view(spark, sf), 0.60, 50, "all", spec=SPEC)
 
 
+@query("top_flagged_only")
+def q_top_flagged_only(spark, sf):
+    """SO-3 / FL-7: top 50 rows at or above the threshold (the interactive view's first mode)."""
+    return S.top_flagged(view(spark, sf), 0.30, 50, "flagged", spec=SPEC)
+
+
 @query("top_flagged_negative")
 def q_top_flagged_negative(spark, sf):
     """SO-3 / FL-7: top 25 negatives by score."""
@@ -542,14 +608,14 @@ def _smote_input(spark, sf):
         return df.where(F.col("split") == "train").drop("split")
 
     # the scaled training split is a pipeline output (written once per session)
-    train = materialize(build, f"train_scaled:{sf}", spark)
+    train = materialize(build, f"train_scaled:{sf}:{_version(spark, sf)}", spark)
     feats = [c for c in train.columns if c not in (SPEC.key, SPEC.label)]
     return train, feats
 
 
 @query("smote_balanced")
 def q_smote_balanced(spark, sf):
-    """RS-3: SMOTE-balanced training split (rows-only check: synthetic rows are seeded draws)."""
+    """RS-3: SMOTE-balanced training split; draws and ids come from seeded md5, so SQL can follow them."""
     train, feats = _smote_input(spark, sf)
     return RS.smote(train, feats, SPEC, k=5, seed=42)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,8 +32,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None)
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used as given. Only when the
-    session has none (local tests) is a fresh scratch folder created.
+    The folder named by ``spark.checkpoint.dir`` is used as given. A session
+    that has none gets a scratch folder only in local mode, where driver and
+    executors are one process; on a cluster each executor would write its part
+    files to its own disk, so that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -40,6 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="txnlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

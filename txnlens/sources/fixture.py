@@ -18,10 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.plans.small import join_small
-
 N_FEATURES = 28
-EMBED_MOD = 500
 ZERO_MOD = 97
 DUP_MOD = 263
 NULL_MOD = 101
@@ -36,24 +33,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def embeddings_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embedding side of the fixture join (only ids that can match)."""
-    return (
-        table(spark, sf_dir, "embeddings")
-        .where((F.col("vec_id") >= 0) & (F.col("vec_id") < EMBED_MOD))
-        .select("vec_id", "embedding", "label")
-    )
+    """The embedding side of the fixture join (the whole table)."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+
+
+def modulus(emb: DataFrame) -> int:
+    """Events meet embeddings by ``event_id`` modulo this: the greatest id plus one (one aggregate row)."""
+    return (emb.agg(F.max("vec_id")).first()[0] or 0) + 1
 
 
 def build_transactions(ev: DataFrame, emb: DataFrame, variant: str = "base", keep: tuple[str, ...] = ()) -> DataFrame:
     """Events (batch or stream) joined with embeddings -> transaction rows (no duplicates).
 
-    ``emb`` is always a static frame; its row count is checked before it is
-    broadcast (also for a stream-static join), otherwise a shuffle join is used.
+    ``emb`` is always a static frame. The planner picks the join: it broadcasts
+    only a side whose size in bytes is below its threshold.
     ``keep`` passes extra event columns through (e.g. the event time).
     """
-    ev = ev.withColumn("_vk", F.col("event_id") % EMBED_MOD)
-    on = ev["_vk"] == emb["vec_id"]
-    j = join_small(ev, emb, on, "inner", max_rows=100_000, check=True)
+    ev = ev.withColumn("_vk", F.col("event_id") % F.lit(modulus(emb)))
+    j = ev.join(emb, ev["_vk"] == emb["vec_id"])
     positive = (F.col("label") == 0) & F.col("event_type").isin("error", "click")
     if variant == "rare":
         positive = positive & (F.col("event_id") % RARE_MOD == 0)

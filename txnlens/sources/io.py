@@ -65,8 +65,3 @@ def save_splits(
     write_table(train, paths["train"], fmt)
     write_table(test, paths["test"], fmt)
     return paths
-
-
-def shape_of(df: DataFrame) -> DataFrame:
-    """IO-4 as a one-row frame (rows, columns)."""
-    return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)))

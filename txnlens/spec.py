@@ -23,6 +23,7 @@ class TxnSpec:
     label: str = "Class"
     key: str | None = "txn_id"
     feature_pattern: str = r"V\d+"
+    prefix: str = "V"  # engineered feature columns begin with it as well
     extra_exclude: tuple[str, ...] = field(default_factory=tuple)
 
     def features(self, df: DataFrame) -> list[str]:

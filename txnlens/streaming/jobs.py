@@ -8,7 +8,8 @@ ideas to a stream of events:
 * ST-2 :func:`hourly_rate_stream` - positive rate per tumbling event-time hour,
   with a watermark so late rows are dropped and state is bounded.
 * ST-3 :func:`velocity_stream` - "more than N events per entity within T"
-  with ``applyInPandasWithState`` keeping only the last N event times per entity.
+  with ``applyInPandasWithState``: events are judged in event-time order once
+  the watermark has passed them.
 
 Each has a batch twin built from the same transform functions, used by the
 registered queries and by the tests (``availableNow`` stream == batch).
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,48 +124,76 @@ def hourly_rate_stream(spark: SparkSession, sf_dir: str, events_path: str) -> Da
 
 
 # ------------------------------------------------------------------ velocity
-VELOCITY_OUT = "user_id long, ts timestamp, n_recent int"
-VELOCITY_STATE = "t1 timestamp, t2 timestamp"
+VELOCITY_STATE = "recent array<long>, pending array<long>"  # event times in microseconds
 
 
-def velocity_stream(
-    spark: SparkSession, events_path: str, entity: str = "user_id", max_events: int = 2, within_seconds: int = 300
+def velocity_step(recent: np.ndarray, due: np.ndarray, max_events: int, within_seconds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Times in ``due`` (sorted) that break the rule, and the last ``max_events`` times of all."""
+    times = np.concatenate([recent, due])
+    at = np.arange(len(recent), len(times))
+    at = at[at >= max_events]
+    near = times[at] - times[at - max_events] < within_seconds * 1_000_000
+    return times[at[near]], times[max(0, len(times) - max_events) :]
+
+
+def velocity_transform(
+    events: DataFrame, entity: str, max_events: int = 2, within_seconds: int = 300, delay: str = "10 minutes"
 ) -> DataFrame:
-    """ST-3: flag an event when it is the (max_events+1)-th within ``within_seconds``.
+    """ST-3 on streaming ``events`` with columns ``entity`` and ``ts``.
 
-    Exact per-entity rule with ``applyInPandasWithState``: the state is the last
-    ``max_events`` event times of the entity (bounded), the watermark drops late
-    rows and expires idle entities.
+    Events wait in the state until the watermark has passed them and are then
+    judged in time order, so neither the arrival order within the delay nor the
+    cut into micro-batches changes the result. The state holds the waiting
+    times and the last ``max_events`` judged ones; an entity is forgotten
+    ``within_seconds`` after its last event, when it can no longer matter.
     """
-    if max_events != 2:
-        raise ValueError("the state schema keeps the last two event times")
-    ev = spark.readStream.schema(EVENT_COLS).parquet(events_path)
-    e = ev.select(F.col(entity).alias("user_id"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "10 minutes")
+    kind = events.schema[entity].dataType.simpleString()
+    e = events.select(F.col(entity), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        recent, pending = (np.array(x or [], dtype=np.int64) for x in (state.get if state.exists else ([], [])))
+        if not state.hasTimedOut:
+            new = [p["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) for p in pdfs]
+            pending = np.sort(np.concatenate([pending, *new]))
+        watermark = state.getCurrentWatermarkMs() * 1000
+        ready = np.searchsorted(pending, watermark, side="right")
+        flagged, recent = velocity_step(recent, pending[:ready], max_events, within_seconds)
+        pending = pending[ready:]
+        # next call: when the first waiting event is due, else when the history has no effect any more
+        wake = pending[0] if len(pending) else recent[-1] + within_seconds * 1_000_000
+        if not len(pending) and wake <= watermark:
             state.remove()
-            return
-        t1, t2 = (state.get if state.exists else (None, None))
-        hist = [t for t in (t1, t2) if t is not None and not pd.isna(t)]
-        times = sorted(pd.concat([p["ts"] for p in pdfs]).tolist())
-        out_ts, out_n = [], []
-        for t in times:
-            if len(hist) >= max_events and (t - hist[-max_events]).total_seconds() < within_seconds:
-                out_ts.append(t)
-                out_n.append(max_events + 1)
-            hist = (hist + [t])[-max_events:]
-        padded = [None] * (max_events - len(hist)) + hist
-        state.update(tuple(padded))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + within_seconds * 1000 + 1)
-        if out_ts:
-            yield pd.DataFrame({"user_id": [key[0]] * len(out_ts), "ts": out_ts, "n_recent": out_n})
-
-    return e.groupBy("user_id").applyInPandasWithState(
-        step, VELOCITY_OUT, VELOCITY_STATE, "append", GroupStateTimeout.EventTimeTimeout
+        else:
+            state.update((recent.tolist(), pending.tolist()))
+            state.setTimeoutTimestamp(int(max(wake, watermark) // 1000 + 1))
+        if len(flagged):
+            times = pd.to_datetime(flagged, unit="us")
+            yield pd.DataFrame({entity: [key[0]] * len(flagged), "ts": times, "n_recent": max_events + 1})
+
+    return e.groupBy(entity).applyInPandasWithState(
+        step,
+        f"`{entity}` {kind}, ts timestamp, n_recent int",
+        VELOCITY_STATE,
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
+def velocity_stream(
+    spark: SparkSession,
+    events_path: str,
+    entity: str = "user_id",
+    max_events: int = 2,
+    within_seconds: int = 300,
+    files_per_batch: int | None = None,
+) -> DataFrame:
+    """ST-3: flag an event when it is the (max_events+1)-th of its entity within ``within_seconds``."""
+    reader = spark.readStream.schema(EVENT_COLS)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return velocity_transform(reader.parquet(events_path), entity, max_events, within_seconds)
+
+
 def start_memory(df: DataFrame, name: str, mode: str = "append", spark: SparkSession | None = None, available_now: bool = True):
     """Start a streaming query into an in-memory table; checkpoint under the shared folder."""
     spark = spark or df.sparkSession
