@@ -1,7 +1,108 @@
-"""DuckDB twins of the training-data queries (where SQL can express them)."""
+"""DuckDB twins of the training-data queries (where SQL can express them).
+
+Left out, and tested against plain versions in ``tests/llm``: the packing (a
+heuristic's places), the secret scan (match positions and a trained field), the
+main text (inferred wrappers), toxicity (a trained model) and the pipeline.
+"""
 
 from __future__ import annotations
 
+from txnlens.llm.chat import BEGIN
+from txnlens.llm.queries import CHAT_PROBE, URL_RULES
+from txnlens.llm.urls import SPAM_WORDS
+
+#: ``string_split_regex`` leaves empty ends; they are no words
+WORDS = r"list_filter(string_split_regex({t}, '{sep}'), lambda x: x <> '')"
+SPACE = r"[\x20\x09-\x0D]+"
+NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str, sep: str, lower: bool) -> str:
+    text = f"coalesce({text}, '')"
+    if lower:
+        text = f"translate({text}, '{UPPER}', '{LOWER}')"
+    return WORDS.format(t=text, sep=sep)
+
+
+OP1 = f"""WITH d AS (SELECT doc_id, {_words('text', SPACE, False)} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d)),
+least AS (SELECT g, min(doc_id) AS first FROM win GROUP BY g),
+cut AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS gone
+        FROM win JOIN least USING (g) WHERE first < doc_id GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)"""
+
+_RULES = ", ".join(f"('{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{v}')" for r, v in URL_RULES)
+_SPAM = ", ".join(f"'{w}'" for w in SPAM_WORDS)
+OP2 = f"""WITH r AS (SELECT *, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+c AS (SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') AS canonical FROM p),
+spam AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split_regex(host, '[.-]'), [{_SPAM}])),
+rules(rule, rhost, rpath, rverdict) AS (VALUES {_RULES}),
+best AS (SELECT page_id, max(struct_pack(n := length(rule), rule := rule, v := rverdict)) AS b
+         FROM c JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT c.page_id, host, path, b.rule AS rule, coalesce(b.v, CASE WHEN s.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       s.canonical IS NOT NULL AS listed
+FROM c LEFT JOIN best USING (page_id) LEFT JOIN spam s ON s.canonical = c.canonical"""
+
+# the products are added in component order, as the operator adds them
+OP3 = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+    AND list_contains(list_transform(embedding, lambda x: x <> 0), true)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(generate_series(1, len(q.e)), lambda k: q.e[k] * c.e[k]), lambda a, b: a + b) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+_PROBE = f"(-1, 0, 'user', '{CHAT_PROBE}'), (-1, 1, 'assistant', '{CHAT_PROBE}')"
+OP4 = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES {_PROBE}) p(conv_id, turn, role, text)),
+f AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\\\\\[<]', '', 'g'))
+    + CASE role WHEN 'assistant' THEN 5 WHEN 'user' THEN 15
+      ELSE 16 + length(role) + length(regexp_replace(role, '[^\\\\\\[<\\]]', '', 'g')) END AS n FROM t),
+c AS (SELECT *, sum(n) OVER w AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back
+      FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto + {len(BEGIN)}) FILTER (WHERE role = 'assistant' OR back = 1) AS BIGINT) AS formatted_chars,
+       count(*) FILTER (WHERE role = 'assistant') AS n_examples
+FROM c GROUP BY conv_id"""
+
+OP8 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_words('text', SPACE, True)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.x, reach.r FROM reach JOIN link l ON l.y = reach.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r) AS component_id, min(r) = d.doc_id AS kept
+FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.n"""
+
+OP9 = f"""WITH d AS (SELECT doc_id, {_words('text', NON_WORD, True)} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, w, least(len(w), 13) AS n
+      FROM (SELECT item_id, {_words('text', NON_WORD, True)} AS w FROM benchmark) WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS g
+      FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+win AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g
+        FROM (SELECT doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS i FROM d, (SELECT DISTINCT n FROM g))),
+h AS (SELECT doc_id, len(list_distinct(flatten(list(range(i, i + n))))) AS hit, list_sort(list_distinct(list(item))) AS items
+      FROM win JOIN g USING (n, g) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(hit > 0 AND 20 * hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN h USING (doc_id)"""
+
 
 def llm_oracle() -> dict[str, str]:
-    return {}
+    return {
+        "op1_substring": OP1,
+        "op2_url_filter": OP2,
+        "op3_nearest": OP3,
+        "op4_chat_format": OP4,
+        "op8_minhash": OP8,
+        "op9_decontamination": OP9,
+    }
