@@ -20,8 +20,8 @@ Defined results
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +34,9 @@ from txnlens.llm.common import small_batches, stored
 CAPACITY = 2048
 END_ID = 0
 BLOCK_PIECES = 60_000
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 700_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-#: a space next to other white space: chunks may depend on their neighbours
-_UNEVEN = re.compile(r"\s | \s")
-
-
 class ChunkTokenizer:
     """Token ids of whole texts, memoised by space-separated chunk.
 
@@ -55,27 +51,46 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content for t in added]
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes | None] = {}  # by chunk, for the chunk with its space before it
 
-    def _ids(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Ids of new chunks; None for one that is empty or begins or ends with white space."""
+        new = [c for c in chunks if c and not (c[0].isspace() or c[-1].isspace())]
+        coded = self.tokenizer.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
+        self.memo.update(dict.fromkeys(chunks))
+        self.memo.update((c, array("I", e.ids).tobytes()) for c, e in zip(new, coded, strict=True))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text."""
-        if _UNEVEN.search(text) or any(s in text for s in self.special):
-            return self._ids(text)
-        chunks = text.split(" ")
-        chunks[1:] = [" " + c for c in chunks[1:]]
-        memo = self.memo
-        new = [c for c in set(chunks) if c not in memo]
+        if any(s in text for s in self.special):
+            return self.whole(text)
+        first, *rest = text.split(" ")
+        if first[-1:].isspace() or not first:
+            return self.whole(text)
+        chunks = set(rest)
+        new = chunks.difference(self.memo)
         if new:
-            if len(memo) > MEMO_CHUNKS:
-                memo.clear()
-                new = list(set(chunks))
-            coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            memo.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(new, coded, strict=True))
-        return b"".join([memo[c] for c in chunks])
+            if len(self.memo) > MEMO_CHUNKS:
+                self.memo.clear()
+                new = chunks
+            self._learn(new)
+        try:
+            return self.whole(first) + b"".join([self.memo[c] for c in rest])
+        except TypeError:  # a chunk without ids of its own
+            return self.whole(text)
+
+
+_CODERS: dict[str, ChunkTokenizer] = {}
+
+
+def coder_for(path: str) -> ChunkTokenizer:
+    """One tokeniser and memo per worker process, whatever the number of its tasks."""
+    if path not in _CODERS:
+        _CODERS[path] = ChunkTokenizer(path)
+    return _CODERS[path]
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
@@ -94,7 +109,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = ChunkTokenizer(tokenizer_path)
+        coder = coder_for(tokenizer_path)
         for batch in batches:
             rows = [
                 (doc, k, *p)
