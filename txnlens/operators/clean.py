@@ -1,7 +1,7 @@
 """Cleaning (SO-4, PR-4..6, AG-9, RS-1): dedup, zero flag, IQR capping, log, scaling.
 
-Fitted values (fences, mean/std) are one-row aggregates attached as scalar
-subqueries, so the whole cleaning step stays one lazy plan.
+Fitted values (fences, mean/std) are one-row aggregates, packed into a struct
+and joined to every row (see txnlens.plans.small.with_params).
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def apply_standard(df: DataFrame, params: DataFrame, cols: Sequence[str], suffix
     """Apply scaler parameters from :func:`standard_params` (fitted on any frame).
 
     The parameter table has one row per scaled column (bounded by the schema);
-    it is folded into one struct and attached as a scalar subquery.
+    it is folded into one struct and joined as one broadcast row.
     """
     packed = params.agg(
         *[
