@@ -7,9 +7,8 @@ Two kinds of "small" appear in the engine:
   task (:func:`with_params`). The join has a one-row build side, so it is
   linear in the big side (every row meets exactly one parameter row).
 * **Dimension-like sides** (lookup tables, per-group summaries with a bounded
-  key domain) - their row count is checked with a bounded ``limit`` count
-  before they are broadcast; above the limit the plan is an ordinary shuffle
-  join (:func:`join_small`).
+  key domain) - their rows and bytes are counted before they are broadcast;
+  above either limit the plan is an ordinary shuffle join (:func:`join_small`).
 """
 
 from __future__ import annotations
@@ -20,9 +19,14 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_ROWS = 1_000_000
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+MAX_BYTES = 64 << 20
+
+
+def fits(df: DataFrame, max_rows: int, max_bytes: int = MAX_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows of ``max_bytes`` in all (as JSON text); one aggregate row."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, used = df.agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return rows <= max_rows and (used or 0) <= max_bytes
 
 
 def join_small(
@@ -38,9 +42,8 @@ def join_small(
 
     * ``bound``: a proven upper bound on ``small``'s rows (e.g. #features x
       #buckets). If it is within ``max_rows`` the side is broadcast.
-    * ``check=True``: count ``small`` (at most ``max_rows + 1`` rows are read);
-      only for cheap sources such as a dimension table scan, since the count
-      executes the side's plan.
+    * ``check=True``: count the rows and bytes of ``small``; only for cheap
+      sources such as a stored table, since the count executes the side's plan.
     * otherwise the planner decides at run time: AQE replans the sort-merge
       join as a broadcast join only when the materialised small side is below
       ``spark.sql.adaptive.autoBroadcastJoinThreshold``, and keeps the shuffle
