@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from txnlens.llm.common import small_batches, stored
 from txnlens.llm.graph import components
-from txnlens.llm.words import WordHasher, mix, split_words, window_hashes
+from txnlens.llm.words import WordHasher, mix, shared_hasher, split_words, window_hashes
 from txnlens.plans.small import join_small
 
 SHINGLE = 5
@@ -104,7 +104,7 @@ def sketches(documents: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, r
     """Set size, text class and band keys of every document."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher = shared_hasher()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -137,7 +137,7 @@ def verify(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int) -
     both = right.join(text_a, right["a"] == text_a["doc_id"]).select("a", "b", F.col("text").alias("text_a"), "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher = shared_hasher()
         last, last_set = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
             ids_a, ids_b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
@@ -255,7 +255,7 @@ def _tile_links(families: DataFrame, texts: DataFrame, shingle: int, percent: in
     )
 
     def tile(table: pa.Table) -> pa.Table:
-        hasher = WordHasher()
+        hasher = shared_hasher()
         sets = [shingle_set(split_words(t, lower=True), hasher, shingle) for t in table.column("text").to_pylist()]
         found = joining_links(table.column("id").to_pylist(), table.column("component").to_pylist(), sets, percent)
         return pa.table(

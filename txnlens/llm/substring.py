@@ -42,13 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.llm.common import small_batches, stored
-from txnlens.llm.words import WordHasher, mix, split_words, window_hashes
+from txnlens.llm.words import mix, shared_hasher, split_words, window_hashes
 from txnlens.session import checkpoint_subdir
 
 WINDOW = 13
 DEPTH = 2
 CELLS_PER_WINDOW = 8
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 SHARD_BITS = 25  # cells of a sketch shard, one byte each while it is merged
 EXACT_SHARD_WINDOWS = 1 << 22
 MAX_BUCKETS = 50_000
@@ -86,7 +86,7 @@ class BlockWindows:
         self.ids = table.column("doc_id").to_pylist()
         self.words = [split_words(t) for t in table.column("text").to_pylist()]
         self.window = window
-        hasher = WordHasher()
+        hasher = shared_hasher()
         first, second, rows = [], [], []
         for row, words in enumerate(self.words):
             if len(words) >= window and self.ids[row] is not None:

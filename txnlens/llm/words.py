@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import xxhash
 
-MEMO_WORDS = 500_000
-_MASK = (1 << 64) - 1
+MEMO_WORDS = 300_000
 
 
 def split_words(text: str | None, lower: bool = False) -> list[bytes]:
@@ -20,23 +21,30 @@ def split_words(text: str | None, lower: bool = False) -> list[bytes]:
 
 
 class WordHasher:
-    """64-bit word hashes, memoised up to ``MEMO_WORDS`` words per task."""
+    """64-bit word hashes, memoised up to ``MEMO_WORDS`` words (more only within one text)."""
 
-    def __init__(self, seed: int = 0):
-        self.seed = seed
+    def __init__(self) -> None:
         self.memo: dict[bytes, int] = {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         memo = self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        digest, seed = xxhash.xxh3_64_intdigest, self.seed
-        for w in set(words):
-            if w not in memo:
-                memo[w] = digest(w, seed)
+        digest = xxhash.xxh3_64_intdigest
+        for w in set(words).difference(memo):
+            memo[w] = digest(w)
         return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+_HASHER = WordHasher()
+
+
+def shared_hasher() -> WordHasher:
+    """One memo per worker process, whatever the number of its tasks and groups."""
+    return _HASHER
+
+
+@cache
 def _odd_constants(n: int, seed: int) -> np.ndarray:
     return np.array(
         [xxhash.xxh3_64_intdigest(f"{seed}:{k}".encode()) | 1 for k in range(n)], dtype=np.uint64
