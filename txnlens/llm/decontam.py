@@ -1,7 +1,7 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The benchmark's normalised n-grams form a hash set that is broadcast (its row
-count is checked; beyond ``max_broadcast`` windows the same join shuffles).
+The benchmark's normalised n-grams form a hash set that is broadcast (its rows
+and bytes are counted; beyond the limits the same join shuffles).
 Every document is tokenised in the scan, each window is hashed and looked up
 in the set, and a hit counts only after the words themselves were compared.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlens.llm.common import ascii_lower
+from txnlens.llm.common import ascii_lower, stored
 from txnlens.plans.small import join_small
 
 #: ASCII characters that are neither digits nor lower-case letters (after lower-casing)
@@ -59,7 +59,7 @@ def doc_key() -> list[Column]:
 
 def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Verified window occurrences ``(doc_id, text_key, start, len, items)``; start from 1."""
-    grams = benchmark_windows(benchmark, window)
+    grams = stored(benchmark_windows(benchmark, window), "windows")
     lengths = sorted(r[0] for r in grams.select("len").distinct().collect())  # at most ``window`` values
     base = documents.select(*doc_key(), F.explode(F.array(words_of(F.col("text")))).alias("w"))
     # compiled from the scan to the probe: no lambda, no array of hashes, one row per window
@@ -107,9 +107,10 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int =
     """The documents (all columns) that the contamination rule leaves."""
     bad = contamination(documents, benchmark, window).where("contaminated").select(
         F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")
-    ).distinct()
+    )
+    bad = stored(bad.distinct(), "contaminated")  # two numbers a document: broadcast while the list is small
     on = documents["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(documents["text"]) == bad["_bad_key"])
-    return documents.join(bad, on, "left_anti")
+    return join_small(documents, bad, on, "left_anti", check=True)
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

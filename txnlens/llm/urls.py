@@ -10,7 +10,7 @@ The filter holds 512-bit blocks, eight bits per key, one bit in each 64-bit
 word. It is built by a grouped ``bit_or`` (pre-aggregated map-side) and has at
 most ``MAX_BLOCKS`` rows of 72 bytes, so it may always be broadcast; a longer
 list only raises its false-positive rate. Keys that pass go to the exact join,
-whose list side is broadcast only up to ``MAX_BROADCAST_KEYS`` rows.
+whose list side is broadcast only up to ``MAX_BROADCAST_KEYS`` rows and 64 MB.
 
 Defined results
     null URL or no ``://``: empty host and path, no rule, not listed, allowed.
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlens.llm.common import LOWER, UPPER
+from txnlens.llm.common import LOWER, UPPER, stored
 from txnlens.plans.small import join_small
 
 KEYS_PER_BLOCK = 32  # 16 bits a key
@@ -103,7 +103,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
         (F.length("rule") - F.length(F.substring_index("rule", "/", 1))).alias("chars"),
     )
     labels, chars = shapes.agg(F.sort_array(F.collect_set("labels")), F.sort_array(F.collect_set("chars"))).first()
-    entries = by_rule.unionByName(listed_entries(listed))
+    entries = stored(by_rule.unionByName(listed_entries(listed)), "url_keys")
     filter_rows, blocks = bloom(entries, entries.count())
 
     host, path = host_of(F.col("url")), path_of(F.col("url"))
