@@ -228,7 +228,7 @@ def q_clean_transactions(spark, sf):
 @query("capping_report")
 def q_capping_report(spark, sf):
     """AG-9 fences and capped counts on the de-duplicated table."""
-    return C.capping_report(C.dedupe(raw(spark, sf)), SPEC.amount)
+    return C.capping_report(cleaned(spark, sf), SPEC.amount)
 
 
 @query("amount_bands")
