@@ -41,7 +41,7 @@ def shingles(t: str | None, n: int = 5) -> set:
     return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def near_duplicates(docs: list[tuple], percent: int = 85) -> list[tuple]:
+def near_duplicates(docs: list[tuple], percent: int = 80) -> list[tuple]:
     sets = [(d, shingles(t)) for d, t in docs]
     parent = {d: d for d, _ in sets}
 

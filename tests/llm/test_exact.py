@@ -71,6 +71,8 @@ def test_near_duplicates(spark, small):
     docs, plain = small
     cols = ("doc_id", "n_shingles", "component_id", "kept")
     assert rows_of(minhash.near_duplicates(docs), *cols) == sorted(brute.near_duplicates(plain), key=repr)
+    query = queries.op8_minhash(spark, SF_SMALL)
+    assert rows_of(query, *cols) == sorted(brute.near_duplicates(plain, 85), key=repr)
     odd = awkward_documents()
     assert rows_of(minhash.near_duplicates(frame(spark, odd)), *cols) == sorted(brute.near_duplicates(odd), key=repr)
     assert minhash.near_duplicates(frame(spark, [])).count() == 0

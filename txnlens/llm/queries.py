@@ -85,8 +85,8 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate components of all documents."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    """Near-duplicate components of all documents at a similarity of 0.85."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, bands=32, rows=6)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
