@@ -112,6 +112,33 @@ def test_intersections_in_column_chunks(monkeypatch):
     assert all(got[i][j] == want[i][j] for i in range(12) for j in range(12) if i != j)
 
 
+def test_components(spark):
+    from txnlens.llm.graph import components
+
+    rng = random.Random(6)
+    for edges in (
+        [],
+        [(5, 5)],
+        [(k, k + 1) for k in range(40)],  # a chain
+        [(k, 1000 - k) for k in range(40)] + [(3, 7), (900, 7)],
+        [(50, k) for k in range(60) if k != 50],  # a star whose middle is not least
+        [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)],
+    ):
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            if a != b:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+        got = components(spark.createDataFrame(edges, "a long, b long"))
+        assert sorted(tuple(r) for r in got.collect()) == sorted((x, root(x)) for x in list(parent))
+
+
 def test_circulant_signature_estimates_similarity():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
