@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlens.llm.common import small_batches
+from txnlens.llm.common import hash_sample, small_batches, stored
 
 #: the fixed patterns, in the order of their kinds: name, pattern, group, least length
 PATTERNS = [
@@ -373,17 +373,17 @@ def snippets_of(text: str, shapes: Shapes) -> list[tuple[list[int], list[int], i
 
 def fit(documents: DataFrame, rows: int = FIT_ROWS) -> Field:
     """The field trained on at most ``rows`` documents with a pattern and ``rows`` without (chosen by id hash)."""
-    docs = documents.select("doc_id", "text").where("text IS NOT NULL")
-    tagged = docs.withColumn("hit", has_pattern(F.col("text")))
+    docs = documents.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    flags = stored(docs.select(F.col("doc_id").alias("id"), has_pattern(F.col("text")).alias("hit")), "flags")
+    with_hit, without = (hash_sample(flags.where(F.col("hit") == hit), "id", rows) for hit in (True, False))
+    # at most 2 x rows numbers: the texts of all other documents stay where they are
+    ids = F.broadcast(stored(with_hit.unionByName(without).select("id").distinct(), "chosen"))
+    # very long texts would only lengthen the driver's work: the fit sees their middle
+    middle = F.when(F.length("text") > 20_000, F.expr("substring(text, int(length(text) / 2) - 10000, 20000)"))
+    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select(F.coalesce(middle, "text").alias("text"))
     shapes, snippets = Shapes(), []
-    for hit in (True, False):
-        part = tagged.where(F.col("hit") == hit).select(
-            "text", F.xxhash64("doc_id").alias("at"), F.length("text").alias("size")
-        )
-        # very long texts would only lengthen the driver's work: the fit sees their middle
-        middle = F.when(F.col("size") > 20_000, F.expr("substring(text, int(size / 2) - 10000, 20000)")).otherwise(F.col("text"))
-        for r in part.orderBy("at", "size").limit(rows).select(middle.alias("text")).collect():
-            snippets += snippets_of(r["text"], shapes)
+    for text in sorted(r["text"] for r in texts.collect()):
+        snippets += snippets_of(text, shapes)
     return train(snippets)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlens.llm.common import small_batches, stored
+from txnlens.llm.common import hash_sample, small_batches, stored
 
 FIT_ROWS = 12_000
 MAX_ARCS = 2_000
@@ -196,7 +196,7 @@ def fit(documents: DataFrame, labels: DataFrame, allowed: Column, rows: int = FI
     small_batches(documents.sparkSession)
     named = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & allowed)
     chosen = named.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = stored(chosen.orderBy(F.xxhash64("id"), "id").limit(rows), "labels")
+    chosen = stored(hash_sample(stored(chosen, "labels"), "id", rows), "chosen")
     # at most ``rows`` rows of two numbers: the text need not move
     texts = documents.select("doc_id", "text").where("text IS NOT NULL")
     sample = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["id"]).select("text", "toxic")
