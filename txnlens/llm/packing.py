@@ -34,7 +34,7 @@ from txnlens.llm.common import small_batches, stored
 CAPACITY = 2048
 END_ID = 0
 BLOCK_PIECES = 60_000
-MEMO_CHUNKS = 700_000
+MEMO_CHUNKS = 350_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 class ChunkTokenizer:

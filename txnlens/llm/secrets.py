@@ -50,6 +50,7 @@ PATTERNS = [
 KINDS = [p[0] for p in PATTERNS] + ["crf"]
 FIT_ROWS = 400
 SNIPPET = 24
+MEMO_TOKENS = 200_000
 B, I, O = 0, 1, 2  # noqa: E741
 #: a decoded span is added if it holds a token of at least this length
 LEAST_TOKEN = 16
@@ -121,7 +122,7 @@ class Shapes(dict):
         self.kinds: list[int] = []
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > MEMO_TOKENS:
             self.clear()
         key = shape(token)
         if key not in self.numbers:

@@ -39,6 +39,7 @@ LEAST_G2 = 30.0
 LEAST_WEIGHT = 1.5
 STEMS = (4, 5, 6)
 PREDICT_AT = 0.7
+MEMO_TOKENS = 200_000
 
 INSULT, THREAT, TARGET, NEGATION, REPORT = range(1, 6)
 NEGATED, REPORTED, TARGETED = 1, 2, 4
@@ -105,7 +106,7 @@ class Scanner(dict):
             self.entries[key] = len(self.kind)
             self.kind.append(key[0])
             self.weight.append(key[1])
-        if len(self) > 500_000:
+        if len(self) > MEMO_TOKENS:
             self.clear()
         code = self[token] = 2 * self.entries[key] + bool(_CLAUSE_END.search(token))
         return code

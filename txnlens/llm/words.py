@@ -7,7 +7,7 @@ from functools import cache
 import numpy as np
 import xxhash
 
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 
 
 def split_words(text: str | None, lower: bool = False) -> list[bytes]:
