@@ -34,7 +34,7 @@ from txnlens.llm.common import small_batches, stored
 CAPACITY = 2048
 END_ID = 0
 BLOCK_PIECES = 60_000
-MEMO_CHUNKS = 350_000
+MEMO_CHUNKS = 300_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 class ChunkTokenizer:
@@ -52,6 +52,7 @@ class ChunkTokenizer:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content for t in added]
         self.memo: dict[str, bytes | None] = {}  # by chunk, for the chunk with its space before it
+        self.old: dict[str, bytes | None] = {}  # the generation before
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -59,7 +60,7 @@ class ChunkTokenizer:
     def _learn(self, chunks: set[str]) -> None:
         """Ids of new chunks; None for one that is empty or begins or ends with white space."""
         new = [c for c in chunks if c and not (c[0].isspace() or c[-1].isspace())]
-        coded = self.tokenizer.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
+        coded = self.tokenizer.encode_batch_fast([" " + c for c in new], add_special_tokens=False) if new else []
         self.memo.update(dict.fromkeys(chunks))
         self.memo.update((c, array("I", e.ids).tobytes()) for c, e in zip(new, coded, strict=True))
 
@@ -73,10 +74,12 @@ class ChunkTokenizer:
         chunks = set(rest)
         new = chunks.difference(self.memo)
         if new:
-            if len(self.memo) > MEMO_CHUNKS:
-                self.memo.clear()
+            if len(self.memo) > MEMO_CHUNKS:  # chunks in use move on to the next generation
+                self.old, self.memo = self.memo, {}
                 new = chunks
-            self._learn(new)
+            kept = {c: self.old[c] for c in new if c in self.old}
+            self.memo.update(kept)
+            self._learn(new.difference(kept))
         try:
             return self.whole(first) + b"".join([self.memo[c] for c in rest])
         except TypeError:  # a chunk without ids of its own
