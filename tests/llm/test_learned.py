@@ -56,6 +56,29 @@ def test_extract(spark):
     assert html.extract(df).count() == len(rows) and html.extract(df.limit(0)).count() == 0
 
 
+def test_main_text_is_decided_for_each_page(spark):
+    body = lambda b, attrs="": f"<html><body{attrs}>{NAV}{b}<footer>F</footer></body></html>"
+    plain = "<div class=content><h1>Home {0}</h1><p>a{0}<p>b{0}</div>"
+    art = "<article><h1>T{0}</h1><p>x{0}<p>y{0}</article>"
+    pages = [body(art.format(k)) for k in range(6)] + [body(plain.format(k)) for k in range(6, 9)]
+    want = [f"T{k}\n\nx{k}\n\ny{k}" for k in range(6)] + [f"Home {k}\n\na{k}\n\nb{k}" for k in range(6, 9)]
+    wrapped = [
+        body(art.format(9), " class='has-sidebar'"), body("<div class='search-results'>" + art.format(9) + "</div>"),
+        body("<form id=aspnet><div>" + art.format(9) + "</div></form>"), body("<main><div class='has-sidebar'>" + art.format(9) + "</div></main>"),
+        body(art.format(9) + "<aside><article><p>teaser</article></aside><div class=comments><article><p>says</article></div>"),
+    ]
+    for host in ("http://h.net/", None):
+        rows = [(k, host, p) for k, p in enumerate(pages)]
+        rows += [(100 + k, f"http://w{k}.net/" if host else None, p) for k, p in enumerate(wrapped)]
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = {r.page_id: r.text for r in html.extract(df).collect()}
+        assert [got[k] for k in range(9)] == want
+        assert [got[100 + k] for k in range(len(wrapped))] == ["T9\n\nx9\n\ny9"] * len(wrapped)
+    form = body("<form><div class=content><p>a<p>b</div></form>").replace(NAV, "").replace("<footer>F</footer>", "")
+    df = spark.createDataFrame([(1, "http://f.net/", form)], "page_id long, url string, html string")
+    assert html.extract(df).first().text == "a\n\nb"
+
+
 def test_extract_on_the_table(spark):
     import re
     from html import unescape

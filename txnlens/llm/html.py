@@ -10,17 +10,19 @@ Alignment works on distinct streams only: pages are collapsed to (host,
 stream) first, aligned in salted parts, and the parts' wrappers aligned again,
 so a host with a third of all pages is neither one task nor one long list.
 
-The wrapper decides what is main text: the slots under its main region (the
-``article`` or ``main`` element; without one, the element with the most
-repeated text slots), except slots under an element that is by name, role or
-class a menu, header, footer, sidebar, notice, advert, form or comment list,
-and except slots outside headings and paragraphs whose text is the same on
-every one of at least ``LEAST_PAGES`` pages.
+Main text is decided for each page by its own elements: the slots under its
+main region (the ``article`` or ``main`` element); on a page without one, under
+the element it has that holds the most repeated text slots of the host's
+wrapper. Slots under an element that is by name, role or class a menu, header,
+footer, sidebar, notice, advert, form or comment list are left out, and so are
+slots outside headings and paragraphs whose text is the same on every one of at
+least ``LEAST_PAGES`` pages. An element around the main region, ``html``,
+``body`` and a form around the whole page are never boilerplate.
 
 Defined results
     null or empty html: empty text. Unclosed, crossed and cut-off tags are
     accepted. A null url, or one without a host, is the host ``""``. Repeated
-    rows each get their result. A host's decision uses all its pages. Empty
+    rows each get their result. A host's wrapper uses all its pages. Empty
     table: no rows. Only ``page_id``, ``url`` and ``html`` are read.
 """
 
@@ -29,6 +31,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -71,6 +74,8 @@ BOILERPLATE_NAMES = set(
     " notice popup promo promotion related reply replies search share sharing sidebar signup skip social sponsor"
     " sponsored subscribe toolbar widget".split()
 )
+#: names that elements around a whole article have as well
+AROUND_MAIN = set("header menu nav notice search share social widget".split())
 
 
 class Leaf:
@@ -314,42 +319,108 @@ def slots(written: str) -> list[tuple[str, bool]]:
     return out
 
 
-def _boilerplate(name: str) -> bool:
+@lru_cache(maxsize=1 << 16)
+def _boilerplate(name: str) -> int:
+    """0: not boilerplate by name; 1: named in passing; 2: named so; 3: by its tag."""
     tag, *names = name.split(".")
     if tag in BOILERPLATE_TAGS:
-        return True
-    return any(part in BOILERPLATE_NAMES for n in names for part in re.split(r"[-_]+", n))
-
-
-def main_slots(written: str, constant: set[str]) -> list[str]:
-    """The paths of the wrapper's slots that hold main text."""
-    found = slots(written)
-
-    def region_of(path: list[str]) -> int:
-        return next((k for k, n in enumerate(path) if n.split(".")[0] in MAIN or "main" in n.split(".")[1:]), -1)
-
-    good = []
-    for path, repeated in found:
-        names = path.split("/") if path else []
-        at = region_of(names)
-        # a header inside the article holds its headings; outside it is the page's
-        inside = names[at + 1 :] if at >= 0 else names
-        outside = names[:at] if at >= 0 else []
-        bad = any(_boilerplate(n) for n in [*outside, *inside] if not (at >= 0 and n == "header"))
-        last = names[-1].split(".")[0] if names else ""
-        if not bad and not (path in constant and last not in HEADINGS):
-            good.append((path, repeated, at))
-    if any(at >= 0 for _, _, at in good):
-        good = [g for g in good if g[2] >= 0]
-    elif any(rep for _, rep, _ in good):
+        return 1 if tag in ("form", "fieldset") else 3
+    found = 0
+    for n in names:
+        parts = re.split(r"[-_]+", n)
+        if any(part in BOILERPLATE_NAMES for part in parts):
+            found = max(found, 2 if parts[0] in BOILERPLATE_NAMES - AROUND_MAIN else 1)
+    return found
+
+
+@lru_cache(maxsize=1 << 16)
+def _region(name: str) -> bool:
+    tag, *names = name.split(".")
+    return tag in MAIN or "main" in names
+
+
+def _page_forms(paths: frozenset[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """The forms that hold the whole page, or its menu or main region: layout, not a form to fill in."""
+    forms = {p[: k + 1] for p in paths for k, n in enumerate(p) if n.split(".")[0] == "form"}
+    wide = set()
+    for form in forms:
+        held = [p[len(form) :] for p in paths if p[: len(form)] == form]
+        if len(held) == len(paths) or any(_region(n) or n.split(".")[0] == "nav" for p in held for n in p):
+            wide.add(form)
+    return wide
+
+
+@lru_cache(maxsize=4096)
+def candidates(paths: frozenset[tuple[str, ...]]) -> tuple[bool, frozenset[str], frozenset[str]]:
+    """Of a page's paths: whether it has a main region, the paths that are its main text then, and the other good paths.
+
+    An element around the main region is not boilerplate, whatever its name;
+    names only tell several regions of a page from each other (the article
+    from teasers in a sidebar or comments that are articles too).
+    """
+    wide = _page_forms(paths)
+    regions: list[tuple[str, bool, int, int, int]] = []
+    other = set()
+    for path in paths:
+        at = [k for k, n in enumerate(path) if _region(n)]
+        first, last = (at[0], at[-1]) if at else (len(path), -1)
+        around = [0, 0, 0, 0]
+        bad = False
+        for k, n in enumerate(path):
+            # a header inside the article holds its headings; outside it is the page's
+            if k == first or n.split(".")[0] in ("html", "body") or path[: k + 1] in wide or (k > first and n == "header"):
+                continue
+            kind = _boilerplate(n)
+            bad = bad or (kind > 0 and k > last)
+            around[kind] += 1
+        if bad:
+            continue
+        if at:
+            article = any(path[k].split(".")[0] == "article" for k in at)
+            regions.append(("/".join(path), article, around[3], around[2], around[1]))
+        else:
+            other.add("/".join(path))
+    if regions:
+        tags, names = min(r[2:4] for r in regions)
+        regions = [r for r in regions if r[2:4] == (tags, names)]
+        least = {kind: min((r[4] for r in regions if r[1] == kind), default=0) for kind in (False, True)}
+        if not (tags and other):  # articles in a menu or sidebar only: teasers beside the main text
+            return True, frozenset(r[0] for r in regions if r[4] == least[r[1]]), frozenset(other)
+    return False, frozenset(), frozenset(other)
+
+
+def _parent(path: str) -> str:
+    return path.rpartition("/")[0]
+
+
+def dense(written: str) -> dict[str, int]:
+    """The number of repeated text slots of the wrapper's elements outside main regions and boilerplate."""
+    parents: dict[str, int] = {}
+    for path, repeated in slots(written):
+        names = path.split("/")
+        if repeated and not any(
+            _region(n) or (_boilerplate(n) and n.split(".")[0] not in ("html", "body", "form")) for n in names
+        ):
+            parents[_parent(path)] = parents.get(_parent(path), 0) + 1
+    return parents
+
+
+def fixed(path: str, constant: set[str]) -> bool:
+    return path in constant and path.rpartition("/")[2].split(".")[0] not in HEADINGS
+
+
+def main_paths(paths: frozenset[tuple[str, ...]], parents: dict[str, int], constant: set[str]) -> frozenset[str]:
+    """The paths of a page that hold main text: its main region, or the densest element that it has."""
+    has_region, region, good = candidates(paths)
+    if has_region:
+        return frozenset(p for p in region if not fixed(p, constant))
+    good = frozenset(p for p in good if not fixed(p, constant))
+    found = {_parent(p) for p in good if parents.get(_parent(p))}
+    if found:
         # the element that holds the most repeated slots, with all its own slots
-        parents: dict[str, int] = {}
-        for path, rep, _ in good:
-            parent = path.rpartition("/")[0]
-            parents[parent] = parents.get(parent, 0) + rep
-        top = max(parents, key=lambda k: (parents[k], -len(k), k))
-        good = [g for g in good if g[0] == top or g[0].startswith(f"{top}/") or not top]
-    return sorted({g[0] for g in good})
+        top = max(found, key=lambda k: (parents[k], -len(k), k))
+        good = frozenset(p for p in good if p == top or p.startswith(f"{top}/") or not top)
+    return good
 
 
 # ------------------------------------------------------------------ Spark
@@ -391,7 +462,7 @@ def wrappers(streams: DataFrame) -> DataFrame:
 
 
 def decisions(pages: DataFrame) -> DataFrame:
-    """``(host, wrapper, main)``: each host's wrapper and the paths of its main text."""
+    """``(host, wrapper, dense, constant)``: each host's wrapper, its dense elements and constant slots."""
     found = stored(page_streams(pages), "streams")
     shared = found.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path").agg(
         F.min("s.text").alias("lo"), F.max("s.text").alias("hi"), F.count("*").alias("n")
@@ -399,24 +470,24 @@ def decisions(pages: DataFrame) -> DataFrame:
     constant = shared.where((F.col("lo") == F.col("hi")) & (F.col("n") >= LEAST_PAGES))
     constant = constant.groupBy("host").agg(F.collect_set("path").alias("constant"))
     joined = wrappers(found).join(constant, "host", "left")
+    kind = pa.map_(pa.string(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fixed = batch.column("constant").to_pylist()
-            written = batch.column("wrapper").to_pylist()
-            main = [main_slots(w, set(c or ())) for w, c in zip(written, fixed, strict=True)]
+            counts = [list(dense(w).items()) for w in batch.column("wrapper").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("host"), batch.column("wrapper"), pa.array(main, pa.list_(pa.string()))],
-                names=["host", "wrapper", "main"],
+                [batch.column("host"), batch.column("wrapper"), pa.array(counts, kind), batch.column("constant")],
+                names=["host", "wrapper", "dense", "constant"],
             )
 
-    return joined.select("host", "wrapper", "constant").mapInArrow(run, "host string, wrapper string, main array<string>")
+    schema = "host string, wrapper string, dense map<string,int>, constant array<string>"
+    return joined.select("host", "wrapper", "constant").mapInArrow(run, schema)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text)``: the main text, blocks joined by an empty line."""
     small_batches(pages.sparkSession)
-    decided = stored(decisions(pages), "wrappers").select(F.col("host").alias("of"), "main")
+    decided = stored(decisions(pages), "wrappers").select(F.col("host").alias("of"), "dense", "constant")
     rows = pages.select("page_id", "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
     rows = join_small(rows, decided, F.col("host") == F.col("of"), "left", max_rows=MAX_BROADCAST_HOSTS, check=True)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
@@ -424,13 +495,15 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, main in zip(batch.column("html").to_pylist(), batch.column("main").to_pylist(), strict=True):
-                paths = set(main or ())
-                texts.append("\n\n".join(f.words[0] for f in leaves(page) if "/".join(f.path) in paths))
+            known = zip(batch.column("dense").to_pylist(), batch.column("constant").to_pylist(), strict=True)
+            for page, (parents, constant) in zip(batch.column("html").to_pylist(), known, strict=True):
+                found = list(leaves(page))
+                paths = main_paths(frozenset(f.path for f in found), dict(parents or ()), set(constant or ()))
+                texts.append("\n\n".join(f.words[0] for f in found if "/".join(f.path) in paths))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], schema=schema
             )
 
-    return rows.select(F.col("page_id").cast("long"), "url", "html", "main").mapInArrow(
+    return rows.select(F.col("page_id").cast("long"), "url", "html", "dense", "constant").mapInArrow(
         run, "page_id long, url string, text string"
     )
