@@ -79,6 +79,21 @@ def test_main_text_is_decided_for_each_page(spark):
     assert html.extract(df).first().text == "a\n\nb"
 
 
+def test_copies_of_a_page_keep_their_lists(spark):
+    lists = "<ul><li>i<li>j</ul><dl><dt>k<dd>l</dl><table><tr><td>m</table><div>n</div>o"
+    text = "\n\n".join("ijklmno")
+    rows = [(k, "http://c.net/", page(lists)) for k in range(8)]
+    plain = lambda k: f"<body>{NAV}<div class=box><h1>H{k}</h1>{lists}<p>a<p>b</div></body>"
+    rows += [(k, "http://d.net/", plain(0)) for k in range(10, 18)]  # copies: their lists are no notice
+    rows += [(k, "http://e.net/", plain(k)) for k in range(20, 28)]  # different pages: they are
+    rows += [(k, "http://e.net/", page(f"<p>t{k}</p>{lists}")) for k in range(30, 38)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[k] for k in range(8)} == {f"Head\n\n{text}"}
+    assert {got[k] for k in range(10, 18)} == {f"H0\n\n{text}\n\na\n\nb"}
+    assert [got[k] for k in range(20, 28)] == [f"H{k}\n\na\n\nb" for k in range(20, 28)]
+    assert [got[k] for k in range(30, 38)] == [f"Head\n\nt{k}\n\n{text}" for k in range(30, 38)]
+
+
 def test_extract_on_the_table(spark):
     import re
     from html import unescape

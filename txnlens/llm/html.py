@@ -15,8 +15,9 @@ main region (the ``article`` or ``main`` element); on a page without one, under
 the element it has that holds the most repeated text slots of the host's
 wrapper. Slots under an element that is by name, role or class a menu, header,
 footer, sidebar, notice, advert, form or comment list are left out, and so are
-slots outside headings and paragraphs whose text is the same on every one of at
-least ``LEAST_PAGES`` pages. An element around the main region, ``html``,
+slots outside the main region, headings and paragraphs whose text is the same on
+every page that has them, if at least ``LEAST_PAGES`` of these differ in other
+texts (copies of one page count once). An element around the main region, ``html``,
 ``body`` and a form around the whole page are never boilerplate.
 
 Defined results
@@ -393,28 +394,29 @@ def _parent(path: str) -> str:
     return path.rpartition("/")[0]
 
 
-def dense(written: str) -> dict[str, int]:
-    """The number of repeated text slots of the wrapper's elements outside main regions and boilerplate."""
+def dense(written: str, constant: set[str]) -> dict[str, int]:
+    """The number of repeated text slots of the wrapper's elements outside main regions, notices and boilerplate."""
     parents: dict[str, int] = {}
     for path, repeated in slots(written):
         names = path.split("/")
-        if repeated and not any(
+        if repeated and path not in constant and not any(
             _region(n) or (_boilerplate(n) and n.split(".")[0] not in ("html", "body", "form")) for n in names
         ):
             parents[_parent(path)] = parents.get(_parent(path), 0) + 1
     return parents
 
 
-def fixed(path: str, constant: set[str]) -> bool:
-    return path in constant and path.rpartition("/")[2].split(".")[0] not in HEADINGS
+def notice_paths(paths: frozenset[tuple[str, ...]]) -> frozenset[str]:
+    """The good paths that a notice may have: outside the main region, headings and paragraphs."""
+    return frozenset(p for p in candidates(paths)[2] if p.rpartition("/")[2].split(".")[0] not in HEADINGS)
 
 
 def main_paths(paths: frozenset[tuple[str, ...]], parents: dict[str, int], constant: set[str]) -> frozenset[str]:
     """The paths of a page that hold main text: its main region, or the densest element that it has."""
     has_region, region, good = candidates(paths)
     if has_region:
-        return frozenset(p for p in region if not fixed(p, constant))
-    good = frozenset(p for p in good if not fixed(p, constant))
+        return region
+    good = frozenset(p for p in good if p not in constant)
     found = {_parent(p) for p in good if parents.get(_parent(p))}
     if found:
         # the element that holds the most repeated slots, with all its own slots
@@ -424,25 +426,32 @@ def main_paths(paths: frozenset[tuple[str, ...]], parents: dict[str, int], const
 
 
 # ------------------------------------------------------------------ Spark
-_PAGE_SCHEMA = "host string, stream string, slots array<struct<path:string,text:long>>"
+_PAGE_SCHEMA = "host string, stream string, page long, slots array<struct<path:string,text:long>>"
 
 
 def page_streams(pages: DataFrame) -> DataFrame:
-    """``(host, stream, slots)`` of every page."""
+    """``(host, stream, page, slots)``: structure, digest of all texts, and slots that may hold a notice, of every page."""
     kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            streams, held = [], []
+            streams, digests, held = [], [], []
             for page in batch.column("html").to_pylist():
                 found = list(leaves(page))
                 streams.append(write(fold(stream(found))))
-                by_path: dict[str, object] = {}
+                may = notice_paths(frozenset(f.path for f in found))
+                by_path: dict[str, xxhash.xxh3_64] = {}
+                whole = xxhash.xxh3_64()
                 for leaf in found:  # one digest for all texts of a path on this page
-                    by_path.setdefault("/".join(leaf.path), xxhash.xxh3_64()).update(leaf.words[0])
+                    path = "/".join(leaf.path)
+                    whole.update(f"{path}\0{leaf.words[0]}\0")
+                    if path in may:
+                        by_path.setdefault(path, xxhash.xxh3_64()).update(leaf.words[0])
+                digests.append(whole.intdigest() - (1 << 63))
                 held.append([{"path": p, "text": h.intdigest() - (1 << 63)} for p, h in by_path.items()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("host"), pa.array(streams, pa.string()), pa.array(held, kind)], names=["host", "stream", "slots"]
+                [batch.column("host"), pa.array(streams, pa.string()), pa.array(digests, pa.int64()), pa.array(held, kind)],
+                names=["host", "stream", "page", "slots"],
             )
 
     return pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), "html").mapInArrow(run, _PAGE_SCHEMA)
@@ -464,8 +473,9 @@ def wrappers(streams: DataFrame) -> DataFrame:
 def decisions(pages: DataFrame) -> DataFrame:
     """``(host, wrapper, dense, constant)``: each host's wrapper, its dense elements and constant slots."""
     found = stored(page_streams(pages), "streams")
-    shared = found.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path").agg(
-        F.min("s.text").alias("lo"), F.max("s.text").alias("hi"), F.count("*").alias("n")
+    differing = found.select("host", "page", F.explode("slots").alias("s")).select("host", "page", "s.path", "s.text").distinct()
+    shared = differing.groupBy("host", "path").agg(
+        F.min("text").alias("lo"), F.max("text").alias("hi"), F.count("*").alias("n")
     )
     constant = shared.where((F.col("lo") == F.col("hi")) & (F.col("n") >= LEAST_PAGES))
     constant = constant.groupBy("host").agg(F.collect_set("path").alias("constant"))
@@ -474,7 +484,9 @@ def decisions(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [list(dense(w).items()) for w in batch.column("wrapper").to_pylist()]
+            fixed = batch.column("constant").to_pylist()
+            written = batch.column("wrapper").to_pylist()
+            counts = [list(dense(w, set(c or ())).items()) for w, c in zip(written, fixed, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("host"), batch.column("wrapper"), pa.array(counts, kind), batch.column("constant")],
                 names=["host", "wrapper", "dense", "constant"],
