@@ -103,6 +103,27 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert got == want and len({r[2] for r in want}) > 5
 
 
+def test_family_blocks_are_bounded_by_documents(spark):
+    """Short texts in one bucket: few shingles, but no tile may hold them all."""
+    n = 5 * minhash.TILE_DOCUMENTS // 2
+    shared = spark.range(n).selectExpr("7L AS key", "id", "CAST(1000 AS LONG) AS size")
+    found = spark.createDataFrame([], "node long, component long")
+    sizes = spark.range(n).selectExpr("id AS doc_id", "20L AS n_shingles")
+    got = minhash._families(shared, found, sizes)
+    assert {r.blocks for r in got.select("blocks").distinct().collect()} == {3} and got.count() == n
+
+
+def test_tile_links_in_row_strips(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 20, 30, dtype=np.uint64)) for _ in range(30)]
+    labels = [k // 2 for k in range(30)]
+    want = minhash.joining_links(list(range(30)), labels, sets, 70)
+    monkeypatch.setattr(minhash, "TILE_ROWS", 4)
+    assert want and minhash.joining_links(list(range(30)), labels, sets, 70) == want
+    common = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    assert all(100 * common(i, j) >= 70 * (len(sets[i]) + len(sets[j]) - common(i, j)) for i, j in want)
+
+
 def test_intersections_in_column_chunks(monkeypatch):
     monkeypatch.setattr(minhash, "TILE_COLUMNS", 7)
     rng = np.random.default_rng(1)

@@ -19,7 +19,8 @@ large bucket:
    verified on the full shingle sets; linked documents become components.
 2. Larger buckets that still hold several components are joined into families
    (sets of documents connected by such buckets). A family is dealt into blocks
-   of about ``TILE_SHINGLES`` shingles; each pair of blocks is one tile, which
+   of about ``TILE_SHINGLES`` shingles or ``TILE_DOCUMENTS`` documents, whichever
+   is less; each pair of blocks is one tile, which
    intersects all its full sets at once (a matrix product over the shingles
    that occur twice) and returns only the links that join components. So the
    result is linear in the documents, while every pair of different
@@ -54,6 +55,10 @@ ROWS = 5
 SIMILARITY_PERCENT = 80
 SMALL_BUCKET = 16
 TILE_SHINGLES = 400_000
+#: and documents: a tile holds a matrix of its documents by its documents
+TILE_DOCUMENTS = 2000
+#: rows of that matrix that are made and looked through at a time
+TILE_ROWS = 512
 TILE_COLUMNS = 4096
 #: shingles hashed at a time: keeps the (shingles x coordinates) block in cache
 BLOCK = 1024
@@ -199,7 +204,9 @@ def _families(shared: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFram
     family = stored(components(stars), "families").select("node", F.col("component").alias("family"))
     members = unresolved.select("id", "component").distinct().join(family, F.col("id") == F.col("node"))
     members = stored(members.join(sizes, F.col("id") == F.col("doc_id")).select("id", "component", "family", "n_shingles"), "members")
-    blocks = members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / TILE_SHINGLES).cast("int").alias("blocks"))
+    blocks = members.groupBy("family").agg(
+        F.greatest(F.ceil(F.sum("n_shingles") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_DOCUMENTS)).cast("int").alias("blocks")
+    )
     blocks = stored(blocks.withColumnRenamed("family", "of"), "blocks")
     return members.join(blocks, F.col("family") == F.col("of")).select("id", "component", "family", "blocks")
 
@@ -219,7 +226,8 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
         part = slice(*np.searchsorted(column, [a, a + TILE_COLUMNS]))
         block = np.zeros((len(sets), TILE_COLUMNS), dtype=np.float32)
         block[row[part], column[part] - a] = 1
-        common += block @ block.T
+        for b in range(0, len(sets), TILE_ROWS):
+            common[b : b + TILE_ROWS] += block[b : b + TILE_ROWS] @ block.T
     return common
 
 
@@ -228,7 +236,6 @@ def joining_links(ids: list[int], labels: list[int], sets: list[np.ndarray], per
     common = intersections(sets)
     size = np.array([len(x) for x in sets], dtype=np.float32)
     label = np.array(labels)
-    linked = (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (label[:, None] != label[None, :])
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -237,11 +244,16 @@ def joining_links(ids: list[int], labels: list[int], sets: list[np.ndarray], per
         return x
 
     links = []
-    for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
-        a, b = root(labels[i]), root(labels[j])
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            links.append((ids[i], ids[j]))
+    for at in range(0, len(ids), TILE_ROWS):
+        rows, part = slice(at, at + TILE_ROWS), common[at : at + TILE_ROWS]
+        linked = 100 * part >= percent * (size[rows, None] + size[None, :] - part)
+        linked &= label[rows, None] != label[None, :]
+        for i, j in zip(*np.nonzero(np.triu(linked, at)), strict=True):
+            i += at
+            a, b = root(labels[i]), root(labels[j])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((ids[i], ids[j]))
     return links
 
 
