@@ -94,6 +94,40 @@ def test_copies_of_a_page_keep_their_lists(spark):
     assert [got[k] for k in range(30, 38)] == [f"Head\n\nt{k}\n\n{text}" for k in range(30, 38)]
 
 
+def test_ids_and_numbers_are_no_structure(spark, monkeypatch):
+    body = "<html><body><div id='post-{0}' class='post-{0} entry c{0}x'><h1 id='t-{0}'>H{0}</h1><p id='p{0}'>a{0}<p>b{0}</div>"
+    body += "<div id='comment-{0}'><p>says</div><div id='sidebar'><p>side</div></body></html>"
+    rows = [(k, "http://i.net/", body.format(k)) for k in range(40)]
+    rows += [(100 + k, "http://j.net/", f"<body><div class=content>{'<section><p>q<p>r</section><hr><ul><li>s</ul>' * k}</div>") for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html.page_streams(df).where("host = 'i.net'").select("stream").distinct().count() == 1
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert [got[k] for k in range(40)] == [f"H{k}\n\na{k}\n\nb{k}" for k in range(40)]
+    whole = {r.host: r.wrapper for r in html.wrappers(html.page_streams(df)).collect()}
+    monkeypatch.setattr(html, "FAN", 2)  # a deep tree
+    deep = {r.host: r.wrapper for r in html.wrappers(html.page_streams(df)).collect()}
+    assert whole["i.net"] == deep["i.net"] and {p for p, _ in html.slots(whole["j.net"])} == {p for p, _ in html.slots(deep["j.net"])}
+
+
+def test_alignment_tasks_are_bounded(spark, monkeypatch):
+    """A host of many structures: no task aligns more than some of them."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdef") for _ in range(3)) for _ in range(12)]
+    streams = [("h", "".join(f"<{w}>#</{w}>" for w in rng.sample(words, 4))) for _ in range(3000)]
+    seen = spark.sparkContext.accumulator(0)
+    real = html.infer
+
+    def counted(part: list[str]) -> str:
+        seen.add(len(part) > 2 * 64)
+        return real(part)
+
+    monkeypatch.setattr(html, "infer", counted)
+    frame = spark.createDataFrame(streams, "host string, stream string")
+    found = html.wrappers(frame).collect()
+    assert len(found) == 1 and seen.value == 0
+    assert {p for p, _ in html.slots(found[0].wrapper)} == set(words)
+
+
 def test_extract_on_the_table(spark):
     import re
     from html import unescape

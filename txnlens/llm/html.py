@@ -7,8 +7,10 @@ tokens match, a mismatch between two matches becomes an optional group
 ``( ... )?``, a repeat on either side stays a repeat. The result is the host's
 wrapper, a regular expression without unions, whose ``#`` are its text slots.
 Alignment works on distinct streams only: pages are collapsed to (host,
-stream) first, aligned in salted parts, and the parts' wrappers aligned again,
-so a host with a third of all pages is neither one task nor one long list.
+stream) first, aligned in parts of about ``FAN`` streams, and the parts' wrappers
+aligned again in the same way until one is left, so a host with a third of all
+pages is neither one task nor one long list. Ids and names with digits are not
+structure: they differ from page to page.
 
 Main text is decided for each page by its own elements: the slots under its
 main region (the ``article`` or ``main`` element); on a page without one, under
@@ -45,7 +47,8 @@ from txnlens.llm.urls import host_of
 from txnlens.plans.small import join_small
 
 LEAST_PAGES = 5
-SALTS = 16
+#: streams or wrappers that one task aligns
+FAN = 64
 MAX_BROADCAST_HOSTS = 50_000
 
 _TOKEN = re.compile(
@@ -58,6 +61,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_DIGIT = re.compile(r"\d")
 #: tags that do not end a block of text
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small"
@@ -75,6 +79,8 @@ BOILERPLATE_NAMES = set(
     " notice popup promo promotion related reply replies search share sharing sidebar signup skip social sponsor"
     " sponsored subscribe toolbar widget".split()
 )
+#: words of ids that tell the parts of a page's layout; other ids name single elements
+LAYOUT_NAMES = set("article body bottom center column container content entry left main page post primary right story text top wrapper".split())
 #: names that elements around a whole article have as well
 AROUND_MAIN = set("header menu nav notice search share social widget".split())
 
@@ -89,14 +95,22 @@ class Leaf:
 
 
 def _names(attrs: str) -> list[str]:
-    """Class, id and role names; ``hidden`` for elements that are not shown."""
+    """Class and role names without parts that have digits; of ids the layout and boilerplate words; ``hidden``.
+
+    Ids and numbers name one page's element (``post-123``), so they are no structure.
+    """
     names = []
     for m in _ATTR.finditer(attrs):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind == "hidden" or (kind == "style" and re.search(r"display\s*:\s*none", value)):
             names.append("hidden")
         elif kind != "style":
-            names += [re.sub(r"[^\w-]", "_", n) for n in value.split()]
+            for n in value.split():
+                parts = [part for part in re.split(r"[-_]+", re.sub(r"[^\w-]", "_", n)) if part and not _DIGIT.search(part)]
+                if kind == "id":
+                    parts = [part for part in parts if part in LAYOUT_NAMES or part in BOILERPLATE_NAMES]
+                if parts:
+                    names.append("-".join(parts))
     return names
 
 
@@ -458,16 +472,21 @@ def page_streams(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(streams: DataFrame) -> DataFrame:
-    """``(host, wrapper)`` from the distinct streams of each host."""
+    """``(host, wrapper)`` from the distinct streams of each host, in a tree of parts of about ``FAN`` each."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [key[0]], "stream": [infer(rows["stream"].tolist())]})
 
     schema = "host string, stream string"
-    distinct = streams.select("host", "stream").distinct()
-    salted = distinct.withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(SALTS)))
-    parts = salted.groupBy("host", "salt").applyInPandas(run, schema)
-    return parts.groupBy("host").applyInPandas(run, schema).withColumnRenamed("stream", "wrapper")
+    level = stored(streams.select("host", "stream").distinct(), "distinct_streams")
+    while True:
+        sizes = stored(level.groupBy("host").agg(F.ceil(F.count("*") / FAN).alias("parts")), "parts")
+        if (sizes.agg(F.max("parts")).first()[0] or 0) <= 1:
+            return level.groupBy("host").applyInPandas(run, schema).withColumnRenamed("stream", "wrapper")
+        sizes = sizes.withColumnRenamed("host", "of")
+        parted = join_small(level, sizes, F.col("host") == F.col("of"), max_rows=MAX_BROADCAST_HOSTS, check=True)
+        parted = parted.withColumn("salt", F.pmod(F.xxhash64("stream"), F.col("parts")))
+        level = stored(parted.groupBy("host", "salt").applyInPandas(run, schema).distinct(), "wrapper_parts")
 
 
 def decisions(pages: DataFrame) -> DataFrame:
