@@ -205,6 +205,19 @@ def test_grammar_marks_by_clause():
         assert toxicity.Scanner(arcs).features(text) == [0.0] * toxicity.N_FEATURES
 
 
+def test_insults_joined_by_punctuation_or_markup():
+    arcs = {"=idiot": 5.0, "=moron": 5.0, "^lowe": 4.0}
+    features = lambda text: toxicity.Scanner(arcs).features(text)
+    for text in ("idiot/moron", "stupid-idiot", "<b>idiot</b>", "(idiot),he", "i.d.i.o.t", "x i.d.i.o.t. y", "a/loweient"):
+        assert features(text)[0] > 0, text
+    assert features("idiot/moron here") == features("idiot moron here")
+    assert features("well you,idiot") == features("well you idiot") and features("you,idiot")[3] > 0
+    assert features("not-an-idiot x") == features("not an idiot x") and features("not;idiot")[1] == 0 < features("not;idiot")[0]
+    assert features("kill-you") == features("kill you") and features("don't a/b 12 ... e.g.") == [0.0] * toxicity.N_FEATURES
+    scanner = toxicity.Scanner(arcs)
+    assert scanner.features("you,idiot") == scanner.features("you,idiot") and len(scanner.several) == 1
+
+
 def test_composition_equals_running_in_turn():
     parts = [toxicity.mark_after(toxicity.NEGATION, 1), toxicity.mark_after(toxicity.REPORT, 2), toxicity.mark_after(toxicity.TARGET, 4)]
     table, rng = toxicity.grammar(), random.Random(3)

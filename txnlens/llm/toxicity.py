@@ -1,7 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A lexicon transducer maps tokens to weighted symbols (insult, threat, target,
-negation, reported speech). Three context transducers read the symbols of one
+negation, reported speech). A white-space token is looked up by each of its runs
+of letters, as the arcs are learned (``you,idiot``, ``<b>idiot</b>``), and by
+all its letters together (``i.d.i.o.t``). Three context transducers read the symbols of one
 clause and mark an insult or threat that follows a negation, a reporting verb
 or a target; their composition is one table that walks every clause once. A
 clause is scored by the weights of its matches; a document by its matched
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import product
+from itertools import groupby, product
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,7 @@ WORDS = {
     REPORT: "said says called calls wrote quoted sagte nannte schrieb dit disait écrit dijo llamó escribió",
 }
 _CLAUSE_END = re.compile(r"[.!?;:]\W*$")
+_CLAUSE_MARK = re.compile(r"[.!?;:]")
 N_FEATURES = 8
 
 Table = dict[tuple[int, tuple[int, int]], tuple[int, tuple[int, int]]]
@@ -88,32 +91,67 @@ def grammar() -> Table:
 
 
 class Scanner(dict):
-    """Codes tokens (``2 * entry + ends a clause``), memoised, and scores texts."""
+    """Codes tokens (``2 * entry + ends a clause``; ``-1 - k`` for the codes ``several[k]``), memoised, and scores texts."""
 
     def __init__(self, arcs: dict[str, float]):
         super().__init__()
         self.arcs = arcs
         self.kind, self.weight = [0], [0.0]
         self.entries: dict[tuple[int, float], int] = {(0, 0.0): 0}
+        self.several: list[list[int]] = []
         self.fixed = {w: kind for kind, words in WORDS.items() for w in words.split()}
         self.table = grammar()
 
-    def __missing__(self, token: str) -> int:
-        word = "".join(filter(str.isalpha, token)).lower()
+    def key(self, word: str) -> tuple[int, float]:
         found = [self.arcs.get(f"={word}", 0.0), *(self.arcs.get(f"^{word[:n]}", 0.0) for n in STEMS if len(word) >= n)]
-        key = (INSULT, max(found)) if max(found) > 0 else (self.fixed.get(word, 0), 1.0 if word in self.fixed else 0.0)
+        return (INSULT, max(found)) if max(found) > 0 else (self.fixed.get(word, 0), 1.0 if word in self.fixed else 0.0)
+
+    def entry(self, key: tuple[int, float]) -> int:
         if key not in self.entries:
             self.entries[key] = len(self.kind)
             self.kind.append(key[0])
             self.weight.append(key[1])
+        return self.entries[key]
+
+    def parts(self, token: str, glued: tuple[int, float]) -> list[int]:
+        """Codes of the letter runs of a token of several, in order; none if the token matches as a whole or not at all."""
+        runs = [(alpha, "".join(run)) for alpha, run in groupby(token, str.isalpha)]
+        keys = [self.key(run.lower()) if alpha else (0, 0.0) for alpha, run in runs]
+        insults = sum(w for kind, w in keys if kind == INSULT)
+        if not any(kind for kind, _ in keys) or (glued[0] and not insults) or (glued[0] == INSULT and insults < glued[1]):
+            return []
+        codes = []
+        for key, (alpha, run) in zip(keys, runs, strict=True):
+            if alpha:
+                codes.append(2 * self.entry(key))
+            elif codes and _CLAUSE_MARK.search(run):
+                codes[-1] |= 1
+        # the token's own end is what it is for one that has no runs
+        codes[-1] = (codes[-1] & ~1) | bool(_CLAUSE_END.search(token))
+        return [c for c in codes if c]
+
+    def __missing__(self, token: str) -> int:
+        letters = "".join(filter(str.isalpha, token))
+        glued = self.key(letters.lower())
         if len(self) > MEMO_TOKENS:
             self.clear()
-        code = self[token] = 2 * self.entries[key] + bool(_CLAUSE_END.search(token))
+        if letters and letters not in token:
+            codes = self.parts(token, glued)
+            if codes:
+                self.several.append(codes)
+                self[token] = -len(self.several)
+                return -len(self.several)
+        code = self[token] = 2 * self.entry(glued) + bool(_CLAUSE_END.search(token))
         return code
 
     def features(self, text: str | None) -> list[float]:
         tokens = (text or "").split()
+        if len(self.several) > MEMO_TOKENS:
+            self.clear()
+            self.several.clear()
         codes = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        if (codes < 0).any():
+            codes = np.array([c for code in codes.tolist() for c in (self.several[-1 - code] if code < 0 else (code,))], dtype=np.int64)
         kinds = np.array(self.kind)[codes >> 1]
         at = np.flatnonzero(kinds)
         if not ((kinds[at] == INSULT) | (kinds[at] == THREAT)).any():
