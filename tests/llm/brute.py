@@ -114,3 +114,18 @@ def inner_products(rows: list[tuple], k: int, every: int) -> list[tuple]:
                 scored.append((-s, j))
         out += [(i, r, j, -s) for r, (s, j) in enumerate(sorted(scored)[:k], 1)]
     return out
+
+
+def line_dedup(docs: list[tuple], least: int = 10) -> list[tuple]:
+    key = lambda x: ascii_lower(x.strip(" \t\n\v\f\r"))
+    first: dict[str, int] = {}
+    for d, t in docs:
+        for x in (t or "").split("\n"):
+            if d is not None and len(key(x)) >= least:
+                first[key(x)] = min(first.get(key(x), d), d)
+    out = []
+    for d, t in docs:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if d is None or first.get(key(x), d) >= d]
+        out.append((d, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
+    return out

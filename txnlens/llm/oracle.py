@@ -97,6 +97,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit, 0) AS BIGIN
 FROM d LEFT JOIN h USING (doc_id)"""
 
 
+ENDS = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+OP11 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT *, translate(trim(x, {ENDS}), '{UPPER}', '{LOWER}') AS k
+      FROM (SELECT r, doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS i FROM d)),
+least AS (SELECT k, min(doc_id) AS first FROM l WHERE length(k) >= 10 GROUP BY k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first < doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT coalesce(first < doc_id, false)), '')) AS kept_sha256
+FROM l LEFT JOIN least USING (k) GROUP BY r, doc_id"""
+
+
 def llm_oracle() -> dict[str, str]:
     return {
         "op1_substring": OP1,
@@ -105,4 +115,5 @@ def llm_oracle() -> dict[str, str]:
         "op4_chat_format": OP4,
         "op8_minhash": OP8,
         "op9_decontamination": OP9,
+        "op11_line_dedup": OP11,
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm import ann, chat, decontam, html, minhash, packing, secrets, substring, toxicity, urls
+from txnlens.llm import ann, chat, decontam, html, lines, minhash, packing, secrets, substring, toxicity, urls
 from txnlens.llm.common import table
 
 
@@ -107,6 +107,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ten characters or more that an earlier document holds, dropped from all documents."""
+    kept = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def llm_queries() -> dict:
     return {
         "op1_substring": op1_substring,
@@ -119,4 +125,5 @@ def llm_queries() -> dict:
         "op8_minhash": op8_minhash,
         "op9_decontamination": op9_decontamination,
         "op10_toxicity": op10_toxicity,
+        "op11_line_dedup": op11_line_dedup,
     }
