@@ -107,6 +107,89 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first < doc_id) AS n_droppe
 FROM l LEFT JOIN least USING (k) GROUP BY r, doc_id"""
 
 
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, bit by bit."""
+    bits = "-1, " * 7 + "-1"
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ascii(c) AS BIGINT), {bits}]))"
+    step = (
+        "lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) "
+        "ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END"
+    )
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), {step}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in fields) + ")"
+
+
+_STEPS = """SELECT *, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || '|' ||
+             coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS step
+      FROM {t} WHERE n > 1 WINDOW w AS (PARTITION BY tree, lvl, pos // 16 ORDER BY pos)"""
+_UP = """SELECT tree, lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM {t} WHERE n > 1
+      GROUP BY tree, lvl, pos // 16, n"""
+OP12 = f"""WITH RECURSIVE l AS (SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, '') AS tree, {_leaf('text')} AS leaf,
+  CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS altered FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l),
+up(tree, lvl, pos, n, h) AS (SELECT tree, 0, pos, n, leaf FROM p UNION ALL {_UP.format(t='up')}),
+subs AS (SELECT tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top(tree, lvl, pos, n, h) AS (SELECT '', 0, pos, n, h FROM subs UNION ALL {_UP.format(t='top')}),
+low AS ({_STEPS.format(t='up')}),
+high AS ({_STEPS.format(t='top')}),
+way AS (SELECT r, lvl, step FROM p JOIN low USING (tree) WHERE low.pos = p.pos // CAST(pow(16, lvl) AS BIGINT)
+  UNION ALL SELECT r, 1000 + lvl, step FROM p JOIN subs ON name = tree JOIN high ON high.pos = subs.pos // CAST(pow(16, lvl) AS BIGINT)),
+proof AS (SELECT r, list(step ORDER BY lvl) AS steps FROM way GROUP BY r),
+f AS (SELECT doc_id, leaf, subs.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(steps, CAST([] AS VARCHAR[])) AS steps,
+        list_reduce(list_prepend(coalesce(altered, leaf), coalesce(steps, CAST([] AS VARCHAR[]))),
+                    lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+      FROM p JOIN subs ON name = tree LEFT JOIN proof USING (r))
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256, folded_root,
+       folded_root = root AS verified FROM f"""
+
+
+_NAMED = "coalesce(CAST({c} AS VARCHAR), ' ')"
+_KIND = crc32_sql(f"{_NAMED.format(c='conv_id')} || ':' || {_NAMED.format(c='turn')}") + " % 20"
+_INSERTS = ", ".join(
+    f"('{q}', '{r}', '{a}', {3 * len(a)})"
+    for q, way in (("", "ua"), ("s", "ua"), ("u", "au"), ("a", "ua"))
+    for a, r in (("", q), ("I", way[0]), ("II", way[1]))
+)
+_EDITS = ", ".join(
+    [f"('D', '{q}', NULL, '{q}', 4)" for q in ("", "s", "u", "a")]
+    + [f"('R', '{q}', NULL, '{r}', 3)" for q, r in (("", "u"), ("s", "u"), ("u", "a"), ("a", "u"))]
+    + [f"('K', '{q}', '{r}', '{r}', 0)" for q, r in (("", "s"), ("", "u"), ("s", "u"), ("u", "a"), ("a", "u"))]
+)
+OP13 = f"""WITH RECURSIVE src AS (SELECT conv_id, turn, {_NAMED.format(c='role')} AS role, {_NAMED.format(c='text')} AS text, {_KIND} AS kind FROM conversations),
+dam AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+               unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM src WHERE kind <> 0),
+o AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), '') AS k, left(role, 1) AS r0, rtrim(text, {ENDS}) AS e,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 32), left(text, 32), sha256(length(role) || ':' || role || text)) AS i FROM dam),
+f AS (SELECT *, coalesce(lag(r0) OVER (PARTITION BY k ORDER BY i) || r0 NOT IN ('su', 'ua', 'au'), false) AS illegal,
+             CASE WHEN e = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'duplicate'
+                  WHEN right(e, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+ins(q, q2, a, c) AS (VALUES {_INSERTS}),
+ed(op, q, r, q2, c) AS (VALUES {_EDITS}),
+best(k, i, q, b) AS (SELECT DISTINCT k, CAST(0 AS BIGINT), '', {{'c': 0, 'a': ''}} FROM f UNION ALL
+  SELECT best.k, best.i + 1, ed.q2, min({{'c': b.c + ins.c + ed.c + CASE WHEN fault = 'truncated' AND op <> 'D' THEN 3 ELSE 0 END, 'a': b.a || ins.a || op}})
+  FROM best JOIN f ON f.k = best.k AND f.i = best.i + 1 JOIN ins ON ins.q = best.q
+  JOIN ed ON ed.q = ins.q2 AND (op = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (op = 'R' OR r = r0)))
+  GROUP BY best.k, best.i, ed.q2),
+s AS (SELECT k, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+             count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (illegal) AS illegal FROM f GROUP BY k),
+fin AS (SELECT k, min({{'c': b.c + ins.c, 'a': b.a || ins.a}}) AS b FROM best JOIN s USING (k) JOIN ins USING (q) WHERE i = n AND ins.q2 IN ('', 'a') GROUP BY k),
+x AS (SELECT k, unnest(string_split(b.a, '')) AS op, unnest(range(len(b.a))) AS p FROM fin),
+y AS (SELECT *, count(*) FILTER (op <> 'I') OVER w AS i, count(*) FILTER (op <> 'D') OVER w AS place FROM x WINDOW w AS (PARTITION BY k ORDER BY p)),
+z AS (SELECT y.k, p, op, place, role, text, max(CASE WHEN op = 'K' AND r0 = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY y.k) AS has_system
+      FROM y LEFT JOIN f ON f.k = y.k AND f.i = y.i AND op <> 'I' WHERE op <> 'D'),
+rep AS (SELECT k, sha256(string_agg(CASE WHEN op = 'K' THEN role WHEN (place - has_system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p)) AS h
+        FROM z GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(fin.b.c, 0) AS BIGINT) AS cost, coalesce(fin.b.a, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS k FROM conversations) LEFT JOIN s USING (k) LEFT JOIN fin USING (k) LEFT JOIN rep USING (k)"""
+
+
 def llm_oracle() -> dict[str, str]:
     return {
         "op1_substring": OP1,
@@ -116,4 +199,6 @@ def llm_oracle() -> dict[str, str]:
         "op8_minhash": OP8,
         "op9_decontamination": OP9,
         "op11_line_dedup": OP11,
+        "op12_merkle": OP12,
+        "op13_conversation_repair": OP13,
     }

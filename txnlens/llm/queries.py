@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm import ann, chat, decontam, html, lines, minhash, packing, secrets, substring, toxicity, urls
-from txnlens.llm.common import table
+from txnlens.llm import ann, chat, decontam, html, lines, merkle, minhash, packing, repair, secrets, substring, toxicity, urls
+from txnlens.llm.common import ascii_lower, table
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +113,36 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def merkle_check(documents: DataFrame) -> DataFrame:
+    """Every document's proof, folded from its leaf or, for a fifth of the ids, from a lower-cased text's leaf."""
+    lowered = [ascii_lower(F.col("text")) if c == "text" else F.col(c) for c in merkle.FIELDS]
+    tampered = F.crc32(F.col("doc_id").cast("long").cast("string")) % 5 == 0
+    made = merkle.manifest(documents.withColumn("altered", F.when(tampered, merkle.leaf_hash(lowered))), ["altered"])
+    return made.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        merkle.fold(F.coalesce("carried.altered", "leaf"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents, and what folding tampered documents shows."""
+    return merkle_check(table(spark, sf_dir, "documents"))
+
+
+def repair_check(conversations: DataFrame) -> DataFrame:
+    """What repairing the damaged conversations takes, for every original conversation."""
+    return repair.report(repair.damage(conversations), conversations)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired."""
+    return repair_check(table(spark, sf_dir, "conversations"))
+
+
 def llm_queries() -> dict:
     return {
         "op1_substring": op1_substring,
@@ -126,4 +156,6 @@ def llm_queries() -> dict:
         "op9_decontamination": op9_decontamination,
         "op10_toxicity": op10_toxicity,
         "op11_line_dedup": op11_line_dedup,
+        "op12_merkle": op12_merkle,
+        "op13_conversation_repair": op13_conversation_repair,
     }
