@@ -17,7 +17,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from txnlens.queries import _smote_input, _split, cleaned, raw, registry  # noqa: E402
+from txnlens.queries import _smote_input, cleaned, raw, registry, split_stage  # noqa: E402
 from txnlens.session import local_session  # noqa: E402
 
 HEADLINE = [
@@ -42,7 +42,7 @@ HEADLINE = [
     "smote_balanced",
 ]
 
-STAGES = {"raw": raw, "cleaned": cleaned, "split": _split, "train_scaled": _smote_input}
+STAGES = {"raw": raw, "cleaned": cleaned, "split": split_stage, "train_scaled": _smote_input}
 
 
 def main() -> None:

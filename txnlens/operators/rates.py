@@ -232,6 +232,38 @@ def scorecard(df: DataFrame, spec: TxnSpec = TxnSpec(), hour: str = "Hour", peak
         F.count_if(p & day).cast("double").alias("day_positives"),
         F.count_if(p & ~day).cast("double").alias("night_positives"),
     )
+    return _scorecard_rows(g, pk1)
+
+
+def scorecard_of(measures: DataFrame, peak_from: DataFrame, spec: TxnSpec = TxnSpec(), hour: str = "Hour") -> DataFrame:
+    """:func:`scorecard` from measures by hour and label (``n``, ``n_amount``, ``total``, ``most``, ``zeros``)."""
+    lbl = _lbl(spec)
+    p, n = lbl == 1, lbl == 0
+    day = F.col(hour).between(8, 19)
+    total = lambda c, when=None: F.coalesce(F.sum(F.col(c) if when is None else F.when(when, F.col(c))), F.lit(0))
+    by_hour = peak_from.groupBy(hour).agg(total("n").alias("n"), total("n", p).alias("positives"))
+    rate = F.col("positives") / F.col("n") * 100
+    best = by_hour.agg(F.max(F.struct(rate.alias("r"), (-F.col(hour)).alias("h"))).alias("b"))
+    pk1 = best.select((-F.col("b.h")).cast("double").alias("h"), F.col("b.r").alias("r"))
+    mean = lambda when: F.try_divide(F.sum(F.when(when, F.col("total"))), total("n_amount", when).cast("double"))
+    g = measures.agg(
+        total("n").cast("double").alias("total_transactions"),
+        total("n", p).cast("double").alias("positives"),
+        (F.try_divide(total("n", p), total("n")) * 100).alias("positive_rate_pct"),
+        F.try_divide(total("n", n).cast("double"), total("n", p).cast("double")).alias("imbalance_ratio"),
+        F.coalesce(F.sum(F.when(p, F.col("total"))), F.lit(0.0)).alias("total_exposure"),
+        mean(p).alias("avg_positive_amount"),
+        mean(n).alias("avg_negative_amount"),
+        F.max(F.when(p, F.col("most"))).alias("max_positive_amount"),
+        total("zeros", p).cast("double").alias("zero_amount_positives"),
+        total("n", p & day).cast("double").alias("day_positives"),
+        total("n", p & ~day).cast("double").alias("night_positives"),
+    )
+    return _scorecard_rows(g, pk1)
+
+
+def _scorecard_rows(g: DataFrame, pk1: DataFrame) -> DataFrame:
+    """The one-row metrics and peak as ``(ord, metric, value)``."""
     # no rows, or no positives: zeros, as in the interactive report; a ratio or mean over no rows stays NULL
     undefined = ("imbalance_ratio", "avg_negative_amount")
     zero = lambda c: F.col(c) if c in undefined else F.coalesce(F.col(c), F.lit(0.0))

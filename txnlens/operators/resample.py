@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from txnlens.operators.clean import apply_standard, standard_params
 from txnlens.plans.ordered import prefix_rank
-from txnlens.plans.small import join_small
+from txnlens.plans.small import fits, join_small
 from txnlens.plans.stage import write_table
 from txnlens.spec import TxnSpec
 
@@ -31,40 +31,101 @@ def row_hash(df: DataFrame, seed: int = 42, key: str | None = None) -> Column:
     return F.md5(F.concat(src, F.lit(f"#{seed}")))
 
 
-def stratified_split(
-    df: DataFrame,
-    spec: TxnSpec = TxnSpec(),
-    test_frac: float = 0.2,
-    seed: int = 42,
-    bucket_digits: int | None = None,
-) -> DataFrame:
-    """Add ``split`` = 'test' | 'train'; per label exactly ceil(test_frac * n) test rows.
-
-    Rows are ordered by a seeded hash within their label; the first rows are
-    test. The hash prefix is a balanced, ordered bucket; it has so many hex
-    digits that a bucket holds about ``CUT_BUCKET_ROWS`` rows (or as many as
-    ``bucket_digits`` says). Per-(label, bucket) counts are prefix-summed, buckets entirely
-    before/after the cut are decided without any shuffle of their rows, and
-    only the single cut bucket of each label is ranked by a window.
-    """
-    lbl = spec.label
-    h = row_hash(df, seed, spec.key)
+def _hash_buckets(df: DataFrame, key: str | None, seed: int, bucket_digits: int | None) -> DataFrame:
+    """``df`` with a seeded hash ``_h`` and its prefix ``_b``, an ordered bucket of about CUT_BUCKET_ROWS rows."""
     if bucket_digits is None:
         n = df.count()
         bucket_digits = next(d for d in range(1, 14) if n <= CUT_BUCKET_ROWS * 16**d)
-    x = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, bucket_digits), 16, 10).cast("long"))
+    x = df.withColumn("_h", row_hash(df, seed, key))
+    return x.withColumn("_b", F.conv(F.substring("_h", 1, bucket_digits), 16, 10).cast("long"))
+
+
+def _cut_buckets(x: DataFrame, lbl: str, test_frac: float) -> DataFrame:
+    """Per (label, bucket): rows, rows before it, and the label's number of test rows."""
     cnt = x.groupBy(lbl, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wl = Window.partitionBy(lbl)
     frac = F.lit(Decimal(str(test_frac)))
-    offs = cnt.select(
+    return cnt.select(
         lbl,
         "_b",
         "_c",
         F.coalesce(F.sum("_c").over(wl.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.ceil(F.sum("_c").over(wl) * frac).cast("long").alias("_ntest"),
     )
+
+
+def split_cuts(
+    df: DataFrame,
+    spec: TxnSpec = TxnSpec(),
+    test_frac: float = 0.2,
+    seed: int = 42,
+    bucket_digits: int | None = None,
+) -> DataFrame:
+    """One row per label: hash and key of its last test row, as :func:`assign_split` takes them.
+
+    Reads label and key only. Rows are ordered by the seeded hash of the key;
+    bucket counts tell the one bucket a label is cut in, and only that bucket's
+    rows are ranked. ``spec.key`` must be unique: a key that the cut would have
+    to part raises.
+    """
+    lbl = spec.label
+    x = _hash_buckets(df.select(lbl, spec.key), spec.key, seed, bucket_digits)
+    offs = _cut_buckets(x, lbl, test_frac)
+    cut = offs.where((F.col("_off") < F.col("_ntest")) & (F.col("_off") + F.col("_c") >= F.col("_ntest")))
+    rows = join_small(x, cut, [lbl, "_b"], "inner")
+    rn = F.col("_off") + F.row_number().over(Window.partitionBy(lbl, "_b").orderBy("_h", spec.key))
+    at = F.struct(F.col("_h").alias("h"), F.col(spec.key).cast("string").alias("k"))
+    ends = rows.withColumn("_rn", rn).groupBy(lbl).agg(
+        F.max(F.when(F.col("_rn") == F.col("_ntest"), at)).alias("last"),
+        F.max(F.when(F.col("_rn") == F.col("_ntest") + 1, at)).alias("next"),
+    )
+    clear = F.col("next").isNull() | (F.col("last") != F.col("next"))
+    return ends.select(
+        lbl,
+        F.when(clear, F.col("last.h")).otherwise(F.raise_error(F.lit("the key is not unique"))).alias("cut_hash"),
+        F.col("last.k").alias("cut_key"),
+    )
+
+
+MAX_LABELS = 10_000
+
+
+def assign_split(df: DataFrame, cuts: DataFrame, spec: TxnSpec = TxnSpec(), seed: int = 42) -> DataFrame:
+    """``df`` with ``split``, by the stored ``cuts`` (one row a label, checked before it is broadcast).
+
+    A projection: no row moves, and the wide table need not be kept for its split.
+    """
+    if not fits(cuts, MAX_LABELS):
+        raise ValueError(f"more than {MAX_LABELS} labels: not a classification label")
+    h = row_hash(df, seed, spec.key)
+    x = df.join(F.broadcast(cuts), spec.label)
+    key = F.col(spec.key).cast("string")
+    first = (h < F.col("cut_hash")) | ((h == F.col("cut_hash")) & (key <= F.col("cut_key")))
+    return x.withColumn("split", F.when(first, F.lit("test")).otherwise(F.lit("train"))).drop("cut_hash", "cut_key")
+
+
+def stratified_split(
+    df: DataFrame,
+    spec: TxnSpec = TxnSpec(),
+    test_frac: float = 0.2,
+    seed: int = 42,
+    bucket_digits: int | None = None,
+) -> DataFrame:
+    """Add ``split`` = 'test' | 'train'; per label exactly ceil(test_frac * n) test rows.
+
+    Rows are ordered by a seeded hash within their label; the first rows are
+    test. With a unique key, :func:`split_cuts` and :func:`assign_split` do the
+    same without moving rows. Here rows may repeat: the hash prefix is a
+    balanced, ordered bucket with so many hex digits that it holds about
+    ``CUT_BUCKET_ROWS`` rows (or as many as ``bucket_digits`` says).
+    Per-(label, bucket) counts are prefix-summed, buckets entirely before/after
+    the cut are decided without any shuffle of their rows, and only the single
+    cut bucket of each label is ranked by a window.
+    """
+    lbl = spec.label
+    x = _hash_buckets(df, spec.key, seed, bucket_digits)
     # one row per label and bucket; the planner broadcasts it only below its size threshold
-    x = join_small(x, offs, [lbl, "_b"], "inner")
+    x = join_small(x, _cut_buckets(x, lbl, test_frac), [lbl, "_b"], "inner")
     decided = x.where((F.col("_off") + F.col("_c") <= F.col("_ntest")) | (F.col("_off") >= F.col("_ntest")))
     decided = decided.withColumn(
         "split", F.when(F.col("_off") + F.col("_c") <= F.col("_ntest"), F.lit("test")).otherwise(F.lit("train"))
@@ -105,9 +166,6 @@ def class_weights(df: DataFrame, spec: TxnSpec = TxnSpec()) -> DataFrame:
     )
 
 
-MAX_BUCKETS = 100_000
-
-
 def draw(id_col: str, seed: int, digits: int) -> Column:
     """A whole number from the first ``digits`` (up to 15) hex digits of a seeded md5 of the id."""
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"#{seed}")))
@@ -160,10 +218,7 @@ def smote(
         )
         # the class table is read ~4 times below: write it once (cuts the lineage)
         mc = write_table(ranked.withColumn("_sid", F.col("_rn") - 1).drop("_rn", "_order"), f"smote-class-{c}")
-        # rank buckets grow with the class so the broadcast array of bucket
-        # minima stays at most MAX_BUCKETS entries whatever the class size
-        rows_per_bucket = max(bucket_rows, -(-m // MAX_BUCKETS))
-        knn = write_table(exact_knn(mc, "_sid", feats, kk, seed, rows_per_bucket), f"smote-knn-{c}")
+        knn = write_table(exact_knn(mc, "_sid", feats, kk, seed, bucket_rows), f"smote-knn-{c}")
         gen = mc.sparkSession.range(need).select(
             F.col("id").alias("_gid"),
             F.pmod(draw("id", seed, 15), F.lit(m)).alias("_base"),

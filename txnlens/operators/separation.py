@@ -12,10 +12,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from txnlens.functions.columns import clip, nan_to_null, pearson
+from txnlens.functions.kolmogorov import p_value
 from txnlens.operators.profile import to_long
 from txnlens.plans.ordered import prefix_sums, quantiles_wide
 from txnlens.plans.small import fits, join_small
@@ -49,8 +52,20 @@ def kolmogorov_sf(z: Column, terms: int = 20) -> Column:
     return F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0))
 
 
-def feature_ks(df: DataFrame, cols: Sequence[str], spec: TxnSpec = TxnSpec()) -> DataFrame:
-    """Two-sample KS statistic (negatives vs positives) and asymptotic p-value per feature."""
+@F.pandas_udf(DoubleType())
+def finite_p_value(ks: pd.Series, n_neg: pd.Series, n_pos: pd.Series) -> pd.Series:
+    """The p-value for finite samples; one row a feature comes here, never data rows."""
+    rows = zip(ks, n_neg, n_pos, strict=True)
+    return pd.Series([p_value(float(d), int(m), int(n)) for d, m, n in rows], dtype="float64")
+
+
+def feature_ks(df: DataFrame, cols: Sequence[str], spec: TxnSpec = TxnSpec(), finite: bool = False) -> DataFrame:
+    """Two-sample KS statistic (negatives vs positives) and p-value per feature.
+
+    The p-value is that of the limit law or, with ``finite``, exact while both
+    samples have at most ``kolmogorov.EXACT_MAX`` values and that of the finite
+    two-sided law beyond.
+    """
     long = to_long(df, cols, spec.label).where(F.col("value").isNotNull())
     counts = long.groupBy("column", "col_idx", "value").agg(
         F.count_if(F.col("_lbl") == 0).alias("n0"), F.count_if(F.col("_lbl") == 1).alias("n1")
@@ -71,7 +86,7 @@ def feature_ks(df: DataFrame, cols: Sequence[str], spec: TxnSpec = TxnSpec()) ->
         "column",
         "col_idx",
         "ks",
-        kolmogorov_sf(F.sqrt(en) * F.col("ks")).alias("p_value"),
+        (finite_p_value("ks", "tot0", "tot1") if finite else kolmogorov_sf(F.sqrt(en) * F.col("ks"))).alias("p_value"),
         F.col("tot0").alias("n_neg"),
         F.col("tot1").alias("n_pos"),
     ).where((F.col("n_neg") > 0) & (F.col("n_pos") > 0))
@@ -110,6 +125,14 @@ def radar_profile(df: DataFrame, features: Sequence[str] = RADAR_FEATURES, spec:
     )
 
 
+def feature_detail(df: DataFrame, column: str, cols: Sequence[str], spec: TxnSpec = TxnSpec()) -> DataFrame:
+    """JN-5: the ranking's row of one feature, computed from that column alone (``rank`` is left to the ranking)."""
+    if column not in cols:
+        raise ValueError(f"{column} is not one of the features")
+    at = list(cols).index(column)
+    return feature_ranking(df, [column], spec).withColumn("col_idx", F.lit(at))
+
+
 def feature_ranking(df: DataFrame, cols: Sequence[str], spec: TxnSpec = TxnSpec()) -> DataFrame:
     """KS, p-value, correlation, label means and stds per feature, strongest first."""
     ks = feature_ks(df, cols, spec)

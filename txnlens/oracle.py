@@ -9,6 +9,7 @@ exactly as the Spark side rounds them (:data:`txnlens.queries.DIGITS`).
 from __future__ import annotations
 
 from txnlens.functions.columns import BAND_DISPLAY, BAND_NAMES
+from txnlens.sources.fixture import ARRIVAL_SLOTS, LATE_HOURS, LATE_MOD
 
 V = [f"V{i}" for i in range(1, 29)]
 VL = ", ".join(V)
@@ -169,6 +170,12 @@ def _oracle() -> dict[str, str]:
 FROM lng GROUP BY "column", col_idx""",
         r6("mean", "std", "min", "q25", "q50", "q75", "max", "range", "cv_pct"),
     )
+    o["describe_sketched"] = q(
+        [f"lng AS ({unpivot_union(NUM, 'transactions')})"],
+        """SELECT "column", count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min,
+       max(value) AS max, true AS within_bound FROM lng GROUP BY "column\"""",
+        r6("mean", "std", "min", "max"),
+    )
     o["zero_amount_report"] = q(
         [],
         'SELECT count(*) FILTER (WHERE Amount = 0) AS zero_count, count(*) FILTER (WHERE Amount = 0) * 100.0 / count(*) AS zero_pct, '
@@ -261,6 +268,13 @@ FROM fences""",
 JOIN (VALUES ('wrangled', NULL), ('train', 'train'), ('test', 'test')) t(saved, part) ON part IS NULL OR part = split""",
         r6("Amount_log"),
     )
+    three = 'txn_id, "Class", Amount_log, V14, Time_hour'
+    o["saved_balanced"] = q(
+        split_ctes + [SCALED, *_smote_ctes()],
+        f"""SELECT 'wrangled' AS saved, {three} FROM splitted UNION ALL SELECT 'train', {three} FROM balanced
+UNION ALL SELECT 'test', {three} FROM scaled WHERE split = 'test'""",
+        r6("Amount_log", "V14"),
+    )
     o["smote_balanced"] = q(split_ctes + [SCALED, *_smote_ctes()], "SELECT * FROM balanced", r6(*WRANGLED_DOUBLES, *SCALE_COLS))
     o["scaled_train"] = q(split_ctes + [SCALED], "SELECT * FROM scaled", r6(*WRANGLED_DOUBLES, *SCALE_COLS))
     o["class_weights"] = q(
@@ -382,6 +396,12 @@ FROM view""",
         vc + [f"fview AS (SELECT * FROM view WHERE {filt})"] + _scorecard_ctes("fview", "view"), SCORECARD_BODY, r6("value")
     )
 
+    cards = []
+    for i, where in enumerate(CUBE_PREDICATES):
+        ctes = [f"fview AS (SELECT * FROM view WHERE {where})", *_scorecard_ctes("fview", "view")]
+        cards.append(f"SELECT *, {i} AS filter FROM (WITH " + ",\n".join(ctes) + f"\n{SCORECARD_BODY})")
+    o["cube_scorecard"] = q(vc, "\nUNION ALL ".join(cards), r6("value"))
+
     # ------------------------------------------------------------ timing
     pos = 'SELECT "Time" FROM cleaned WHERE "Class" = 1 AND "Time" IS NOT NULL'
     gaps = f'gaps AS (SELECT "Time", ("Time" - lag("Time") OVER (ORDER BY "Time")) / 60.0 AS gap_min FROM ({pos}))'
@@ -445,6 +465,7 @@ FROM means""",
         'SELECT ks."column", ks.col_idx, ks, p_value, n_neg, n_pos, pos_mean, neg_mean, pos_std, neg_std, corr FROM ks JOIN means USING ("column")',
         r6("ks", "p_value", "pos_mean", "neg_mean", "pos_std", "neg_std", "corr"),
     )
+    o["feature_detail"] = o["feature_ranking"].replace('JOIN means USING ("column")', "JOIN means USING (\"column\") WHERE \"column\" = 'V14'")
     o["histogram_by_label"] = q([CLEAN], _hist_sql("cleaned", "Amount_log", 60), r6("bin_lo", "bin_hi", "density"))
     o["score_histogram"] = q([CLEAN, VIEW], _hist_sql("view", "fraud_score", 50), r6("bin_lo", "bin_hi", "density"))
     o["density_by_label"] = q([CLEAN], _kde_sql("cleaned", "least(Amount, 500.0)", "0.0", "500.0"), r6("x", "density", d=9))
@@ -557,9 +578,63 @@ FROM base b JOIN events e ON e.event_id = b.txn_id GROUP BY 1, 2""",
         "SELECT txn_id, \"Class\", Amount, fraud_score, fraud_score >= 0.6 AS flagged FROM sc",
         r6("Amount", "fraud_score"),
     )
+    o["incremental_rates"] = q(
+        [],
+        """SELECT CAST(floor(("Time" % 86400) / 3600) AS INTEGER) AS "Hour", count(*) AS total, count(*) FILTER (WHERE "Class" = 1) AS positives,
+       count(*) FILTER (WHERE "Class" = 1) * 100.0 / count(*) AS rate_pct,
+       coalesce(sum(Amount) FILTER (WHERE "Class" = 1), 0.0) AS exposure FROM base GROUP BY 1""",
+        r6("rate_pct", "exposure"),
+    )
+
+    # ------------------------------------------------------------ streams, run live
+    o["live_score"] = o["stream_score"]
+    o["live_hourly_rate"] = q(
+        [*ARRIVALS,
+         """behind AS (SELECT s.slot, max(epoch_ms(a.ts)) - 3600000 AS wm FROM (SELECT DISTINCT slot FROM arr) s
+  LEFT JOIN arr a ON a.slot < s.slot GROUP BY s.slot)""",
+         """hours AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end FROM arr)"""],
+        """SELECT window_start, window_end,
+       count(*) AS total, count(*) FILTER (WHERE b."Class" = 1) AS positives,
+       count(*) FILTER (WHERE b."Class" = 1) * 100.0 / count(*) AS rate_pct,
+       coalesce(sum(b.Amount) FILTER (WHERE b."Class" = 1), 0.0) AS exposure
+FROM base b JOIN hours e ON e.event_id = b.txn_id JOIN behind USING (slot)
+WHERE (wm IS NULL OR epoch_ms(window_end) > wm) AND epoch_ms(window_end) <= (SELECT max(epoch_ms(ts)) - 3600000 FROM events)
+GROUP BY 1, 2""",
+        r6("rate_pct", "exposure"),
+    )
+    passed = f"epoch_us(ts) <= (SELECT max(epoch_ms(ts)) - {27 * 3600000} FROM events) * 1000"
+    o["live_velocity"] = q(
+        [],
+        f"""SELECT user_id, ts FROM (
+  SELECT user_id, ts, lag(ts, 2) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events
+) WHERE p IS NOT NULL AND epoch_us(ts) - epoch_us(p) < 300000000 AND {passed}""",
+    )
+    o["live_bursts"] = q(
+        ["""steps AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOURS THEN 0 ELSE 1 END AS opens
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))""",
+         "islands AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM steps)"],
+        f"""SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events FROM islands GROUP BY user_id, run
+HAVING count(*) > 2 AND epoch_us(max(ts)) + 7200000000 <= (SELECT max(epoch_ms(ts)) - {27 * 3600000} FROM events) * 1000""",
+    )
+    o["live_dedup"] = "SELECT * FROM events"
     return o
 
 
+#: the filters of ``cube_scorecard``, in order
+CUBE_PREDICATES = (
+    "Day_label IN ('Day 1', 'Day 2') AND Amount IS NOT NULL",
+    "Day_label = 'Day 2' AND \"Hour\" BETWEEN 2 AND 20 AND Amount <= 500.0",
+    "Day_label = 'Day 9'",
+    "Day_label = 'Day 1' AND \"Hour\" BETWEEN 0 AND 11 AND Amount <= 37.5",
+    "Day_label IN ('Day 1', 'Day 2') AND \"Hour\" BETWEEN 8 AND 19 AND Amount <= 0.0",
+)
+_AT = f"epoch_us(ts) + CAST(CASE event_id % {LATE_MOD} WHEN 7 THEN {LATE_HOURS * 60} WHEN 11 THEN 40 ELSE 0 END AS BIGINT) * 60000000"
+ARRIVALS = [
+    f"arr0 AS (SELECT *, {_AT} AS due FROM events)",
+    f"arr AS (SELECT *, (due - min(due) OVER ()) * {ARRIVAL_SLOTS} // (max(due) OVER () - min(due) OVER () + 1) AS slot FROM arr0)",
+]
+
+
 # ---------------------------------------------------------------- shared pieces
 BOX_BODY = """SELECT bq.lbl AS "Class", count(*) AS n, q1, median, q3, q3 - q1 AS iqr,
        min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)) AS whisker_lo, max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)) AS whisker_hi,

@@ -1,185 +1,265 @@
-"""Exact k nearest neighbours inside one (minority) class, without a cross join.
-
-1. Every row is projected onto a seeded unit direction ``u``. For any two rows
-   ``|u.a - u.b| <= ||a - b||``, so the projection is a lower bound on the
-   distance.
-2. Rows get their global rank in projection order (two-level, see
-   :func:`txnlens.plans.ordered.prefix_rank`) and fixed-size rank buckets of
-   ``bucket_rows`` rows.
-3. Stage 1: each row's k predecessors and k successors in projection order are
-   real rows, so the k-th smallest distance among those 2k is an upper bound
-   ``r`` on the row's true k-th neighbour distance.
-4. Stage 2 (exact): every true neighbour lies within ``+-r`` in projection, so
-   each row bucket only meets the rank buckets overlapping its rows' bands
-   (bucket lookup by binary search over the bucket minima). Each (row bucket,
-   neighbour bucket) block is one ``applyInPandas`` group of at most
-   2 x ``bucket_rows`` rows: numpy computes the block's exact distances and
-   keeps each row's k nearest, so no pair rows are materialised in Spark (in
-   high dimension the bands cover most buckets and the work is all pairs of
-   the class; it stays in bounded, vectorised blocks). A final window per row
-   ranks at most k x (#blocks) candidates.
-
-There is no cap on candidates: rows whose band is wide simply meet more
-buckets, and the result is the exact k-NN (ties broken by distance, then id).
+"""Exact k nearest neighbours inside one (minority) class by a metric index.
+
+1. Pivots are chosen far apart from a bounded sample (``SAMPLE_PER_PIVOT`` rows
+   a pivot, at most ``MAX_PIVOTS`` pivots). Every row learns its distances to
+   them, and belongs to the cell of its nearest pivot.
+2. The rows of a cell are ordered by the distance to its pivot (their ring) and
+   cut into blocks of ``bucket_rows`` rows, so a cell that holds most rows is
+   many blocks. A block keeps the least and greatest distance of its rows to
+   each pivot.
+3. Every row gets an upper bound on its k-th neighbour's distance: that of its
+   own block, or ``d(row, pivot) + ring of the pivot's k-th row`` if smaller.
+4. By the triangle inequality, a block can hold a neighbour only if its rings
+   meet the searcher's distances to that pivot, widened by the bound. Searching
+   blocks and rings are cut into bins of the cell's average block and meet in an
+   equi-join on (cell, bin). What meets is tested against all pivots, block
+   against block and then row against block, before any row is sent.
+5. Rows and blocks that pass meet in ``applyInArrow`` groups of one searching
+   block and one other, at most 2 x ``bucket_rows`` rows; numpy computes the
+   distances. No pair is a Spark row, and no table is broadcast but the
+   pivots' (``MAX_PIVOTS`` rows, in the tasks' closures).
+
+There is no cap on candidates: the result is the exact k-NN, ties by distance,
+then id. :func:`knn_with_stats` also reports the distances computed, which on
+clustered rows are a small part of all pairs; without any structure the index
+prunes nothing and the work is all pairs of the class, in the same blocks.
 """
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.plans.ordered import prefix_rank
-from txnlens.plans.small import with_params
+from txnlens.plans.stage import write_table
 
+MAX_PIVOTS = 128
+SAMPLE_PER_PIVOT = 16
+SLACK = 1e-9  # bounds are widened by it, so that rounding never prunes a tie
 
-def _direction(d: int, seed: int) -> list[float]:
-    rnd = random.Random(seed)
-    u = [rnd.gauss(0.0, 1.0) for _ in range(d)]
-    norm = math.sqrt(sum(x * x for x in u)) or 1.0
-    return [x / norm for x in u]
+_ROWS = "_id long, _v array<double>, _pd array<double>, _cell int, _ring double"
+_CANDIDATES = "a_id long, b_id long, _d double"
+_CANDIDATE_SCHEMA = pa.schema([("a_id", pa.int64()), ("b_id", pa.int64()), ("_d", pa.float64())])
 
 
-def _dist(a: str, b: str) -> Column:
-    """Euclidean distance of two array<double> columns (one expression node per call,
-    whatever the dimension; keeps the optimizer's constraint sets small)."""
-    sq = F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, v: acc + v))
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal length as a matrix."""
+    flat = column.combine_chunks()
+    return np.asarray(flat.flatten(), dtype="float64").reshape(len(flat), -1)
 
 
-def exact_knn(
-    df: DataFrame,
-    id_col: str,
-    cols: Sequence[str],
-    k: int = 5,
-    seed: int = 42,
-    bucket_rows: int = 1024,
-) -> DataFrame:
-    """``(id, nn_rank, nn_id, dist)`` for the k nearest other rows of each row.
+def _to_pivots(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.stack([np.sqrt(((v - p) ** 2).sum(-1)) for p in pivots], axis=1)
 
-    ``id_col`` must be unique. Features are cast to double; NULL features are
-    treated as 0. The broadcast array of bucket minima has m / bucket_rows
-    entries; callers size ``bucket_rows`` from the row count to bound it.
-    """
-    u = F.array(*[F.lit(w) for w in _direction(len(cols), seed)])
-    vec = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in cols])
-    x = df.select(F.col(id_col).alias("_id"), vec.alias("_v"))
-    proj = F.aggregate(F.zip_with(F.col("_v"), u, lambda a, w: a * w), F.lit(0.0), lambda acc, v: acc + v)
-    x = x.withColumn("_p", proj)
-    x = prefix_rank(x, "_p", (), rank_col="_rn", total_col="_m")
-    x = x.withColumn("_bk", ((F.col("_rn") - 1) / F.lit(bucket_rows)).cast("long"))
-
-    def side(prefix: str) -> DataFrame:
-        return x.select(
-            F.col("_id").alias(f"{prefix}id"),
-            F.col("_rn").alias(f"{prefix}rn"),
-            F.col("_p").alias(f"{prefix}p"),
-            F.col("_bk").alias(f"{prefix}bk"),
-            F.col("_v").alias(f"{prefix}v"),
-        )
-
-    a_side, b_side = side("a_"), side("b_")
-
-    # stage 1: upper bound r from the 2k neighbours in projection order
-    offs = F.array(*[F.lit(o) for o in range(-k, k + 1) if o != 0])
-    near = a_side.select("a_id", "a_rn", "a_v", F.explode(offs).alias("_off")).withColumn(
-        "_key", F.col("a_rn") + F.col("_off")
+
+def choose_pivots(x: DataFrame, n: int, seed: int) -> np.ndarray:
+    """``n`` rows far apart, greedily from a sample of the rows with the smallest seeded hashes."""
+    order = F.xxhash64(F.lit(seed), F.col("_id"))
+    rows = x.orderBy(order, "_id").limit(n * SAMPLE_PER_PIVOT).select("_v").collect()
+    sample = np.array([r["_v"] for r in rows], dtype="float64")
+    chosen = [0]
+    far = np.sqrt(((sample - sample[0]) ** 2).sum(-1))
+    while len(chosen) < min(n, len(sample)) and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, np.sqrt(((sample - sample[chosen[-1]]) ** 2).sum(-1)))
+    return sample[chosen]
+
+
+def _locate(pivots: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            d = _to_pivots(_matrix(table.column("_v")), pivots)
+            cell = d.argmin(axis=1)
+            ends = pa.array(np.arange(len(d) + 1, dtype=np.int32) * d.shape[1])
+            distances = pa.ListArray.from_arrays(ends, pa.array(d.reshape(-1)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), batch.column("_v"), distances, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])],
+                names=["_id", "_v", "_pd", "_cell", "_ring"],
+            )
+
+    return run
+
+
+def _nearest(av, aid, bv, bid, k: int, radius=None) -> pa.Table:
+    """The k nearest of ``b`` for each row of ``a`` (within its radius), ties by id; never the row itself."""
+    out_a, out_b, out_d = [], [], []
+    kk = min(k, len(bid))
+    for s in range(0, len(aid), 128):
+        d = np.sqrt(((av[s : s + 128, None, :] - bv[None, :, :]) ** 2).sum(-1))
+        d[aid[s : s + 128, None] == bid[None, :]] = np.inf
+        # all that reach the k-th distance here, then the k first by (distance, id)
+        limit = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+        if radius is not None:
+            limit = np.minimum(limit, radius[s : s + 128])
+        r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        order = np.lexsort((bid[c], d[r, c], r))
+        r, c = r[order], c[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < kk
+        out_a.append(aid[s + r[first]])
+        out_b.append(bid[c[first]])
+        out_d.append(d[r, c][first])
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return pa.table(
+        {"a_id": join(out_a, "int64"), "b_id": join(out_b, "int64"), "_d": join(out_d, "float64")}, schema=_CANDIDATE_SCHEMA
+    )
+
+
+def _within_block(k: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids, v = table.column("_id").to_numpy(), _matrix(table.column("_v"))
+        return _nearest(v, ids, v, ids, k)
+
+    return run
+
+
+def _across(k: int):
+    def run(table: pa.Table) -> pa.Table:
+        is_a = table.column("_is_a").to_numpy(zero_copy_only=False).astype(bool)
+        a, b = table.filter(pa.array(is_a)), table.filter(pa.array(~is_a))
+        if not a.num_rows or not b.num_rows:
+            return _CANDIDATE_SCHEMA.empty_table()
+        sides = [(_matrix(t.column("_v")), t.column("_id").to_numpy()) for t in (a, b)]
+        return _nearest(*sides[0], *sides[1], k, a.column("_r").to_numpy())
+
+    return run
+
+
+def _gap(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
+    """Lower bound on the distance of two boxes of pivot distances."""
+    apart = F.zip_with(
+        F.arrays_zip(lo_a.alias("l"), hi_a.alias("h")),
+        F.arrays_zip(lo_b.alias("l"), hi_b.alias("h")),
+        lambda a, b: F.greatest(a["l"] - b["h"], b["l"] - a["h"]),
+    )
+    return F.array_max(apart)
+
+
+def _boxes(rows: DataFrame, n_pivots: int) -> DataFrame:
+    at = [F.col("_pd")[i] for i in range(n_pivots)]
+    return rows.groupBy("_bk").agg(
+        F.first("_cell").alias("_cell"),
+        F.min("_ring").alias("_ring_lo"),
+        F.max("_ring").alias("_ring_hi"),
+        F.max("_r").alias("_far"),
+        F.count(F.lit(1)).alias("_size"),
+        F.array(*[F.min(c) for c in at]).alias("_lo"),
+        F.array(*[F.max(c) for c in at]).alias("_hi"),
     )
-    cand = near.join(b_side, near["_key"] == b_side["b_rn"], "inner").withColumn("_d", _dist("a_v", "b_v"))
-    wa = Window.partitionBy("a_id").orderBy("_d", "b_id")  # 2k rows per group
-    bound = (
-        cand.withColumn("_r", F.row_number().over(wa))
-        .groupBy("a_id")
-        .agg(F.max(F.when(F.col("_r") <= k, F.col("_d"))).alias("_rad"), F.count(F.lit(1)).alias("_nc"))
+
+
+def _widened(c: Column) -> Column:
+    return c * (1 + SLACK) + SLACK
+
+
+def knn_with_stats(
+    df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, seed: int = 42, bucket_rows: int = 1024
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`exact_knn` and one row ``(rows, pairs, computed)``: all ordered pairs, and the distances computed."""
+    vec = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in cols])
+    x = write_table(df.select(F.col(id_col).cast("long").alias("_id"), vec.alias("_v")), "knn-vectors")
+    m = x.count()
+    spark = df.sparkSession
+    if not m:
+        none = spark.createDataFrame([], f"{id_col} long, nn_rank int, nn_{id_col} long, dist double")
+        return none, spark.createDataFrame([(0, 0, 0)], "rows long, pairs long, computed long")
+    pivots = choose_pivots(x, min(MAX_PIVOTS, max(8, m // bucket_rows)), seed)
+    n_pivots = len(pivots)
+    located = write_table(x.mapInArrow(_locate(pivots), _ROWS), "knn-rows")
+
+    # blocks: a cell's rows in the order of their rings, bucket_rows each
+    ranked = prefix_rank(located, "_ring", ["_cell"], rank_col="_rn", total_col="_cell_rows")
+    number = ((F.col("_rn") - 1) / F.lit(bucket_rows)).cast("long")
+    ranked = ranked.withColumn("_bk", F.col("_cell").cast("long") * (1 << 40) + number)
+    blocks = write_table(ranked, "knn-blocks")
+
+    # upper bounds: the k-th of the own block, and by way of a pivot
+    own = write_table(
+        blocks.select("_bk", "_id", "_v").groupBy("_bk").applyInArrow(_within_block(k), _CANDIDATES), "knn-own"
     )
-    # fewer than k candidates (tiny class): no bound, the band covers everything
-    bound = bound.withColumn("_rad", F.when(F.col("_nc") >= k, F.col("_rad")).otherwise(F.lit(float("inf"))))
+    found = own.groupBy("a_id").agg(F.count(F.lit(1)).alias("_found"), F.max("_d").alias("_kth"))
+    # k + 1 rows, since the row itself may be one of them; at most MAX_PIVOTS values
+    kth_ring = blocks.where(F.col("_rn") == k + 1).groupBy("_cell").agg(F.max("_ring").alias("r")).collect()
+    by_pivot = {r["_cell"]: r["r"] for r in kth_ring}
+    ways = [F.col("_pd")[c] + F.lit(float(r)) for c, r in sorted(by_pivot.items())]
+    via = F.least(*ways, F.lit(float("inf"))) if ways else F.lit(float("inf"))
+    bound = F.least(F.when(F.col("_found") >= k, F.col("_kth")).otherwise(F.lit(float("inf"))), via)
+    rows = blocks.join(found, blocks["_id"] == found["a_id"], "left").withColumn("_r", _widened(bound))
+    rows = write_table(rows.drop("a_id", "_found", "_kth"), "knn-bounded")
+    boxes = write_table(_boxes(rows, n_pivots), "knn-boxes")
 
-    # bucket minima in rank order (one value per bucket_rows rows), for the band lookup
-    mins = x.groupBy("_bk").agg(F.min("_p").alias("_mn")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_bk", "_mn"))), lambda s: s["_mn"]).alias("mins"),
-        F.count(F.lit(1)).cast("int").alias("nb"),
+    # blocks that may hold neighbours: rings that meet, in bins of a cell's average block
+    cells = boxes.groupBy("_cell").agg(
+        F.min("_ring_lo").alias("_first"), F.max("_ring_hi").alias("_last"), F.count(F.lit(1)).alias("_n")
     )
-    a2 = with_params(a_side.select("a_id", "a_p", "a_bk").join(bound, "a_id"), mins, "_bm")
-    nb = F.col("_bm.nb")
-    lo_v = F.col("a_p") - F.col("_rad")
-    hi_v = F.col("a_p") + F.col("_rad")
-    n_spl = 1 << 22  # search depth covers up to 4M buckets; shorter arrays stop early
-    lo_b = F.greatest(_bucket_of(lo_v, F.col("_bm.mins"), nb, n_spl) - 1, F.lit(0))
-    hi_b = F.greatest(_bucket_of(hi_v, F.col("_bm.mins"), nb, n_spl) - 1, F.lit(0))
-    # stage 2 (exact): the buckets each row bucket must meet - the union of its
-    # rows' bands - as (row bucket, neighbour bucket) block pairs
-    ranges = a2.groupBy("a_bk").agg(F.min(lo_b).cast("long").alias("_lo"), F.max(hi_b).cast("long").alias("_hi"))
-    blocks = ranges.select("a_bk", F.explode(F.sequence("_lo", "_hi")).alias("b_bk"))
-    rows_a = x.select(F.col("_bk").alias("a_bk"), F.col("_id"), F.col("_v")).join(blocks, "a_bk").select(
-        "a_bk", "b_bk", F.lit(True).alias("_is_a"), "_id", "_v"
+    cells = cells.withColumn("_width", F.greatest((F.col("_last") - F.col("_first")) / F.col("_n"), F.lit(1e-300)))
+    bin_of = lambda c: F.floor((c - F.col("_first")) / F.col("_width")).cast("long")
+    inside = lambda c: F.least(F.greatest(bin_of(c), F.lit(0)), F.col("_n"))
+    held = boxes.join(cells, "_cell").select(
+        F.col("_cell").alias("c"),
+        F.explode(F.sequence(inside(F.col("_ring_lo")), inside(F.col("_ring_hi")))).alias("bin"),
+        F.col("_bk").alias("b_bk"),
+        F.col("_lo").alias("b_lo"),
+        F.col("_hi").alias("b_hi"),
     )
-    rows_b = x.select(F.col("_bk").alias("b_bk"), F.col("_id"), F.col("_v")).join(blocks, "b_bk").select(
-        "a_bk", "b_bk", F.lit(False).alias("_is_a"), "_id", "_v"
+    reach = boxes.select(
+        F.col("_bk").alias("a_bk"), F.col("_far"), F.col("_lo").alias("a_lo"), F.col("_hi").alias("a_hi"),
+        F.posexplode(F.arrays_zip(F.col("_lo").alias("l"), F.col("_hi").alias("h"))).alias("c", "_s"),
+    ).join(cells, F.col("c") == F.col("_cell"))
+    low, high = F.col("_s.l") - F.col("_far"), F.col("_s.h") + F.col("_far")
+    low, high = F.greatest(low, F.col("_first")), F.least(high, F.col("_last"))
+    reach = reach.where(low <= high).select(
+        "a_bk", "_far", "a_lo", "a_hi", "c", F.explode(F.sequence(inside(low), inside(high))).alias("bin")
     )
-    # every group holds one row bucket and one neighbour bucket: <= 2 x bucket_rows rows
-    cands = rows_a.unionByName(rows_b).groupBy("a_bk", "b_bk").applyInPandas(_block_topk(k), _BLOCK_SCHEMA)
-    w = Window.partitionBy("a_id").orderBy("_d", "b_id")  # <= k x (#blocks of the row) candidates
+    apart = _gap(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"))
+    met = reach.join(held, ["c", "bin"]).where((F.col("a_bk") != F.col("b_bk")) & (apart <= F.col("_far")))
+    pairs = met.groupBy("a_bk", "b_bk").agg(
+        F.first("_far").alias("_far"), F.first("a_lo").alias("a_lo"), F.first("a_hi").alias("a_hi"),
+        F.first("b_lo").alias("b_lo"), F.first("b_hi").alias("b_hi"),
+    )
+    pairs = write_table(pairs, "knn-pairs")
+
+    # only rows that can meet the other block are sent to the pair's group
+    own_box = F.col("_pd")
+    a_rows = rows.join(pairs.select("a_bk", "b_bk", "b_lo", "b_hi"), rows["_bk"] == F.col("a_bk"))
+    a_rows = a_rows.where(_gap(own_box, own_box, F.col("b_lo"), F.col("b_hi")) <= F.col("_r"))
+    b_rows = rows.join(pairs.select("a_bk", "b_bk", "_far", "a_lo", "a_hi"), rows["_bk"] == F.col("b_bk"))
+    b_rows = b_rows.where(_gap(own_box, own_box, F.col("a_lo"), F.col("a_hi")) <= F.col("_far"))
+    sent = a_rows.select("a_bk", "b_bk", F.lit(True).alias("_is_a"), "_id", "_v", "_r").unionByName(
+        b_rows.select("a_bk", "b_bk", F.lit(False).alias("_is_a"), "_id", "_v", "_r")
+    )
+    sent = write_table(sent, "knn-sent")
+    cands = own.unionByName(sent.groupBy("a_bk", "b_bk").applyInArrow(_across(k), _CANDIDATES))
+    w = Window.partitionBy("a_id").orderBy("_d", "b_id")  # at most k candidates a block met
     top = cands.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
-    return top.select(
-        F.col("a_id").alias(id_col), "nn_rank", F.col("b_id").alias(f"nn_{id_col}"), F.col("_d").alias("dist")
+    top = top.select(F.col("a_id").alias(id_col), "nn_rank", F.col("b_id").alias(f"nn_{id_col}"), F.col("_d").alias("dist"))
+
+    sizes = sent.groupBy("a_bk", "b_bk").agg(F.count_if("_is_a").alias("a"), F.count_if(~F.col("_is_a")).alias("b"))
+    work = sizes.select((F.col("a") * F.col("b")).alias("w")).unionByName(boxes.select((F.col("_size") * F.col("_size")).alias("w")))
+    located_pairs = m * n_pivots  # distances to pivots count too
+    stats = work.agg(
+        F.lit(m).cast("long").alias("rows"),
+        F.lit(m * (m - 1)).cast("long").alias("pairs"),
+        (F.coalesce(F.sum("w"), F.lit(0)) + located_pairs).cast("long").alias("computed"),
     )
+    return top, stats
 
 
-_BLOCK_SCHEMA = "a_id long, b_id long, _d double"
+def exact_knn(
+    df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, seed: int = 42, bucket_rows: int = 1024
+) -> DataFrame:
+    """``(id, nn_rank, nn_id, dist)`` for the k nearest other rows of each row.
 
+    ``id_col`` must be unique and a whole number. Features are cast to double;
+    NULL features are treated as 0.
+    """
+    return knn_with_stats(df, id_col, cols, k, seed, bucket_rows)[0]
 
-def _block_topk(k: int):
-    """Exact k nearest rows of one bucket among another bucket's rows (numpy).
 
-    Distances are computed in row chunks by broadcasting (no pair rows are
-    materialised in Spark); ties are ordered by distance, then neighbour id.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf[pdf["_is_a"]]
-        b = pdf[~pdf["_is_a"]]
-        if a.empty or b.empty:
-            return pd.DataFrame({"a_id": [], "b_id": [], "_d": []}).astype({"a_id": "int64", "b_id": "int64"})
-        av = np.stack(a["_v"].to_numpy()).astype("float64")
-        bv = np.stack(b["_v"].to_numpy()).astype("float64")
-        aid = a["_id"].to_numpy().astype("int64")
-        bid = b["_id"].to_numpy().astype("int64")
-        out_a, out_b, out_d = [], [], []
-        kk = min(k, len(bid))
-        for s in range(0, len(aid), 128):
-            d = np.sqrt(((av[s : s + 128, None, :] - bv[None, :, :]) ** 2).sum(-1))
-            d[aid[s : s + 128, None] == bid[None, :]] = np.inf  # never its own neighbour
-            # all that reach the block's k-th distance, then the k first by (distance, id)
-            limit = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-            r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-            order = np.lexsort((bid[c], d[r, c], r))
-            r, c = r[order], c[order]
-            first = np.arange(len(r)) - np.searchsorted(r, r) < kk
-            out_a.append(aid[s + r[first]])
-            out_b.append(bid[c[first]])
-            out_d.append(d[r, c][first])
-        return pd.DataFrame({"a_id": np.concatenate(out_a), "b_id": np.concatenate(out_b), "_d": np.concatenate(out_d)})
-
-    return fn
-
-
-def _bucket_of(v: Column, mins: Column, n: Column, max_splits: int) -> Column:
-    """Number of bucket minima <= v (binary search; ``n`` = actual array length)."""
-    depth = max(1, math.ceil(math.log2(max_splits + 1)))
-    strides = F.array(*[F.lit(1 << j) for j in reversed(range(depth))])
-
-    def step(acc: Column, stride: Column) -> Column:
-        cand = acc + stride
-        ok = (cand <= n) & (F.element_at(mins, F.least(cand, F.greatest(n, F.lit(1)))) <= v)
-        return F.when(ok, cand).otherwise(acc)
-
-    return F.aggregate(strides, F.lit(0), step)
-
-
-__all__ = ["exact_knn"]
+__all__ = ["exact_knn", "knn_with_stats"]

@@ -15,8 +15,9 @@ engine uses two-level plans instead:
   ``(group, bucket)`` over at most about ``TARGET_BUCKET_ROWS`` rows.
 * :func:`exact_quantiles` brackets each target rank between two sketch
   quantiles, then ranks only the distinct values inside the bracket (split
-  again into value sub-buckets). It runs its passes eagerly and writes its small
-  intermediates to the checkpoint folder. A bracket that missed its rank is
+  again into value sub-buckets); values outside the brackets are only counted.
+  It runs its passes eagerly and writes its small intermediates to the
+  checkpoint folder. A bracket that missed its rank is
   tried again with a wider margin, up to the whole range, so results are always
   exact (linear interpolation, as pandas / DuckDB ``quantile_cont``) and there
   is one path at every size.
@@ -213,12 +214,17 @@ def exact_quantiles(
     vcol = F.col(value) if isinstance(value, str) else value
     x = df.select(*[F.col(c) for c in by], vcol.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     x, keys = _with_group_key(x, by)
+    probs = sorted({float(p) for p in probs})
     margin = 4.0 / accuracy if margin is None else margin  # rank margin of the bracket
     out = None
     while True:
-        good, bad = _bracket_pass(x, keys, by, probs, accuracy, margin, sub_buckets, max_groups)
+        found = _bracket_pass(x, keys, by, probs, accuracy, margin, sub_buckets, max_groups)
+        bad = found.where(~F.col("_ok")).select(*keys).distinct()
+        done = margin >= 1.0 or bad.isEmpty()
+        good = found if done else found.join(bad, keys, "left_anti")
+        good = good.select(*keys, "prob", "quantile", "_n")
         out = good if out is None else out.unionByName(good)
-        if margin >= 1.0 or bad.isEmpty():
+        if done:
             break
         # rare: a bracket missed its rank; those groups again with a wider one (at margin 1 it is the whole range)
         x = x.join(bad, keys, "left_semi")
@@ -227,6 +233,27 @@ def exact_quantiles(
     return out if by else out.drop(_G)
 
 
+def _cell_of(v: Column, los: Column, his: Column, k: int, sub_buckets: int) -> tuple[Column, Column]:
+    """The ordered cell of a value, and whether it lies in a bracket.
+
+    Cell ``i * (sub_buckets + 1)`` is the gap before bracket ``i``, the next
+    ``sub_buckets`` ones divide the bracket; the order of cells follows the
+    order of values.
+    """
+    cell, inside = F.lit(k * (sub_buckets + 1)), F.lit(False)
+    for i in reversed(range(k)):
+        lo, hi = los[i], his[i]
+        span = hi - lo
+        sub = F.when(
+            (span > 0) & (span < float("inf")),
+            F.least(F.greatest(F.floor((v - lo) / span * sub_buckets), F.lit(0)), F.lit(sub_buckets - 1)),
+        ).otherwise(F.lit(0))
+        own = F.lit(i * (sub_buckets + 1)) + F.when(v < lo, F.lit(0)).otherwise(sub + 1)
+        cell = F.when(v <= hi, own).otherwise(cell)
+        inside = F.when(v <= hi, v >= lo).otherwise(inside)
+    return cell.cast("long"), inside
+
+
 def _bracket_pass(
     x: DataFrame,
     keys: list[str],
@@ -236,8 +263,13 @@ def _bracket_pass(
     margin: float,
     sub_buckets: int,
     max_groups: int | None,
-) -> tuple[DataFrame, DataFrame]:
-    """Quantiles of the groups whose brackets all held their ranks, and the keys of the other groups."""
+) -> DataFrame:
+    """``(*keys, prob, quantile, _n, _ok)``; not ok where a bracket missed a rank.
+
+    The sketch's brackets are one row a group, so each value is looked at once
+    whatever the number of probabilities: it falls into one cell, a part of a
+    bracket (kept by distinct value) or a gap between brackets (only counted).
+    """
     k = len(probs)
     lo_p = [min(max(p - margin, 0.0), 1.0) for p in probs]
     hi_p = [max(min(p + margin, 1.0), 0.0) for p in probs]
@@ -247,89 +279,40 @@ def _bracket_pass(
         F.max("_v").alias("_vmax"),
         F.percentile_approx("_v", F.array(*[F.lit(p) for p in lo_p + hi_p]), accuracy).alias("_a"),
     )
-    # one row per (group, prob): the bracket [lo, hi] and the ranks to find
-    prow = F.explode(
-        F.arrays_zip(
-            F.array(*[F.lit(i) for i in range(k)]).alias("i"),
-            F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
-            F.array(*[F.lit(lo_p[i] > 0.0) for i in range(k)]).alias("has_lo"),
-            F.array(*[F.lit(hi_p[i] < 1.0) for i in range(k)]).alias("has_hi"),
-        )
-    ).alias("_q")
-    sl = stats.select(*keys, "_n", "_a", "_vmin", "_vmax", prow)
-    pos = F.col("_q.p") * (F.col("_n") - 1).cast("double")
-    sl = sl.select(
-        *keys,
-        F.col("_q.i").alias("_i"),
-        F.col("_q.p").alias("prob"),
-        "_n",
-        F.when(F.col("_q.has_lo"), F.element_at("_a", F.col("_q.i") + 1)).alias("_lo"),
-        F.when(F.col("_q.has_hi"), F.element_at("_a", F.col("_q.i") + 1 + k)).alias("_hi"),
-        "_vmin",
-        "_vmax",
-        F.floor(pos).cast("long").alias("_rlo"),
-        F.ceil(pos).cast("long").alias("_rhi"),
-        (pos - F.floor(pos)).alias("_frac"),
-    )
-    # groups x probs rows; with no grouping the bound is len(probs)
-    bound = k if not by else (None if max_groups is None else max_groups * k)
-    # The small intermediates below are each read by several branches; column
-    # pruning makes those branches' plans differ, so Spark would re-derive them
-    # (re-scanning x) per branch. They are written once to the shared
-    # checkpoint folder instead: the sketch table (groups x probs rows), the
-    # bracket table (about 8n/accuracy rows) and the per-target results.
-    sl = write_table(sl, "q-sketch")
-
-    j = join_small(x, sl, keys, "inner", bound=bound)
-    inside = F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))
-    is_below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
-    gkeys = [*keys, "_i", "prob", "_n", "_rlo", "_rhi", "_frac"]
-    qk = [*keys, "_i"]
-    # The bracket still grows with n (about 8n/accuracy values), so it is split
-    # into value sub-buckets over [lo, hi] (the group's min/max for an open
-    # side). Rows below the bracket form sub-bucket -1. Sub-bucket counts are
-    # prefix-summed over at most sub_buckets+1 rows per (group, prob), and only
-    # the sub-bucket(s) holding the two target ranks are ranked by a window.
-    b_lo = F.coalesce(F.col("_lo"), F.col("_vmin"))
-    b_hi = F.coalesce(F.col("_hi"), F.col("_vmax"))
-    span = b_hi - b_lo
-    sb = (
-        F.when(is_below, F.lit(-1))
-        .when(span > 0, F.least(F.greatest(F.floor((F.col("_v") - b_lo) / span * sub_buckets), F.lit(0)), F.lit(sub_buckets - 1)))
-        .otherwise(F.lit(0))
-        .cast("int")
-    )
-    kcol = F.when(is_below, F.lit(None)).otherwise(F.col("_v"))
-    # distinct values inside each bracket (+ one NULL-key row counting all rows below it)
-    g = j.where(inside).groupBy(*gkeys, sb.alias("_sb"), kcol.alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
+    los = F.array(*[F.element_at("_a", i + 1) if lo_p[i] > 0 else F.col("_vmin") for i in range(k)])
+    his = F.array(*[F.element_at("_a", k + i + 1) if hi_p[i] < 1 else F.col("_vmax") for i in range(k)])
+    # one row a group; read by the value pass and by the ranks, written so that neither scans x for it again
+    stats = write_table(stats.select(*keys, "_n", los.alias("_los"), his.alias("_his")), "q-sketch")
+    bound = 1 if not by else max_groups
+    j = join_small(x, stats.drop("_n"), keys, "inner", bound=bound)
+    cell, inside = _cell_of(F.col("_v"), F.col("_los"), F.col("_his"), k, sub_buckets)
+    g = j.groupBy(*keys, cell.alias("_cell"), F.when(inside, F.col("_v")).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
     g = write_table(g, "q-bracket")
-    sbt = g.groupBy(*gkeys, "_sb").agg(F.sum("_c").alias("_sc"))
-    wq = Window.partitionBy(*qk)  # <= sub_buckets + 1 rows per (group, prob)
-    sbt = sbt.select(
-        "*",
-        F.coalesce(F.sum("_sc").over(wq.orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.coalesce(F.max(F.when(F.col("_sb") == -1, F.col("_sc"))).over(wq), F.lit(0)).alias("_below"),
-        F.sum("_sc").over(wq).alias("_upto"),
-    ).withColumn("_end", F.col("_off") + F.col("_sc"))
-    hit = lambda rk: (F.col("_sb") >= 0) & (F.col("_off") <= F.col(rk)) & (F.col(rk) < F.col("_end"))
-    need = sbt.where(hit("_rlo") | hit("_rhi")).select(*gkeys, "_sb", "_off", "_below", "_upto")
-    bound_need = None if bound is None else 2 * bound
-    fin = join_small(g.where(F.col("_sb") >= 0).drop("_n", "prob", "_rlo", "_rhi", "_frac"), need, [*qk, "_sb"], "inner", bound=bound_need)
-    w = Window.partitionBy(*qk, "_sb").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    fin = fin.withColumn("_cum", F.col("_off") + F.sum("_c").over(w))
-    r = fin.groupBy(*gkeys, "_below", "_upto").agg(
-        F.min(F.when(F.col("_cum") > F.col("_rlo"), F.col("_k"))).alias("_vlo"),
-        F.min(F.when(F.col("_cum") > F.col("_rhi"), F.col("_k"))).alias("_vhi"),
+    # at most k * (sub_buckets + 1) + 1 rows a group
+    upto = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = g.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_sc"))
+    cells = cells.withColumn("_off", F.coalesce(F.sum("_sc").over(upto), F.lit(0)))
+    ranks = stats.select(*keys, "_n", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"))
+    pos = F.col("prob") * (F.col("_n") - 1).cast("double")
+    ranks = ranks.withColumns({"_rlo": F.floor(pos).cast("long"), "_rhi": F.ceil(pos).cast("long"), "_frac": pos - F.floor(pos)})
+    held = lambda r: (F.col("_off") <= F.col(r)) & (F.col(r) < F.col("_off") + F.col("_sc"))
+    need = ranks.join(cells, keys).where(held("_rlo") | held("_rhi"))
+    # the distinct values of the few cells that hold a rank, numbered inside the cell
+    hit = g.where(F.col("_k").isNotNull()).join(need.select(*keys, "_cell").distinct(), [*keys, "_cell"], "left_semi")
+    before = Window.partitionBy(*keys, "_cell").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    hit = hit.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    at = need.join(hit, [*keys, "_cell"], "left").withColumn("_first", F.col("_off") + F.col("_before"))
+    is_at = lambda r: (F.col("_first") <= F.col(r)) & (F.col(r) < F.col("_first") + F.col("_c"))
+    found = at.groupBy(*keys, "prob", "_n", "_frac").agg(
+        F.max(F.when(is_at("_rlo"), F.col("_k"))).alias("_vlo"), F.max(F.when(is_at("_rhi"), F.col("_k"))).alias("_vhi")
     )
-    valid = (F.col("_below") <= F.col("_rlo")) & (F.col("_upto") > F.col("_rhi")) & F.col("_vlo").isNotNull() & F.col("_vhi").isNotNull()
-    r = write_table(r.withColumn("_ok", valid), "q-result")
-    # (group, prob) pairs whose target ranks fall outside the bracket have no row in r
-    missing = sl.select(*qk).join(r.select(*qk), qk, "left_anti")
-    interp = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")
-    bad = r.where(~F.col("_ok")).select(*keys).unionByName(missing.select(*keys)).distinct()
-    bad = write_table(bad, "q-missed")
-    good = r.where("_ok").join(bad, keys, "left_anti").select(*keys, "prob", interp.alias("quantile"), "_n")
-    return good, bad
+    value = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")
+    same = F.col("_vlo") == F.col("_vhi")
+    found = found.select(
+        *keys, "prob", F.when(same, F.col("_vlo")).otherwise(value).alias("quantile"), "_n",
+        (F.col("_vlo").isNotNull() & F.col("_vhi").isNotNull()).alias("_ok"),
+    )
+    return write_table(found, "q-result")
 
 
 def quantiles_wide(

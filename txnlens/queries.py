@@ -15,19 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from txnlens.functions.columns import DEFAULT_BANDS
+from txnlens.functions.columns import DEFAULT_BANDS, hour_of_day
 from txnlens.operators import clean as C
+from txnlens.operators import cube as CU
 from txnlens.operators import features as FE
 from txnlens.operators import profile as P
 from txnlens.operators import rates as R
 from txnlens.operators import resample as RS
 from txnlens.operators import scoring as S
 from txnlens.operators import separation as SP
+from txnlens.operators import sketches as SK
 from txnlens.operators import timing as TM
+from txnlens.plans.refresh import KeptStage
 from txnlens.plans.stage import input_version, materialize, write_table
 from txnlens.session import checkpoint_subdir
 from txnlens.sources import io as IO
-from txnlens.sources.fixture import stream_events, table, transactions
+from txnlens.sources.fixture import ARRIVAL_SLOTS, arrivals, build_transactions, embeddings_dim, stream_events, table, transactions
 from txnlens.spec import TxnSpec
 
 SPEC = TxnSpec()
@@ -95,6 +98,11 @@ def view(spark: SparkSession, sf: str) -> DataFrame:
     return S.analysis_view(cleaned(spark, sf), SPEC)
 
 
+def plain_view(spark: SparkSession, sf: str) -> DataFrame:
+    """The view without the score, whose maxima would take a second scan."""
+    return S.analysis_view(cleaned(spark, sf), SPEC, with_score=False)
+
+
 def view_rare(spark: SparkSession, sf: str) -> DataFrame:
     """Analysis view of the rare-positive variant (positives further thinned)."""
     return materialize(
@@ -192,7 +200,7 @@ def q_label_correlation_topk(spark, sf):
 @query("label_correlations")
 def q_label_correlations(spark, sf):
     """AG-22 + PR-20: signed correlation of every analysis column with the label, with the sign flag."""
-    v = view(spark, sf)
+    v = plain_view(spark, sf)
     cols = [*numeric_cols(cleaned(spark, sf).drop(SPEC.label)), "Hour", "Day"]
     return P.label_correlations(v, cols, SPEC.label)
 
@@ -218,6 +226,17 @@ def q_iqr_outliers(spark, sf):
     return P.iqr_outliers(raw(spark, sf), [SPEC.amount, SPEC.time])
 
 
+@query("describe_sketched")
+def q_describe_sketched(spark, sf):
+    """AG-5 (approximate): sketches stored by hour and label, merged; are the quartiles' ranks within the bound?"""
+    df = raw(spark, sf)
+    cols = numeric_cols(df)
+    parts = df.withColumn("Hour", hour_of_day(SPEC.time))
+    stored = write_table(SK.sketch_columns(parts, cols, ["Hour", SPEC.label]), "sketches")
+    table_ = write_table(SK.describe_sketched(SK.merge_sketches(stored)), "sketched")
+    return SK.with_rank_check(P.to_long(df, cols), table_, 2 * SK.rank_error())
+
+
 # ---------------------------------------------------------------- cleaning / features
 @query("clean_transactions")
 def q_clean_transactions(spark, sf):
@@ -248,15 +267,27 @@ def q_engineered_features(spark, sf):
 
 
 # ---------------------------------------------------------------- modelling prep
+def split_stage(spark, sf):
+    """Where each label is cut into test and train (one row a label, written once)."""
+    return materialize(
+        lambda: RS.split_cuts(cleaned(spark, sf), SPEC, 0.2, 42), f"cuts:{sf}:{_version(spark, sf)}", spark
+    )
+
+
 def _split(spark, sf):
-    """The wrangled table with its train/test assignment (a pipeline output, written once)."""
-    return materialize(lambda: RS.stratified_split(wrangled(spark, sf), SPEC, 0.2, 42), f"split:{sf}:{_version(spark, sf)}", spark)
+    """The wrangled table with its train/test assignment, projected from the cleaned stage."""
+    return RS.assign_split(wrangled(spark, sf), split_stage(spark, sf), SPEC, 42)
+
+
+def _split_labels(spark, sf):
+    """Key, label and split alone."""
+    return RS.assign_split(cleaned(spark, sf).select(SPEC.key, SPEC.label), split_stage(spark, sf), SPEC, 42)
 
 
 @query("stratified_split")
 def q_stratified_split(spark, sf):
     """RS-2: exact per-label 80:20 split by seeded hash rank."""
-    return _split(spark, sf).select(SPEC.key, SPEC.label, "split")
+    return _split_labels(spark, sf).select(SPEC.key, SPEC.label, "split")
 
 
 @query("saved_splits")
@@ -272,10 +303,25 @@ def q_saved_splits(spark, sf):
     return back[0].unionByName(back[1]).unionByName(back[2])
 
 
+@query("saved_balanced")
+def q_saved_balanced(spark, sf):
+    """RS-6 as the reference saves: the unscaled table, the balanced scaled train and the scaled test part, read back."""
+    df = _split(spark, sf)
+    train, feats = _smote_input(spark, sf)
+    balanced = RS.smote(train, feats, SPEC, k=5, seed=42)
+    test = RS.scale_by_split(df, FE.scale_columns(df, SPEC)).where("split = 'test'").drop("split")
+    paths = IO.save_splits(df.drop("split"), balanced, test, checkpoint_subdir(spark, f"tables/balanced-{uuid.uuid4().hex[:12]}"))
+    back = [
+        spark.read.parquet(path).select(F.lit(name).alias("saved"), SPEC.key, SPEC.label, "Amount_log", "V14", "Time_hour")
+        for name, path in paths.items()
+    ]
+    return back[0].unionByName(back[1]).unionByName(back[2])
+
+
 @query("split_report")
 def q_split_report(spark, sf):
     """RS-5."""
-    return RS.split_report(_split(spark, sf), SPEC)
+    return RS.split_report(_split_labels(spark, sf), SPEC)
 
 
 @query("scaled_train")
@@ -288,44 +334,44 @@ def q_scaled_train(spark, sf):
 @query("class_weights")
 def q_class_weights(spark, sf):
     """RS-4: balanced class weights of the train split."""
-    return RS.class_weights(_split(spark, sf).where(F.col("split") == "train"), SPEC)
+    return RS.class_weights(_split_labels(spark, sf).where(F.col("split") == "train"), SPEC)
 
 
 # ---------------------------------------------------------------- rates
 @query("rate_by_hour")
 def q_rate_by_hour(spark, sf):
     """AG-12."""
-    return R.rate_by_hour(view(spark, sf), SPEC)
+    return R.rate_by_hour(plain_view(spark, sf), SPEC)
 
 
 @query("peak_hour")
 def q_peak_hour(spark, sf):
     """AG-14."""
-    return R.peak(R.rate_by_hour(view(spark, sf), SPEC), "Hour")
+    return R.peak(R.rate_by_hour(plain_view(spark, sf), SPEC), "Hour")
 
 
 @query("volume_by_hour")
 def q_volume_by_hour(spark, sf):
     """AG-13 (single groupBy form of JN-1)."""
-    return R.volume_by_hour(view(spark, sf), SPEC)
+    return R.volume_by_hour(plain_view(spark, sf), SPEC)
 
 
 @query("volume_by_hour_parity")
 def q_volume_by_hour_parity(spark, sf):
     """JN-1: hourly negatives left-joined with hourly positives (reference parity form)."""
-    return R.volume_by_hour(view(spark, sf), SPEC, parity=True)
+    return R.volume_by_hour(plain_view(spark, sf), SPEC, parity=True)
 
 
 @query("hour_spine")
 def q_hour_spine(spark, sf):
     """JN-2 + PR-20 + WN-4."""
-    return R.hour_spine(spark, view(spark, sf), SPEC)
+    return R.hour_spine(spark, plain_view(spark, sf), SPEC)
 
 
 @query("rate_by_band")
 def q_rate_by_band(spark, sf):
     """AG-15 (+ AG-16 exposure and PR-20 flag)."""
-    return R.rate_by_band(view(spark, sf), SPEC)
+    return R.rate_by_band(plain_view(spark, sf), SPEC)
 
 
 @query("rate_by_band_rare")
@@ -349,49 +395,49 @@ def q_scorecard_rare(spark, sf):
 @query("exposure_by_band")
 def q_exposure_by_band(spark, sf):
     """AG-16."""
-    return R.exposure_by_band(view(spark, sf), SPEC)
+    return R.exposure_by_band(plain_view(spark, sf), SPEC)
 
 
 @query("peak_band")
 def q_peak_band(spark, sf):
     """AG-14 on AG-15: the band with the highest positive rate (lowest band on ties)."""
-    return R.peak(R.rate_by_band(view(spark, sf), SPEC), "Amount_band_ord")
+    return R.peak(R.rate_by_band(plain_view(spark, sf), SPEC), "Amount_band_ord")
 
 
 @query("range_exposure")
 def q_range_exposure(spark, sf):
     """FL-4: positives and exposure with 100 <= amount <= 500 (inclusive range)."""
-    return R.range_exposure(view(spark, sf), 100.0, 500.0, SPEC)
+    return R.range_exposure(plain_view(spark, sf), 100.0, 500.0, SPEC)
 
 
 @query("band_composition")
 def q_band_composition(spark, sf):
     """AG-17 with rollup totals."""
-    return R.band_composition(view(spark, sf), SPEC)
+    return R.band_composition(plain_view(spark, sf), SPEC)
 
 
 @query("day_crosstab")
 def q_day_crosstab(spark, sf):
     """AG-18."""
-    return R.day_crosstab(view(spark, sf), SPEC)
+    return R.day_crosstab(plain_view(spark, sf), SPEC)
 
 
 @query("exposure_summary")
 def q_exposure_summary(spark, sf):
     """AG-19."""
-    return R.exposure_summary(view(spark, sf), SPEC)
+    return R.exposure_summary(plain_view(spark, sf), SPEC)
 
 
 @query("day_night_split")
 def q_day_night_split(spark, sf):
     """AG-20."""
-    return R.day_night_split(view(spark, sf), SPEC)
+    return R.day_night_split(plain_view(spark, sf), SPEC)
 
 
 @query("scorecard")
 def q_scorecard(spark, sf):
     """AG-21."""
-    return R.scorecard(view(spark, sf), SPEC)
+    return R.scorecard(plain_view(spark, sf), SPEC)
 
 
 FILTER = R.TxnFilter(days=("Day 2",), hours=(2, 20), max_amount=500.0)
@@ -407,7 +453,7 @@ def q_filtered_view(spark, sf):
 @query("filtered_scorecard")
 def q_filtered_scorecard(spark, sf):
     """AG-21 on the filtered view, peak hour from the unfiltered view (Q-8)."""
-    v = view(spark, sf)
+    v = plain_view(spark, sf)
     return R.scorecard(FILTER.apply(v), SPEC, peak_from=v)
 
 
@@ -417,10 +463,41 @@ EMPTY_FILTER = R.TxnFilter(days=("Day 9",))
 @query("scorecard_empty_filter")
 def q_scorecard_empty_filter(spark, sf):
     """AG-21 on a filter that no row passes: all metrics, zeros."""
-    v = view(spark, sf)
+    v = plain_view(spark, sf)
     return R.scorecard(EMPTY_FILTER.apply(v), SPEC, peak_from=v)
 
 
+def _cube(spark, sf):
+    """The stored cube of the analysis view (built once per session and input)."""
+    key = (spark.sparkContext.applicationId, sf, _version(spark, sf))
+    if key not in _CUBES:
+        _CUBES[key] = CU.build_cube(plain_view(spark, sf), SPEC)
+    return _CUBES[key]
+
+
+_CUBES: dict = {}
+
+
+@query("cube_scorecard")
+def q_cube_scorecard(spark, sf):
+    """FL-3 + AG-21 from the stored cube: a scorecard for each of several filters, boundary cells from their rows."""
+    cube = _cube(spark, sf)
+    out = None
+    for i, f in enumerate(CUBE_FILTERS):
+        card = CU.cube_scorecard(cube, f).withColumn("filter", F.lit(i))
+        out = card if out is None else out.unionByName(card)
+    return out
+
+
+CUBE_FILTERS = (
+    R.TxnFilter(),
+    FILTER,
+    EMPTY_FILTER,
+    R.TxnFilter(days=("Day 1",), hours=(0, 11), max_amount=37.5),
+    R.TxnFilter(hours=(8, 19), max_amount=0.0),
+)
+
+
 # ---------------------------------------------------------------- timing
 @query("positive_gaps")
 def q_positive_gaps(spark, sf):
@@ -459,6 +536,18 @@ def q_feature_ks(spark, sf):
     return SP.feature_ks(cleaned(spark, sf), V, SPEC)
 
 
+@query("feature_ks_finite", digits=12)
+def q_feature_ks_finite(spark, sf):
+    """AG-25 with the p-value for finite samples (lattice paths, or the finite two-sided law)."""
+    return SP.feature_ks(cleaned(spark, sf), V, SPEC, finite=True)
+
+
+@query("feature_detail")
+def q_feature_detail(spark, sf):
+    """JN-5: the row of one feature, from its column alone."""
+    return SP.feature_detail(cleaned(spark, sf), "V14", V, SPEC)
+
+
 @query("label_means")
 def q_label_means(spark, sf):
     """AG-23 (+ AG-22 correlation)."""
@@ -600,6 +689,94 @@ def q_stream_score(spark, sf):
     return score_batch(spark, sf, cleaned(spark, sf))
 
 
+# ---------------------------------------------------------------- kept stages
+@query("incremental_rates")
+def q_incremental_rates(spark, sf):
+    """IO-3 + AG-12: hourly rates kept over a growing folder; files appended later are read alone and merged."""
+    feed = write_table(arrivals(spark, sf), "appended")
+    source = checkpoint_subdir(spark, f"tables/appended-{uuid.uuid4().hex[:12]}")
+    emb = embeddings_dim(spark, sf)
+    sums = [F.sum(c).alias(c) for c in ("total", "positives", "exposure")]
+    positive = F.col(SPEC.label) == 1
+    kept = KeptStage(
+        spark,
+        source,
+        f"rates-{uuid.uuid4().hex[:12]}",
+        transform=lambda e: build_transactions(e, emb).withColumn("Hour", hour_of_day(SPEC.time)),
+        partial=lambda t: t.groupBy("Hour").agg(
+            F.count(F.lit(1)).alias("total"),
+            F.count_if(positive).alias("positives"),
+            F.coalesce(F.sum(F.when(positive, F.col(SPEC.amount))), F.lit(0.0)).alias("exposure"),
+        ),
+        merge=lambda p: p.groupBy("Hour").agg(*sums),
+    )
+    for slots in ((0, 1, 2), (3,), (4,)):
+        feed.where(F.col("slot").isin(*slots)).drop("slot").write.mode("append").parquet(source)
+        kept.refresh()
+    rate = F.col("positives") / F.col("total") * 100
+    return kept.result().select("Hour", "total", "positives", rate.alias("rate_pct"), "exposure")
+
+
+# ---------------------------------------------------------------- streams, run live
+def _live(spark, sf, job, name, again=False):
+    """What ``job`` writes to its sink when the events arrive slot by slot, some of them late."""
+    from txnlens.streaming.replay import run_arrivals
+
+    return run_arrivals(arrivals(spark, sf, again), ARRIVAL_SLOTS, job, name)[0]
+
+
+def _naive(df):
+    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("live_score")
+def q_live_score(spark, sf):
+    """ST-1 as a stream: every arriving transaction scored and flagged with frozen normalisers."""
+    from txnlens.streaming.jobs import frozen_params, score_transform
+
+    p, emb = frozen_params(spark, sf, cleaned(spark, sf)), embeddings_dim(spark, sf)
+    events = lambda s: s.select("event_id", "ts", "event_type", "value")
+    return _live(spark, sf, lambda s: score_transform(build_transactions(events(s), emb), p), "score")
+
+
+@query("live_hourly_rate")
+def q_live_hourly_rate(spark, sf):
+    """ST-2 as a stream: the hours that the watermark closed, without rows that came after their hour's close."""
+    from txnlens.streaming.jobs import hourly_rate_transform
+
+    emb = embeddings_dim(spark, sf)
+    return _live(spark, sf, lambda s: hourly_rate_transform(s, emb, streaming=True), "hourly")
+
+
+#: the feed's latest rows come 26 hours after their time
+LIVE_DELAY = "27 hours"
+
+
+@query("live_velocity")
+def q_live_velocity(spark, sf):
+    """ST-3 as a stream: third or later events of a user within 5 minutes, among those the watermark has passed."""
+    from txnlens.streaming.jobs import velocity_transform
+
+    got = _live(spark, sf, lambda s: velocity_transform(s, "user_id", 2, 300, LIVE_DELAY), "velocity")
+    return _naive(got.select("user_id", "ts"))
+
+
+@query("live_bursts")
+def q_live_bursts(spark, sf):
+    """ST-3 with session windows: bursts of more than 2 events of a user, at most 2 hours apart, that have ended."""
+    from txnlens.streaming.jobs import burst_transform
+
+    return _live(spark, sf, lambda s: burst_transform(s, "user_id", "2 hours", 2, LIVE_DELAY), "bursts")
+
+
+@query("live_dedup")
+def q_live_dedup(spark, sf):
+    """SO-4 as a stream: events delivered twice, in one slot or in two, come through once."""
+    from txnlens.streaming.jobs import dedup_transform
+
+    return _naive(_live(spark, sf, lambda s: dedup_transform(s, ["event_id"], "28 hours"), "dedup", again=True))
+
+
 # ---------------------------------------------------------------- oversampling
 def _smote_input(spark, sf):
     def build():

@@ -96,3 +96,30 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         "value",
     )
+
+
+ARRIVAL_SLOTS = 5
+LATE_MOD, LATE_HOURS = 20, 26
+AGAIN_MOD, AGAIN_MINUTES = 40, 90
+
+
+def arrivals(spark: SparkSession, sf_dir: str, again: bool = False) -> DataFrame:
+    """The events as a feed: all columns, and the ``slot`` of arrival (equal spans of arrival time).
+
+    Ids with ``event_id % 20 = 7`` arrive 26 hours late, those with remainder 11
+    40 minutes late, the others at their time. With ``again``, ids with
+    ``event_id % 40 = 3`` are delivered a second time 90 minutes later.
+    """
+    ev = table(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rest = F.col("event_id") % LATE_MOD
+    late = F.when(rest == 7, LATE_HOURS * 60).when(rest == 11, 40).otherwise(0)
+    ev = ev.withColumn("_at", at + late.cast("long") * 60_000_000)
+    if again:
+        copies = F.when(F.col("event_id") % AGAIN_MOD == 3, F.array(F.lit(0), F.lit(AGAIN_MINUTES)))
+        ev = ev.withColumn("_more", F.explode(F.coalesce(copies, F.array(F.lit(0)))))
+        ev = ev.withColumn("_at", F.col("_at") + F.col("_more").cast("long") * 60_000_000).drop("_more")
+    ends = ev.agg(F.min("_at").alias("lo"), F.max("_at").alias("hi")).first()
+    lo, hi = ends["lo"] or 0, ends["hi"] or 0
+    slot = F.expr(f"(_at - {lo}L) * {ARRIVAL_SLOTS}L div {hi - lo + 1}L")
+    return ev.withColumn("slot", slot.cast("int")).drop("_at")

@@ -11,8 +11,13 @@ ideas to a stream of events:
   with ``applyInPandasWithState``: events are judged in event-time order once
   the watermark has passed them.
 
-Each has a batch twin built from the same transform functions, used by the
-registered queries and by the tests (``availableNow`` stream == batch).
+* :func:`burst_transform` - bursts as session windows that merge across micro-batches.
+* :func:`dedup_transform` - duplicate rows removed within the watermark.
+
+Each has a batch twin built from the same transform functions. The registered
+``live_*`` queries run the streams themselves over arrivals in slots
+(:mod:`txnlens.streaming.replay`), with state, late rows and restarts, and return
+what their sinks hold.
 """
 
 from __future__ import annotations
@@ -84,7 +89,7 @@ def score_stream(spark: SparkSession, sf_dir: str, events_path: str, p: dict[str
     """ST-1: streaming scores of events arriving as parquet files under ``events_path``."""
     p = p or frozen_params(spark, sf_dir)
     ev = spark.readStream.schema(EVENT_COLS).parquet(events_path).select("event_id", "ts", "event_type", "value")
-    # stream-static join; the static embedding side is size-checked before broadcast
+    # stream-static join; the planner broadcasts the static side only below its size threshold
     txn = build_transactions(ev, embeddings_dim(spark, sf_dir))
     return score_transform(txn, p)
 
@@ -123,6 +128,39 @@ def hourly_rate_stream(spark: SparkSession, sf_dir: str, events_path: str) -> Da
     return hourly_rate_transform(ev, embeddings_dim(spark, sf_dir), streaming=True)
 
 
+# ------------------------------------------------------------------ bursts
+def burst_transform(events: DataFrame, entity: str, gap: str = "5 minutes", more_than: int = 2, delay: str = "10 minutes") -> DataFrame:
+    """Bursts: runs of more than ``more_than`` events of one entity with at most ``gap`` between neighbours.
+
+    Session windows, merged across micro-batches while they are open; a burst is
+    given out once the watermark (``delay`` behind the latest event) has passed
+    its end. Rows whose own session the watermark has passed are dropped.
+    """
+    e = events.select(F.col(entity), F.col("ts").cast("timestamp").alias("ts"))
+    if events.isStreaming:
+        e = e.withWatermark("ts", delay)
+    runs = e.groupBy(F.session_window("ts", gap).alias("run"), F.col(entity)).agg(
+        F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+    naive = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return runs.where(F.col("n_events") > more_than).select(entity, naive("first_ts"), naive("last_ts"), "n_events")
+
+
+# ------------------------------------------------------------------ duplicates
+def dedup_transform(events: DataFrame, key: list[str], delay: str = "10 minutes") -> DataFrame:
+    """SO-4 on a stream: one row for each ``key``, copies within ``delay`` of event time removed.
+
+    The state holds a key until the watermark has passed its event time by
+    ``delay``; a copy that comes later than that is behind the watermark itself
+    and dropped as late, so no copy comes through. On a batch it is
+    ``dropDuplicates``.
+    """
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if not events.isStreaming:
+        return e.dropDuplicates(key)
+    return e.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key)
+
+
 # ------------------------------------------------------------------ velocity
 VELOCITY_STATE = "recent array<long>, pending array<long>"  # event times in microseconds
 
