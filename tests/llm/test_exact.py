@@ -290,3 +290,22 @@ def test_best_two_fit_keeps_every_length():
     bins = packing.best_two_fit(lengths, 100)
     assert sorted(n for b in bins for n in b) == sorted(lengths) and max(map(sum, bins)) <= 100
     assert len(bins) <= 1.02 * sum(lengths) / 100 + 2
+
+
+def test_token_ids_equal_the_tokenizer_file(tmp_path, small):
+    import json
+
+    path = queries.tokenizer_path()
+    coder = packing.TextTokenizer(path)
+    assert coder.fast is not None
+    rng = random.Random(4)
+    letters = "abcdefghij'ABC 12 .,!?\n\t\r éüß日本  ̀😀"
+    texts = [t or "" for _, t in small[1]] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
+    texts += ["a" * 50_000, " " * 5000 + "x", "x<|endoftext|>y", "\n" * 999]
+    assert [t for t in texts if coder.encode(t) != coder.whole(t)] == []
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]  # ids no longer follow the merges
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    assert packing.merge_ranks(str(other)) is None and packing.TextTokenizer(str(other)).fast is None

@@ -277,7 +277,7 @@ def test_pipeline_stages_against_plain_versions(spark):
     for d, t in before.items():
         assert not brute.base_secrets(after[d]) and (after[d] == t) == ("[SECRET]" not in after[d])
     five = stages["packing"](spark, four, SF_SMALL)
-    coder = packing.ChunkTokenizer(queries.tokenizer_path())
+    coder = packing.TextTokenizer(queries.tokenizer_path())
     want = sorted((d, k, *p) for d, t in after.items() for k, p in enumerate(packing.cut(coder.encode(t), packing.CAPACITY)))
     assert sorted(tuple(r[:5]) for r in five.collect()) == want
 

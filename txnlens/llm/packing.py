@@ -1,8 +1,7 @@
 """Best-two-fit packing of tokenised documents into fixed-length sequences.
 
 1. Tokenise in the scan. Only (doc, piece, start, length, checksum) leaves the
-   tokeniser; ids of single-space-separated chunks are memoised per task
-   (byte-level BPE never joins across such a space).
+   tokeniser.
 2. Deal the pieces into packing blocks by a hash, so that each block has the
    length distribution of the whole and at most about ``BLOCK_PIECES`` pieces.
 3. In every block, pack with lengths as classes: fill each bin greedily with
@@ -20,6 +19,7 @@ Defined results
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,65 +34,88 @@ from txnlens.llm.common import small_batches, stored
 CAPACITY = 2048
 END_ID = 0
 BLOCK_PIECES = 60_000
-MEMO_CHUNKS = 300_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-class ChunkTokenizer:
-    """Token ids of whole texts, memoised by space-separated chunk.
 
-    Exact: with this pre-tokeniser a single space between two non-space
-    characters always begins a new pre-token. Texts with uneven white space or
-    with a special token's string go through the tokeniser whole.
+#: fixed value: the pre-token pattern of the ``ByteLevel`` pre-tokeniser
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_of() -> dict[str, int]:
+    """The bytes that a byte-level vocabulary's characters stand for.
+
+    Printable bytes stand for themselves; the others take the code points from 256 on, in order.
+    """
+    printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    hidden = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Token bytes with their ids, if these ids order the merges of a plain byte-level BPE; else None."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (
+        model.get("type", "BPE") == "BPE"
+        and before.get("type") == "ByteLevel"
+        and not before.get("add_prefix_space")
+        and before.get("use_regex", True)
+        and not spec.get("normalizer")
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    )
+    if not plain:
+        return None
+    vocab = model["vocab"]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [vocab["".join(m)] for m in pairs]
+    byte_of = _byte_of()
+    ranks = {bytes(byte_of[c] for c in t): k for t, k in vocab.items() if all(c in byte_of for c in t)}
+    ordered = all(a < b for a, b in zip(made, made[1:], strict=False)) and min(made, default=256) >= 256
+    if not ordered or any(bytes([b]) not in ranks for b in range(256)):
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    return {t: k for t, k in ranks.items() if t.decode("utf-8", "replace") not in special}
+
+
+class TextTokenizer:
+    """Token ids of whole texts.
+
+    A plain byte-level BPE whose ids follow its merges is applied by ``tiktoken``
+    with ranks read from the same file, which gives the same ids several times
+    faster (the tests hold both against each other). Other vocabularies, and
+    texts with the string of a special token, go through ``tokenizers``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = [t.content for t in added]
-        self.memo: dict[str, bytes | None] = {}  # by chunk, for the chunk with its space before it
-        self.old: dict[str, bytes | None] = {}  # the generation before
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ranks = merge_ranks(path)
+        self.fast = None
+        if ranks is not None:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding(path, pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Ids of new chunks; None for one that is empty or begins or ends with white space."""
-        new = [c for c in chunks if c and not (c[0].isspace() or c[-1].isspace())]
-        coded = self.tokenizer.encode_batch_fast([" " + c for c in new], add_special_tokens=False) if new else []
-        self.memo.update(dict.fromkeys(chunks))
-        self.memo.update((c, array("I", e.ids).tobytes()) for c, e in zip(new, coded, strict=True))
-
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text."""
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        if first[-1:].isspace() or not first:
-            return self.whole(text)
-        chunks = set(rest)
-        new = chunks.difference(self.memo)
-        if new:
-            if len(self.memo) > MEMO_CHUNKS:  # chunks in use move on to the next generation
-                self.old, self.memo = self.memo, {}
-                new = chunks
-            kept = {c: self.old[c] for c in new if c in self.old}
-            self.memo.update(kept)
-            self._learn(new.difference(kept))
-        try:
-            return self.whole(first) + b"".join([self.memo[c] for c in rest])
-        except TypeError:  # a chunk without ids of its own
+        if self.fast is None or any(s in text for s in self.special):
             return self.whole(text)
+        return array("I", self.fast.encode_ordinary(text)).tobytes()
 
 
-_CODERS: dict[str, ChunkTokenizer] = {}
+_CODERS: dict[str, TextTokenizer] = {}
 
 
-def coder_for(path: str) -> ChunkTokenizer:
-    """One tokeniser and memo per worker process, whatever the number of its tasks."""
+def coder_for(path: str) -> TextTokenizer:
+    """One tokeniser per worker process, whatever the number of its tasks."""
     if path not in _CODERS:
-        _CODERS[path] = ChunkTokenizer(path)
+        _CODERS[path] = TextTokenizer(path)
     return _CODERS[path]
 
 
