@@ -21,7 +21,12 @@ smallest document id; the hash's shard groups them exactly and answers the
 smallest id of the corpus. A very frequent window is one entry per block, so no
 key is hot.
 
-Pass 3 marks the covered words.
+With its hashes the block stores where its estimated windows start. Pass 3 reads
+these places back, splits the words again and marks the covered ones; it hashes
+nothing.
+
+Windows are told apart by two 64-bit hashes, both linear forms of 64-bit word
+hashes.
 
 Defined results
     null or empty text: no words, nothing removed. Documents shorter than a
@@ -35,6 +40,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +63,7 @@ PIECE_SCHEMA = "kind int, shard long, block long, n long, payload binary"
 _PIECE = pa.schema(
     [("kind", pa.int32()), ("shard", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())]
 )
-EXACT = -1  # the kind of pass 2; kinds 0 .. DEPTH - 1 are the sketch's rows
+EXACT, PLACES = -1, -2  # the kinds of pass 2; kinds 0 .. DEPTH - 1 are the sketch's rows
 RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, text string"
 _RESULT = pa.schema(
     [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())]
@@ -144,9 +150,9 @@ def _pieces(rows: list[tuple]) -> pa.Table:
 def _cut(sorted_values: np.ndarray, shift: int) -> Iterator[tuple[int, slice]]:
     """The runs of sorted values by their high part."""
     high = sorted_values >> np.uint64(shift) if shift < 64 else np.zeros_like(sorted_values)
-    starts = np.flatnonzero(np.r_[True, high[1:] != high[:-1]]) if len(high) else []
-    for a, b in zip(starts, [*starts[1:], len(high)], strict=True):
-        yield int(high[a]), slice(int(a), int(b))
+    starts = np.flatnonzero(np.r_[True, high[1:] != high[:-1]]).tolist() if len(high) else []
+    for a, b in pairwise([*starts, len(high)]):
+        yield int(high[a]), slice(a, b)
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -205,8 +211,11 @@ def exact_blocks(blocks: DataFrame, answers: DataFrame, window: int, bits: int,
         if not table.num_rows:
             return _pieces([])
         own = BlockWindows(table, window)
-        h1, h2, least, _ = own.entries(own.estimated(got.to_pylist(), bits))
-        rows = []
+        at = own.estimated(got.to_pylist(), bits)
+        h1, h2, least, entry = own.entries(at)
+        where = squeeze(deltas(at.astype(np.uint64)))
+        places = len(where).to_bytes(8, "little") + where + entry[at].astype(np.uint32).tobytes()
+        rows = [(PLACES, 0, key[0].as_py(), len(at), places)]
         for shard, part in _cut(h1, 64 - exact_bits):
             first = squeeze(deltas(h1[part]))
             ids = squeeze(_signed(least[part]))
@@ -247,26 +256,31 @@ def merge_exact(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("shard").applyInArrow(merge, PIECE_SCHEMA)
 
 
-def mark(blocks: DataFrame, answers: DataFrame, window: int, bits: int) -> DataFrame:
-    """Pass 3: the words that are left in every document."""
+def mark(blocks: DataFrame, answers: DataFrame, window: int) -> DataFrame:
+    """Pass 3: the words that are left in every document, from the places and least ids of the block's windows."""
 
     def keep(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _RESULT.empty_table()
-        own = BlockWindows(table, window)
+        all_ids = table.column("doc_id").to_pylist()
+        split = [split_words(t) for t in table.column("text").to_pylist()]
         answers = got.to_pylist()
-        at = own.estimated(answers, bits)
-        _, _, _, entry = own.entries(at)
+        at, entry = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        for a in answers:
+            if a["kind"] == PLACES and a["n"]:
+                size = int.from_bytes(a["payload"][:8], "little")
+                at = np.cumsum(expand(a["payload"][8 : 8 + size]), dtype=np.uint64).astype(np.int64)
+                entry = np.frombuffer(a["payload"][8 + size :], dtype=np.uint32)
         exact = sorted((a for a in answers if a["kind"] == EXACT), key=lambda a: a["shard"])
         least = np.concatenate([expand(a["payload"]).view(np.int64) for a in exact]) if exact else np.zeros(0, np.int64)
-        ids = np.array([0 if i is None else i for i in own.ids], dtype=np.int64)
-        bad = at[least[entry[at]] < ids[own.row[at]]] if len(at) else at
-        begins = np.zeros(len(own.words) + 1, dtype=np.int64)
-        np.add.at(begins, own.row + 1, 1)
-        begins = np.cumsum(begins)  # the first window of each row
+        ids = np.array([0 if i is None else i for i in all_ids], dtype=np.int64)
+        windows = [0 if i is None else max(0, len(w) - window + 1) for i, w in zip(all_ids, split, strict=True)]
+        begins = np.concatenate([[0], np.cumsum(windows, dtype=np.int64)])  # the first window of each row
+        row_of = np.searchsorted(begins, at, side="right") - 1
+        bad = at[least[entry] < ids[row_of]] if len(at) else at
         by_row = np.searchsorted(bad, begins)
         removed, texts = [], []
-        for row, words in enumerate(own.words):
+        for row, words in enumerate(split):
             starts = bad[by_row[row] : by_row[row + 1]] - begins[row]
             if len(starts):
                 change = np.zeros(len(words) + 1, dtype=np.int64)
@@ -278,7 +292,7 @@ def mark(blocks: DataFrame, answers: DataFrame, window: int, bits: int) -> DataF
             else:
                 removed.append(0)
             texts.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-        columns = [own.ids, [len(w) for w in own.words], removed, texts]
+        columns = [all_ids, [len(w) for w in split], removed, texts]
         return pa.Table.from_arrays(
             [pa.array(c, type=f.type) for c, f in zip(columns, _RESULT, strict=True)], schema=_RESULT
         )
@@ -287,15 +301,24 @@ def mark(blocks: DataFrame, answers: DataFrame, window: int, bits: int) -> DataF
 
 
 def deal(documents: DataFrame, n_blocks: int) -> DataFrame:
-    """``(doc_id, text, block)`` written once to the shared folder, bucketed by block."""
+    """``(doc_id, text, block)`` written once to the shared folder, bucketed by block.
+
+    Rows are dealt by a hash of their place in the scan, so repeated ids or
+    texts spread like any others. The catalog's entry is only needed to plan
+    the bucketed read and goes at once; the files stay.
+    """
     spark = documents.sparkSession
-    number = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    dealt = documents.select(F.col("doc_id").cast("long"), "text", F.pmod(number, F.lit(n_blocks)).alias("block"))
+    number = F.xxhash64(F.monotonically_increasing_id())
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = rows.withColumn("block", F.pmod(number, F.lit(n_blocks)))
     buckets = min(n_blocks, MAX_BUCKETS)
     name = f"substring_{uuid.uuid4().hex[:12]}"
     writer = dealt.repartition(buckets, "block").write.format("parquet").bucketBy(buckets, "block")
     writer.option("compression", "zstd").option("path", checkpoint_subdir(spark, f"tables/{name}")).saveAsTable(name)
-    return spark.table(name)
+    read = spark.table(name)
+    read.schema  # noqa: B018 - resolved before the entry goes
+    spark.sql(f"DROP TABLE {name}")
+    return read
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -310,5 +333,6 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     bits = max(SHARD_BITS - 5, (windows * CELLS_PER_WINDOW - 1).bit_length())
     exact_bits = max(0, (windows // EXACT_SHARD_WINDOWS).bit_length())
     answers = stored(merge_sketches(sketch_blocks(blocks, window, bits)), "cells")
-    found = stored(merge_exact(exact_blocks(blocks, answers, window, bits, exact_bits)), "windows")
-    return mark(blocks, answers.unionByName(found), window, bits)
+    sent = stored(exact_blocks(blocks, answers, window, bits, exact_bits), "estimated")
+    found = stored(merge_exact(sent.where(F.col("kind") == EXACT)), "windows")
+    return mark(blocks, sent.where(F.col("kind") == PLACES).unionByName(found), window)
