@@ -20,7 +20,11 @@ footer, sidebar, notice, advert, form or comment list are left out, and so are
 slots outside the main region, headings and paragraphs whose text is the same on
 every page that has them, if at least ``LEAST_PAGES`` of these differ in other
 texts (copies of one page count once). An element around the main region, ``html``,
-``body`` and a form around the whole page are never boilerplate.
+``body`` and a form around the whole page are never boilerplate. Below the main region
+a header, a heading and a paragraph stay whatever their names; other elements go by
+their tag, by a whole boilerplate class name, or by one like ``related-posts``.
+Scripts, styles, templates, titles, ``noscript`` text and elements marked hidden have no
+text.
 
 Defined results
     null or empty html: empty text. Unclosed, crossed and cut-off tags are
@@ -81,6 +85,10 @@ BOILERPLATE_NAMES = set(
 )
 #: words of ids that tell the parts of a page's layout; other ids name single elements
 LAYOUT_NAMES = set("article body bottom center column container content entry left main page post primary right story text top wrapper".split())
+#: last words of names of boxes
+CONTAINER_NAMES = set("area bar block box buttons container content form group icons inner item items links list panel posts section slot thread wrap wrapper".split())
+#: names that the head of an article has as well
+HEADER_NAMES = {"header", "banner"}
 #: names that elements around a whole article have as well
 AROUND_MAIN = set("header menu nav notice search share social widget".split())
 
@@ -348,6 +356,27 @@ def _boilerplate(name: str) -> int:
     return found
 
 
+@lru_cache(maxsize=1 << 16)
+def _boilerplate_inside(name: str) -> bool:
+    """Is an element below the main region no part of the article?
+
+    By its tag (a header there holds the headings), or by a whole class name, or
+    one that begins with a boilerplate word and ends with that of a container
+    (``related-posts``). A word inside a name (``market-share``) tells nothing, and
+    headings and paragraphs are text whatever their names.
+    """
+    tag, *names = name.split(".")
+    if tag in HEADINGS or tag == "header":
+        return False
+    if tag in BOILERPLATE_TAGS:
+        return True
+    for n in names:
+        first, *rest = re.split(r"[-_]+", n)
+        if first in BOILERPLATE_NAMES - HEADER_NAMES and (not rest or rest[-1] in CONTAINER_NAMES | BOILERPLATE_NAMES):
+            return True
+    return False
+
+
 @lru_cache(maxsize=1 << 16)
 def _region(name: str) -> bool:
     tag, *names = name.split(".")
@@ -383,7 +412,12 @@ def candidates(paths: frozenset[tuple[str, ...]]) -> tuple[bool, frozenset[str],
         bad = False
         for k, n in enumerate(path):
             # a header inside the article holds its headings; outside it is the page's
-            if k == first or n.split(".")[0] in ("html", "body") or path[: k + 1] in wide or (k > first and n == "header"):
+            if k == first or n.split(".")[0] in ("html", "body") or path[: k + 1] in wide:
+                continue
+            if at and k > last:
+                bad = bad or _boilerplate_inside(n)
+                continue
+            if k > first and n.split(".")[0] == "header":
                 continue
             kind = _boilerplate(n)
             bad = bad or (kind > 0 and k > last)
