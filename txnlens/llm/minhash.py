@@ -54,9 +54,9 @@ BANDS = 36
 ROWS = 5
 SIMILARITY_PERCENT = 80
 SMALL_BUCKET = 16
-TILE_SHINGLES = 400_000
+TILE_SHINGLES = 200_000
 #: and documents: a tile holds a matrix of its documents by its documents
-TILE_DOCUMENTS = 2000
+TILE_DOCUMENTS = 500
 #: rows of that matrix that are made and looked through at a time
 TILE_ROWS = 512
 TILE_COLUMNS = 4096
@@ -313,9 +313,24 @@ def near_duplicates(
     return result.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def own_ids(documents: DataFrame) -> DataFrame:
+    """The documents with ``_own``: their id, or a hash of id and text where rows of one id differ in their texts."""
+    key = F.xxhash64("text")
+    ids = documents.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    clashing = stored(ids.where("lo <> hi").select(F.col("doc_id").alias("_clash")), "clashing")
+    joined = join_small(documents, clashing, documents["doc_id"] == clashing["_clash"], "left", check=True)
+    own = F.when(F.col("_clash").isNull(), F.col("doc_id").cast("long")).otherwise(F.xxhash64("doc_id", "text"))
+    return joined.withColumn("_own", own).drop("_clash")
+
+
 def drop_near_duplicates(documents: DataFrame, **how) -> DataFrame:
-    """The documents (all columns), one of each group; rows with a null id stay."""
-    keep = stored(near_duplicates(documents, **how).where("kept").select(F.col("doc_id").alias("keep_id")), "kept")
-    named = documents.where("doc_id IS NOT NULL")
-    kept = named.join(keep, named["doc_id"] == keep["keep_id"], "left_semi").dropDuplicates(["doc_id"])
+    """The documents (all columns), one of each group; rows with a null id stay.
+
+    Rows of one id and text are one document; rows of one id with different texts
+    are documents each, so no text goes that has no near duplicate.
+    """
+    named = own_ids(documents.where("doc_id IS NOT NULL"))
+    seen = near_duplicates(named.select(F.col("_own").alias("doc_id"), "text"), **how)
+    keep = stored(seen.where("kept").select(F.col("doc_id").alias("_keep")), "kept")
+    kept = named.join(keep, named["_own"] == keep["_keep"], "left_semi").dropDuplicates(["_own"]).drop("_own")
     return kept.unionByName(documents.where("doc_id IS NULL"))
