@@ -1,7 +1,7 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The benchmark's normalised n-grams form a hash set that is broadcast (its rows
-and bytes are counted; beyond the limits the same join shuffles).
+and bytes are counted; beyond the limits only hashes and places are shuffled).
 Every document is tokenised in the scan, each window is hashed and looked up
 in the set, and a hit counts only after the words themselves were compared.
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.llm.common import ascii_lower, stored
-from txnlens.plans.small import join_small
+from txnlens.plans.small import fits, join_small
 
 #: ASCII characters that are neither digits nor lower-case letters (after lower-casing)
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,8 +37,12 @@ def window_hash(words: Column, start: Column, length: int) -> Column:
     return F.xxhash64(*[F.get(words, start + (k - 1)) for k in range(length)])
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows ``(len, hash, gram, items)``; an item shorter than a window is one window."""
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows ``(len, hash, gram, window_id)`` and ``(window_id, item)``, both stored.
+
+    An item shorter than a window is one window. A window's items stay rows, so one
+    that very many items share is no long array that every hit carries.
+    """
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
         F.explode(F.array(words_of(F.col("text")))).alias("w"),
@@ -48,8 +52,11 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     grams = items.select("item", "w", "len", starts.alias("i")).select(
         "item", "len", F.expr("slice(w, i, len)").alias("gram")
     )
-    grouped = grams.groupBy("len", "gram").agg(F.collect_set("item").alias("items"))
-    return grouped.withColumn("hash", F.xxhash64("gram"))
+    grams = stored(grams.distinct(), "grams")
+    windows = grams.select("len", "gram").distinct().select("*", F.xxhash64("gram").alias("hash"))
+    windows = stored(windows.withColumn("window_id", F.monotonically_increasing_id()), "windows")
+    held = grams.join(windows.select("len", "gram", "window_id"), ["len", "gram"]).select("window_id", "item")
+    return windows, stored(held, "window_items")
 
 
 def doc_key() -> list[Column]:
@@ -57,9 +64,14 @@ def doc_key() -> list[Column]:
     return [F.col("doc_id"), F.xxhash64(F.col("text")).alias("text_key")]
 
 
-def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Verified window occurrences ``(doc_id, text_key, start, len, items)``; start from 1."""
-    grams = stored(benchmark_windows(benchmark, window), "windows")
+def find_hits(documents: DataFrame, grams: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Verified occurrences ``(doc_id, text_key, start, len, window_id)`` of the windows ``grams``; start from 1.
+
+    Up to ``MAX_BROADCAST_WINDOWS`` windows are broadcast (rows and bytes are
+    counted) and compared in the scan. Beyond, only hashes and places are
+    shuffled to them, and the words of the documents that hold a hash come in
+    one join afterwards.
+    """
     lengths = sorted(r[0] for r in grams.select("len").distinct().collect())  # at most ``window`` values
     base = documents.select(*doc_key(), F.explode(F.array(words_of(F.col("text")))).alias("w"))
     # compiled from the scan to the probe: no lambda, no array of hashes, one row per window
@@ -70,21 +82,32 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     h = F.lit(None).cast("long")
     for n in lengths:
         h = F.when(F.col("n") == n, window_hash(F.col("w"), F.col("start"), n)).otherwise(h)
-    hits = join_small(
-        rows.withColumn("h", h), grams, F.col("h") == F.col("hash"), max_rows=MAX_BROADCAST_WINDOWS, check=True
-    )
-    hits = hits.where(F.expr("n = len AND slice(w, start, len) = gram"))
-    return hits.select("doc_id", "text_key", "start", "len", "items")
+    rows = rows.withColumn("h", h)
+    same = F.expr("n = len AND slice(w, start, len) = gram")
+    out = ["doc_id", "text_key", "start", "len", "window_id"]
+    if fits(grams, MAX_BROADCAST_WINDOWS):
+        return rows.join(F.broadcast(grams), F.col("h") == F.col("hash")).where(same).select(*out)
+    listed = grams.select(F.col("hash").alias("h")).distinct()
+    near = rows.select("doc_id", "text_key", "n", "start", "h").join(listed, "h", "left_semi").distinct()
+    near = stored(near.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "n", "start", "h"), "near")
+    # one row a text, however often it repeats: the copies' places are the same
+    texts = base.join(near.select("d", "k").distinct(), F.expr("doc_id <=> d AND text_key = k"), "left_semi")
+    texts = texts.dropDuplicates(["doc_id", "text_key"])
+    probed = texts.join(near, F.expr("doc_id <=> d AND text_key = k"))
+    return probed.join(grams, F.col("h") == F.col("hash")).where(same).select(*out)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
     """One row per document row: words, hit words, items, and whether one word in ``one_in`` or more is hit."""
-    hits = find_hits(documents, benchmark, window)
+    grams, held = benchmark_windows(benchmark, window)
+    hits = stored(find_hits(documents, grams, window), "hits")
     covered = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1))))
-    per_doc = hits.groupBy("doc_id", "text_key").agg(
-        F.size(covered).alias("hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_list"),
-    )
+    per_doc = hits.groupBy("doc_id", "text_key").agg(F.size(covered).alias("hit"))
+    found = join_small(hits.select("doc_id", "text_key", "window_id").distinct(), held, "window_id", check=True)
+    items = found.select("doc_id", "text_key", "item").distinct().groupBy("doc_id", "text_key")
+    items = items.agg(F.array_sort(F.collect_list("item")).alias("item_list")).alias("i")
+    per_doc = per_doc.alias("p").join(items, F.expr("p.doc_id <=> i.doc_id AND p.text_key = i.text_key"))
+    per_doc = per_doc.select("p.doc_id", "p.text_key", "hit", "item_list")
     docs = documents.select(*doc_key(), F.size(words_of(F.col("text"))).cast("long").alias("n_words")).alias("d")
     per_doc = per_doc.alias("h")
     joined = docs.join(
@@ -115,7 +138,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int =
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(doc_id, text)`` with hit words cut; the words left are lower-cased and joined by one space."""
-    hits = find_hits(documents, benchmark, window)
+    hits = find_hits(documents, benchmark_windows(benchmark, window)[0], window)
     cut = hits.groupBy("doc_id", "text_key").agg(
         F.array_distinct(
             F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)))
