@@ -5,20 +5,23 @@ negation, reported speech). A white-space token is looked up by each of its runs
 of letters, as the arcs are learned (``you,idiot``, ``<b>idiot</b>``), and by
 all its letters together (``i.d.i.o.t``). Three context transducers read the symbols of one
 clause and mark an insult or threat that follows a negation, a reporting verb
-or a target; their composition is one table that walks every clause once. A
+or a target; their composition is one table that walks every clause once. The
+target transducer also walks it backwards ("you will die", "I will kill you"). A
 clause is scored by the weights of its matches; a document by its matched
 clauses, through a logistic curve.
 
 Insult arcs are learned: words and word stems that labelled toxic documents
 hold far more often than others (likelihood ratio of at least ``LEAST_G2``,
-log-odds of at least ``LEAST_WEIGHT``). The lexicon and the curve are fitted on
+log-odds of at least ``LEAST_WEIGHT``), all of them. Threat words weigh their log-odds
+among the same labels. The lexicon and the curve are fitted on
 at most ``FIT_ROWS`` labelled documents, chosen by a hash of their id among
 those that the caller allows; equal texts count once.
 
 Defined results
     null or empty text: no match, the score of a text without matches. No
     labels or only one label: no arcs, the curve's constant. Repeated labels of
-    an id count as toxic if any is; repeated documents are scored each. Empty
+    an id count as toxic if any is; for training an id that repeats counts with its
+    least text; repeated documents are scored each. Empty
     table: no rows. Of ``documents`` only ``doc_id`` and ``text`` are read.
 """
 
@@ -36,9 +39,9 @@ from pyspark.sql import functions as F
 from txnlens.llm.common import hash_sample, small_batches, stored
 
 FIT_ROWS = 12_000
-MAX_ARCS = 2_000
 LEAST_G2 = 30.0
 LEAST_WEIGHT = 1.5
+LEAST_FIXED = 0.2  # weight of a function word that the labels say nothing about
 STEMS = (4, 5, 6)
 PREDICT_AT = 0.7
 MEMO_TOKENS = 200_000
@@ -101,10 +104,13 @@ class Scanner(dict):
         self.several: list[list[int]] = []
         self.fixed = {w: kind for kind, words in WORDS.items() for w in words.split()}
         self.table = grammar()
+        self.behind = mark_after(TARGET, TARGETED)
 
     def key(self, word: str) -> tuple[int, float]:
         found = [self.arcs.get(f"={word}", 0.0), *(self.arcs.get(f"^{word[:n]}", 0.0) for n in STEMS if len(word) >= n)]
-        return (INSULT, max(found)) if max(found) > 0 else (self.fixed.get(word, 0), 1.0 if word in self.fixed else 0.0)
+        if max(found) > 0:
+            return INSULT, max(found)
+        return (self.fixed[word], self.arcs.get(f"+{word}", 1.0)) if word in self.fixed else (0, 0.0)
 
     def entry(self, key: tuple[int, float]) -> int:
         if key not in self.entries:
@@ -144,6 +150,16 @@ class Scanner(dict):
         code = self[token] = 2 * self.entry(glued) + bool(_CLAUSE_END.search(token))
         return code
 
+    def followed(self, kinds: list[int], clauses: list[int]) -> list[int]:
+        """The marks of the target transducer run backwards over each clause: the target may come after the threat."""
+        out, state, last = [], 0, None
+        for kind, c in zip(reversed(kinds), reversed(clauses), strict=True):
+            if c != last:
+                state, last = 0, c
+            state, (_, marks) = self.behind[state, (kind, 0)]
+            out.append(marks)
+        return out[::-1]
+
     def features(self, text: str | None) -> list[float]:
         tokens = (text or "").split()
         if len(self.several) > MEMO_TOKENS:
@@ -162,12 +178,15 @@ class Scanner(dict):
         sums = dict.fromkeys(("plain", "negated", "reported", "targeted", "threat"), 0.0)
         best = score = 0.0
         state, last = 0, -1
-        for kind, w, c in zip(kinds[at].tolist(), (codes[at] >> 1).tolist(), clause[at].tolist(), strict=True):
+        kind_list, clause_list = kinds[at].tolist(), clause[at].tolist()
+        follows = self.followed(kind_list, clause_list)
+        for kind, w, c, later in zip(kind_list, (codes[at] >> 1).tolist(), clause_list, follows, strict=True):
             if c != last:
                 state, score, last = 0, 0.0, c
             state, (kind, marks) = self.table[state, (kind, 0)]
+            marks |= later
             if kind == THREAT and marks & TARGETED and not marks & NEGATED:
-                sums["threat"] += 1
+                sums["threat"] += self.weight[w]
             if kind == INSULT:
                 weight = self.weight[w]
                 sums["plain"] += 0 if marks & (NEGATED | REPORTED) else weight
@@ -181,7 +200,7 @@ class Scanner(dict):
 
 
 def learn_arcs(sample: DataFrame) -> dict[str, float]:
-    """``=word`` and ``^stem`` arcs with their log-odds, from ``(text, toxic)``."""
+    """``=word`` and ``^stem`` arcs and ``+word`` weights of function words with their log-odds, from ``(text, toxic)``."""
     totals = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
     n, p = totals["n"], totals["p"] or 0
     if not 0 < p < n:
@@ -201,9 +220,12 @@ def learn_arcs(sample: DataFrame) -> dict[str, float]:
     part = lambda k, of: F.when(k > 0, k * F.log(k / of)).otherwise(0.0)
     g2 = 2 * (part(x, m * share) + part(m - x, m * (1 - share)))
     odds = F.log((x + 0.5) / (p + 1)) - F.log((m - x + 0.5) / (n - p + 1))
-    good = counts.where((x > 1) & (x > m * share)).select("entry", g2.alias("g2"), odds.alias("weight"))
-    good = good.where((F.col("g2") >= LEAST_G2) & (F.col("weight") >= LEAST_WEIGHT))
-    return {r["entry"]: r["weight"] for r in good.orderBy(F.desc("g2"), "entry").limit(MAX_ARCS).collect()}
+    scored = stored(counts.select("entry", "pos", "all", g2.alias("g2"), odds.alias("weight")), "arcs")
+    good = scored.where((x > 1) & (x > m * share) & (F.col("g2") >= LEAST_G2) & (F.col("weight") >= LEAST_WEIGHT))
+    # the function words' own log-odds weigh what the grammar marks with them
+    fixed = scored.where(F.col("entry").isin([f"={w}" for words in WORDS.values() for w in words.split()]))
+    weights = {f"+{r['entry'][1:]}": max(LEAST_FIXED, r["weight"]) for r in fixed.select("entry", "weight").collect()}
+    return weights | {r["entry"]: r["weight"] for r in good.orderBy(F.desc("g2"), "entry").collect()}
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -238,7 +260,9 @@ def fit(documents: DataFrame, labels: DataFrame, allowed: Column, rows: int = FI
     chosen = stored(hash_sample(stored(chosen, "labels"), "id", rows), "chosen")
     # at most ``rows`` rows of two numbers: the text need not move
     texts = documents.select("doc_id", "text").where("text IS NOT NULL")
-    sample = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["id"]).select("text", "toxic")
+    sample = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["id"]).select("id", "text", "toxic")
+    # an id that repeats is one text; equal texts of several ids count once
+    sample = sample.groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     sample = stored(sample.groupBy(F.md5("text")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "sample")
     arcs = learn_arcs(sample)
 
