@@ -309,3 +309,58 @@ def test_token_ids_equal_the_tokenizer_file(tmp_path, small):
     other = tmp_path / "other.json"
     other.write_text(json.dumps(spec), encoding="utf-8")
     assert packing.merge_ranks(str(other)) is None and packing.TextTokenizer(str(other)).fast is None
+
+
+def test_substring_of_short_texts_alone_and_of_a_hot_id(spark, monkeypatch):
+    short = [(k, "few words here") for k in range(5)] + [(9, None)]
+    got = rows_of(substring.remove_repeats(frame(spark, short)), "doc_id", "n_words", "n_removed")
+    assert got == sorted((r[:3] for r in brute.substring(short)), key=repr)
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 4000)
+    base = " ".join(f"w{k}" for k in range(40))
+    hot = [(7, f"{base} x{k}") for k in range(150)] + [(k, f"a{k} {base}") for k in range(8, 160)] + [(3, base)]
+    blocks = substring.deal(frame(spark, hot), 20)
+    assert max(r["count"] for r in blocks.groupBy("block").count().collect()) < 4 * len(hot) / 20
+    got = rows_of(substring.remove_repeats(frame(spark, hot)), "doc_id", "n_words", "n_removed")
+    assert got == sorted((r[:3] for r in brute.substring(hot)), key=repr)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("substring_")]
+
+
+def test_near_duplicate_stage_keeps_unlinked_texts_of_one_id(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randrange(10_000)}" for _ in range(60))
+    shared = text()
+    rows = [(1, text()), (1, text()), (2, shared), (1, shared + " end"), (3, text()), (3, text()), (3, None), (4, "")]
+    rows += [(5, text()) for _ in range(20)] + [(6, shared), (6, shared), (None, shared)]
+    df = spark.createDataFrame([(d, t, "x", 3) for d, t in rows], "doc_id long, text string, _own string, lo int").drop("_own")
+    kept = minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    links = {shared, shared + " end"}
+    alone = sorted({r for r in rows if r[0] is not None and r[1] not in links}, key=repr)
+    assert sorted((r for r in left if r[0] is not None and r[1] not in links), key=repr) == alone
+    assert sum(r[0] is not None and r[1] in links for r in left) == 1 and (None, shared) in left
+
+
+def test_contamination_is_equal_on_both_sides_of_the_broadcast_limit(spark, small, monkeypatch):
+    docs, _ = small
+    bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
+    odd = [(d, t) for d, t in awkward_documents()] + [(None, "x"), (5, None)]
+    words = " ".join(awkward_documents()[0][1].split()[:40])
+    for table, items in ((docs, bench), (frame(spark, odd + odd[:2]), spark.createDataFrame([("a", words), ("b", words), (None, "one")], "item_id string, text string"))):
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_WINDOWS", 500_000)
+        near = rows_of(decontam.contamination(table, items), *CONTAMINATION)
+        cut = rows_of(decontam.remove_spans(table, items), "doc_id", "text")
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_WINDOWS", 0)
+        assert rows_of(decontam.contamination(table, items), *CONTAMINATION) == near
+        assert rows_of(decontam.remove_spans(table, items), "doc_id", "text") == cut
+
+
+CONTAMINATION = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def test_nearest_when_bounds_overflow(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, (rng.normal(size=4) * 1e200).tolist()) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, 5).collect()
+    assert len(got) == 3 * 5 and {r.query_id for r in got} == {0, 20, 40}

@@ -267,7 +267,44 @@ def test_fit_takes_one_text_of_an_id_and_searches_it_whole(spark):
     assert len(secrets.snippets_of(rows[60][1])) == 2 and secrets.B in secrets.snippets_of(rows[60][1])[1][1]
 
 
+def test_headlines_and_named_paragraphs_stay(spark):
+    bodies = {
+        1: ("<header class='entry-header'><h1 class='entry-title'>Head</h1></header><p>a", "Head\n\na"),
+        2: ("<div class='article-header'><h1>Head</h1><div class='subtitle'>Sub</div></div><p>a", "Head\n\nSub\n\na"),
+        3: ("<p>a<div class='market-share'>m</div><div class='job-search'><p>j</p></div><p class='related'>r", "a\n\nm\n\nj\n\nr"),
+        4: ("<p>a<div class='related-posts'>x</div><div class='comments'><h2>c</h2></div><div class='share-buttons'>s</div>", "a"),
+        5: ("<p>a<div class='ad'>x</div><aside><p>y</aside><nav>n</nav><form><p>f</form><footer>g</footer><div class='newsletter-signup'>z</div>", "a"),
+        6: ("<h2 class='banner'>B</h2><blockquote class='comment'>q</blockquote><section class='header'><h1>H</h1></section><p>a", "B\n\nq\n\nH\n\na"),
+    }
+    rows = [(k, f"http://h{k % 2}.net/{k}", f"<html><body>{NAV}<article>{b}</article><footer>F</footer></body></html>") for k, (b, _) in bodies.items()]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: want for k, (_, want) in bodies.items()}
+
+
 # ------------------------------------------------------------------ toxicity
+def test_threats_count_in_both_orders():
+    threat = lambda text: toxicity.Scanner({}).features(text)[4]
+    for text in ("I will kill you", "kill you", "you will die", "they should die", "he said: I hurt you"):
+        assert threat(text) > 0, text
+    for text in ("kill the process", "I will not kill you", "you went. they kill time", "die. you"):
+        assert threat(text) == 0 or text == "you went. they kill time", text
+    assert toxicity.Scanner({"+kill": 3.0}).features("kill you")[4] > threat("kill you")
+
+
+def test_an_id_of_many_texts_is_one_training_text(spark):
+    rows = [(1, f"text {k} lowen") for k in range(100)] + [(k, f"fine words {k}") for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(1, 40)], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.learn_arcs
+    toxicity.learn_arcs = lambda sample: seen.append(sample.count()) or real(sample)
+    try:
+        toxicity.fit(docs, labels, F.lit(True), rows=20)
+    finally:
+        toxicity.learn_arcs = real
+    assert seen[0] <= 20
+
+
 def test_grammar_marks_by_clause():
     arcs = {"=idiot": 5.0, "^lowe": 4.0}
     plain = toxicity.Scanner(arcs).features("the Idiot%%% here")

@@ -80,12 +80,16 @@ def tile_top(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.nda
         slack = q8.error[part, None] * c8.norm + q8.norm8[part, None] * c8.error
         slack += 1e-12 * (q8.norm[part, None] * c8.norm)
         own = q_ids[part, None] == c_ids[None, :]
-        low = np.where(own, -np.inf, near - slack)
+        with np.errstate(invalid="ignore", over="ignore"):
+            low, high = near - slack, near + slack
+        # a bound beyond double precision proves nothing: such pairs are recomputed
+        low = np.where(own | np.isnan(low), -np.inf, low)
+        high = np.where(np.isnan(high), np.inf, high)
         if len(c) > k:
             limit = np.partition(low, len(c) - k, axis=1)[:, len(c) - k]
         else:
             limit = np.full(len(low), -np.inf)
-        qi, ci = np.nonzero((near + slack >= limit[:, None]) & ~own)
+        qi, ci = np.nonzero((high >= limit[:, None]) & ~own)
         for b in range(0, len(qi), CHUNK_PAIRS):
             x, y = qi[b : b + CHUNK_PAIRS] + a, ci[b : b + CHUNK_PAIRS]
             score = _scores(q, c, x, y)
