@@ -63,3 +63,19 @@ def test_feature_ks_finite(spark):
     df = spark.createDataFrame(rows, "V1 double, Class int")
     got = SP.feature_ks(df, ["V1"], finite=True).first()
     assert (got.n_neg, got.n_pos) == (7, 5) and got.p_value == pytest.approx(enumerated(got.ks, 7, 5), abs=1e-12)
+
+
+def test_density_by_cells_equals_the_sum_of_kernels(spark):
+    """Many more values than cells, far outliers, and a grid of its own; the series' bound holds."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(0, 1, 3000), rng.exponential(2, 1500), [60.0, -45.0], np.zeros(500)])
+    df = spark.createDataFrame([(float(x), 1) for x in v] + [(float("nan"), 1), (5.0, 0)], "V1 double, Class int")
+    got = SP.density_by_label(df, "V1", grid_lo=-5.0, grid_hi=9.0).orderBy("point").collect()
+    h = 0.3 * v.std(ddof=1)
+    grid = np.linspace(-5, 9, SP.KDE_POINTS)
+    want = np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(1) / (len(v) * h * math.sqrt(2 * math.pi))
+    assert [r.Class for r in got] == [1] * SP.KDE_POINTS
+    assert np.abs(np.array([r.density for r in got]) - want).max() < 1e-12
+    assert SP.series_error() < 1e-15 < SP.series_error(0.5, 6)

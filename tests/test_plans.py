@@ -69,3 +69,43 @@ def test_split_plan_ranks_only_inside_hash_buckets(spark):
     # the row-level window is partitioned by (label, hash bucket); the other
     # windows run over the per-(label, bucket) count table
     assert any(a.startswith("Class") and b.startswith("_b") for a, b in firsts)
+
+
+@pytest.mark.parametrize("name", ["rate_by_hour", "volume_by_hour", "rate_by_band", "exposure_by_band", "day_crosstab", "exposure_summary", "day_night_split"])
+def test_breakdowns_read_the_cleaned_table_once(spark, name):
+    p = executed_plan(spark, name).split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet", p)) == 1 and "NestedLoopJoin" not in p
+
+
+def test_the_split_is_a_projection_over_one_row_a_label(spark):
+    p = executed_plan(spark, "stratified_split").split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in p and not re.findall(r"windowspecdefinition", p)
+
+
+def test_scored_rows_take_stored_maxima(spark):
+    p = executed_plan(spark, "scored").split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet", p)) == 2  # the table, and the one-row maxima
+    assert "HashAggregate" not in p
+
+
+def test_quantiles_do_not_repeat_rows_by_probability(spark):
+    """The value pass joins one bracket row a column: no row is exploded by the probabilities."""
+    from pyspark.sql import functions as F
+
+    from txnlens.plans import ordered
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).cast("double").alias("v"), (F.col("id") % 3).alias("g"))
+    seen = []
+    real = ordered.write_table
+
+    def noted(frame, name):
+        seen.append((name, frame._jdf.queryExecution().executedPlan().toString()))
+        return real(frame, name)
+
+    ordered.write_table = noted
+    try:
+        got = ordered.exact_quantiles(df, "v", [0.1, 0.5, 0.9], by=["g"]).collect()
+    finally:
+        ordered.write_table = real
+    value_pass = dict(seen)["q-bracket"]
+    assert "Generate" not in value_pass and "Expand" not in value_pass and len(got) == 9

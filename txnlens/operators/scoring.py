@@ -56,8 +56,14 @@ def add_score(df: DataFrame, params: DataFrame | None = None, out: str = "fraud_
     return x.withColumn(out, score_expr("_sp", terms)).drop("_sp")
 
 
-def analysis_view(df: DataFrame, spec: TxnSpec = TxnSpec(), bands: Bands = DISPLAY_BANDS, with_score: bool = True) -> DataFrame:
-    """Cleaned table + Hour, Day, Day_label, Amount_band(_ord) and the rule score."""
+def analysis_view(
+    df: DataFrame,
+    spec: TxnSpec = TxnSpec(),
+    bands: Bands = DISPLAY_BANDS,
+    with_score: bool = True,
+    params: DataFrame | None = None,
+) -> DataFrame:
+    """Cleaned table + Hour, Day, Day_label, Amount_band(_ord) and the rule score (by stored ``params``, if given)."""
     x = df.select(
         "*",
         hour_of_day(spec.time).alias("Hour"),
@@ -68,7 +74,7 @@ def analysis_view(df: DataFrame, spec: TxnSpec = TxnSpec(), bands: Bands = DISPL
         day_label("Day").alias("Day_label"),
         bands.ordinal(spec.amount).alias("Amount_band_ord"),
     ).withColumn("Amount_band", bands.name("Amount_band_ord"))
-    return add_score(x) if with_score else x
+    return add_score(x, params) if with_score else x
 
 
 def threshold_metrics(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, score: str = "fraud_score", spec: TxnSpec = TxnSpec()) -> DataFrame:

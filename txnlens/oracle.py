@@ -8,7 +8,9 @@ exactly as the Spark side rounds them (:data:`txnlens.queries.DIGITS`).
 
 from __future__ import annotations
 
-from txnlens.functions.columns import BAND_DISPLAY, BAND_NAMES
+from txnlens.functions.columns import BAND_DISPLAY, BAND_EDGES, BAND_NAMES
+from txnlens.operators.scoring import SCORE_EPS, SCORE_TERMS
+from txnlens.operators.separation import RADAR_FEATURES
 from txnlens.sources.fixture import ARRIVAL_SLOTS, LATE_HOURS, LATE_MOD
 
 V = [f"V{i}" for i in range(1, 29)]
@@ -66,11 +68,22 @@ cleaned AS (
 
 
 def _band_ord(x: str) -> str:
-    return (
-        f"CASE WHEN {x} IS NULL OR {x} <= -0.01::DOUBLE THEN NULL "
-        f"WHEN {x} <= 0.0 THEN 0 WHEN {x} <= 10.0 THEN 1 WHEN {x} <= 50.0 THEN 2 "
-        f"WHEN {x} <= 100.0 THEN 3 WHEN {x} <= 500.0 THEN 4 WHEN {x} <= 1000.0 THEN 5 ELSE 6 END"
-    )
+    low, *highs = BAND_EDGES[:-1]
+    cases = " ".join(f"WHEN {x} <= {e} THEN {i}" for i, e in enumerate(highs))
+    return f"CASE WHEN {x} IS NULL OR {x} <= {low}::DOUBLE THEN NULL {cases} ELSE {len(highs)} END"
+
+
+def _score_input(column: str, absolute: bool, table: str = "") -> str:
+    return f"abs({table}{column})" if absolute else f"{table}{column}"
+
+
+#: the score's normalisers and its weighted terms, from the operator's constants
+SCORE_MAXIMA = ", ".join(f"max({_score_input(c, a)}) AS m{i}" for i, (c, _, a) in enumerate(SCORE_TERMS))
+
+
+def _score_sql(inputs: list[str]) -> str:
+    terms = " + ".join(f"{w} * {x} / (sp.m{i} + {SCORE_EPS})" for i, ((_, w, _), x) in enumerate(zip(SCORE_TERMS, inputs, strict=True)))
+    return f"least(greatest({terms}, 0.0), 1.0)"
 
 
 def _list(vals) -> str:
@@ -80,15 +93,10 @@ def _list(vals) -> str:
 HOUR = 'CAST(floor(((("Time" % 86400.0) + 86400.0) % 86400.0) / 3600) AS INTEGER)'
 DAY = 'CAST(floor("Time" / 86400.0) AS INTEGER)'
 
-VIEW = f"""sp AS (
-  SELECT max(abs(V17)) AS m0, max(abs(V14)) AS m1, max(abs(V12)) AS m2, max(Amount_log) AS m3, max(abs(V10)) AS m4
-  FROM cleaned
-),
+VIEW = f"""sp AS (SELECT {SCORE_MAXIMA} FROM cleaned),
 view0 AS (
   SELECT c.*, {HOUR} AS "Hour", {DAY} AS "Day", {_band_ord('c.Amount')} AS Amount_band_ord,
-         least(greatest(
-           0.30 * abs(V17) / (sp.m0 + 1e-9) + 0.25 * abs(V14) / (sp.m1 + 1e-9) + 0.20 * abs(V12) / (sp.m2 + 1e-9)
-           + 0.15 * Amount_log / (sp.m3 + 1e-9) + 0.10 * abs(V10) / (sp.m4 + 1e-9), 0.0), 1.0) AS fraud_score
+         {_score_sql([_score_input(c, a) for c, _, a in SCORE_TERMS])} AS fraud_score
   FROM cleaned c, sp
 ),
 view AS (
@@ -176,6 +184,16 @@ FROM lng GROUP BY "column", col_idx""",
        max(value) AS max, true AS within_bound FROM lng GROUP BY "column\"""",
         r6("mean", "std", "min", "max"),
     )
+    whole = ("txn_id", "Class")
+    kinds = ", ".join(f"('{c}', '{'bigint' if c in whole else 'double'}')" for c in ["txn_id", "Time", *V, "Amount", "Class"])
+    o["csv_inferred_types"] = f'SELECT c AS "column", t AS type, CAST(0 AS BIGINT) AS n_missing FROM (VALUES {kinds}) k(c, t)'
+    o["csv_quarantine"] = q(
+        [],
+        """SELECT 'read' AS reason, count(*) AS n, sum(Amount) AS amount FROM transactions
+UNION ALL SELECT 'wrong number of fields', count(*), NULL FROM transactions WHERE txn_id % 89 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'Amount is no double: n.k.', count(*), NULL FROM transactions WHERE txn_id % 83 = 5 HAVING count(*) > 0""",
+        r6("amount"),
+    )
     o["zero_amount_report"] = q(
         [],
         'SELECT count(*) FILTER (WHERE Amount = 0) AS zero_count, count(*) FILTER (WHERE Amount = 0) * 100.0 / count(*) AS zero_pct, '
@@ -448,8 +466,7 @@ FROM cleaned WHERE "Time" IS NOT NULL)"""
        stddev_samp(value) FILTER (WHERE lbl = 1) AS pos_std, stddev_samp(value) FILTER (WHERE lbl = 0) AS neg_std,
        corr(value, CAST(lbl AS DOUBLE)) AS corr FROM lngl GROUP BY "column", col_idx)"""
     o["label_means"] = q([CLEAN, lngl, means], "SELECT * FROM means", r6("pos_mean", "neg_mean", "pos_std", "neg_std", "corr"))
-    radar = ["V17", "V14", "V12", "V10", "V16", "V3", "V7", "V11", "V4", "V18"]
-    lngr = f"lngl AS ({unpivot_union(radar, 'cleaned', ', \"Class\" AS lbl')})"
+    lngr = f"lngl AS ({unpivot_union(list(RADAR_FEATURES), 'cleaned', ', \"Class\" AS lbl')})"
     o["radar_profile"] = q(
         [CLEAN, lngr, means],
         """SELECT "column", col_idx, pos_mean, neg_mean,
@@ -567,14 +584,12 @@ FROM base b JOIN events e ON e.event_id = b.txn_id GROUP BY 1, 2""",
   SELECT user_id, ts, lag(ts, 2) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events
 ) WHERE p IS NOT NULL AND epoch(ts) - epoch(p) < 300""",
     )
+    capped = "least(greatest(b.Amount, greatest(f.q1 - 1.5 * (f.q3 - f.q1), 0.0)), f.q3 + 1.5 * (f.q3 - f.q1))"
+    stream_inputs = [f"ln(1 + {capped})" if c == "Amount_log" else _score_input(c, a, "b.") for c, _, a in SCORE_TERMS]
     o["stream_score"] = q(
         [CLEAN,
-         "sp AS (SELECT max(abs(V17)) AS m0, max(abs(V14)) AS m1, max(abs(V12)) AS m2, max(Amount_log) AS m3, max(abs(V10)) AS m4 FROM cleaned)",
-         """sc AS (SELECT b.txn_id, b."Class", b.Amount,
-              least(greatest(0.30 * abs(b.V17) / (sp.m0 + 1e-9) + 0.25 * abs(b.V14) / (sp.m1 + 1e-9) + 0.20 * abs(b.V12) / (sp.m2 + 1e-9)
-              + 0.15 * ln(1 + least(greatest(b.Amount, greatest(f.q1 - 1.5 * (f.q3 - f.q1), 0.0)), f.q3 + 1.5 * (f.q3 - f.q1))) / (sp.m3 + 1e-9)
-              + 0.10 * abs(b.V10) / (sp.m4 + 1e-9), 0.0), 1.0) AS fraud_score
-            FROM base b, sp, fences f)"""],
+         f"sp AS (SELECT {SCORE_MAXIMA} FROM cleaned)",
+         f"sc AS (SELECT b.txn_id, b.\"Class\", b.Amount, {_score_sql(stream_inputs)} AS fraud_score FROM base b, sp, fences f)"],
         "SELECT txn_id, \"Class\", Amount, fraud_score, fraud_score >= 0.6 AS flagged FROM sc",
         r6("Amount", "fraud_score"),
     )

@@ -29,6 +29,7 @@ from txnlens.operators import timing as TM
 from txnlens.plans.refresh import KeptStage
 from txnlens.plans.stage import input_version, materialize, write_table
 from txnlens.session import checkpoint_subdir
+from txnlens.sources import infer as INF
 from txnlens.sources import io as IO
 from txnlens.sources.fixture import ARRIVAL_SLOTS, arrivals, build_transactions, embeddings_dim, stream_events, table, transactions
 from txnlens.spec import TxnSpec
@@ -95,7 +96,12 @@ def cleaned(spark: SparkSession, sf: str) -> DataFrame:
 
 def view(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned table + hour/day/band columns and the rule score (projected from the cleaned stage)."""
-    return S.analysis_view(cleaned(spark, sf), SPEC)
+    return S.analysis_view(cleaned(spark, sf), SPEC, params=score_maxima(spark, sf))
+
+
+def score_maxima(spark: SparkSession, sf: str) -> DataFrame:
+    """The score's normalisers, one row written beside the cleaned stage, so that no view scans the table for them."""
+    return materialize(lambda: S.score_params(cleaned(spark, sf)), f"maxima:{sf}:{_version(spark, sf)}", spark)
 
 
 def plain_view(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,6 +226,40 @@ def q_csv_round_trip(spark, sf):
     return IO.read_transactions(spark, path, "csv", schema=df.schema)
 
 
+BROKEN_MOD, UNREADABLE_MOD = 89, 83
+
+
+def _csv_lines(spark, sf):
+    """The raw table as text lines under a header: some rows once more cut short, some once more with a word as amount."""
+    df = raw(spark, sf)
+    cols = df.columns
+    line = lambda amount, upto: F.concat_ws(
+        ",", *[F.lit(amount) if c == SPEC.amount and amount else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols[:upto]]
+    )
+    good = df.select(line("", None).alias("value"))
+    short = df.where(F.col(SPEC.key) % BROKEN_MOD == 0).select(line("", -2).alias("value"))
+    word = df.where(F.col(SPEC.key) % UNREADABLE_MOD == 5).select(line("n.k.", None).alias("value"))
+    path = checkpoint_subdir(spark, f"tables/lines-{uuid.uuid4().hex[:12]}")
+    IO.write_lines(good.unionByName(short).unionByName(word), ",".join(cols), path)
+    return path
+
+
+@query("csv_inferred_types")
+def q_csv_inferred_types(spark, sf):
+    """IO-1 without a schema: the inferred types of the CSV's columns, and what is missing in them."""
+    return INF.read_csv(spark, _csv_lines(spark, sf), tolerance=0.1).types
+
+
+@query("csv_quarantine")
+def q_csv_quarantine(spark, sf):
+    """IO-1: rows read with inferred types, and the malformed ones by their reason."""
+    got = INF.read_csv(spark, _csv_lines(spark, sf), tolerance=0.1)
+    amount = F.sum(SPEC.amount).alias("amount")
+    good = got.rows.agg(F.lit("read").alias("reason"), F.count(F.lit(1)).alias("n"), amount)
+    bad = got.bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("amount"))
+    return good.unionByName(bad)
+
+
 @query("iqr_outliers")
 def q_iqr_outliers(spark, sf):
     """AG-9 / FL-5 on amount and time."""

@@ -65,3 +65,10 @@ def save_splits(
     write_table(train, paths["train"], fmt)
     write_table(test, paths["test"], fmt)
     return paths
+
+
+def write_lines(lines: DataFrame, header: str, path: str) -> None:
+    """Text lines (column ``value``) as part files that each begin with the header."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # of the row in its part
+    first = F.concat(F.lit(header + "\n"), F.col("value"))
+    lines.select(F.when(place == 0, first).otherwise(F.col("value")).alias("value")).write.text(path)
