@@ -364,3 +364,31 @@ def test_nearest_when_bounds_overflow(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = ann.nearest(df, F.col("vec_id") % 20 == 0, 5).collect()
     assert len(got) == 3 * 5 and {r.query_id for r in got} == {0, 20, 40}
+
+
+def test_url_filter_on_both_sides_of_its_limits(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").select("page_id", "url")
+    rules = spark.createDataFrame(queries.URL_RULES, "rule string, verdict string")
+    cols = ("page_id", "host", "path", "rule", "verdict", "listed")
+    listed = urls.listed_share(pages, "1").unionByName(urls.listed_share(pages, "8")).unionByName(urls.listed_share(pages, "c"))
+    near = rows_of(urls.judge(pages, rules, listed), *cols)
+    assert {r[4] for r in near} == {"allow", "block"} and 0 < sum(r[5] for r in near) < len(near) / 2
+    monkeypatch.setattr(urls, "MAX_BLOCKS", 0)
+    monkeypatch.setattr(urls, "MAX_BROADCAST_KEYS", 0)
+    assert rows_of(urls.judge(pages, rules, listed), *cols) == near
+
+
+def test_exact_join_removes_the_false_positives(spark, monkeypatch):
+    """A crowded filter lets unlisted addresses through; none of them is blocked."""
+    monkeypatch.setattr(urls, "KEYS_PER_BLOCK", 200)
+    listed = spark.range(2000).select(F.concat(F.lit("bad.org/"), "id").alias("canonical"))
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://bad.org/"), "id").alias("url"))
+    entries = urls.listed_entries(listed)
+    filter_rows, blocks = urls.bloom(entries, entries.count())
+    keyed = pages.select(F.concat(F.lit("=bad.org/"), "page_id").alias("key"))
+    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    passed = urls.possible(keyed, filter_rows, blocks).count()
+    assert 2000 < passed < 6000
+    rules = spark.createDataFrame([], "rule string, verdict string")
+    got = urls.judge(pages, rules, listed).where("verdict = 'block'")
+    assert sorted(r.page_id for r in got.collect()) == list(range(2000))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from txnlens.llm.chat import BEGIN
 from txnlens.llm.queries import CHAT_PROBE, URL_RULES
-from txnlens.llm.urls import SPAM_WORDS
+from txnlens.llm.urls import LISTED_DIGIT
 
 #: ``string_split_regex`` leaves empty ends; they are no words
 WORDS = r"list_filter(string_split_regex({t}, '{sep}'), lambda x: x <> '')"
@@ -36,12 +36,11 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS
 FROM d LEFT JOIN cut USING (doc_id)"""
 
 _RULES = ", ".join(f"('{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{v}')" for r, v in URL_RULES)
-_SPAM = ", ".join(f"'{w}'" for w in SPAM_WORDS)
 OP2 = f"""WITH r AS (SELECT *, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 c AS (SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') AS canonical FROM p),
-spam AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split_regex(host, '[.-]'), [{_SPAM}])),
+spam AS (SELECT DISTINCT canonical FROM c WHERE canonical <> '' AND starts_with(sha256(canonical), '{LISTED_DIGIT}')),
 rules(rule, rhost, rpath, rverdict) AS (VALUES {_RULES}),
 best AS (SELECT page_id, max(struct_pack(n := length(rule), rule := rule, v := rverdict)) AS b
          FROM c JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)

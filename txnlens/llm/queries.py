@@ -26,10 +26,10 @@ URL_RULES = [
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five rules, then the list of spam addresses, over every page's URL."""
+    """The five rules, then the list of addresses, over every page's URL."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
-    return urls.judge(pages, rules, urls.spam_list(pages)).drop("url")
+    return urls.judge(pages, rules, urls.listed_share(pages)).drop("url")
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ URL asks for its own canonical key and for one key per (host suffix, path
 prefix) whose label count and length occur among the rules.
 
 The filter holds 512-bit blocks, eight bits per key, one bit in each 64-bit
-word. It is built by a grouped ``bit_or`` (pre-aggregated map-side) and has at
-most ``MAX_BLOCKS`` rows of 72 bytes, so it may always be broadcast; a longer
-list only raises its false-positive rate. Keys that pass go to the exact join,
+word. It is built by a grouped ``bit_or`` (pre-aggregated map-side) and grows with
+the lists, so its false-positive rate does not. Up to ``MAX_BLOCKS`` rows of 72
+bytes are broadcast; a larger filter stays dealt by block, and the keys go to it
+by an ordinary join. Keys that pass go to the exact join,
 whose list side is broadcast only up to ``MAX_BROADCAST_KEYS`` rows and 64 MB.
 
 Defined results
@@ -28,7 +29,7 @@ from txnlens.llm.common import LOWER, UPPER, stored
 from txnlens.plans.small import join_small
 
 KEYS_PER_BLOCK = 32  # 16 bits a key
-MAX_BLOCKS = 1 << 18  # 18 MB
+MAX_BLOCKS = 1 << 18  # of a filter that is broadcast, 18 MB
 MAX_BROADCAST_KEYS = 200_000
 WORDS = 8
 
@@ -77,7 +78,7 @@ def _bits(key: Column) -> list[Column]:
 
 def bloom(entries: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
     """The filter as rows ``(block, w0 .. w7)`` and its number of blocks."""
-    blocks = min(MAX_BLOCKS, max(1, -(-n_keys // KEYS_PER_BLOCK)))
+    blocks = max(1, -(-n_keys // KEYS_PER_BLOCK))
     keyed = entries.select(
         F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"),
         *[b.alias(f"w{k}") for k, b in enumerate(_bits(F.col("key")))],
@@ -85,6 +86,17 @@ def bloom(entries: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
     return keyed.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS)]), blocks
 
 
+def possible(keyed: DataFrame, filter_rows: DataFrame, blocks: int) -> DataFrame:
+    """The rows whose ``key`` may be listed, and markers (keys that begin with ``-``)."""
+    filter_rows = F.broadcast(filter_rows) if blocks <= MAX_BLOCKS else filter_rows
+    probed = keyed.join(filter_rows, "block", "left")
+    may = F.lit(True)
+    for k, b in enumerate(_bits(F.col("key"))):
+        may = may & (F.col(f"w{k}").bitwiseAND(b) != 0)
+    is_marker = F.col("key").startswith("-")
+    return probed.where(is_marker | F.coalesce(may, F.lit(False)))
+
+
 def _suffixes(host: Column, counts: list[int]) -> Column:
     """Host suffixes that have one of the rules' label counts."""
     labels = F.split(host, r"\.")
@@ -125,12 +137,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     marker = F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("url", F.lit("")))
     keyed = rows.select("page_id", "url", F.explode(F.concat(F.array(marker, "own"), asked)).alias("key"))
     keyed = keyed.select("*", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"))
-    probed = keyed.join(F.broadcast(filter_rows), "block", "left")
-    may = F.lit(True)
-    for k, b in enumerate(_bits(F.col("key"))):
-        may = may & (F.col(f"w{k}").bitwiseAND(b) != 0)
-    is_marker = F.col("key").startswith("-")
-    passed = probed.where(is_marker | F.coalesce(may, F.lit(False))).select("page_id", "url", "key")
+    passed = possible(keyed, filter_rows, blocks).select("page_id", "url", "key")
     entries = entries.withColumnRenamed("key", "entry")
     exact = join_small(passed, entries, F.col("key") == F.col("entry"), "left", max_rows=MAX_BROADCAST_KEYS, check=True)
     found = exact.groupBy("page_id", "url").agg(
@@ -150,12 +157,15 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     )
 
 
-#: words that mark a host as a spam host in the query's list
-SPAM_WORDS = ["casino", "cheap", "pills", "replica", "viagra"]
+#: the query's list holds the addresses whose SHA-256 begins with this digit, one in sixteen
+LISTED_DIGIT = "0"
+
 
+def listed_share(pages: DataFrame, digit: str = LISTED_DIGIT) -> DataFrame:
+    """A list of canonical URLs to judge by: a share of the addresses of the pages, chosen by their hash.
 
-def spam_list(pages: DataFrame) -> DataFrame:
-    """Canonical URLs of all pages whose host has a spam word as part of a label."""
-    rows = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    spam = rows.where(F.arrays_overlap(F.split("host", r"[.-]"), F.array(*[F.lit(w) for w in SPAM_WORDS])))
-    return spam.select(canonical(F.col("host"), F.col("path")).alias("canonical")).distinct()
+    It stands for a block list from outside; :func:`judge` takes any.
+    """
+    address = canonical(host_of(F.col("url")), path_of(F.col("url")))
+    rows = pages.select(address.alias("canonical")).distinct()
+    return rows.where((F.col("canonical") != "") & F.sha2("canonical", 256).startswith(digit))
