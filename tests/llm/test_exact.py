@@ -331,7 +331,7 @@ def test_near_duplicate_stage_keeps_unlinked_texts_of_one_id(spark):
     shared = text()
     rows = [(1, text()), (1, text()), (2, shared), (1, shared + " end"), (3, text()), (3, text()), (3, None), (4, "")]
     rows += [(5, text()) for _ in range(20)] + [(6, shared), (6, shared), (None, shared)]
-    df = spark.createDataFrame([(d, t, "x", 3) for d, t in rows], "doc_id long, text string, _own string, lo int").drop("_own")
+    df = spark.createDataFrame([(d, t, "x", 3) for d, t in rows], "doc_id long, text string, _own string, keep_id int")
     kept = minhash.drop_near_duplicates(df)
     assert kept.columns == df.columns
     left = [(r.doc_id, r.text) for r in kept.collect()]

@@ -313,14 +313,15 @@ def near_duplicates(
     return result.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def own_ids(documents: DataFrame) -> DataFrame:
-    """The documents with ``_own``: their id, or a hash of id and text where rows of one id differ in their texts."""
+def own_ids(documents: DataFrame, name: str) -> DataFrame:
+    """The documents with their own id as ``name``: a hash of id and text where rows of one id differ in their texts."""
     key = F.xxhash64("text")
     ids = documents.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    clashing = stored(ids.where("lo <> hi").select(F.col("doc_id").alias("_clash")), "clashing")
-    joined = join_small(documents, clashing, documents["doc_id"] == clashing["_clash"], "left", check=True)
-    own = F.when(F.col("_clash").isNull(), F.col("doc_id").cast("long")).otherwise(F.xxhash64("doc_id", "text"))
-    return joined.withColumn("_own", own).drop("_clash")
+    clashing = stored(ids.where("lo <> hi").select(F.col("doc_id").alias(f"{name}_clash")), "clashing")
+    clash = clashing[f"{name}_clash"]
+    joined = join_small(documents, clashing, documents["doc_id"] == clash, "left", check=True)
+    own = F.when(clash.isNull(), documents["doc_id"].cast("long")).otherwise(F.xxhash64(documents["doc_id"], documents["text"]))
+    return joined.withColumn(name, own).drop(clash)
 
 
 def drop_near_duplicates(documents: DataFrame, **how) -> DataFrame:
@@ -329,8 +330,11 @@ def drop_near_duplicates(documents: DataFrame, **how) -> DataFrame:
     Rows of one id and text are one document; rows of one id with different texts
     are documents each, so no text goes that has no near duplicate.
     """
-    named = own_ids(documents.where("doc_id IS NOT NULL"))
-    seen = near_duplicates(named.select(F.col("_own").alias("doc_id"), "text"), **how)
-    keep = stored(seen.where("kept").select(F.col("doc_id").alias("_keep")), "kept")
-    kept = named.join(keep, named["_own"] == keep["_keep"], "left_semi").dropDuplicates(["_own"]).drop("_own")
+    own = "_own"
+    while any(c.startswith(own) for c in documents.columns):
+        own += "_"
+    named = own_ids(documents.where("doc_id IS NOT NULL"), own)
+    seen = near_duplicates(named.select(F.col(own).alias("doc_id"), "text"), **how)
+    keep = stored(seen.where("kept").select(F.col("doc_id").alias("keep_id")), "kept")
+    kept = named.join(keep, named[own] == keep["keep_id"], "left_semi").dropDuplicates([own]).drop(own)
     return kept.unionByName(documents.where("doc_id IS NULL"))
