@@ -318,6 +318,8 @@ def own_ids(documents: DataFrame, name: str) -> DataFrame:
     key = F.xxhash64("text")
     ids = documents.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
     clashing = stored(ids.where("lo <> hi").select(F.col("doc_id").alias(f"{name}_clash")), "clashing")
+    if clashing.isEmpty():  # ids are unique: nothing to tell apart
+        return documents.withColumn(name, documents["doc_id"].cast("long"))
     clash = clashing[f"{name}_clash"]
     joined = join_small(documents, clashing, documents["doc_id"] == clash, "left", check=True)
     own = F.when(clash.isNull(), documents["doc_id"].cast("long")).otherwise(F.xxhash64(documents["doc_id"], documents["text"]))
