@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from txnlens.functions.columns import clip, nans_to_nulls
 from txnlens.plans.ordered import quantiles_wide
@@ -18,9 +19,34 @@ from txnlens.plans.stage import write_table
 from txnlens.spec import TxnSpec
 
 
-def dedupe(df: DataFrame) -> DataFrame:
-    """Drop exact duplicate rows (all columns); equal rows are interchangeable."""
-    return df.dropDuplicates()
+MAX_REPEATED = 2_000_000
+
+
+def dedupe(df: DataFrame, max_repeated: int = MAX_REPEATED) -> DataFrame:
+    """Drop exact duplicate rows (all columns); equal rows are interchangeable.
+
+    Only hashes of the rows are shuffled: a row whose hash occurs once has no
+    duplicate and stays where it is, and the rows of the other hashes are grouped
+    by all columns. Beyond ``max_repeated`` such hashes (written and counted before
+    they are broadcast) every row is grouped.
+    """
+    # -0.0 becomes 0.0, as grouping has it
+    x = df.select(
+        *[
+            (F.col(f"`{f.name}`") + F.lit(0.0)).cast(f.dataType).alias(f.name)
+            if isinstance(f.dataType, (DoubleType, FloatType))
+            else F.col(f"`{f.name}`")
+            for f in df.schema.fields
+        ]
+    )
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    again = x.select(h.alias("_row_hash")).groupBy("_row_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = write_table(again.select("_row_hash"), "dedup-hashes")
+    if again.count() > max_repeated:
+        return df.dropDuplicates()
+    x, again = x.withColumn("_row_hash", h), F.broadcast(again)
+    once = x.join(again, "_row_hash", "left_anti").drop("_row_hash")
+    return once.unionByName(x.join(again, "_row_hash", "left_semi").drop("_row_hash").dropDuplicates())
 
 
 def iqr_fences(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:

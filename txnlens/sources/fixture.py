@@ -50,13 +50,16 @@ def build_transactions(ev: DataFrame, emb: DataFrame, variant: str = "base", kee
     ``keep`` passes extra event columns through (e.g. the event time).
     """
     ev = ev.withColumn("_vk", F.col("event_id") % F.lit(modulus(emb)))
+    # rounded before the join: once a vector, not once an event
+    first = F.slice("embedding", 1, N_FEATURES)
+    emb = emb.withColumn("embedding", F.transform(first, lambda v: F.round(v.cast("double"), 6)))
     j = ev.join(emb, ev["_vk"] == emb["vec_id"])
     positive = (F.col("label") == 0) & F.col("event_type").isin("error", "click")
     if variant == "rare":
         positive = positive & (F.col("event_id") % RARE_MOD == 0)
     feats = []
     for i in range(N_FEATURES):
-        v = F.round(F.col("embedding")[i].cast("double"), 6)
+        v = F.col("embedding")[i]
         name = f"V{i + 1}"
         if variant == "nulls" and name == "V1":
             v = F.when(F.col("event_id") % NULL_MOD != 0, v)
