@@ -162,20 +162,44 @@ def dedup_transform(events: DataFrame, key: list[str], delay: str = "10 minutes"
 
 
 # ------------------------------------------------------------------ velocity
-VELOCITY_STATE = "recent array<long>, pending array<long>"  # event times in microseconds
+VELOCITY_GROUPS = 4096
+#: entities as text; of each event the entity's place there (int32), its time (int64 microseconds) and whether it is judged
+VELOCITY_STATE = "held array<string>, who binary, at binary, judged binary"
 
 
-def velocity_step(recent: np.ndarray, due: np.ndarray, max_events: int, within_seconds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Times in ``due`` (sorted) that break the rule, and the last ``max_events`` times of all."""
-    times = np.concatenate([recent, due])
-    at = np.arange(len(recent), len(times))
-    at = at[at >= max_events]
-    near = times[at] - times[at - max_events] < within_seconds * 1_000_000
-    return times[at[near]], times[max(0, len(times) - max_events) :]
+def velocity_step(
+    who: np.ndarray, at: np.ndarray, judged: np.ndarray, watermark: int, max_events: int, within_seconds: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Events of several entities (by code; times in microseconds; judged ones in their order) at a watermark.
+
+    Returns the order that puts each entity's judged events first, then the others by
+    time, and in that order: which events are due now and break the rule, and which
+    still matter: those that wait, and each entity's last ``max_events`` judged ones
+    until ``within_seconds`` after the last, if none of its events waits.
+    """
+    order = np.lexsort((np.where(judged, np.arange(len(at)), at), ~judged, who))
+    who, at, judged = who[order], at[order], judged[order]
+    due = judged | (at <= watermark)  # an entity's due events come first
+    breaks = np.zeros(len(at), dtype=bool)
+    i = np.arange(max_events, len(at))
+    back = i - max_events
+    breaks[i] = due[i] & ~judged[i] & (who[i] == who[back]) & (at[i] - at[back] < within_seconds * 1_000_000)
+    starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, dtype=np.int64)
+    run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(who)]))
+    n_due = np.bincount(run, weights=due, minlength=len(starts)).astype(np.int64)
+    last = starts + n_due - 1  # of the due ones of each run
+    idle = (starts + n_due == np.r_[starts[1:], len(who)]) & (at[last] + within_seconds * 1_000_000 <= watermark)
+    keep = ~due | ((np.arange(len(at)) > last[run] - max_events) & ~idle[run])
+    return order, breaks, keep
 
 
 def velocity_transform(
-    events: DataFrame, entity: str, max_events: int = 2, within_seconds: int = 300, delay: str = "10 minutes"
+    events: DataFrame,
+    entity: str,
+    max_events: int = 2,
+    within_seconds: int = 300,
+    delay: str = "10 minutes",
+    groups: int = VELOCITY_GROUPS,
 ) -> DataFrame:
     """ST-3 on streaming ``events`` with columns ``entity`` and ``ts``.
 
@@ -184,37 +208,58 @@ def velocity_transform(
     cut into micro-batches changes the result. The state holds the waiting
     times and the last ``max_events`` judged ones; an entity is forgotten
     ``within_seconds`` after its last event, when it can no longer matter.
+    Entities share ``groups`` states by their hash, so that a micro-batch costs
+    calls by groups, not by entities; those of a state are judged at once.
     """
     kind = events.schema[entity].dataType.simpleString()
-    e = events.select(F.col(entity), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    # entities go as text: pandas would make whole numbers doubles beside missing rows
+    key = F.hex(entity) if kind == "binary" else F.col(entity).cast("string")
+    group = F.when(F.col(entity).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(entity), F.lit(groups)).cast("int"))
+    e = events.select(group.alias("_group"), key.alias("_who"), F.col("ts").cast("timestamp").alias("ts"))
+    e = e.withWatermark("ts", delay)
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, pending = (np.array(x or [], dtype=np.int64) for x in (state.get if state.exists else ([], [])))
+        held, who, at, judged = state.get if state.exists else ([], b"", b"", b"")
+        held = list(held)
+        who = np.frombuffer(bytes(who), dtype=np.int32)
+        at = np.frombuffer(bytes(at), dtype=np.int64)
+        judged = np.frombuffer(bytes(judged), dtype=bool)
         if not state.hasTimedOut:
-            new = [p["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) for p in pdfs]
-            pending = np.sort(np.concatenate([pending, *new]))
+            new = [p for p in pdfs if len(p)]
+            names = [x for p in new for x in ([None] * len(p) if key[0] < 0 else p["_who"].tolist())]
+            codes = {x: i for i, x in enumerate(held)}
+            who = np.concatenate([who, np.array([codes.setdefault(x, len(codes)) for x in names], dtype=np.int32)])
+            held = list(codes)
+            at = np.concatenate([at, *[p["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) for p in new]])
+            judged = np.concatenate([judged, np.zeros(len(names), dtype=bool)])
         watermark = state.getCurrentWatermarkMs() * 1000
-        ready = np.searchsorted(pending, watermark, side="right")
-        flagged, recent = velocity_step(recent, pending[:ready], max_events, within_seconds)
-        pending = pending[ready:]
-        # next call: when the first waiting event is due, else when the history has no effect any more
-        wake = pending[0] if len(pending) else recent[-1] + within_seconds * 1_000_000
-        if not len(pending) and wake <= watermark:
-            state.remove()
-        else:
-            state.update((recent.tolist(), pending.tolist()))
+        order, breaks, keep = velocity_step(who, at, judged, watermark, max_events, within_seconds)
+        who, at, judged = who[order], at[order], (judged | (at <= watermark))[order]
+        flagged, times = who[breaks], at[breaks]
+        who, at, judged = who[keep], at[keep], judged[keep]
+        if len(at):
+            # next call: when the first waiting event is due, or an idle entity's history has no effect any more
+            ends = np.flatnonzero(np.r_[who[1:] != who[:-1], True])
+            idle = at[ends[judged[ends]]] + within_seconds * 1_000_000
+            wake = np.concatenate([at[~judged], idle]).min()
+            used, who_now = np.unique(who, return_inverse=True)
+            state.update(([held[i] for i in used], who_now.astype(np.int32).tobytes(), at.tobytes(), judged.tobytes()))
             state.setTimeoutTimestamp(int(max(wake, watermark) // 1000 + 1))
+        elif state.exists:
+            state.remove()
         if len(flagged):
-            times = pd.to_datetime(flagged, unit="us")
-            yield pd.DataFrame({entity: [key[0]] * len(flagged), "ts": times, "n_recent": max_events + 1})
+            names = pd.Series([held[i] for i in flagged], dtype=object)
+            yield pd.DataFrame({"_who": names, "ts": pd.to_datetime(times, unit="us"), "n_recent": max_events + 1})
 
-    return e.groupBy(entity).applyInPandasWithState(
+    found = e.groupBy("_group").applyInPandasWithState(
         step,
-        f"`{entity}` {kind}, ts timestamp, n_recent int",
+        "_who string, ts timestamp, n_recent int",
         VELOCITY_STATE,
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
+    back = F.unhex("_who") if kind == "binary" else F.col("_who").cast(kind)
+    return found.select(back.alias(entity), "ts", "n_recent")
 
 
 def velocity_stream(
