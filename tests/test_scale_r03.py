@@ -97,3 +97,14 @@ def test_bounds_leave_no_neighbour_out(far):
         for j in [x for x in np.lexsort((ids, np.sqrt(((v - v[i]) ** 2).sum(-1)))) if x != i][:4]
         if np.isfinite(((v[i] - v[j]) ** 2).sum())
     )
+
+
+def test_saved_parts_come_from_one_written_table(spark, monkeypatch):
+    import txnlens.queries as Q
+    from tests.conftest import SF_SMALL
+    from txnlens.sources import io as IO
+
+    plans, real = [], IO.write_table
+    monkeypatch.setattr(IO, "write_table", lambda df, *a, **k: (plans.append(_plan(spark, df)), real(df, *a, **k))[1])
+    Q.registry()["saved_splits"](spark, SF_SMALL)
+    assert len(plans) == 3 and not any("nanvl" in p for p in plans)
