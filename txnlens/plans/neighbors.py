@@ -14,10 +14,12 @@
    blocks and rings are cut into bins of the cell's average block and meet in an
    equi-join on (cell, bin). What meets is tested against all pivots, block
    against block and then row against block, before any row is sent.
-5. Rows and blocks that pass meet in ``applyInArrow`` groups of one searching
-   block and one other, at most 2 x ``bucket_rows`` rows; numpy computes the
-   distances. No pair is a Spark row, and no table is broadcast but the
-   pivots' (``MAX_PIVOTS`` rows, in the tasks' closures).
+5. Up to ``TILE_BLOCKS`` neighbouring blocks are a tile. The rows of blocks that pass
+   meet in ``applyInArrow`` groups of one searching tile and one other, at most
+   2 x ``TILE_BLOCKS`` x ``bucket_rows`` rows, so each row is sent once a tile, not
+   once a block. A matrix product bounds the distances, and those that may reach
+   the searcher's bound are computed exactly. No pair is a Spark row, and no table
+   is broadcast but the pivots' (``MAX_PIVOTS`` rows, in the tasks' closures).
 
 There is no cap on candidates: the result is the exact k-NN, ties by distance,
 then id. :func:`knn_with_stats` also reports the distances computed, which on
@@ -39,6 +41,10 @@ from txnlens.plans.stage import write_table
 
 MAX_PIVOTS = 128
 SAMPLE_PER_PIVOT = 16
+TILE_BLOCKS = 32
+LEAST_TILES = 24  # smaller tiles for few blocks, so that their groups keep many tasks busy
+AT_ONCE = 1 << 21  # distances bounded at once
+MANY = 16  # candidates a row and neighbour, beyond which the bounds are cut first
 SLACK = 1e-9  # bounds are widened by it, so that rounding never prunes a tie
 
 _ROWS = "_id long, _v array<double>, _pd array<double>, _cell int, _ring double"
@@ -87,24 +93,54 @@ def _locate(pivots: np.ndarray):
     return run
 
 
+def _may_reach(av, bv, a_sq, b_sq, k: int, radius, apart) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of ``a``, row of ``b``) with every one that can be among the k nearest within the radius.
+
+    ``|a - b|^2 = |a|^2 + |b|^2 - 2ab`` up to the rounding error ``err`` of the sums.
+    """
+    err = 8 * (av.shape[1] + 4) * np.finfo(float).eps * (a_sq + b_sq.max())
+    d = av @ (-2 * bv.T)
+    d += b_sq[None, :]
+    if apart is not None:
+        d[~apart] = np.inf
+    limit = np.full(len(av), np.inf) if radius is None else radius * radius * (1 + SLACK) + err
+    limit = limit - a_sq  # |a|^2 is left out of d
+    near = d <= limit[:, None]
+    if np.count_nonzero(near) > MANY * k * len(av) and d.shape[1] > k:
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+        near = d <= np.minimum(limit, kth + 2 * err)[:, None]
+    near &= np.isfinite(d)
+    return np.nonzero(near)
+
+
 def _nearest(av, aid, bv, bid, k: int, radius=None) -> pa.Table:
     """The k nearest of ``b`` for each row of ``a`` (within its radius), ties by id; never the row itself."""
     out_a, out_b, out_d = [], [], []
-    kk = min(k, len(bid))
-    for s in range(0, len(aid), 128):
-        d = np.sqrt(((av[s : s + 128, None, :] - bv[None, :, :]) ** 2).sum(-1))
-        d[aid[s : s + 128, None] == bid[None, :]] = np.inf
-        # all that reach the k-th distance here, then the k first by (distance, id)
-        limit = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        if radius is not None:
-            limit = np.minimum(limit, radius[s : s + 128])
-        r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-        order = np.lexsort((bid[c], d[r, c], r))
-        r, c = r[order], c[order]
-        first = np.arange(len(r)) - np.searchsorted(r, r) < kk
+    meet = len(np.intersect1d(aid, bid)) > 0
+    with np.errstate(over="ignore", invalid="ignore"):
+        a_sq, b_sq = (av * av).sum(-1), (bv * bv).sum(-1)
+    bounded = bool(np.isfinite(a_sq).all() and np.isfinite(b_sq).all())  # else every distance is computed
+    many = max(1, AT_ONCE // max(1, len(bid)))
+    for s in range(0, len(aid), many):
+        e = min(s + many, len(aid))
+        apart = aid[s:e, None] != bid[None, :] if meet else None
+        r_s = None if radius is None else radius[s:e]
+        if bounded:
+            r, c = _may_reach(av[s:e], bv, a_sq[s:e], b_sq, k, r_s, apart)
+        else:
+            r, c = np.nonzero(np.ones((e - s, len(bid)), dtype=bool) if apart is None else apart)
+        d = np.concatenate(
+            [np.zeros(0)] + [np.sqrt(((av[s + r[i : i + many]] - bv[c[i : i + many]]) ** 2).sum(-1)) for i in range(0, len(r), many)]
+        )
+        held = np.isfinite(d) if r_s is None else np.isfinite(d) & (d <= r_s[r])
+        r, c, d = r[held], c[held], d[held]
+        # the k first by (distance, id)
+        order = np.lexsort((bid[c], d, r))
+        r, c, d = r[order], c[order], d[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
         out_a.append(aid[s + r[first]])
         out_b.append(bid[c[first]])
-        out_d.append(d[r, c][first])
+        out_d.append(d[first])
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     return pa.table(
         {"a_id": join(out_a, "int64"), "b_id": join(out_b, "int64"), "_d": join(out_d, "float64")}, schema=_CANDIDATE_SCHEMA
@@ -121,12 +157,17 @@ def _within_block(k: int):
 
 def _across(k: int):
     def run(table: pa.Table) -> pa.Table:
-        is_a = table.column("_is_a").to_numpy(zero_copy_only=False).astype(bool)
-        a, b = table.filter(pa.array(is_a)), table.filter(pa.array(~is_a))
-        if not a.num_rows or not b.num_rows:
-            return _CANDIDATE_SCHEMA.empty_table()
-        sides = [(_matrix(t.column("_v")), t.column("_id").to_numpy()) for t in (a, b)]
-        return _nearest(*sides[0], *sides[1], k, a.column("_r").to_numpy())
+        blocks = table.column("_bk").to_numpy()
+        ids, v = table.column("_id").to_numpy(), _matrix(table.column("_v"))
+        searches = table.column("_meets").is_valid().to_numpy()
+        out = [_CANDIDATE_SCHEMA.empty_table()]
+        for block in np.unique(blocks[searches]):
+            at = np.flatnonzero(searches & (blocks == block))
+            meets = table.column("_meets")[int(at[0])].as_py()
+            to = np.flatnonzero(~searches & np.isin(blocks, meets))
+            radius = table.column("_r").to_numpy()[at]
+            out.append(_nearest(v[at], ids[at], v[to], ids[to], k, radius))
+        return pa.concat_tables(out)
 
     return run
 
@@ -159,7 +200,7 @@ def _widened(c: Column) -> Column:
 
 
 def knn_with_stats(
-    df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, seed: int = 42, bucket_rows: int = 1024
+    df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, seed: int = 42, bucket_rows: int = 1024, tile_blocks: int = TILE_BLOCKS
 ) -> tuple[DataFrame, DataFrame]:
     """:func:`exact_knn` and one row ``(rows, pairs, computed)``: all ordered pairs, and the distances computed."""
     vec = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in cols])
@@ -225,23 +266,30 @@ def knn_with_stats(
     )
     pairs = write_table(pairs, "knn-pairs")
 
-    # only rows that can meet the other block are sent to the pair's group
-    own_box = F.col("_pd")
-    a_rows = rows.join(pairs.select("a_bk", "b_bk", "b_lo", "b_hi"), rows["_bk"] == F.col("a_bk"))
-    a_rows = a_rows.where(_gap(own_box, own_box, F.col("b_lo"), F.col("b_hi")) <= F.col("_r"))
-    b_rows = rows.join(pairs.select("a_bk", "b_bk", "_far", "a_lo", "a_hi"), rows["_bk"] == F.col("b_bk"))
-    b_rows = b_rows.where(_gap(own_box, own_box, F.col("a_lo"), F.col("a_hi")) <= F.col("_far"))
-    sent = a_rows.select("a_bk", "b_bk", F.lit(True).alias("_is_a"), "_id", "_v", "_r").unionByName(
-        b_rows.select("a_bk", "b_bk", F.lit(False).alias("_is_a"), "_id", "_v", "_r")
-    )
-    sent = write_table(sent, "knn-sent")
-    cands = own.unionByName(sent.groupBy("a_bk", "b_bk").applyInArrow(_across(k), _CANDIDATES))
+    # blocks in the order of cell and ring, up to ``tile_blocks`` a tile; a row is sent once for each tile that its own one meets
+    per_tile = max(1, min(tile_blocks, boxes.count() // LEAST_TILES))
+    numbered = prefix_rank(boxes.select("_bk"), "_bk", rank_col="_n_bk", total_col=None)
+    tile = F.floor((F.col("_n_bk") - 1) / F.lit(per_tile)).cast("long")
+    tiles = write_table(numbered.select("_bk", tile.alias("_tile")), "knn-tiles")
+    tiled = pairs.select("a_bk", "b_bk")
+    for side in ("a", "b"):
+        tiled = tiled.join(tiles.select(F.col("_bk").alias(f"{side}_bk"), F.col("_tile").alias(f"{side}_tile")), f"{side}_bk")
+    # beside a searching block, those it meets in the other tile, at most ``tile_blocks``
+    searching = tiled.groupBy("a_tile", "b_tile", F.col("a_bk").alias("_bk")).agg(F.collect_list("b_bk").alias("_meets"))
+    searched = tiled.select("a_tile", "b_tile", F.col("b_bk").alias("_bk"), F.lit(None).cast("array<bigint>").alias("_meets"))
+    sides = searching.unionByName(searched.distinct())
+    sent = rows.select("_bk", "_id", "_v", "_r").join(sides, "_bk")
+    cands = own.unionByName(sent.groupBy("a_tile", "b_tile").applyInArrow(_across(k), _CANDIDATES))
     w = Window.partitionBy("a_id").orderBy("_d", "b_id")  # at most k candidates a block met
     top = cands.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
     top = top.select(F.col("a_id").alias(id_col), "nn_rank", F.col("b_id").alias(f"nn_{id_col}"), F.col("_d").alias("dist"))
 
-    sizes = sent.groupBy("a_bk", "b_bk").agg(F.count_if("_is_a").alias("a"), F.count_if(~F.col("_is_a")).alias("b"))
-    work = sizes.select((F.col("a") * F.col("b")).alias("w")).unionByName(boxes.select((F.col("_size") * F.col("_size")).alias("w")))
+    size = boxes.select("_bk", "_size")
+    a_size, b_size = (size.toDF(f"{side}_bk", f"_{side}") for side in ("a", "b"))
+    met_sizes = pairs.select("a_bk", "b_bk").join(a_size, "a_bk").join(b_size, "b_bk")
+    work = met_sizes.select((F.col("_a") * F.col("_b")).alias("w")).unionByName(
+        boxes.select((F.col("_size") * F.col("_size")).alias("w"))
+    )
     located_pairs = m * n_pivots  # distances to pivots count too
     stats = work.agg(
         F.lit(m).cast("long").alias("rows"),
@@ -252,14 +300,14 @@ def knn_with_stats(
 
 
 def exact_knn(
-    df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, seed: int = 42, bucket_rows: int = 1024
+    df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, seed: int = 42, bucket_rows: int = 1024, tile_blocks: int = TILE_BLOCKS
 ) -> DataFrame:
     """``(id, nn_rank, nn_id, dist)`` for the k nearest other rows of each row.
 
     ``id_col`` must be unique and a whole number. Features are cast to double;
     NULL features are treated as 0.
     """
-    return knn_with_stats(df, id_col, cols, k, seed, bucket_rows)[0]
+    return knn_with_stats(df, id_col, cols, k, seed, bucket_rows, tile_blocks)[0]
 
 
 __all__ = ["exact_knn", "knn_with_stats"]
