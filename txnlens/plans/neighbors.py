@@ -1,55 +1,48 @@
-"""Exact k nearest neighbours inside one (minority) class by a metric index.
-
-1. Pivots are chosen far apart from a bounded sample (``SAMPLE_PER_PIVOT`` rows
-   a pivot, at most ``MAX_PIVOTS`` pivots). Every row learns its distances to
-   them, and belongs to the cell of its nearest pivot.
-2. The rows of a cell are ordered by the distance to its pivot (their ring) and
-   cut into blocks of ``bucket_rows`` rows, so a cell that holds most rows is
-   many blocks. A block keeps the least and greatest distance of its rows to
-   each pivot.
-3. Every row gets an upper bound on its k-th neighbour's distance: that of its
-   own block, or ``d(row, pivot) + ring of the pivot's k-th row`` if smaller.
-4. By the triangle inequality, a block can hold a neighbour only if its rings
-   meet the searcher's distances to that pivot, widened by the bound. Searching
-   blocks and rings are cut into bins of the cell's average block and meet in an
-   equi-join on (cell, bin). What meets is tested against all pivots, block
-   against block and then row against block, before any row is sent.
-5. Up to ``TILE_BLOCKS`` neighbouring blocks are a tile. The rows of blocks that pass
-   meet in ``applyInArrow`` groups of one searching tile and one other, at most
-   2 x ``TILE_BLOCKS`` x ``bucket_rows`` rows, so each row is sent once a tile, not
-   once a block. A matrix product bounds the distances, and those that may reach
-   the searcher's bound are computed exactly. No pair is a Spark row, and no table
-   is broadcast but the pivots' (``MAX_PIVOTS`` rows, in the tasks' closures).
+"""Exact k nearest neighbours inside one (minority) class by boxes of near rows.
+
+1. Rows of one vector are one point, which keeps the ``k + 1`` smallest ids: no other
+   id of that vector can be among the k nearest of any row.
+2. A k-d tree over a bounded sample (``SAMPLE_PER_GROUP`` points a group) deals the points
+   into groups of about ``tile_blocks`` x ``bucket_rows``. It splits the widest direction
+   first, so clusters are parted from each other before they are cut.
+3. Inside a group (``applyInArrow``) the points are cut further into blocks of at most
+   ``bucket_rows``, each with the least and greatest value of every column. A point
+   is searched in its own block, then in those of its group whose box is nearer than
+   the k-th found so far.
+4. A point is sent only to the other groups whose box is nearer than its k-th neighbour,
+   and there compared only with the blocks whose box is. Where more than a group's number
+   of points come, they are dealt over several tasks.
+5. A matrix product bounds the distances, and those that may count are computed exactly.
+   No pair is a Spark row, and only the groups' boxes are broadcast (two vectors a group).
 
 There is no cap on candidates: the result is the exact k-NN, ties by distance,
 then id. :func:`knn_with_stats` also reports the distances computed, which on
-clustered rows are a small part of all pairs; without any structure the index
-prunes nothing and the work is all pairs of the class, in the same blocks.
+clustered rows are a small part of all pairs; without any structure the boxes
+prune nothing and the work is all pairs of the class, in the same blocks.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlens.plans.ordered import prefix_rank
 from txnlens.plans.stage import write_table
 
-MAX_PIVOTS = 128
-SAMPLE_PER_PIVOT = 16
+SAMPLE_PER_GROUP = 256
 TILE_BLOCKS = 32
-LEAST_TILES = 24  # smaller tiles for few blocks, so that their groups keep many tasks busy
+LEAST_TILES = 48  # smaller tiles for few blocks, so that their groups keep many tasks busy
 AT_ONCE = 1 << 21  # distances bounded at once
 MANY = 16  # candidates a row and neighbour, beyond which the bounds are cut first
 SLACK = 1e-9  # bounds are widened by it, so that rounding never prunes a tie
 
-_ROWS = "_id long, _v array<double>, _pd array<double>, _cell int, _ring double"
-_CANDIDATES = "a_id long, b_id long, _d double"
 _CANDIDATE_SCHEMA = pa.schema([("a_id", pa.int64()), ("b_id", pa.int64()), ("_d", pa.float64())])
+_NEAR = "_near array<struct<_d: double, b_id: long>>, _work long"
+_OWN = f"_id long, _v array<double>, _group int, _block int, _r double, _to array<int>, {_NEAR}"
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -58,41 +51,87 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat.flatten(), dtype="float64").reshape(len(flat), -1)
 
 
-def _to_pivots(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.stack([np.sqrt(((v - p) ** 2).sum(-1)) for p in pivots], axis=1)
-
-
-def choose_pivots(x: DataFrame, n: int, seed: int) -> np.ndarray:
-    """``n`` rows far apart, greedily from a sample of the rows with the smallest seeded hashes."""
-    order = F.xxhash64(F.lit(seed), F.col("_id"))
-    rows = x.orderBy(order, "_id").limit(n * SAMPLE_PER_PIVOT).select("_v").collect()
-    sample = np.array([r["_v"] for r in rows], dtype="float64")
-    chosen = [0]
-    far = np.sqrt(((sample - sample[0]) ** 2).sum(-1))
-    while len(chosen) < min(n, len(sample)) and far.max() > 0:
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, np.sqrt(((sample - sample[chosen[-1]]) ** 2).sum(-1)))
-    return sample[chosen]
-
-
-def _locate(pivots: np.ndarray):
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    """Lists of the given sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
+def _widest(v: np.ndarray) -> np.ndarray:
+    """The columns that have more than one value, the widest first (by the mean deviation, which few far rows hardly move)."""
+    with np.errstate(all="ignore"):
+        spread = np.abs(v - v.mean(axis=0)).mean(axis=0)
+    spread[~np.isfinite(spread)] = np.finfo(float).max
+    return [c for c in np.argsort(-spread, kind="stable") if v[:, c].min() < v[:, c].max()]
+
+
+def _cut(v: np.ndarray) -> tuple[int, float] | None:
+    """A column and a value of it, such that about half of the rows do not exceed it; None if all rows are equal."""
+    for c in _widest(v):
+        x = np.sort(v[:, c])
+        ends = np.flatnonzero(x[:-1] < x[1:])  # last places of all values but the greatest
+        return int(c), float(x[ends[np.abs(ends + 1 - len(x) / 2).argmin()]])
+    return None
+
+
+def _tree(sample: np.ndarray, leaves: int) -> dict[str, np.ndarray]:
+    """A k-d tree: ``column`` (-1 in a leaf), ``value``, and the children, or the leaf's number as ``low``."""
+    column, value, low, high = [-1], [0.0], [0], [0]
+    heap = [(-len(sample), 0)]
+    rows = {0: np.arange(len(sample))}
+    while heap and len(rows) < leaves:
+        _, node = heapq.heappop(heap)
+        cut = _cut(sample[rows[node]])
+        if cut is None:
+            continue
+        inside = rows.pop(node)
+        under = sample[inside, cut[0]] <= cut[1]
+        column[node], value[node], low[node], high[node] = *cut, len(column), len(column) + 1
+        for child in (inside[under], inside[~under]):
+            rows[len(column)] = child
+            heapq.heappush(heap, (-len(child), len(column)))
+            column.append(-1), value.append(0.0), low.append(0), high.append(0)
+    for number, leaf in enumerate(rows):
+        low[leaf] = number
+    return {"column": np.array(column), "value": np.array(value), "low": np.array(low), "high": np.array(high)}
+
+
+def _leaf_of(tree: dict[str, np.ndarray], v: np.ndarray) -> np.ndarray:
+    at = np.zeros(len(v), dtype=np.int64)
+    while True:
+        inner = np.flatnonzero(tree["column"][at] >= 0)
+        if not len(inner):
+            return tree["low"][at]
+        node = at[inner]
+        under = v[inner, tree["column"][node]] <= tree["value"][node]
+        at[inner] = np.where(under, tree["low"][node], tree["high"][node])
+
+
+def _locate(tree):
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            d = _to_pivots(_matrix(table.column("_v")), pivots)
-            cell = d.argmin(axis=1)
-            ends = pa.array(np.arange(len(d) + 1, dtype=np.int32) * d.shape[1])
-            distances = pa.ListArray.from_arrays(ends, pa.array(d.reshape(-1)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_v"), distances, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])],
-                names=["_id", "_v", "_pd", "_cell", "_ring"],
-            )
+            if batch.num_rows:
+                v = _matrix(pa.chunked_array([batch.column("_v")]))
+                group = pa.array(_leaf_of(tree.value, v), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_v"), group], names=["_id", "_v", "_group"])
 
     return run
 
 
+def _halved(v: np.ndarray, most: int) -> list[np.ndarray]:
+    """The rows' places in parts of at most ``most`` rows, halved along the widest column."""
+    done, todo = [], [np.arange(len(v))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= most:
+            done.append(part)
+            continue
+        wide = _widest(v[part])
+        half = len(part) // 2
+        order = np.argpartition(v[part, wide[0]], half) if wide else np.arange(len(part))
+        todo += [part[order[half:]], part[order[:half]]]
+    return done
+
+
 def _may_reach(av, bv, a_sq, b_sq, k: int, radius, apart) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row of ``a``, row of ``b``) with every one that can be among the k nearest within the radius.
 
@@ -147,154 +186,181 @@ def _nearest(av, aid, bv, bid, k: int, radius=None) -> pa.Table:
     )
 
 
-def _within_block(k: int):
+def _best(found: list[pa.Table], ids: np.ndarray, k: int) -> tuple[pa.ListArray, np.ndarray]:
+    """The k first candidates of each of ``ids`` by (distance, id), and the k-th distance (infinite if there is none)."""
+    table = pa.concat_tables([_CANDIDATE_SCHEMA.empty_table(), *found])
+    a, b, d = (table.column(c).to_numpy() for c in ("a_id", "b_id", "_d"))
+    by_id = np.argsort(ids)
+    at = by_id[np.searchsorted(ids[by_id], a)]
+    order = np.lexsort((b, d, at))
+    order = order[np.arange(len(order)) - np.searchsorted(at[order], at[order]) < k]
+    sizes = np.bincount(at[order], minlength=len(ids))
+    kth = np.full(len(ids), np.inf)
+    kth[sizes >= k] = d[order][np.cumsum(sizes)[sizes >= k] - 1]
+    near = pa.StructArray.from_arrays([pa.array(d[order], pa.float64()), pa.array(b[order], pa.int64())], names=["_d", "b_id"])
+    return _lists(near, sizes), kth
+
+
+def _box(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return v.min(axis=0), v.max(axis=0)
+
+
+def _gap(lo_a, hi_a, lo_b, hi_b) -> np.ndarray:
+    """Lower bound on the distance of boxes; a row is the box of its own values."""
+    with np.errstate(over="ignore"):
+        apart = np.maximum(np.maximum(lo_a - hi_b, lo_b - hi_a), 0.0)
+        return np.sqrt((apart * apart).sum(-1))
+
+
+def _widened(d: np.ndarray) -> np.ndarray:
+    return d * (1 + SLACK) + SLACK
+
+
+def _search(v, ids, reach, parts, others, k: int, same: bool) -> tuple[list[pa.Table], np.ndarray]:
+    """What the rows of ``parts`` find within their reach in the blocks ``others`` (their own excepted if ``same``).
+
+    ``others`` are (values, ids). Also returns the distances bounded, by row.
+    """
+    found, work = [], np.zeros(len(v), dtype=np.int64)
+    boxes = [_box(v[p]) for p in parts]
+    lows, highs = np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])
+    far = np.array([reach[p].max() for p in parts])
+    for j, (bv, bid) in enumerate(others):
+        lo, hi = _box(bv)
+        meet = _gap(lows, highs, lo, hi) <= far
+        if same:
+            meet[j] = False
+        rows = [parts[i][_gap(v[parts[i]], v[parts[i]], lo, hi) <= reach[parts[i]]] for i in np.flatnonzero(meet)]
+        rows = np.concatenate([np.zeros(0, dtype=np.int64), *rows])
+        if len(rows):
+            work[rows] += len(bid)
+            found.append(_nearest(v[rows], ids[rows], bv, bid, k, reach[rows]))
+    return found, work
+
+
+def _own(k: int, bucket_rows: int, boxes):
     def run(table: pa.Table) -> pa.Table:
         ids, v = table.column("_id").to_numpy(), _matrix(table.column("_v"))
-        return _nearest(v, ids, v, ids, k)
+        groups, lows, highs = boxes.value
+        parts = _halved(v, bucket_rows)
+        block = np.zeros(len(ids), dtype=np.int32)
+        found, work = [], np.full(len(ids), len(groups), dtype=np.int64)  # boxes of groups count as distances too
+        for i, p in enumerate(parts):
+            block[p] = i
+            work[p] += len(p)
+            found.append(_nearest(v[p], ids[p], v[p], ids[p], k))
+        _, kth = _best(found, ids, k)
+        more, steps = _search(v, ids, _widened(kth), parts, [(v[p], ids[p]) for p in parts], k, same=True)
+        near, kth = _best(found + more, ids, k)
+        reach = _widened(kth)
+
+        # the other groups that may hold nearer points
+        at, to = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+        others = groups != table.column("_group")[0].as_py()
+        for p in parts:
+            for g in np.flatnonzero(others & (_gap(*_box(v[p]), lows, highs) <= reach[p].max())):
+                rows = p[_gap(v[p], v[p], lows[g], highs[g]) <= reach[p]]
+                at.append(rows)
+                to.append(np.full(len(rows), groups[g], dtype=np.int32))
+        at, to = np.concatenate(at), np.concatenate(to)
+        sent = _lists(pa.array(to[np.argsort(at, kind="stable")], pa.int32()), np.bincount(at, minlength=len(ids)))
+        own = [table.column("_id"), table.column("_v"), table.column("_group"), pa.array(block), pa.array(reach), sent]
+        return pa.table([*own, near, pa.array(work + steps)], names=["_id", "_v", "_group", "_block", "_r", "_to", "_near", "_work"])
 
     return run
 
 
-def _across(k: int):
+def _across(k: int, bucket_rows: int):
     def run(table: pa.Table) -> pa.Table:
-        blocks = table.column("_bk").to_numpy()
-        ids, v = table.column("_id").to_numpy(), _matrix(table.column("_v"))
-        searches = table.column("_meets").is_valid().to_numpy()
-        out = [_CANDIDATE_SCHEMA.empty_table()]
-        for block in np.unique(blocks[searches]):
-            at = np.flatnonzero(searches & (blocks == block))
-            meets = table.column("_meets")[int(at[0])].as_py()
-            to = np.flatnonzero(~searches & np.isin(blocks, meets))
-            radius = table.column("_r").to_numpy()[at]
-            out.append(_nearest(v[at], ids[at], v[to], ids[to], k, radius))
-        return pa.concat_tables(out)
+        held = table.column("_block").is_valid().to_numpy()
+        here, come = table.filter(pa.array(held)), table.filter(pa.array(~held))
+        ids, v = come.column("_id").to_numpy(), _matrix(come.column("_v"))
+        bid, bv, block = here.column("_id").to_numpy(), _matrix(here.column("_v")), here.column("_block").to_numpy()
+        parts = _halved(v, bucket_rows)
+        blocks = [block == b for b in np.unique(block)]
+        found, work = _search(v, ids, come.column("_r").to_numpy(), parts, [(bv[b], bid[b]) for b in blocks], k, same=False)
+        near, _ = _best(found, ids, k)
+        return pa.table([come.column("_id"), near, pa.array(work)], names=["_id", "_near", "_work"])
 
     return run
 
 
-def _gap(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
-    """Lower bound on the distance of two boxes of pivot distances."""
-    apart = F.zip_with(
-        F.arrays_zip(lo_a.alias("l"), hi_a.alias("h")),
-        F.arrays_zip(lo_b.alias("l"), hi_b.alias("h")),
-        lambda a, b: F.greatest(a["l"] - b["h"], b["l"] - a["h"]),
-    )
-    return F.array_max(apart)
-
-
-def _boxes(rows: DataFrame, n_pivots: int) -> DataFrame:
-    at = [F.col("_pd")[i] for i in range(n_pivots)]
-    return rows.groupBy("_bk").agg(
-        F.first("_cell").alias("_cell"),
-        F.min("_ring").alias("_ring_lo"),
-        F.max("_ring").alias("_ring_hi"),
-        F.max("_r").alias("_far"),
-        F.count(F.lit(1)).alias("_size"),
-        F.array(*[F.min(c) for c in at]).alias("_lo"),
-        F.array(*[F.max(c) for c in at]).alias("_hi"),
-    )
-
+def _points(x: DataFrame, k: int) -> DataFrame:
+    """One row a vector: ``_id`` (the smallest), the vector, and the ``k + 1`` smallest ids.
 
-def _widened(c: Column) -> Column:
-    return c * (1 + SLACK) + SLACK
+    Rows with an infinite or NaN value are at no finite distance from any row and are left out.
+    """
+    finite = F.forall("_v", lambda e: (e < F.lit(float("inf"))) & (e > F.lit(float("-inf"))))
+    w = Window.partitionBy("_h", "_v").orderBy("_id")
+    low = x.where(finite).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k + 1)
+    p = low.groupBy("_h", "_v").agg(F.sort_array(F.collect_list("_id")).alias("_ids"))
+    return p.select(F.col("_ids")[0].alias("_id"), "_h", "_v", "_ids")
+
+
+def _near_points(points: DataFrame, k: int, seed: int, bucket_rows: int, tile_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """``(_id, _d, b_id)``, the k nearest other points of each, and one row with the distances computed."""
+    spark, n = points.sparkSession, points.count()
+    per_tile = max(1, min(tile_blocks, -(-n // bucket_rows) // LEAST_TILES))
+    group_rows = per_tile * bucket_rows
+    n_groups = -(-n // group_rows)
+    share = n_groups * SAMPLE_PER_GROUP / n
+    lot = F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), F.lit(1 << 30))
+    sample = _matrix(points.where(lot < F.lit(share * (1 << 30))).select("_v").toArrow().column("_v"))
+    tree = spark.sparkContext.broadcast(_tree(sample, n_groups))
+    located = points.select("_id", "_v").mapInArrow(_locate(tree), "_id long, _v array<double>, _group int")
+    located = write_table(located, "knn-located")
+
+    at = [F.col("_v")[i] for i in range(sample.shape[1])]
+    boxes = located.groupBy("_group").agg(F.array(*map(F.min, at)).alias("lo"), F.array(*map(F.max, at)).alias("hi"))
+    boxes = boxes.toArrow()  # one row a group
+    boxes = (boxes.column("_group").to_numpy(), _matrix(boxes.column("lo")), _matrix(boxes.column("hi")))
+    boxes = spark.sparkContext.broadcast(boxes)
+    own = write_table(located.groupBy("_group").applyInArrow(_own(k, bucket_rows, boxes), _OWN), "knn-own")
+
+    # points meet the groups they are sent to, up to about ``group_rows`` of them a task
+    sent = own.select("_id", "_v", "_r", F.explode("_to").alias("_group"))
+    loads = sent.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / F.lit(group_rows)).cast("int").alias("_n"))
+    loads = write_table(loads, "knn-loads")
+    task = F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int").alias("_task")
+    come = sent.join(loads, "_group").select("_group", task, "_id", "_v", F.lit(None).cast("int").alias("_block"), "_r")
+    tasks = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_task")
+    here = own.select("_group", "_id", "_v", "_block", "_r").join(loads, "_group").select("_group", tasks, "_id", "_v", "_block", "_r")
+    met = here.unionByName(come).groupBy("_group", "_task").applyInArrow(_across(k, bucket_rows), f"_id long, {_NEAR}")
+    both = own.select("_id", "_near", "_work").unionByName(write_table(met, "knn-across"))
+    near = both.select("_id", F.explode("_near").alias("_c")).select("_id", "_c._d", "_c.b_id")
+    w = Window.partitionBy("_id").orderBy("_d", "b_id")  # at most k candidates a group met
+    near = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+    return near, both.agg(F.coalesce(F.sum("_work"), F.lit(0)).alias("_work"))
 
 
 def knn_with_stats(
     df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, seed: int = 42, bucket_rows: int = 1024, tile_blocks: int = TILE_BLOCKS
 ) -> tuple[DataFrame, DataFrame]:
     """:func:`exact_knn` and one row ``(rows, pairs, computed)``: all ordered pairs, and the distances computed."""
-    vec = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in cols])
-    x = write_table(df.select(F.col(id_col).cast("long").alias("_id"), vec.alias("_v")), "knn-vectors")
+    # adding 0.0 makes -0.0 the same value as 0.0
+    vec = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) + F.lit(0.0) for c in cols])
+    x = df.select(F.col(id_col).cast("long").alias("_id"), vec.alias("_v")).withColumn("_h", F.xxhash64("_v"))
+    x = write_table(x, "knn-vectors")
     m = x.count()
     spark = df.sparkSession
-    if not m:
+    points = write_table(_points(x, k), "knn-points")
+    if points.isEmpty():
         none = spark.createDataFrame([], f"{id_col} long, nn_rank int, nn_{id_col} long, dist double")
-        return none, spark.createDataFrame([(0, 0, 0)], "rows long, pairs long, computed long")
-    pivots = choose_pivots(x, min(MAX_PIVOTS, max(8, m // bucket_rows)), seed)
-    n_pivots = len(pivots)
-    located = write_table(x.mapInArrow(_locate(pivots), _ROWS), "knn-rows")
-
-    # blocks: a cell's rows in the order of their rings, bucket_rows each
-    ranked = prefix_rank(located, "_ring", ["_cell"], rank_col="_rn", total_col="_cell_rows")
-    number = ((F.col("_rn") - 1) / F.lit(bucket_rows)).cast("long")
-    ranked = ranked.withColumn("_bk", F.col("_cell").cast("long") * (1 << 40) + number)
-    blocks = write_table(ranked, "knn-blocks")
-
-    # upper bounds: the k-th of the own block, and by way of a pivot
-    own = write_table(
-        blocks.select("_bk", "_id", "_v").groupBy("_bk").applyInArrow(_within_block(k), _CANDIDATES), "knn-own"
-    )
-    found = own.groupBy("a_id").agg(F.count(F.lit(1)).alias("_found"), F.max("_d").alias("_kth"))
-    # k + 1 rows, since the row itself may be one of them; at most MAX_PIVOTS values
-    kth_ring = blocks.where(F.col("_rn") == k + 1).groupBy("_cell").agg(F.max("_ring").alias("r")).collect()
-    by_pivot = {r["_cell"]: r["r"] for r in kth_ring}
-    ways = [F.col("_pd")[c] + F.lit(float(r)) for c, r in sorted(by_pivot.items())]
-    via = F.least(*ways, F.lit(float("inf"))) if ways else F.lit(float("inf"))
-    bound = F.least(F.when(F.col("_found") >= k, F.col("_kth")).otherwise(F.lit(float("inf"))), via)
-    rows = blocks.join(found, blocks["_id"] == found["a_id"], "left").withColumn("_r", _widened(bound))
-    rows = write_table(rows.drop("a_id", "_found", "_kth"), "knn-bounded")
-    boxes = write_table(_boxes(rows, n_pivots), "knn-boxes")
-
-    # blocks that may hold neighbours: rings that meet, in bins of a cell's average block
-    cells = boxes.groupBy("_cell").agg(
-        F.min("_ring_lo").alias("_first"), F.max("_ring_hi").alias("_last"), F.count(F.lit(1)).alias("_n")
-    )
-    cells = cells.withColumn("_width", F.greatest((F.col("_last") - F.col("_first")) / F.col("_n"), F.lit(1e-300)))
-    bin_of = lambda c: F.floor((c - F.col("_first")) / F.col("_width")).cast("long")
-    inside = lambda c: F.least(F.greatest(bin_of(c), F.lit(0)), F.col("_n"))
-    held = boxes.join(cells, "_cell").select(
-        F.col("_cell").alias("c"),
-        F.explode(F.sequence(inside(F.col("_ring_lo")), inside(F.col("_ring_hi")))).alias("bin"),
-        F.col("_bk").alias("b_bk"),
-        F.col("_lo").alias("b_lo"),
-        F.col("_hi").alias("b_hi"),
-    )
-    reach = boxes.select(
-        F.col("_bk").alias("a_bk"), F.col("_far"), F.col("_lo").alias("a_lo"), F.col("_hi").alias("a_hi"),
-        F.posexplode(F.arrays_zip(F.col("_lo").alias("l"), F.col("_hi").alias("h"))).alias("c", "_s"),
-    ).join(cells, F.col("c") == F.col("_cell"))
-    low, high = F.col("_s.l") - F.col("_far"), F.col("_s.h") + F.col("_far")
-    low, high = F.greatest(low, F.col("_first")), F.least(high, F.col("_last"))
-    reach = reach.where(low <= high).select(
-        "a_bk", "_far", "a_lo", "a_hi", "c", F.explode(F.sequence(inside(low), inside(high))).alias("bin")
-    )
-    apart = _gap(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"))
-    met = reach.join(held, ["c", "bin"]).where((F.col("a_bk") != F.col("b_bk")) & (apart <= F.col("_far")))
-    pairs = met.groupBy("a_bk", "b_bk").agg(
-        F.first("_far").alias("_far"), F.first("a_lo").alias("a_lo"), F.first("a_hi").alias("a_hi"),
-        F.first("b_lo").alias("b_lo"), F.first("b_hi").alias("b_hi"),
-    )
-    pairs = write_table(pairs, "knn-pairs")
-
-    # blocks in the order of cell and ring, up to ``tile_blocks`` a tile; a row is sent once for each tile that its own one meets
-    per_tile = max(1, min(tile_blocks, boxes.count() // LEAST_TILES))
-    numbered = prefix_rank(boxes.select("_bk"), "_bk", rank_col="_n_bk", total_col=None)
-    tile = F.floor((F.col("_n_bk") - 1) / F.lit(per_tile)).cast("long")
-    tiles = write_table(numbered.select("_bk", tile.alias("_tile")), "knn-tiles")
-    tiled = pairs.select("a_bk", "b_bk")
-    for side in ("a", "b"):
-        tiled = tiled.join(tiles.select(F.col("_bk").alias(f"{side}_bk"), F.col("_tile").alias(f"{side}_tile")), f"{side}_bk")
-    # beside a searching block, those it meets in the other tile, at most ``tile_blocks``
-    searching = tiled.groupBy("a_tile", "b_tile", F.col("a_bk").alias("_bk")).agg(F.collect_list("b_bk").alias("_meets"))
-    searched = tiled.select("a_tile", "b_tile", F.col("b_bk").alias("_bk"), F.lit(None).cast("array<bigint>").alias("_meets"))
-    sides = searching.unionByName(searched.distinct())
-    sent = rows.select("_bk", "_id", "_v", "_r").join(sides, "_bk")
-    cands = own.unionByName(sent.groupBy("a_tile", "b_tile").applyInArrow(_across(k), _CANDIDATES))
-    w = Window.partitionBy("a_id").orderBy("_d", "b_id")  # at most k candidates a block met
-    top = cands.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
-    top = top.select(F.col("a_id").alias(id_col), "nn_rank", F.col("b_id").alias(f"nn_{id_col}"), F.col("_d").alias("dist"))
-
-    size = boxes.select("_bk", "_size")
-    a_size, b_size = (size.toDF(f"{side}_bk", f"_{side}") for side in ("a", "b"))
-    met_sizes = pairs.select("a_bk", "b_bk").join(a_size, "a_bk").join(b_size, "b_bk")
-    work = met_sizes.select((F.col("_a") * F.col("_b")).alias("w")).unionByName(
-        boxes.select((F.col("_size") * F.col("_size")).alias("w"))
-    )
-    located_pairs = m * n_pivots  # distances to pivots count too
-    stats = work.agg(
-        F.lit(m).cast("long").alias("rows"),
-        F.lit(m * (m - 1)).cast("long").alias("pairs"),
-        (F.coalesce(F.sum("w"), F.lit(0)) + located_pairs).cast("long").alias("computed"),
+        return none, spark.createDataFrame([(m, m * (m - 1), 0)], "rows long, pairs long, computed long")
+    near, work = _near_points(points, k, seed, bucket_rows, tile_blocks)
+
+    # the first k + 1 ids of a point's list, its own among them: a row takes the first k beside itself
+    ids = points.select(F.col("_id").alias("b_id"), F.explode("_ids").alias("id"))
+    listed = near.join(ids, "b_id").select("_id", "_d", "id")
+    listed = listed.unionByName(ids.select(F.col("b_id").alias("_id"), F.lit(0.0).alias("_d"), "id"))
+    lists = listed.groupBy("_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "id"))), 1, k + 1).alias("_l"))
+    rows = x.join(points.select("_h", "_v", F.col("_id").alias("_p")), ["_h", "_v"]).select("_id", "_p")
+    rows = rows.join(lists.withColumnRenamed("_id", "_p"), "_p")
+    rest = F.slice(F.filter("_l", lambda c: c["id"] != F.col("_id")), 1, k)
+    top = rows.select(F.col("_id").alias(id_col), F.posexplode(rest).alias("_n", "_c"))
+    top = top.select(id_col, (F.col("_n") + 1).alias("nn_rank"), F.col("_c.id").alias(f"nn_{id_col}"), F.col("_c._d").alias("dist"))
+    stats = work.select(
+        F.lit(m).cast("long").alias("rows"), F.lit(m * (m - 1)).cast("long").alias("pairs"), F.col("_work").cast("long").alias("computed")
     )
     return top, stats
 
