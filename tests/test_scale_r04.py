@@ -1,11 +1,14 @@
-"""SMOTE on a class of many clusters and copies: neighbours are found in few blocks."""
+"""SMOTE on a class of many clusters and copies: neighbours are found in few blocks, and vectors move once a pair."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.test_neighbors import brute, found, frame
+from txnlens.operators import resample as RS
 from txnlens.plans import neighbors as N
+from txnlens.spec import TxnSpec
 
 
 def test_clusters_beyond_the_pivots_need_few_distances(spark):
@@ -41,3 +44,37 @@ def test_rows_without_a_finite_distance_are_left_out(spark):
     df, cols = frame(spark, ids, v)
     got = found(N.exact_knn(df, "id", cols, 2, bucket_rows=8))
     assert got == brute(ids[3:], v[3:], 2)
+
+
+def _nodes(plan):
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
+def test_synthetic_rows_are_not_moved_with_their_vectors_nor_vectors_broadcast(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, int(i < 40), *map(float, rng.normal(0, 1, 3))) for i in range(400)]
+    df = spark.createDataFrame(rows, "txn_id long, Class int, V1 double, V2 double, V3 double")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for most in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            out = RS.smote(df, ["V1", "V2", "V3"], TxnSpec(), k=5, bucket_rows=8)
+            plan = out._jdf.queryExecution().executedPlan().initialPlan()
+            nodes = [(n.nodeName(), n.output().mkString(",")) for n in _nodes(plan)]
+            assert out.groupBy("Class", "synthetic").count().where(F.col("count") == 320).count() == 1
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        moved = [m for name, m in nodes if name == "Exchange"]
+        assert not [m for name, m in nodes if name == "BroadcastExchange" and ("_x#" in m or "_y#" in m)]
+        assert any("_u#" in m for m in moved)
+        assert not [m for m in moved if "_x#" in m and ("_u#" in m or "_y#" in m)]
+        assert not [m for m in moved if "_u#" in m and "_y#" in m]
+
+
+def test_vectors_are_not_broadcast_to_their_rows(spark):
+    df, cols = frame(spark, np.arange(50), np.random.default_rng(11).normal(0, 1, (50, 3)))
+    plan = N.exact_knn(df, "id", cols, 2)._jdf.queryExecution().executedPlan().initialPlan()
+    assert not [n for n in _nodes(plan) if n.nodeName() == "BroadcastExchange" and "_v#" in n.output().mkString(",")]

@@ -225,13 +225,18 @@ def smote(
             (F.pmod(draw("id", seed + 1, 15), F.lit(kk)) + 1).cast("int").alias("_j"),
             (draw("id", seed + 2, 13).cast("double") / float(1 << 52)).alias("_u"),
         )
-        g = gen.join(knn, (gen["_base"] == knn["_sid"]) & (gen["_j"] == knn["nn_rank"]), "inner").select(
-            "_gid", "_base", "_u", F.col("nn__sid").alias("_nb")
-        )
+        # vectors meet once a neighbour pair, not once a synthetic row, which moves only its draws;
+        # the planner takes an array for one element, so it would broadcast a class of any size
+        near = knn.select(F.col("_sid").alias("_base"), F.col("nn_rank").alias("_rank"), F.col("nn__sid").alias("_nb"))
+        if need < kk * m:  # only the pairs that are drawn
+            drawn = gen.select("_base", F.col("_j").alias("_rank")).distinct()
+            near = near.join(drawn, ["_base", "_rank"], "left_semi")
         vec = F.array(*[F.col(f"`{f}`").cast("double") for f in feats])
-        base = mc.select(F.col("_sid").alias("_base"), vec.alias("_x"))
-        nbr = mc.select(F.col("_sid").alias("_nb"), vec.alias("_y"))
-        s = g.join(base, "_base").join(nbr, "_nb")
+        base = mc.select(F.col("_sid").alias("_base"), vec.alias("_x")).hint("merge")
+        nbr = mc.select(F.col("_sid").alias("_nb"), vec.alias("_y")).hint("merge")
+        pairs = near.join(nbr, "_nb").drop("_nb").join(base, "_base").withColumnRenamed("_base", "_sid").hint("merge")
+        # the rank as a difference, so that the pairs stay where they met their base
+        s = gen.join(pairs, (gen["_base"] == pairs["_sid"]) & (gen["_j"] - pairs["_rank"] == 0))
         # interpolate all features as one array expression, then split into columns
         s = s.select(F.zip_with("_x", "_y", lambda a, b: a + F.col("_u") * (b - a)).alias("_s"))
         cols = []

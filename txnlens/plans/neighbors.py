@@ -354,7 +354,8 @@ def knn_with_stats(
     listed = near.join(ids, "b_id").select("_id", "_d", "id")
     listed = listed.unionByName(ids.select(F.col("b_id").alias("_id"), F.lit(0.0).alias("_d"), "id"))
     lists = listed.groupBy("_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "id"))), 1, k + 1).alias("_l"))
-    rows = x.join(points.select("_h", "_v", F.col("_id").alias("_p")), ["_h", "_v"]).select("_id", "_p")
+    # merged: the planner takes an array for one element, so it would broadcast too many vectors
+    rows = x.join(points.select("_h", "_v", F.col("_id").alias("_p")).hint("merge"), ["_h", "_v"]).select("_id", "_p")
     rows = rows.join(lists.withColumnRenamed("_id", "_p"), "_p")
     rest = F.slice(F.filter("_l", lambda c: c["id"] != F.col("_id")), 1, k)
     top = rows.select(F.col("_id").alias(id_col), F.posexplode(rest).alias("_n", "_c"))
