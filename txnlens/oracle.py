@@ -462,6 +462,31 @@ FROM cleaned WHERE "Time" IS NOT NULL)"""
                  FROM ks0 WHERE n_neg > 0 AND n_pos > 0)""",
     ]
     o["feature_ks"] = q(ks_ctes, "SELECT * FROM ks", r6("ks", "p_value"))
+    # the share of lattice paths that stay inside the band of the statistic, row by row; as the operator, for 10,000 values a sample
+    finite = [
+        *ks_ctes[:-1],
+        """band AS (SELECT *, a // gcd(a, b) AS ag, b // gcd(a, b) AS bg, CAST(round(ks * a * (b // gcd(a, b))) AS BIGINT) AS h
+                 FROM (SELECT "column", ks, least(n_neg, n_pos) AS a, greatest(n_neg, n_pos) AS b FROM ks0 WHERE n_neg > 0 AND n_pos > 0))""",
+        """walk("column", i, j, w) AS (
+                 SELECT "column", 0::BIGINT, unnest(range(0, CAST(least(b, ceil(h / ag) - 1) AS BIGINT) + 1)), 1.0::DOUBLE FROM band
+                 UNION ALL
+                 SELECT "column", i, j, sum(w) OVER (PARTITION BY "column" ORDER BY j ROWS UNBOUNDED PRECEDING) * i / (b + i)
+                 FROM (SELECT *, CASE WHEN j = was THEN w0 ELSE 0.0 END AS w
+                       FROM (SELECT "column", walk.i + 1 AS i, b, walk.j AS was, walk.w AS w0,
+                               floor((walk.i * bg + bg - h) / ag) + 1 AS lo,
+                               unnest(range(walk.j, CASE WHEN walk.j = least(b, ceil((walk.i * bg + h) / ag) - 1)
+                                 THEN CAST(least(b, ceil((walk.i * bg + bg + h) / ag) - 1) AS BIGINT) ELSE walk.j END + 1)) AS j
+                             FROM walk JOIN band USING ("column") WHERE walk.i < a)
+                       WHERE j >= lo))""",
+        """law AS (SELECT "column", CASE WHEN h <= 0 THEN 1.0 WHEN b <= 10000 THEN 1 - w
+                        ELSE error('no twin for the law of samples beyond 10,000 values') END AS p_value
+                 FROM band LEFT JOIN (SELECT "column", w, i, j FROM walk) USING ("column") WHERE h <= 0 OR (i = a AND j = b))""",
+    ]
+    o["feature_ks_finite"] = q(
+        finite,
+        'SELECT "column", col_idx, ks, p_value, n_neg, n_pos FROM ks0 JOIN law USING ("column")',
+        r6("ks", "p_value", d=12),
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
     means = """means AS (SELECT "column", col_idx, avg(value) FILTER (WHERE lbl = 1) AS pos_mean, avg(value) FILTER (WHERE lbl = 0) AS neg_mean,
        stddev_samp(value) FILTER (WHERE lbl = 1) AS pos_std, stddev_samp(value) FILTER (WHERE lbl = 0) AS neg_std,
        corr(value, CAST(lbl AS DOUBLE)) AS corr FROM lngl GROUP BY "column", col_idx)"""
